@@ -1,0 +1,8 @@
+"""Streaming.
+
+The analysed application has no streams, watermarks, windows or state: a run
+analyses one stored table at a time and the browser polls for the result.
+Nothing here re-creates stream processing it does not have. Analyses are
+batch jobs; their results are appended to a table (``sources.sinks``), which a
+Structured Streaming reader can follow like any Parquet folder.
+"""
