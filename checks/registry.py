@@ -71,8 +71,8 @@ SELECT * FROM (
   UNION ALL SELECT 'l_returnflag', 'filled_text_nulls', count(*) FILTER (WHERE l_returnflag IS NULL) FROM lm
 ) WHERE affected_rows > 0""")
 def q_fill_missing_report(spark, d):
-    _, lines = tl.fill_missing(fx.lineitem_messy(spark, d), fx.MESSY_LINEITEM_ORDER)
-    return tl.operators.clean.report_frame(spark, lines)
+    from tablelens.operators.clean import missing_report, report_frame
+    return report_frame(spark, missing_report(fx.lineitem_messy(spark, d)))
 
 
 @query("forward_fill", f"""

@@ -109,6 +109,20 @@ def fill_missing(df: DataFrame, order: Sequence[str] | str | None = None,
     return out, report
 
 
+def missing_report(df: DataFrame, nulls: dict[str, int] | None = None) -> list[tuple[str, str, int]]:
+    """C2's report lines alone (one aggregate of null counts, no filling)."""
+    cc = column_classes(df)
+    nulls = nulls if nulls is not None else null_counts(df, cc.columns)
+    out = []
+    for c in cc.columns:
+        n = nulls.get(c, 0)
+        if n and c in cc.numeric_wide:
+            out.append((c, "filled_numeric_nulls", n))
+        elif n and c in cc.text:
+            out.append((c, "filled_text_nulls", n))
+    return out
+
+
 # ---------------------------------------------------------------------------
 # A1
 # ---------------------------------------------------------------------------

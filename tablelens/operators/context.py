@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.types import column_classes
 from .heads import head_tail, head_values
 from .order import default_order
-from .profile import n_unique_expr
+from .profile import distinct_counts
 
 KPI_ITEM = "struct<name:string,value:double,type:string,icon:string,description:string>"
 
@@ -31,11 +31,12 @@ def prompt_context(df: DataFrame, order: Sequence[str] | str | None = None) -> D
     cc = column_classes(df)
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(cc.columns):
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"z{i}"), n_unique_expr(c).alias(f"u{i}")]
+        aggs.append(F.count_if(F.col(c).isNull()).alias(f"z{i}"))
         if c in cc.numeric:
             aggs += [F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), F.avg(F.col(c).cast("double")).alias(f"m{i}"),
                      F.sum(c).alias(f"s{i}"), F.count(c).alias(f"n{i}")]
     row = df.agg(*aggs).first()
+    dist = distinct_counts(df, cc.columns)
     samples: dict[str, list[str]] = {c: [] for c in cc.text}
     if cc.text:
         for r in head_values(df, cc.text, order, 5).orderBy("position", "rank").collect():
@@ -43,7 +44,7 @@ def prompt_context(df: DataFrame, order: Sequence[str] | str | None = None) -> D
     n = int(row["_rows"])
     lines = [f"DATASET: {n} rows, {len(cc.columns)} columns", f"COLUMNS: {', '.join(cc.columns)}", ""]
     for i, c in enumerate(cc.columns):
-        info = f"  {c} (type={cc.dtypes[c].simpleString()}, nulls={row[f'z{i}']}, unique={row[f'u{i}']})"
+        info = f"  {c} (type={cc.dtypes[c].simpleString()}, nulls={row[f'z{i}']}, unique={dist[c] + (1 if row[f'z{i}'] else 0)})"
         if c in cc.numeric and row[f"n{i}"]:
             info += f" min={row[f'lo{i}']} max={row[f'hi{i}']} mean={row[f'm{i}']:.2f} sum={row[f's{i}']}"
         if c in cc.text:

@@ -8,20 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.text import py_round
 from ..functions.types import column_classes
 from ..functions.words import KPI_MONEY_WORDS
-from .profile import n_unique_expr
+from .profile import distinct_counts
 
 KPI_SCHEMA = "kpi_order long, name string, value double, type string, icon string"
 MAX_KPIS = 10
 
 
-def kpis(df: DataFrame, numeric_k: int = 4, text_k: int = 2, approx: bool = False) -> DataFrame:
-    """K1: ``Total Records``, ``Data Fields``; for the first 4 numeric columns
-    holding data, ``Total c`` and ``Avg c`` (currency) when the name holds a
-    money word, else ``Total c`` (number), rounded to 2; ``Unique c`` for the
-    first 2 text columns; at most 10, in that order.
-
-    One aggregate; the KPI rows are laid out from its single result row
-    inside Spark (no driver round trip)."""
+def kpi_rows(df: DataFrame, numeric_k: int = 4, text_k: int = 2, approx: bool = False) -> list[tuple]:
+    """K1 as (name, value, type, icon) tuples, in order, at most 10."""
     cc = column_classes(df)
     num, text = cc.numeric[:numeric_k], cc.text[:text_k]
     aggs = [F.count(F.lit(1)).alias("_rows")]
@@ -29,27 +23,35 @@ def kpis(df: DataFrame, numeric_k: int = 4, text_k: int = 2, approx: bool = Fals
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"n{i}"), F.sum(x).alias(f"s{i}"), F.avg(x).alias(f"m{i}")]
     for i, c in enumerate(text):
-        aggs.append(n_unique_expr(c, approx).alias(f"u{i}"))
-    agg = df.agg(*aggs)
-
-    def row(name, value, kind, icon, keep=F.lit(True)):
-        return F.struct(F.lit(name).alias("name"), value.cast("double").alias("value"),
-                        F.lit(kind).alias("type"), F.lit(icon).alias("icon"), keep.alias("keep"))
-
-    rows = [row("Total Records", F.col("_rows"), "count", "rows"),
-            row("Data Fields", F.lit(len(cc.columns)), "count", "columns")]
+        aggs.append(F.max(F.col(c).isNull().cast("int")).alias(f"z{i}"))
+    row = df.agg(*aggs).first()
+    dist = distinct_counts(df, text, approx)
+    rows = [("Total Records", float(row["_rows"]), "count", "rows"),
+            ("Data Fields", float(len(cc.columns)), "count", "columns")]
     for i, c in enumerate(num):
-        has = F.col(f"n{i}") > 0
+        if not row[f"n{i}"]:
+            continue
+        total, mean = row[f"s{i}"], row[f"m{i}"]
         if any(w in c.lower() for w in KPI_MONEY_WORDS):
-            rows.append(row(f"Total {c}", py_round(F.col(f"s{i}"), 2), "currency", "dollar", has))
-            rows.append(row(f"Avg {c}", py_round(F.col(f"m{i}"), 2), "currency", "trending", has))
+            rows.append((f"Total {c}", round(total, 2), "currency", "dollar"))
+            rows.append((f"Avg {c}", round(mean, 2), "currency", "trending"))
         else:
-            rows.append(row(f"Total {c}", py_round(F.col(f"s{i}"), 2), "number", "sum", has))
+            rows.append((f"Total {c}", round(total, 2), "number", "sum"))
     for i, c in enumerate(text):
-        rows.append(row(f"Unique {c}", F.col(f"u{i}"), "count", "hash"))
-    kept = F.slice(F.filter(F.array(*rows), lambda r: r["keep"]), 1, MAX_KPIS)
-    return (agg.select(F.posexplode(kept).alias("pos", "k"))
-            .select(F.col("pos").cast("bigint").alias("kpi_order"), "k.name", "k.value", "k.type", "k.icon"))
+        rows.append((f"Unique {c}", float(dist[c] + int(row[f"z{i}"] or 0)), "count", "hash"))
+    return rows[:MAX_KPIS]
+
+
+def kpis(df: DataFrame, numeric_k: int = 4, text_k: int = 2, approx: bool = False) -> DataFrame:
+    """K1: ``Total Records``, ``Data Fields``; for the first 4 numeric columns
+    holding data, ``Total c`` and ``Avg c`` (currency) when the name holds a
+    money word, else ``Total c`` (number), rounded to 2; ``Unique c`` for the
+    first 2 text columns; at most 10, in that order.
+
+    Two aggregates over the table (ordinary measures; distinct counts alone);
+    the at most 10 KPI rows are laid out from their single result rows."""
+    rows = kpi_rows(df, numeric_k, text_k, approx)
+    return df.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], KPI_SCHEMA)
 
 
 def numeric_summary(df: DataFrame, k: int = 5) -> DataFrame:

@@ -17,50 +17,62 @@ from .order import GlobalOrder, default_order
 
 
 def n_unique_expr(c: str, approx: bool = False) -> Column:
-    """A4: distinct values, where null counts as one more value."""
+    """A4: distinct values, where null counts as one more value.
+
+    Mixing a distinct count with ordinary aggregates sends every aggregate
+    through Spark's row expansion; profile functions therefore compute
+    distinct counts in an aggregate of their own (``distinct_counts``)."""
     distinct = F.approx_count_distinct(F.col(c)) if approx else F.count_distinct(F.col(c))
     return (distinct + F.max(F.col(c).isNull().cast("int"))).cast("bigint")
 
 
+def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False) -> dict[str, int]:
+    """Non-null distinct values per column, in one aggregate that holds only
+    distinct counts (exact: one expansion per column; ``approx``: HyperLogLog++
+    sketches, no expansion)."""
+    cols = list(cols)
+    if not cols:
+        return {}
+    f = F.approx_count_distinct if approx else F.count_distinct
+    row = df.agg(*[f(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    return {c: int(row[f"d{i}"]) for i, c in enumerate(cols)}
+
+
 def n_unique(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """A4 for many columns: one row per column (column, unique_count)."""
+    """A4 for many columns: one row per column (position, column, unique_count)."""
     cols = list(cols) if cols is not None else data_columns(df)
-    agg = df.agg(*[n_unique_expr(c, approx).alias(f"u{i}") for i, c in enumerate(cols)])
-    rows = F.array(*[F.struct(F.lit(i).cast("bigint").alias("position"), F.lit(c).alias("column"),
-                              F.coalesce(F.col(f"u{i}"), F.lit(0).cast("bigint")).alias("unique_count"))
-                     for i, c in enumerate(cols)])
-    return agg.select(F.inline(rows))
+    nulls = df.agg(*[F.max(F.col(c).isNull().cast("int")).alias(f"z{i}") for i, c in enumerate(cols)]).first()
+    dist = distinct_counts(df, cols, approx)
+    rows = [(i, c, dist[c] + int(nulls[f"z{i}"] or 0)) for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "position long, column string, unique_count long")
 
 
 def column_statistics(df: DataFrame, approx: bool = False) -> DataFrame:
     """A3: one row per column: position, column, dtype, null_count,
     unique_count and, for numeric columns (small integers included) holding
-    data, mean / min / max / sample std (null where undefined)."""
+    data, mean / min / max / sample std (null where undefined).
+
+    Two aggregates: the ordinary measures, and the distinct counts alone."""
     cc = column_classes(df)
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(cc.columns):
-        aggs += [F.count(F.col(c)).alias(f"n{i}"), n_unique_expr(c, approx).alias(f"u{i}")]
+        aggs.append(F.count(F.col(c)).alias(f"n{i}"))
         if c in cc.numeric_wide:
             x = F.col(c).cast("double")
             aggs += [F.avg(x).alias(f"m{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
                      F.stddev_samp(x).alias(f"s{i}")]
-    agg = df.agg(*aggs)
-    null_d = F.lit(None).cast("double")
+    row = df.agg(*aggs).first()
+    dist = distinct_counts(df, cc.columns, approx)
     rows = []
     for i, c in enumerate(cc.columns):
         wide = c in cc.numeric_wide
-        rows.append(F.struct(
-            F.lit(i).cast("bigint").alias("position"),
-            F.lit(c).alias("column"),
-            F.lit(cc.dtypes[c].simpleString()).alias("dtype"),
-            (F.col("_rows") - F.col(f"n{i}")).cast("bigint").alias("null_count"),
-            F.coalesce(F.col(f"u{i}"), F.lit(0)).cast("bigint").alias("unique_count"),
-            (F.col(f"m{i}") if wide else null_d).alias("mean"),
-            (F.col(f"lo{i}") if wide else null_d).alias("min"),
-            (F.col(f"hi{i}") if wide else null_d).alias("max"),
-            (F.col(f"s{i}") if wide else null_d).alias("std"),
-        ))
-    return agg.select(F.inline(F.array(*rows)))
+        nulls = int(row["_rows"]) - int(row[f"n{i}"])
+        rows.append((i, c, cc.dtypes[c].simpleString(), nulls, dist[c] + (1 if nulls > 0 else 0),
+                     row[f"m{i}"] if wide else None, row[f"lo{i}"] if wide else None,
+                     row[f"hi{i}"] if wide else None, row[f"s{i}"] if wide else None))
+    return df.sparkSession.createDataFrame(
+        rows, "position long, column string, dtype string, null_count long, unique_count long, "
+              "mean double, min double, max double, std double")
 
 
 def null_percent(df: DataFrame) -> DataFrame:
@@ -143,9 +155,8 @@ def describe_all(df: DataFrame, order: Sequence[str] | str | None = None, exact:
                      F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
             if not exact:
                 aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], 10000).alias(f"q{i}"))
-        if c in cat:
-            aggs.append(F.count_distinct(F.col(c)).alias(f"u{i}"))
     row = df.agg(*aggs).first()
+    dist = distinct_counts(df, cat)
     tops = {}
     for c in cat:
         t = top_value(df, c).first()
@@ -164,7 +175,7 @@ def describe_all(df: DataFrame, order: Sequence[str] | str | None = None, exact:
                        min=row[f"lo{i}"], max=row[f"hi{i}"], p25=qv[0], p50=qv[1], p75=qv[2])
         if c in cat and n > 0:
             top, freq = tops[c]
-            rec.update(unique=float(row[f"u{i}"]), top=str(top), freq=float(freq))
+            rec.update(unique=float(dist[c]), top=str(top), freq=float(freq))
         out.append(rec)
     schema = ("position long, column string, count double, unique double, top string, freq double, "
               "mean double, std double, min double, p25 double, p50 double, p75 double, max double")
