@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import parses_as_python_float, to_number
 from ..functions.types import column_classes, data_columns
@@ -136,6 +137,12 @@ def drop_duplicate_rows(df: DataFrame, order: Sequence[str] | str | None = None)
     hidden = [c for c in order if c not in data]
     if not hidden:
         return df.dropDuplicates(data)
+    fixed_width = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+                   T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+    if len(hidden) == 1 and isinstance(df.schema[hidden[0]].dataType, fixed_width):
+        # one fixed-width key: a hash aggregate with a map-side partial min
+        return df.groupBy(*data).agg(F.min(hidden[0]).alias(hidden[0])).select(*df.columns)
+    # a composite key: min over a struct (Spark plans a sort-based aggregate, still partial first)
     first = F.min(F.struct(*[F.col(c) for c in hidden])).alias("_first")
     grouped = df.groupBy(*data).agg(first)
     return grouped.select(*data, *[F.col(f"_first.{c}").alias(c) for c in hidden]).select(*df.columns)

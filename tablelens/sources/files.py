@@ -10,19 +10,39 @@ from pyspark.sql import types as T
 from ..functions.text import allowed_file, file_suffix, file_type
 
 
+MAX_FILES_FOR_ROW_ID = 10_000
+
+
+def _path_key(uri: str) -> str:
+    """A file URI without its scheme (``file:/a`` and ``file:///a`` agree)."""
+    from urllib.parse import urlparse
+    u = urlparse(uri)
+    return (u.netloc + u.path) if u.scheme else uri
+
+
 def with_file_order(df: DataFrame) -> DataFrame:
-    """Hidden total order of a file scan: (``_file``, ``_pos``).
+    """Hidden total order of a file scan.
 
-    Parquet has an exact row index per file; for text formats the split start
-    plus a per-split counter is used (splits are read in a fixed way, so the
-    counter is stable across re-reads of the same files)."""
+    Parquet: ``_row_id = file number × 2^40 + row index in the file``, one
+    long (files numbered by sorted path; the file list is known from the
+    plan). With more than ``MAX_FILES_FOR_ROW_ID`` files the order is the
+    pair (``_file``, ``_pos``) instead. Text formats have no row index: the
+    split start plus a per-split counter is used (splits are cut the same way
+    on every read of the same files)."""
     meta = F.col("_metadata")
+    files = sorted({_path_key(f) for f in df.inputFiles()})
     try:
-        return df.withColumn("_file", meta["file_path"]).withColumn("_pos", meta["row_index"])
+        pos = df.withColumn("_pos", meta["row_index"])
     except Exception:
         return (df.withColumn("_file", meta["file_path"])
                 .withColumn("_pos", F.struct(meta["file_block_start"].alias("start"),
                                              F.monotonically_increasing_id().alias("n"))))
+    if 0 < len(files) <= MAX_FILES_FOR_ROW_ID:
+        number = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i))])
+        key = F.regexp_replace(F.regexp_replace(meta["file_path"], r"^[a-zA-Z][a-zA-Z0-9+.\-]*:", ""), "^//", "")
+        return pos.withColumn("_row_id", F.element_at(number, key).cast("bigint")
+                              * F.lit(1 << 40) + F.col("_pos")).drop("_pos")
+    return pos.withColumn("_file", meta["file_path"])
 
 
 def _infer_type(spark: SparkSession, head: DataFrame, c: str) -> T.DataType:
