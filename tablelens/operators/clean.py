@@ -156,8 +156,10 @@ def duplicate_count(df: DataFrame, deduped: DataFrame) -> int:
 # A2
 # ---------------------------------------------------------------------------
 
-def anomaly_stats(df: DataFrame) -> dict[str, tuple[int, float | None, float | None]]:
+def anomaly_stats(df: DataFrame, facts=None) -> dict[str, tuple[int, float | None, float | None]]:
     num = column_classes(df).numeric
+    if facts is not None:
+        return {c: (facts.count[c], facts.mean[c], facts.std[c]) for c in num}
     if not num:
         return {}
     aggs = []
@@ -213,6 +215,7 @@ class Cleaned:
     order: list[str]
     rows_before: int
     rows_after: int
+    facts: object = None
 
 
 def clean_table(df: DataFrame, order: Sequence[str] | str | None = None, sample: int = 50,
@@ -242,7 +245,10 @@ def clean_table(df: DataFrame, order: Sequence[str] | str | None = None, sample:
     t = drop_duplicate_rows(t, order)
     if persist:
         t = cut_lineage(t)
-    rows_after = t.count()
+    # pass 4: every per-column measure of the cleaned table at once (row count included)
+    from .profile import table_facts
+    facts = table_facts(t)
+    rows_after = facts.rows
     lines.append(("*", "removed_duplicates", rows_before - rows_after))
-    lines += anomaly_counts(t, z)
-    return Cleaned(t, report_frame(spark, lines), order, rows_before, rows_after)
+    lines += anomaly_counts(t, z, stats=anomaly_stats(t, facts))
+    return Cleaned(t, report_frame(spark, lines), order, rows_before, rows_after, facts)

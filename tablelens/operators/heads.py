@@ -28,17 +28,28 @@ def head_values(df: DataFrame, cols: Sequence[str], order: Sequence[str] | str |
     """H1: the first ``k`` non-null values of every column in ``cols``, in
     table order: (column, position, rank, value).
 
-    One scan; ``row_number() <= k`` is planned as a partial WindowGroupLimit
-    before the shuffle, so only ``k`` rows per column and input partition move.
-    """
+    One top-k per column (``TakeOrderedAndProject``: a bounded heap of ``k``
+    rows per input partition, no sort of the table), each reading only its
+    column and the order key with the null filter pushed to the scan; the
+    branches run as one union. The final ranking sees at most ``k`` rows per
+    column."""
     order = default_order(df, order)
     cols = list(cols)
     if not cols:
         return df.sparkSession.createDataFrame([], "column string, position bigint, rank bigint, value string")
-    long = unpivot_text(df, cols, keep=order).filter(F.col("value").isNotNull())
-    w = Window.partitionBy("column").orderBy(*[F.col(c) for c in order])
-    return (long.withColumn("rank", F.row_number().over(w).cast("bigint"))
-            .filter(F.col("rank") <= k)
+    parts = []
+    for i, c in enumerate(cols):
+        part = (df.filter(F.col(c).isNotNull())
+                .select(F.lit(c).alias("column"), F.lit(i).cast("bigint").alias("position"),
+                        F.col(c).cast("string").alias("value"), *[F.col(o).alias(f"_k{j}") for j, o in enumerate(order)])
+                .orderBy(*[F.col(f"_k{j}") for j in range(len(order))])
+                .limit(k))
+        parts.append(part)
+    heads = parts[0]
+    for p_ in parts[1:]:
+        heads = heads.unionByName(p_)
+    w = Window.partitionBy("column").orderBy(*[F.col(f"_k{j}") for j in range(len(order))])
+    return (heads.withColumn("rank", F.row_number().over(w).cast("bigint"))
             .select("column", "position", "rank", "value"))
 
 

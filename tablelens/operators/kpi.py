@@ -5,44 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import py_round
 from ..functions.types import column_classes
 from ..functions.words import KPI_MONEY_WORDS
-from .profile import distinct_counts
+from .profile import TableFacts, table_facts
 
 KPI_SCHEMA = "kpi_order long, name string, value double, type string, icon string"
 MAX_KPIS = 10
 
 
-def kpi_rows(df: DataFrame, numeric_k: int = 4, text_k: int = 2, approx: bool = False) -> list[tuple]:
+def kpi_rows(df: DataFrame, numeric_k: int = 4, text_k: int = 2, approx: bool = False,
+             facts: TableFacts | None = None) -> list[tuple]:
     """K1 as (name, value, type, icon) tuples, in order, at most 10."""
     cc = column_classes(df)
     num, text = cc.numeric[:numeric_k], cc.text[:text_k]
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(num):
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.sum(x).alias(f"s{i}"), F.avg(x).alias(f"m{i}")]
-    for i, c in enumerate(text):
-        aggs.append(F.max(F.col(c).isNull().cast("int")).alias(f"z{i}"))
-    row = df.agg(*aggs).first()
-    dist = distinct_counts(df, text, approx)
-    rows = [("Total Records", float(row["_rows"]), "count", "rows"),
+    f = facts or table_facts(df.select(*num, *text), approx)
+    rows = [("Total Records", float(f.rows), "count", "rows"),
             ("Data Fields", float(len(cc.columns)), "count", "columns")]
-    for i, c in enumerate(num):
-        if not row[f"n{i}"]:
+    for c in num:
+        if not f.count[c]:
             continue
-        total, mean = row[f"s{i}"], row[f"m{i}"]
+        total, mean = f.sum[c], f.mean[c]
         if any(w in c.lower() for w in KPI_MONEY_WORDS):
             rows.append((f"Total {c}", round(total, 2), "currency", "dollar"))
             rows.append((f"Avg {c}", round(mean, 2), "currency", "trending"))
         else:
             rows.append((f"Total {c}", round(total, 2), "number", "sum"))
-    for i, c in enumerate(text):
-        rows.append((f"Unique {c}", float(dist[c] + int(row[f"z{i}"] or 0)), "count", "hash"))
+    for c in text:
+        rows.append((f"Unique {c}", float(f.unique(c)), "count", "hash"))
     return rows[:MAX_KPIS]
 
 
-def kpis(df: DataFrame, numeric_k: int = 4, text_k: int = 2, approx: bool = False) -> DataFrame:
+def kpis(df: DataFrame, numeric_k: int = 4, text_k: int = 2, approx: bool = False,
+         facts: TableFacts | None = None) -> DataFrame:
     """K1: ``Total Records``, ``Data Fields``; for the first 4 numeric columns
     holding data, ``Total c`` and ``Avg c`` (currency) when the name holds a
     money word, else ``Total c`` (number), rounded to 2; ``Unique c`` for the
@@ -50,23 +44,17 @@ def kpis(df: DataFrame, numeric_k: int = 4, text_k: int = 2, approx: bool = Fals
 
     Two aggregates over the table (ordinary measures; distinct counts alone);
     the at most 10 KPI rows are laid out from their single result rows."""
-    rows = kpi_rows(df, numeric_k, text_k, approx)
+    rows = kpi_rows(df, numeric_k, text_k, approx, facts)
     return df.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], KPI_SCHEMA)
 
 
-def numeric_summary(df: DataFrame, k: int = 5) -> DataFrame:
+def numeric_summary(df: DataFrame, k: int = 5, facts: TableFacts | None = None) -> DataFrame:
     """Total and average of the first ``k`` numeric columns, rounded to 2;
     columns without data are skipped. (position, name, total, average)."""
     num = column_classes(df).numeric[:k]
+    schema = "position long, name string, total double, average double"
     if not num:
-        return df.sparkSession.createDataFrame([], "position long, name string, total double, average double")
-    aggs = []
-    for i, c in enumerate(num):
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.sum(x).alias(f"s{i}"), F.avg(x).alias(f"m{i}")]
-    agg = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(i).cast("bigint").alias("position"), F.lit(c).alias("name"),
-                              py_round(F.col(f"s{i}"), 2).alias("total"), py_round(F.col(f"m{i}"), 2).alias("average"),
-                              (F.col(f"n{i}") > 0).alias("keep"))
-                     for i, c in enumerate(num)])
-    return agg.select(F.inline(F.filter(rows, lambda r: r["keep"]))).drop("keep")
+        return df.sparkSession.createDataFrame([], schema)
+    f = facts or table_facts(df.select(*num))
+    rows = [(i, c, round(f.sum[c], 2), round(f.mean[c], 2)) for i, c in enumerate(num) if f.count[c]]
+    return df.sparkSession.createDataFrame(rows, schema)

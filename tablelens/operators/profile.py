@@ -8,6 +8,7 @@ one pass per measure per column). Distinct counts are exact by default; pass
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,29 +48,63 @@ def n_unique(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = Fa
     return df.sparkSession.createDataFrame(rows, "position long, column string, unique_count long")
 
 
-def column_statistics(df: DataFrame, approx: bool = False) -> DataFrame:
-    """A3: one row per column: position, column, dtype, null_count,
-    unique_count and, for numeric columns (small integers included) holding
-    data, mean / min / max / sample std (null where undefined).
+@dataclass
+class TableFacts:
+    """Every per-column measure of a table from two aggregates (one scan for
+    the ordinary measures, one for the distinct counts) — pass 4 of an
+    analysis. KPIs, statistics, anomalies, insights, the numeric summary and
+    the histogram bounds all read from it instead of scanning again."""
+
+    rows: int
+    columns: list[str]
+    nulls: dict[str, int]
+    count: dict[str, int]
+    sum: dict[str, float | None]
+    mean: dict[str, float | None]
+    min: dict[str, float | None]
+    max: dict[str, float | None]
+    std: dict[str, float | None]
+    distinct: dict[str, int]
 
-    Two aggregates: the ordinary measures, and the distinct counts alone."""
+    def unique(self, c: str) -> int:
+        """A4: distinct values with null counted as one more."""
+        return self.distinct[c] + (1 if self.nulls[c] > 0 else 0)
+
+
+def table_facts(df: DataFrame, approx: bool = False) -> TableFacts:
     cc = column_classes(df)
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(cc.columns):
         aggs.append(F.count(F.col(c)).alias(f"n{i}"))
         if c in cc.numeric_wide:
             x = F.col(c).cast("double")
-            aggs += [F.avg(x).alias(f"m{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"),
-                     F.stddev_samp(x).alias(f"s{i}")]
+            aggs += [F.sum(x).alias(f"t{i}"), F.avg(x).alias(f"m{i}"), F.min(x).alias(f"lo{i}"),
+                     F.max(x).alias(f"hi{i}"), F.stddev_samp(x).alias(f"s{i}")]
     row = df.agg(*aggs).first()
     dist = distinct_counts(df, cc.columns, approx)
+    rows = int(row["_rows"])
+    wide = {c: i for i, c in enumerate(cc.columns) if c in cc.numeric_wide}
+
+    def pick(prefix):
+        return {c: row[f"{prefix}{i}"] for c, i in wide.items()}
+
+    count = {c: int(row[f"n{i}"]) for i, c in enumerate(cc.columns)}
+    return TableFacts(rows, cc.columns, {c: rows - count[c] for c in cc.columns}, count, pick("t"), pick("m"),
+                      pick("lo"), pick("hi"), pick("s"), dist)
+
+
+def column_statistics(df: DataFrame, approx: bool = False, facts: TableFacts | None = None) -> DataFrame:
+    """A3: one row per column: position, column, dtype, null_count,
+    unique_count and, for numeric columns (small integers included) holding
+    data, mean / min / max / sample std (null where undefined)."""
+    cc = column_classes(df)
+    f = facts or table_facts(df, approx)
     rows = []
     for i, c in enumerate(cc.columns):
         wide = c in cc.numeric_wide
-        nulls = int(row["_rows"]) - int(row[f"n{i}"])
-        rows.append((i, c, cc.dtypes[c].simpleString(), nulls, dist[c] + (1 if nulls > 0 else 0),
-                     row[f"m{i}"] if wide else None, row[f"lo{i}"] if wide else None,
-                     row[f"hi{i}"] if wide else None, row[f"s{i}"] if wide else None))
+        rows.append((i, c, cc.dtypes[c].simpleString(), f.nulls[c], f.unique(c),
+                     f.mean[c] if wide else None, f.min[c] if wide else None,
+                     f.max[c] if wide else None, f.std[c] if wide else None))
     return df.sparkSession.createDataFrame(
         rows, "position long, column string, dtype string, null_count long, unique_count long, "
               "mean double, min double, max double, std double")

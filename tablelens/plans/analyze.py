@@ -3,12 +3,14 @@
 Passes of ``analyze`` (each a Spark job over the whole table, or over the
 cleaned copy written once to the checkpoint folder):
 
-0. first 50 values of every text column → number-conversion decisions
-1. null counts and row count in one aggregate; range-bucket boundaries
+0. first 50 values of every text column (one top-k per column) → number-conversion decisions
+1. null counts and row count in one aggregate; range-bucket boundaries from a bounded sample
 2. per-bucket last values (only when numeric nulls exist)
 3. fill + de-duplication, written once (checkpoint)
-4. one aggregate for KPIs; one for anomalies (two small passes)
-5. domain pool (first 100 text values), profiles, top values
+4. ``TableFacts``: every per-column measure in one aggregate plus one aggregate of distinct
+   counts — KPIs, statistics, anomaly bounds, insights, numeric summary and histogram bounds
+   all read it; then one aggregate counting anomalies
+5. domain pool (first 100 text values), top values, category breakdown, histogram counts
 6. trend boundary (one bucket sorted) and half means
 7. chart series (only the buckets holding sampled positions are sorted)
 """
@@ -31,7 +33,7 @@ from ..operators.explore import filter_date_range, preview
 from ..operators.insights import (half_trend, insights, recommendation_rows, recommendations, summary_text)
 from ..operators.kpi import kpis
 from ..operators.order import GlobalOrder, default_order
-from ..operators.profile import column_statistics
+from ..operators.profile import column_statistics, table_facts
 from ..sources.sinks import ANALYSIS_SCHEMA
 
 
@@ -87,17 +89,18 @@ def analyze(df: DataFrame, order: Sequence[str] | str | None = None, persist: bo
     n = cleaned.rows_after
     cc = column_classes(t)
     domain = domain_of(t, order)
-    kpi_df = kpis(t)
+    facts = cleaned.facts
+    kpi_df = kpis(t, facts=facts)
     kpi_rows = [(r["name"], r["value"], r["type"]) for r in kpi_df.orderBy("kpi_order").collect()]
     go = GlobalOrder.build(t, order, n_rows=n) if cc.numeric else None
     trends = half_trend(t, cc.numeric[:3], order, go=go)
-    ins = insights(t, domain, order, trends=trends)
+    ins = insights(t, domain, order, trends=trends, facts=facts)
     summary = summary_text(domain, n, cc.columns, cc.numeric, cc.text, kpi_rows)
     spark = t.sparkSession
     recs = recommendations(spark, domain)
-    chart_list = charts(t, order, n_rows=n)
+    chart_list = charts(t, order, n_rows=n, facts=facts)
     pv = preview(t, order, 50)
-    stats = column_statistics(t)
+    stats = column_statistics(t, facts=facts)
     return Analysis(t, order, cleaned, domain, kpi_df, trends, ins, recs, summary, chart_list, pv, stats)
 
 
@@ -115,9 +118,10 @@ def analyze_range(df: DataFrame, stored: dict, start: str | None, end: str | Non
     if not cc.date:
         return stored
     sub = filter_date_range(t, start, end, cc.date[0])
+    facts = table_facts(sub)
     out = dict(stored)
-    out["charts"] = charts(sub, order)
-    out["kpis"] = kpis(sub)
+    out["charts"] = charts(sub, order, n_rows=facts.rows, facts=facts)
+    out["kpis"] = kpis(sub, facts=facts)
     out["raw_data_preview"] = preview(sub, order, 50)
     out["table"] = sub
     return out
