@@ -604,6 +604,42 @@ def q_table_cell_text(spark, d):
                     tx.table_cell_text("value", "payment_value", numeric_input=True).alias("value_cell"))
 
 
+@query("kpi_text", f"""
+WITH {S.ANALYSES},
+k AS (SELECT id, CAST(generate_subscripts(kpis, 1) - 1 AS BIGINT) AS position, unnest(kpis) AS x FROM an)
+SELECT id, position, x.type AS type,
+       CASE WHEN x.type = 'currency' THEN {S.rupiah('x.value')}
+            WHEN x.type = 'percentage' THEN {S.number_id('x.value')} || '%'
+            WHEN x.type IN ('count', 'number') THEN {S.number_id('x.value')}
+            ELSE {S.js_number('x.value')} END AS text
+FROM (SELECT id, position, {{'name': x.name, 'value': x.value,
+        'type': CASE position WHEN 0 THEN (['currency', 'percentage', 'number', 'other'])[CAST(id AS BIGINT) % 4 + 1] ELSE x.type END}} AS x
+      FROM k)""")
+def q_kpi_text(spark, d):
+    a = fx.analyses(spark, d)
+    k = a.select("id", F.posexplode("kpis").alias("position", "x"))
+    kinds = F.element_at(F.array(*[F.lit(t) for t in ["currency", "percentage", "number", "other"]]),
+                         (F.col("id").cast("bigint") % 4 + 1).cast("int"))
+    kind = F.when(F.col("position") == 0, kinds).otherwise(F.col("x.type"))
+    return k.select("id", F.col("position").cast("bigint").alias("position"), kind.alias("type"),
+                    tx.kpi_text(F.col("x.value"), kind).alias("text"))
+
+
+FILE_EXTS = [".csv", ".XLSX", ".xls", ".pdf", ".docx", ".doc", ".txt", ""]
+
+
+@query("file_type", f"""
+SELECT doc_id, name, CASE {' '.join(f"WHEN lower(regexp_extract(name, '(\\.[^./\\\\]*)$', 1)) = '{e}' THEN '{t}'" for e, t in
+                            [('.xlsx', 'excel'), ('.xls', 'excel'), ('.csv', 'csv'), ('.pdf', 'pdf'), ('.docx', 'docx'), ('.doc', 'docx')])}
+                      ELSE 'unknown' END AS file_type
+FROM (SELECT doc_id, source || '_' || CAST(doc_id AS VARCHAR) || (['{"', '".join(FILE_EXTS)}'])[doc_id % 8 + 1] AS name FROM documents)""")
+def q_file_type(spark, d):
+    doc = fx.read(spark, d, "documents")
+    ext = F.element_at(F.array(*[F.lit(e) for e in FILE_EXTS]), (F.col("doc_id") % 8 + 1).cast("int"))
+    name = F.concat(F.col("source"), F.lit("_"), F.col("doc_id").cast("string"), ext)
+    return doc.select("doc_id", name.alias("name"), tx.file_type(name).alias("file_type"))
+
+
 # ===========================================================================
 # events as analysis records
 # ===========================================================================

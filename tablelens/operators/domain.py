@@ -29,35 +29,41 @@ def keyword_pool(df: DataFrame, order: Sequence[str] | str | None = None, k: int
     return names.unionByName(heads).select(F.lower("piece").alias("piece"))
 
 
+def _keyword_table():
+    return F.array(*[F.struct(F.lit(d).alias("pos"), F.lit(w).alias("word"))
+                     for d, (_, words) in enumerate(DOMAIN_KEYWORDS) for w in words])
+
+
+def _score_rows(df: DataFrame, order, k: int) -> list[tuple[int, str, int]]:
+    pool = keyword_pool(df, order, k)
+    hits = (pool.select(F.explode(F.filter(_keyword_table(), lambda kw: F.col("piece").contains(kw["word"])))
+                        .alias("h"))
+            .select("h.pos", "h.word").distinct()
+            .groupBy("pos").agg(F.count(F.lit(1)).alias("score")))
+    got = {r["pos"]: int(r["score"]) for r in hits.collect()}        # at most 9 rows
+    return [(d, domain, got.get(d, 0)) for d, (domain, _) in enumerate(DOMAIN_KEYWORDS)]
+
+
 def domain_scores(df: DataFrame, order: Sequence[str] | str | None = None, k: int = 100) -> DataFrame:
     """Score per domain = number of its distinct keywords found in the pool.
-    (position, domain, score) — one aggregate of keyword flags over the pool."""
-    pool = keyword_pool(df, order, k)
-    flags, slots = [], []
-    for d, (domain, words) in enumerate(DOMAIN_KEYWORDS):
-        for w, word in enumerate(words):
-            flags.append(F.max(F.col("piece").contains(word).cast("int")).alias(f"f{d}_{w}"))
-        slots.append((d, domain, [f"f{d}_{w}" for w in range(len(words))]))
-    agg = pool.agg(*flags)
-    rows = F.array(*[F.struct(F.lit(d).cast("bigint").alias("position"), F.lit(domain).alias("domain"),
-                              sum((F.coalesce(F.col(f), F.lit(0)) for f in fs), F.lit(0)).cast("bigint").alias("score"))
-                     for d, domain, fs in slots])
-    return agg.select(F.inline(rows))
+    (position, domain, score). Each pool piece is matched against the keyword
+    table with one array filter; distinct (domain, keyword) hits are counted."""
+    return df.sparkSession.createDataFrame(_score_rows(df, order, k), "position long, domain string, score long")
+
+
+def _best(rows: list[tuple[int, str, int]]) -> tuple[str, int]:
+    pos, domain, score = max(rows, key=lambda r: (r[2], -r[0]))
+    return (domain if score >= MIN_DOMAIN_SCORE else GENERAL_DOMAIN), score
 
 
 def detect_domain(df: DataFrame, order: Sequence[str] | str | None = None, k: int = 100) -> DataFrame:
     """The domain with the highest score, the first listed on ties; a best
     score under 2 gives ``General Business``. One row: (business_type, score)."""
-    scores = domain_scores(df, order, k)
-    best = scores.agg(F.max_by(F.struct("domain", "score"),
-                               F.struct(F.col("score"), -F.col("position"))).alias("b"))
-    return best.select(F.when(F.col("b.score") >= MIN_DOMAIN_SCORE, F.col("b.domain"))
-                       .otherwise(F.lit(GENERAL_DOMAIN)).alias("business_type"),
-                       F.col("b.score").alias("score"))
+    return df.sparkSession.createDataFrame([_best(_score_rows(df, order, k))], "business_type string, score long")
 
 
 def domain_of(df: DataFrame, order: Sequence[str] | str | None = None) -> str:
-    return detect_domain(df, order).first()["business_type"]
+    return _best(_score_rows(df, order, 100))[0]
 
 
 def detect_kind(columns: Sequence[str]) -> str:

@@ -16,10 +16,16 @@ ANALYSIS_SCHEMA = (
 )
 
 
+def conform(records: DataFrame) -> DataFrame:
+    """Records cast to the ``analyses`` schema, columns in its order."""
+    schema = records.sparkSession.createDataFrame([], ANALYSIS_SCHEMA).schema
+    return records.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def write_analysis(records: DataFrame, path: str) -> None:
     """Append analysis records (a status change is a new record; the
-    current state of each analysis is its newest record, see ``latest_analyses``)."""
-    records.write.mode("append").parquet(path)
+    current state of each analysis is its newest record, see ``current_analyses``)."""
+    conform(records).write.mode("append").parquet(path)
 
 
 def read_analyses(spark: SparkSession, path: str) -> DataFrame:
@@ -27,10 +33,14 @@ def read_analyses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def current_analyses(records: DataFrame) -> DataFrame:
-    """The newest record per analysis id."""
+    """The current state of each analysis: its newest record, a finished
+    record (completed / failed) winning over a processing one of the same time."""
     from ..operators.catalog import latest_analyses
     stamp = F.coalesce(F.col("completed_at"), F.col("created_at"))
-    return latest_analyses(records.withColumn("_stamp", stamp), key="id", ts="_stamp", tie="status").drop("_stamp")
+    rank = F.when(F.col("status").isin("completed", "failed"), F.lit(1)).otherwise(F.lit(0))
+    return (latest_analyses(records.withColumn("_stamp", F.struct(stamp.alias("t"), rank.alias("r"))),
+                            key="id", ts="_stamp", tie="status")
+            .drop("_stamp"))
 
 
 def write_report(parts: dict[str, DataFrame], folder: str, fmt: str = "csv") -> list[str]:

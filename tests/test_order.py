@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tablelens.operators.order import GlobalOrder, forward_fill
 
 rows_strategy = st.lists(
-    st.tuples(st.integers(-50, 50), st.one_of(st.none(), st.floats(-1e6, 1e6, allow_nan=False))),
+    st.tuples(st.one_of(st.none(), st.integers(-50, 50)), st.one_of(st.none(), st.floats(-1e6, 1e6, allow_nan=False))),
     min_size=0, max_size=120)
 
 
@@ -25,7 +25,7 @@ def test_global_index_equals_window(spark, rows, buckets, parts):
     df = _frame(spark, rows, parts)
     go = GlobalOrder.build(df, ["k", "_row_id"], buckets=buckets)
     got = {r["_row_id"]: r["_idx"] for r in go.global_index().collect()}
-    want = sorted(range(len(rows)), key=lambda i: (rows[i][0], i))
+    want = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i))
     assert got == {rid: pos for pos, rid in enumerate(want)}
 
 
@@ -49,7 +49,7 @@ def test_select_positions(spark, rows, buckets, picks):
     df = _frame(spark, rows, 3)
     go = GlobalOrder.build(df, ["k", "_row_id"], buckets=buckets)
     got = {r["_idx"]: r["_row_id"] for r in go.select_positions(picks).collect()}
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0], i))
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i))
     assert got == {p: order[p] for p in set(picks) if p < len(rows)}
 
 

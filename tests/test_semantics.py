@@ -273,3 +273,30 @@ def test_analyze_record(spark):
     assert rec["status"] == "completed" and len(rec["raw_data_preview"]) == 50
     assert rec["kpis"][0]["name"] == "Total Records"
     assert {c.type for c in a.charts} == {"line", "bar", "pie"}
+
+
+def test_records_append_and_current_state(spark, tmp_path):
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    a = tl.analyze(o, "o_orderkey", persist=False)
+    path = str(tmp_path / "analyses")
+    rec = a.record("a1", "u1")
+    tl.write_analysis(rec.withColumn("status", F.lit("processing")).withColumn("completed_at", F.lit(None)), path)
+    tl.write_analysis(rec, path)
+    stored = tl.read_analyses(spark, path)
+    assert stored.count() == 2
+    cur = tl.current_analyses(stored).collect()
+    assert len(cur) == 1 and cur[0]["status"] == "completed"
+    q = spark.createDataFrame([(1, "tell me a summary", "a1", None)],
+                              "question_id int, question string, analysis_id string, upload_id string")
+    ans = tl.answer_questions(q, tl.current_analyses(stored)).first()["answer"]
+    assert ans.startswith("This Retail / E-commerce dataset contains 1500 records")
+
+
+def test_write_report(spark, tmp_path):
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    a = tl.analyze(o, "o_orderkey", persist=False)
+    parts = {"Preview": a.preview, "Stats": a.column_stats, "KPIs": a.kpis, "Insights": a.insights}
+    written = tl.write_report(parts, str(tmp_path / "report"))
+    assert [w.rsplit("/", 1)[1] for w in written] == ["Preview", "Stats", "KPIs", "Insights"]
+    back = spark.read.option("header", True).csv(written[2])
+    assert back.count() == a.kpis.count()
