@@ -22,6 +22,7 @@ columns; names starting with ``_`` are hidden from analysis.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -32,6 +33,7 @@ from pyspark.sql import types as T
 
 ROWS_PER_BUCKET = 4_000_000
 MAX_BUCKETS = 4096
+MAX_TREE_BOUNDS = 255
 OVERSAMPLE = 32
 BUCKET = "_bucket"
 SEED = 20240101
@@ -56,6 +58,40 @@ def typed_lit(value, dtype: T.DataType) -> Column:
     return F.lit(value).cast(dtype)
 
 
+NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+
+
+def _jsonable(v, dt: T.DataType):
+    if v is None:
+        return None
+    if isinstance(dt, T.StructType):
+        vals = v if isinstance(v, (tuple, list)) else [v[f.name] for f in dt.fields]
+        return {f.name: _jsonable(x, f.dataType) for f, x in zip(dt.fields, vals)}
+    if isinstance(dt, (T.TimestampNTZType, T.DateType)):
+        return v.isoformat()
+    if isinstance(dt, T.DecimalType):
+        return float(v) if dt.scale else int(v)
+    return v
+
+
+def _has_ltz(dt: T.DataType) -> bool:
+    if isinstance(dt, T.StructType):
+        return any(_has_ltz(f.dataType) for f in dt.fields)
+    return isinstance(dt, (T.TimestampType, T.DecimalType, T.BinaryType))
+
+
+def array_literal(values: Sequence, dtype: T.DataType) -> Column:
+    """One typed array literal for many driver-side values: a JSON string read
+    with ``from_json``, which the optimizer folds into a single literal (far
+    cheaper to plan than thousands of separate literal expressions)."""
+    if _has_ltz(dtype):
+        return F.array(*[typed_lit(v, dtype) if not isinstance(dtype, T.StructType)
+                         else _struct_lit(v, list(dtype.fields)) for v in values])
+    payload = json.dumps([_jsonable(v, dtype) for v in values], allow_nan=True)
+    return F.from_json(F.lit(payload), T.ArrayType(dtype, True),
+                       {"timestampNTZFormat": NTZ_FORMAT, "allowNonNumericNumbers": "true"})
+
+
 def key_struct(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in order])
 
@@ -64,13 +100,37 @@ def _struct_lit(row, fields: list[T.StructField]) -> Column:
     return F.struct(*[typed_lit(row[i], f.dataType).alias(f.name) for i, f in enumerate(fields)])
 
 
-def _bucket_tree(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
-    """Buckets ``lo..hi``; bucket ``b`` holds keys in ``[bounds[b-1], bounds[b])``."""
+def _bucket_tree(keys: list[Column], bounds: list[tuple[int, Column]], lo: int, hi: int) -> Column:
+    """Buckets ``lo..hi``; bucket ``b`` holds keys in ``[bounds[b-1], bounds[b])``.
+    A bound is (m, literal): the key's first ``m`` columns compared with it."""
     if lo == hi:
         return F.lit(lo)
     mid = (lo + hi + 1) // 2
-    return F.when(key < bounds[mid - 1], _bucket_tree(key, bounds, lo, mid - 1)) \
-        .otherwise(_bucket_tree(key, bounds, mid, hi))
+    m, bound = bounds[mid - 1]
+    return F.when(keys[m - 1] < bound, _bucket_tree(keys, bounds, lo, mid - 1)) \
+        .otherwise(_bucket_tree(keys, bounds, mid, hi))
+
+
+def _shortest_prefixes(rows: list[tuple]) -> list[int]:
+    """For each sorted, distinct boundary the shortest prefix length that is
+    still greater than the previous boundary's prefix of that length.
+
+    Cutting a boundary to ``(prefix, -inf, ...)`` keeps the boundaries
+    strictly increasing, so the range partition stays valid, and most
+    comparisons touch only the leading column (small generated code even for
+    wide composite keys; a dominant leading value still gets longer prefixes
+    and is split across buckets)."""
+    out = []
+    for i, r in enumerate(rows):
+        if i == 0:
+            out.append(1)
+            continue
+        prev = rows[i - 1]
+        m = 1
+        while m < len(r) and tuple(r[:m]) == tuple(prev[:m]):
+            m += 1
+        out.append(m)
+    return out
 
 
 def choose_buckets(df: DataFrame, n_rows: int) -> int:
@@ -86,8 +146,9 @@ class GlobalOrder:
     df: DataFrame
     order: list[str]
     n_rows: int
-    bucket: Column
+    bucket: Column | None
     n_buckets: int
+    search: tuple | None = None      # (padded boundary array literal, steps) for large B
 
     @classmethod
     def build(cls, df: DataFrame, order: Sequence[str] | str | None = None,
@@ -113,23 +174,46 @@ class GlobalOrder:
                      .filter(F.col("first") & (F.col("slot") > 0))
                      .orderBy("slot")
                      .select("k"))
-        rows = [r["k"] for r in step_rows.collect()]
-        bounds = [_struct_lit(r, fields) for r in rows]
-        # drop repeated boundaries (possible only when the key is not unique)
-        uniq, seen = [], set()
-        for r, lit_ in zip(rows, bounds):
-            t = tuple(r)
-            if t not in seen:
+        rows, seen = [], set()
+        for r in step_rows.collect():
+            t = tuple(r["k"])
+            if t not in seen:           # repeated boundaries only when the key is not unique
                 seen.add(t)
-                uniq.append(lit_)
-        if not uniq:
+                rows.append(t)
+        if not rows:
             return cls(df, order, n, F.lit(0), 1)
-        tree = _bucket_tree(key, uniq, 0, len(uniq))
-        return cls(df, order, n, tree, len(uniq) + 1)
+        prefixes = _shortest_prefixes(rows)
+        if len(rows) <= MAX_TREE_BOUNDS:
+            keys = [F.struct(*[F.col(c) for c in order[:m]]) for m in range(1, len(order) + 1)]
+            bounds = [(m, _struct_lit(r[:m], fields[:m])) for r, m in zip(rows, prefixes)]
+            tree = _bucket_tree(keys, bounds, 0, len(bounds))
+            return cls(df, order, n, tree, len(bounds) + 1)
+        # many buckets: binary search over one array literal of boundary keys,
+        # each cut to its prefix and padded with nulls (smallest in key order)
+        padded = [tuple(r[:m]) + (None,) * (len(order) - m) for r, m in zip(rows, prefixes)]
+        key_type = df.select(key.alias("k")).schema["k"].dataType
+        arr = array_literal(padded, key_type)
+        steps = max(1, math.ceil(math.log2(len(rows) + 1)))
+        return cls(df, order, n, None, len(rows) + 1, (arr, steps, len(rows)))
 
     # ---- per-bucket facts -------------------------------------------------
     def with_bucket(self, df: DataFrame | None = None) -> DataFrame:
-        return (df if df is not None else self.df).withColumn(BUCKET, self.bucket)
+        d = df if df is not None else self.df
+        if self.search is None:
+            return d.withColumn(BUCKET, self.bucket)
+        # bucket = number of boundaries <= key, by an unrolled binary search:
+        # one small projection per step (log2 B steps), all inside code generation
+        arr, steps, nb = self.search
+        key = key_struct(self.order)
+        d = d.withColumn("_lo", F.lit(0)).withColumn("_hi", F.lit(nb))
+        for _ in range(steps):
+            mid = ((F.col("_lo") + F.col("_hi") + 1) / 2).cast("int")
+            below = key < F.element_at(arr, F.greatest(mid, F.lit(1)))
+            go_left = (mid > F.col("_lo")) & below
+            d = d.select("*", F.when(go_left, F.col("_lo")).otherwise(mid).alias("_lo2"),
+                         F.when(go_left, mid - 1).otherwise(F.col("_hi")).alias("_hi2")) \
+                .drop("_lo", "_hi").withColumnRenamed("_lo2", "_lo").withColumnRenamed("_hi2", "_hi")
+        return d.withColumn(BUCKET, F.col("_lo")).drop("_lo", "_hi")
 
     def bucket_counts(self, df: DataFrame | None = None, where: Column | None = None) -> list[int]:
         d = self.with_bucket(df)
@@ -146,7 +230,7 @@ class GlobalOrder:
         """Every row with its 0-based position in the total order."""
         counts = counts if counts is not None else self.bucket_counts()
         offsets = _prefix(counts)
-        offs = F.array(*[F.lit(o).cast("bigint") for o in offsets])
+        offs = array_literal(offsets, T.LongType())
         d = self.with_bucket()
         return (d.withColumn(name, F.element_at(offs, F.col(BUCKET) + 1)
                              + F.row_number().over(self.local_window()) - 1)
@@ -166,7 +250,7 @@ class GlobalOrder:
         if not wanted:
             return self.df.withColumn(name, F.lit(None).cast("bigint")).limit(0)
         d = self.with_bucket().filter(F.col(BUCKET).isin(list(wanted)))
-        offs = F.array(*[F.lit(o).cast("bigint") for o in offsets])
+        offs = array_literal(offsets, T.LongType())
         pos = F.element_at(offs, F.col(BUCKET) + 1) + F.row_number().over(self.local_window()) - 1
         flat = [p for ps in wanted.values() for p in ps]
         return d.withColumn(name, pos).filter(F.col(name).isin(flat)).drop(BUCKET)
@@ -223,7 +307,7 @@ def forward_fill(df: DataFrame, cols: Sequence[str], order: Sequence[str] | str
             r = per_bucket.get(b)
             if r is not None and r[f"_last{i}"] is not None:
                 carry = r[f"_last{i}"]
-        arr = F.array(*[typed_lit(v, dtype) for v in carried])
+        arr = array_literal(carried, dtype)
         filled = F.coalesce(F.last(F.col(c), ignorenulls=True).over(w), F.element_at(arr, F.col(BUCKET) + 1))
         if then is not None:
             filled = F.coalesce(filled, F.lit(then).cast(dtype))

@@ -203,7 +203,7 @@ def describe_all(df: DataFrame, order: Sequence[str] | str | None = None, exact:
                "mean": 0.0, "std": 0.0, "min": 0.0, "p25": 0.0, "p50": 0.0, "p75": 0.0, "max": 0.0}
         if c in cc.numeric_wide and n > 0:
             if exact:
-                qv = exact_quantiles(df, c, [0.25, 0.5, 0.75], order, n_rows=n)
+                qv = exact_quantiles(df, c, [0.25, 0.5, 0.75], order)
             else:
                 qv = row[f"q{i}"]
             rec.update(mean=row[f"m{i}"], std=row[f"s{i}"] if row[f"s{i}"] is not None else 0.0,

@@ -67,3 +67,27 @@ def test_global_window_reference_agrees(spark):
     a = go.global_index().select("_row_id", "_idx")
     b = df.select("_row_id", (F.row_number().over(Window.orderBy("_row_id")) - 1).alias("_idx"))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+@settings(max_examples=12, deadline=None)
+@given(rows=rows_strategy, buckets=st.integers(2, 12), parts=st.sampled_from([1, 3]))
+def test_array_search_buckets_equal_window(spark, rows, buckets, parts):
+    """Past MAX_TREE_BOUNDS boundaries the bucket is found by a binary search
+    over one array literal; force that path on small data."""
+    from tablelens.operators import order as O
+    saved = O.MAX_TREE_BOUNDS
+    O.MAX_TREE_BOUNDS = 0
+    try:
+        df = _frame(spark, rows, parts)
+        go = GlobalOrder.build(df, ["k", "_row_id"], buckets=buckets)
+        got = {r["_row_id"]: r["_idx"] for r in go.global_index().collect()}
+        ff = {r["_row_id"]: r["v"] for r in forward_fill(df, ["v"], ["k", "_row_id"], go=go).collect()}
+    finally:
+        O.MAX_TREE_BOUNDS = saved
+    want = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, i))
+    assert got == {rid: pos for pos, rid in enumerate(want)}
+    last, want_ff = None, {}
+    for i in want:
+        last = rows[i][1] if rows[i][1] is not None else last
+        want_ff[i] = last
+    assert ff == want_ff
