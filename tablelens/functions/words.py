@@ -89,3 +89,60 @@ RECOMMENDATION_DEFAULTS = {"title": "Untitled Recommendation", "description": "N
 # FIXED VALUES — the text that stands in for a missing text cell (C2), and for an empty document.
 EMPTY_TEXT = "(empty)"
 EMPTY_DOCUMENT = "(empty document)"
+
+# FIXED VALUES — insight rows (I1), trend text (W2), summary sentence (I2) and
+# recommendations (I3); ``{…}`` marks where computed values go.
+INSIGHT_OVERVIEW = ("{domain} Data Analysis",
+                    "Dataset covers {rows} records with {cols} data fields. "
+                    "{numeric} numeric and {text} categorical columns detected.",
+                    "info", "Overview")
+INSIGHT_QUALITY_ISSUE = ("Data Quality Issue",
+                         "{pct}% missing values detected. This can skew analysis results and needs attention.",
+                         "warning", "Data Quality")
+INSIGHT_QUALITY_GOOD = ("Good Data Completeness",
+                        "Only {pct}% missing values. Data quality is solid for analysis.",
+                        "success", "Data Quality")
+INSIGHT_DISTRIBUTION = ("{col} Distribution",
+                        "Found {unique} unique values in '{col}'. Most common: '{top}'. "
+                        "This distribution reveals the primary segments in your business.",
+                        "info", "Segmentation")
+INSIGHT_GROWTH = ("Growth in {col}", "{col} changed by {pct}% from first to second half of data.", "success", "Trend")
+INSIGHT_DECLINE = ("Decline in {col}", "{col} changed by {pct}% from first to second half of data.", "warning", "Trend")
+NO_TOP_VALUE = "N/A"
+QUALITY_LIMIT = 10
+TREND_LIMIT = 5
+TREND_TEXT = "{col} {label} by {pct}% across the dataset."
+TREND_LABELS = {"up": "increased", "down": "decreased", "stable": "remained stable"}
+SUMMARY_FIRST = "This {domain} dataset contains {rows} records across {cols} fields."
+SUMMARY_NUMERIC = "Numeric fields: {names}."
+SUMMARY_TEXT = "Categorical fields: {names}."
+SUMMARY_MONEY = "Key financial metric: {name} = {value}."
+RECOMMENDATIONS = [
+    ("Upload More Data",
+     "Provide larger datasets with more historical records for deeper trend analysis and more accurate forecasting.",
+     "high", "Significantly better insights quality"),
+    ("Use Structured Data Files",
+     "For best results, upload Excel or CSV files with clear column headers. "
+     "This allows the system to calculate precise KPIs.",
+     "medium", "More accurate analysis"),
+    ("Regular Monitoring",
+     "Upload updated {domain} data periodically to track changes and catch issues early.",
+     "medium", "Proactive decision-making"),
+]
+
+# FIXED VALUES — why a question has no analysis (J2), in the order they are tested.
+ERR_ANALYSIS_NOT_FOUND = "Analysis not found"
+ERR_CONTEXT_REQUIRED = "Analysis context is required"
+ERR_UPLOAD_NOT_FOUND = "Upload not found"
+ERR_NO_ANALYSIS = "No analysis found for selected upload"
+ERR_NOT_COMPLETED = "Analysis not yet completed"
+
+# FIXED VALUES — chat-context section heads (Q2) and the correction line.
+CONTEXT_TYPE = "Business Type: "
+CONTEXT_SUMMARY = "Summary: "
+CONTEXT_KPIS = "\nKPIs:"
+CONTEXT_INSIGHTS = "\nInsights:"
+CONTEXT_RECOMMENDATIONS = "\nRecommendations:"
+CONTEXT_STATS = "\nColumn Statistics:"
+CONTEXT_SAMPLE = "\nSample Data (first {n} rows):"
+CORRECTION_LINE = "{column} — {action} ({rows} rows)"

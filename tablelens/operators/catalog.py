@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import words as W
 from ..functions.text import contains_any, py_value_text, short_hash, underscores_to_blanks
 from ..functions.words import (HELP_TAIL, INSIGHT_DEFAULTS, INSIGHT_HEADER, KPI_HEADER, NO_INSIGHT, NO_KPI,
                                NO_RECOMMEND, NO_SUMMARY, QUESTION_INSIGHT_WORDS, QUESTION_KPI_WORDS,
@@ -113,9 +114,9 @@ def explode_recommendations(analyses: DataFrame, uploads: DataFrame) -> DataFram
 
 def correction_lines(report: DataFrame) -> DataFrame:
     """``column — action with blanks (n rows)`` per report line."""
-    return report.withColumn("line", F.concat(
-        F.col("column"), F.lit(" — "), underscores_to_blanks("action"),
-        F.lit(" ("), F.col("affected_rows").cast("string"), F.lit(" rows)")))
+    pattern = W.CORRECTION_LINE.replace("{column}", "%s").replace("{action}", "%s").replace("{rows}", "%s")
+    return report.withColumn("line", F.format_string(pattern, F.col("column"), underscores_to_blanks("action"),
+                                                     F.col("affected_rows").cast("string")))
 
 
 # ---------------------------------------------------------------------------
@@ -178,11 +179,11 @@ def resolve_analyses(questions: DataFrame, analyses: DataFrame, uploads: DataFra
     else:
         upload_ok = F.lit(True)
     pick = {c: F.when(has_aid, F.col(f"_a_{c}")).otherwise(F.col(f"_u_{c}")) for c in rec_cols}
-    error = (F.when(has_aid & F.col("_a_id").isNull(), F.lit("Analysis not found"))
-             .when(~has_aid & ~has_uid, F.lit("Analysis context is required"))
-             .when(~has_aid & ~upload_ok, F.lit("Upload not found"))
-             .when(~has_aid & F.col("_u_id").isNull(), F.lit("No analysis found for selected upload"))
-             .when(pick["status"] != "completed", F.lit("Analysis not yet completed")))
+    error = (F.when(has_aid & F.col("_a_id").isNull(), F.lit(W.ERR_ANALYSIS_NOT_FOUND))
+             .when(~has_aid & ~has_uid, F.lit(W.ERR_CONTEXT_REQUIRED))
+             .when(~has_aid & ~upload_ok, F.lit(W.ERR_UPLOAD_NOT_FOUND))
+             .when(~has_aid & F.col("_u_id").isNull(), F.lit(W.ERR_NO_ANALYSIS))
+             .when(pick["status"] != "completed", F.lit(W.ERR_NOT_COMPLETED)))
     out = q.select(*questions.columns, *[v.alias(f"a_{k}") for k, v in pick.items()], error.alias("error"))
     return out
 
@@ -241,14 +242,16 @@ def chat_context(analyses: DataFrame, stats_chars: int = 3000, sample_rows: int
     rec = F.col("recommendations")
     pv = F.col("raw_data_preview")
     parts = [
-        F.concat(F.lit("Business Type: "), s("business_type")),
-        F.concat(F.lit("Summary: "), s("summary")),
-        opt(F.size(kp) > 0, F.concat(F.lit("\nKPIs:\n"), F.array_join(F.transform(kp, _kpi_line), "\n"))),
-        opt(F.size(ins) > 0, F.concat(F.lit("\nInsights:\n"), F.array_join(F.transform(ins, _insight_line), "\n"))),
-        opt(F.size(rec) > 0, F.concat(F.lit("\nRecommendations:\n"), F.array_join(F.transform(rec, _rec_line), "\n"))),
+        F.concat(F.lit(W.CONTEXT_TYPE), s("business_type")),
+        F.concat(F.lit(W.CONTEXT_SUMMARY), s("summary")),
+        opt(F.size(kp) > 0, F.concat(F.lit(W.CONTEXT_KPIS + "\n"), F.array_join(F.transform(kp, _kpi_line), "\n"))),
+        opt(F.size(ins) > 0, F.concat(F.lit(W.CONTEXT_INSIGHTS + "\n"),
+                                      F.array_join(F.transform(ins, _insight_line), "\n"))),
+        opt(F.size(rec) > 0, F.concat(F.lit(W.CONTEXT_RECOMMENDATIONS + "\n"),
+                                      F.array_join(F.transform(rec, _rec_line), "\n"))),
         opt(F.coalesce(F.length("column_stats"), F.lit(0)) > 0,
-            F.concat(F.lit("\nColumn Statistics:\n"), F.substring("column_stats", 1, stats_chars))),
-        opt(F.size(pv) > 0, F.concat(F.lit(f"\nSample Data (first {sample_rows} rows):\n"),
+            F.concat(F.lit(W.CONTEXT_STATS + "\n"), F.substring("column_stats", 1, stats_chars))),
+        opt(F.size(pv) > 0, F.concat(F.lit(W.CONTEXT_SAMPLE.format(n=sample_rows) + "\n"),
                                      F.array_join(F.transform(F.slice(pv, 1, sample_rows),
                                                               lambda r: F.concat(F.lit("  "), r)), "\n"))),
     ]
