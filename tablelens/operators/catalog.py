@@ -12,7 +12,6 @@ Uploads: ``id, filename, original_name, file_type, file_size, status, created_at
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -266,7 +265,3 @@ def completed(analyses: DataFrame) -> DataFrame:
 def for_upload(analyses: DataFrame, upload_id: str) -> DataFrame:
     """Analyses of one upload."""
     return analyses.filter(F.col("upload_id") == upload_id)
-
-
-def with_columns_of(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    return df.select(*[c for c in names if c in df.columns])

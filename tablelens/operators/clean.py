@@ -148,9 +148,6 @@ def drop_duplicate_rows(df: DataFrame, order: Sequence[str] | str | None = None)
     return grouped.select(*data, *[F.col(f"_first.{c}").alias(c) for c in hidden]).select(*df.columns)
 
 
-def duplicate_count(df: DataFrame, deduped: DataFrame) -> int:
-    return df.count() - deduped.count()
-
 
 # ---------------------------------------------------------------------------
 # A2

@@ -16,9 +16,6 @@ from .profile import distinct_counts
 KPI_ITEM = "struct<name:string,value:double,type:string,icon:string,description:string>"
 
 
-def _py(v):
-    return v
-
 
 def prompt_context(df: DataFrame, order: Sequence[str] | str | None = None) -> DataFrame:
     """The context lines of a table (line_no, text): ``DATASET``,

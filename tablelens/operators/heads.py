@@ -10,19 +10,6 @@ from pyspark.sql import functions as F
 from .order import default_order
 
 
-def _q(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def unpivot_text(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """(keep..., column, position, value STRING) — one row per cell of ``cols``."""
-    cols = list(cols)
-    parts = ", ".join(f"{i}L, '{c.replace(chr(39), chr(92) + chr(39))}', CAST({_q(c)} AS STRING)"
-                      for i, c in enumerate(cols))
-    stack = f"stack({len(cols)}, {parts}) AS (position, column, value)"
-    return df.selectExpr(*[_q(k) for k in keep], stack)
-
-
 def head_values(df: DataFrame, cols: Sequence[str], order: Sequence[str] | str | None = None,
                 k: int = 50) -> DataFrame:
     """H1: the first ``k`` non-null values of every column in ``cols``, in

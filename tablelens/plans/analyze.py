@@ -23,14 +23,13 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.types import column_classes
 from ..operators.charts import Chart, chart_index, charts
 from ..operators.clean import Cleaned, clean_table
 from ..operators.domain import domain_of
 from ..operators.explore import filter_date_range, preview
-from ..operators.insights import (half_trend, insights, recommendation_rows, recommendations, summary_text)
+from ..operators.insights import half_trend, insights, recommendations, summary_text
 from ..operators.kpi import kpis
 from ..operators.order import GlobalOrder, default_order
 from ..operators.profile import column_statistics, table_facts
@@ -126,10 +125,3 @@ def analyze_range(df: DataFrame, stored: dict, start: str | None, end: str | Non
     out["table"] = sub
     return out
 
-
-def recommendation_list(domain: str) -> list[tuple]:
-    return recommendation_rows(domain)
-
-
-def with_status(records: DataFrame, status: str) -> DataFrame:
-    return records.withColumn("status", F.lit(status))

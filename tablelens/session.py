@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,7 +50,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (reliable, survives
-    executor loss) and return a DataFrame that reads it back."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    return a DataFrame that reads it back.
+
+    This cuts the lineage like ``checkpoint()`` (a lost executor re-reads the
+    files instead of recomputing the plan) but computes the plan only once
+    (an eager RDD checkpoint of an uncached plan runs it twice) and the later
+    passes get Parquet column pruning and filter pushdown."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tablelens-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
