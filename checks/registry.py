@@ -814,14 +814,14 @@ def q_match_uploads(spark, d):
 
 @query("value_format", f"""
 SELECT doc_id, CASE WHEN {S.contains_any("regexp_replace(lower(text), '\\s+', '_', 'g')", CURRENCY_WORDS)}
-                      OR COALESCE(list_bool_or(list_transform(string_split(text, ' '),
+                      OR COALESCE(list_bool_or(list_transform([source, lang],
                            lambda x: {S.contains_any("regexp_replace(lower(x), '\\s+', '_', 'g')", CURRENCY_WORDS)})), false)
                     THEN 'currency' ELSE 'number' END AS value_format
 FROM documents""")
 def q_value_format(spark, d):
-    """G2 over whole texts: each document is a chart title, its words the series names."""
+    """Each whole document is a chart title, its source and language the series names."""
     doc = fx.read(spark, d, "documents")
-    return doc.select("doc_id", tl.value_format(F.col("text"), F.split(F.col("text"), " ")).alias("value_format"))
+    return doc.select("doc_id", tl.value_format(F.col("text"), F.array("source", "lang")).alias("value_format"))
 
 
 @query("lenient_number", """
