@@ -75,7 +75,7 @@ class Analysis:
         prev = [json.dumps({c: r[c] for c in cols}, default=str, ensure_ascii=False)
                 for r in self.preview.collect()]
         row = (analysis_id, upload_id, "completed", self.business_type, self.summary, ins, recs, kp, tr, corr,
-               json.dumps(stats, default=str), prev, created, now)
+               json.dumps(stats, indent=2, default=str), prev, created, now)
         return spark.createDataFrame([row], ANALYSIS_SCHEMA)
 
 
