@@ -92,6 +92,19 @@ def array_literal(values: Sequence, dtype: T.DataType) -> Column:
                        {"timestampNTZFormat": NTZ_FORMAT, "allowNonNumericNumbers": "true"})
 
 
+FIXED_WIDTH = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
+               T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+
+
+def ordering_key(df: DataFrame, order: Sequence[str]) -> Column:
+    """The order key as an aggregate ordering: the bare column when it is one
+    fixed-width column (``max_by`` then runs as a hash aggregate), else a struct
+    (Spark plans a sort-based partial aggregate)."""
+    if len(order) == 1 and isinstance(df.schema[order[0]].dataType, FIXED_WIDTH):
+        return F.col(order[0])
+    return key_struct(order)
+
+
 def key_struct(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in order])
 
@@ -290,7 +303,7 @@ def forward_fill(df: DataFrame, cols: Sequence[str], order: Sequence[str] | str
     if not cols:
         return df
     go = go or GlobalOrder.build(df, order)
-    key = key_struct(go.order)
+    key = ordering_key(df, go.order)
     d = go.with_bucket(df)
     # last non-null value of each column inside each bucket (B rows)
     aggs = [F.count(F.lit(1)).alias("_n")]
