@@ -300,3 +300,36 @@ def test_write_report(spark, tmp_path):
     assert [w.rsplit("/", 1)[1] for w in written] == ["Preview", "Stats", "KPIs", "Insights"]
     back = spark.read.option("header", True).csv(written[2])
     assert back.count() == a.kpis.count()
+
+
+@pytest.mark.parametrize("n", [0, 1, 9])
+def test_analyze_small_and_empty_tables(spark, n):
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").orderBy("o_orderkey").limit(n)
+    o = spark.createDataFrame(o.collect(), o.schema)
+    a = tl.analyze(o, "o_orderkey", persist=False)
+    rec = a.record("x", "u").first()
+    kp = {k["name"]: k["value"] for k in rec["kpis"]}
+    assert kp["Total Records"] == n and kp["Data Fields"] == 6
+    if n == 0:
+        assert "Total o_totalprice" not in kp                      # numeric KPIs absent
+        assert all(c.data.count() == 0 for c in a.charts if c.type == "bar" and c.x_key == "range")
+    if n == 1:
+        assert a.column_stats.filter("column = 'o_totalprice'").first()["std"] is None
+    assert len(rec["raw_data_preview"]) == n
+
+
+def test_range_with_no_rows(spark):
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    out = tl.analyze_range(o, {"summary": "kept"}, "2100-01-01", None, order="o_orderkey", persist=False)
+    kp = {r["name"]: r["value"] for r in out["kpis"].collect()}
+    assert kp == {"Total Records": 0.0, "Data Fields": 6.0, "Unique o_orderstatus": 0.0,
+                  "Unique o_orderpriority": 0.0}
+    assert out["summary"] == "kept"
+    assert tl.analyze_range(o, {"summary": "kept"}, None, None, order="o_orderkey") == {"summary": "kept"}
+
+
+def test_constant_column_histogram_and_anomalies(spark):
+    df = spark.createDataFrame([(i, 5.0) for i in range(12)], "_row_id long, x double")
+    assert tl.anomaly_report(df).count() == 0                      # zero deviation: skipped
+    h = sorted(tl.histogram(df, "x").collect())
+    assert [r["count"] for r in h] == [12, 0, 0] and [r["range"] for r in h] == ["5-6", "6-7", "7-8"]
