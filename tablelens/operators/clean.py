@@ -90,7 +90,12 @@ def fill_missing(df: DataFrame, order: Sequence[str] | str | None = None,
     other types are left alone. Returns the table and report lines."""
     order = default_order(df, order)
     cc = column_classes(df)
-    nulls = nulls if nulls is not None else null_counts(df, cc.columns)
+    n_rows = None
+    if nulls is None:
+        row = df.agg(F.count(F.lit(1)).alias("_rows"),
+                     *[F.count_if(F.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(cc.columns)]).first()
+        n_rows = int(row["_rows"])
+        nulls = {c: int(row[f"n{i}"]) for i, c in enumerate(cc.columns)}
     report, ffill, text_fill = [], [], []
     for c in cc.columns:
         n = nulls.get(c, 0)
@@ -106,6 +111,7 @@ def fill_missing(df: DataFrame, order: Sequence[str] | str | None = None,
     if text_fill:
         out = out.withColumns({c: F.coalesce(F.col(c), F.lit(EMPTY_TEXT)) for c in text_fill})
     if ffill:
+        go = go or GlobalOrder.build(df, order, n_rows=n_rows)
         out = forward_fill(out, ffill, order, then=0, go=go)
     return out, report
 
