@@ -943,7 +943,15 @@ def q_prompt_context(spark, d):
     return tl.prompt_context(fx.read(spark, d, "orders"), "o_orderkey")
 
 
-@query("parse_responses")
+@query("parse_responses", """
+SELECT event_id AS id,
+       CASE event_id % 5 WHEN 0 THEN 'kpis' WHEN 1 THEN 'array' WHEN 2 THEN 'kpis' WHEN 3 THEN 'object' ELSE 'fallback' END AS kind,
+       CAST(CASE WHEN event_id % 5 IN (0, 1, 2) THEN 1 END AS INTEGER) AS n_kpis,
+       CASE WHEN event_id % 5 IN (0, 2) THEN event_type WHEN event_id % 5 = 1 THEN 'x' END AS kpi_name,
+       CASE WHEN event_id % 5 IN (0, 2) THEN CAST(value AS DOUBLE) WHEN event_id % 5 = 1 THEN CAST(user_id AS DOUBLE) END
+         AS kpi_value,
+       CAST(NULL AS VARCHAR) AS business_type, CAST(NULL AS VARCHAR) AS summary
+FROM events""")
 def q_parse_responses(spark, d):
     e = fx.read(spark, d, "events")
     k = F.col("event_id") % 5
@@ -954,10 +962,27 @@ def q_parse_responses(spark, d):
             .when(k == 2, F.concat(F.lit("```json\n"), kpi, F.lit("\n```")))
             .when(k == 3, F.col("props"))
             .otherwise(F.concat(F.lit("no json "), F.col("event_type"))))
-    return tl.parse_responses(e.select(F.col("event_id").alias("id"), text.alias("text")))
+    out = tl.parse_responses(e.select(F.col("event_id").alias("id"), text.alias("text")))
+    # flat columns: the number of KPIs read and the first one
+    return out.select("id", "kind", F.when(F.col("kpis").isNotNull(), F.size("kpis")).alias("n_kpis"),
+                      F.col("kpis")[0]["name"].alias("kpi_name"), F.col("kpis")[0]["value"].alias("kpi_value"),
+                      "business_type", "summary")
 
 
-@query("chat_context")
+@query("chat_context", f"""
+WITH {S.ANALYSES},
+a AS (SELECT *, insights[1].description AS column_stats,
+             [json_object('id', id, 'status', status)::VARCHAR] AS raw_data_preview FROM an)
+SELECT id, concat_ws(chr(10),
+    'Business Type: ' || COALESCE(business_type, 'None'),
+    'Summary: ' || COALESCE(summary, 'None'),
+    CASE WHEN len(kpis) > 0 THEN chr(10) || 'KPIs:' || chr(10) || {_lines('kpis', "'  - ' || COALESCE(x.name, '') || ': ' || COALESCE(" + S.value_text('x.value', 'x.type') + ", '')")} END,
+    CASE WHEN len(insights) > 0 THEN chr(10) || 'Insights:' || chr(10) || {_lines('insights', "'  - ' || COALESCE(x.title, '') || ': ' || COALESCE(x.description, '')")} END,
+    CASE WHEN len(recommendations) > 0 THEN chr(10) || 'Recommendations:' || chr(10) || {_lines('recommendations', "'  - [' || COALESCE(x.priority, '') || '] ' || COALESCE(x.title, '') || ': ' || COALESCE(x.description, '')")} END,
+    CASE WHEN COALESCE(length(column_stats), 0) > 0 THEN chr(10) || 'Column Statistics:' || chr(10) || substr(column_stats, 1, 3000) END,
+    CASE WHEN len(raw_data_preview) > 0 THEN chr(10) || 'Sample Data (first 10 rows):' || chr(10) || {_lines('raw_data_preview[1:10]', "'  ' || x")} END
+  ) AS context
+FROM a""")
 def q_chat_context(spark, d):
     a = fx.analyses(spark, d).withColumn("column_stats", F.col("insights")[0]["description"]) \
         .withColumn("raw_data_preview", F.array(F.to_json(F.struct("id", "status"))))
@@ -966,15 +991,16 @@ def q_chat_context(spark, d):
 
 @query("charts", """
 SELECT CAST(0 AS BIGINT) AS chart_no, 'line' AS type, 'Trend over o_orderdate' AS title, 'date' AS x_key,
-       ['o_orderkey', 'o_custkey', 'o_totalprice'] AS data_keys, CAST(NULL AS VARCHAR) AS name_key, 'currency' AS value_format
-UNION ALL SELECT 1, 'bar', 'Numeric Column Summary', 'name', ['total', 'average'], NULL, 'currency'
-UNION ALL SELECT 2, 'pie', 'o_orderkey by o_orderstatus', 'name', ['value'], 'name',
+       'o_orderkey,o_custkey,o_totalprice' AS data_keys, CAST(NULL AS VARCHAR) AS name_key, 'currency' AS value_format
+UNION ALL SELECT 1, 'bar', 'Numeric Column Summary', 'name', 'total,average', NULL, 'currency'
+UNION ALL SELECT 2, 'pie', 'o_orderkey by o_orderstatus', 'name', 'value', 'name',
        CASE WHEN (contains('o_orderkey_by_o_orderstatus', 'revenue') OR contains('value', 'revenue') OR contains('o_orderkey_by_o_orderstatus', 'sales') OR contains('value', 'sales') OR contains('o_orderkey_by_o_orderstatus', 'amount') OR contains('value', 'amount') OR contains('o_orderkey_by_o_orderstatus', 'income') OR contains('value', 'income') OR contains('o_orderkey_by_o_orderstatus', 'profit') OR contains('value', 'profit') OR contains('o_orderkey_by_o_orderstatus', 'expense') OR contains('value', 'expense') OR contains('o_orderkey_by_o_orderstatus', 'cost') OR contains('value', 'cost') OR contains('o_orderkey_by_o_orderstatus', 'price') OR contains('value', 'price') OR contains('o_orderkey_by_o_orderstatus', 'harga') OR contains('value', 'harga') OR contains('o_orderkey_by_o_orderstatus', 'pendapatan') OR contains('value', 'pendapatan') OR contains('o_orderkey_by_o_orderstatus', 'omzet') OR contains('value', 'omzet') OR contains('o_orderkey_by_o_orderstatus', 'total') OR contains('value', 'total') OR contains('o_orderkey_by_o_orderstatus', 'subtotal') OR contains('value', 'subtotal') OR contains('o_orderkey_by_o_orderstatus', 'gaji') OR contains('value', 'gaji') OR contains('o_orderkey_by_o_orderstatus', 'salary') OR contains('value', 'salary') OR contains('o_orderkey_by_o_orderstatus', 'budget') OR contains('value', 'budget') OR contains('o_orderkey_by_o_orderstatus', 'payment') OR contains('value', 'payment') OR contains('o_orderkey_by_o_orderstatus', 'cash') OR contains('value', 'cash') OR contains('o_orderkey_by_o_orderstatus', 'id_r') OR contains('value', 'id_r') OR contains('o_orderkey_by_o_orderstatus', 'idr') OR contains('value', 'idr') OR contains('o_orderkey_by_o_orderstatus', 'rupiah') OR contains('value', 'rupiah')) THEN 'currency' ELSE 'number' END
-UNION ALL SELECT 3, 'bar', 'o_orderkey Distribution', 'range', ['count'], NULL, 'number'
+UNION ALL SELECT 3, 'bar', 'o_orderkey Distribution', 'range', 'count', NULL, 'number'
 """)
 def q_charts(spark, d):
     o = fx.read(spark, d, "orders")
-    return tl.chart_index(spark, tl.charts(o, "o_orderkey"))
+    idx = tl.chart_index(spark, tl.charts(o, "o_orderkey"))
+    return idx.withColumn("data_keys", F.concat_ws(",", "data_keys"))
 
 
 @query("recommendations", _domain_sql("orders", *DOMAIN_TABLES["orders"][:2], "o_orderkey") + f""",
