@@ -1030,7 +1030,60 @@ def q_column_classes(spark, d):
     return tl.column_classes_table(fx.read(spark, d, "lineitem"))
 
 
-@query("analyze")
+def _analyze_sql() -> str:
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    domain = _domain_sql("dd", cols, ["o_orderstatus", "o_orderpriority"], "o_orderkey").replace("WITH pool", "pool", 1)
+    trend = _half_trend_ctes("dd", ["o_orderkey", "o_custkey", "o_totalprice"], "o_orderkey")
+    top = "(SELECT {c} FROM dd GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
+    return CLEAN_SQL + f""",
+{domain},
+dom AS (SELECT CASE WHEN score >= 2 THEN domain ELSE '{GENERAL_DOMAIN}' END AS d
+        FROM (SELECT * FROM sc ORDER BY score DESC, pos LIMIT 1)),
+{trend},
+ins AS (
+  SELECT 0 AS slot, (SELECT d FROM dom) || ' Data Analysis' AS title
+  UNION ALL SELECT 1, 'Good Data Completeness'
+  UNION ALL SELECT 2, 'o_orderstatus Distribution'
+  UNION ALL SELECT 3, 'o_orderpriority Distribution'
+  UNION ALL SELECT 4 + position, CASE WHEN direction = 'up' THEN 'Growth' ELSE 'Decline' END || ' in ' || "column"
+            FROM tr WHERE direction <> 'stable'),
+ins6 AS (SELECT * FROM ins ORDER BY slot LIMIT 6),
+corr AS (SELECT slot, "column" || '|' || action || '|' || CAST(affected_rows AS VARCHAR) AS line
+         FROM rep WHERE affected_rows > 0)
+SELECT 'orders-analysis' AS id, 'completed' AS status, (SELECT d FROM dom) AS business_type,
+       'This ' || (SELECT d FROM dom) || ' dataset contains ' || (SELECT count(*) FROM dd) || ' records across 6 fields. '
+         || 'Numeric fields: o_orderkey, o_custkey, o_totalprice. Categorical fields: o_orderstatus, o_orderpriority. '
+         || 'Key financial metric: Total o_totalprice = '
+         || format('{{:,.2f}}', {S.py_round('(SELECT sum(o_totalprice) FROM dd)', 2)}) || '.' AS summary,
+       'Total Records|Data Fields|Total o_orderkey|Total o_custkey|Total o_totalprice|Avg o_totalprice|'
+         || 'Unique o_orderstatus|Unique o_orderpriority' AS kpi_names,
+       (SELECT string_agg(title, '|' ORDER BY slot) FROM ins6) AS insight_titles,
+       (SELECT string_agg(line, ';' ORDER BY slot) FROM corr) AS corrections,
+       (SELECT count(*) FROM tr) AS n_trends,
+       'Most common: ''' || {top.format(c='o_orderstatus')} || '''' AS status_top,
+       CAST(50 AS INTEGER) AS n_preview"""
+
+
+SQL["analyze"] = _analyze_sql()
+
+
+def _flat_record(rec: DataFrame) -> DataFrame:
+    """The record's fields as flat columns (names and titles joined in order)."""
+    return rec.select(
+        "id", "status", "business_type", "summary",
+        F.array_join(F.transform("kpis", lambda k: k["name"]), "|").alias("kpi_names"),
+        F.array_join(F.transform("insights", lambda i: i["title"]), "|").alias("insight_titles"),
+        F.array_join(F.transform("data_corrections", lambda c: F.concat_ws(
+            "|", c["column"], c["action"], c["affected_rows"].cast("string"))), ";").alias("corrections"),
+        F.size("trends").cast("bigint").alias("n_trends"),
+        F.regexp_extract(F.col("insights")[2]["description"], r"(Most common: '[^']*')", 1).alias("status_top"),
+        F.size("raw_data_preview").alias("n_preview"))
+
+
 def q_analyze(spark, d):
+    """B1 on the messy orders table: the stored record, flattened."""
     a = tl.analyze(fx.orders_messy(spark, d), ["o_orderkey", "_copy"])
-    return a.record("orders-analysis", "orders")
+    return _flat_record(a.record("orders-analysis", "orders"))
+
+
+Q["analyze"] = q_analyze
