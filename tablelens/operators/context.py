@@ -82,17 +82,19 @@ def parse_responses(responses: DataFrame, text_col: str = "text") -> DataFrame:
     bare list), ``object`` (any other JSON object), ``fallback`` (no JSON:
     the rule-based result is used)."""
     clean = responses.withColumn("_clean", strip_fences(text_col))
-    is_obj = F.json_object_keys("_clean").isNotNull()
-    arr_len = F.json_array_length("_clean")
-    keys = F.json_object_keys("_clean")
+    first = F.substring(F.col("_clean"), 1, 1)
+    # parse only the shape the first character announces (CASE branches are lazy)
+    keys = F.when(first == "{", F.json_object_keys("_clean"))
+    is_obj = keys.isNotNull()
+    arr_len = F.when(first == "[", F.json_array_length("_clean"))
     obj = F.from_json("_clean", f"struct<kpis:array<{KPI_ITEM}>,business_type:string,summary:string>")
     arr = F.from_json("_clean", f"array<{KPI_ITEM}>")
     kind = (F.when(is_obj & F.array_contains(keys, "kpis"), F.lit("kpis"))
             .when(F.coalesce(arr_len, F.lit(0)) > 0, F.lit("array"))
             .when(is_obj, F.lit("object"))
             .otherwise(F.lit("fallback")))
-    return clean.select(
-        "id", kind.alias("kind"),
-        F.when(kind == "kpis", obj["kpis"]).when(kind == "array", arr).alias("kpis"),
-        F.when(is_obj, obj["business_type"]).alias("business_type"),
-        F.when(is_obj, obj["summary"]).alias("summary"))
+    return (clean.withColumn("kind", kind)
+            .select("id", "kind",
+                    F.when(F.col("kind") == "kpis", obj["kpis"]).when(F.col("kind") == "array", arr).alias("kpis"),
+                    F.when(F.col("kind").isin("kpis", "object"), obj["business_type"]).alias("business_type"),
+                    F.when(F.col("kind").isin("kpis", "object"), obj["summary"]).alias("summary")))
