@@ -27,6 +27,9 @@ def n_unique_expr(c: str, approx: bool = False) -> Column:
     return (distinct + F.max(F.col(c).isNull().cast("int"))).cast("bigint")
 
 
+DISTINCT_BATCH = 8
+
+
 def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False) -> dict[str, int]:
     """Non-null distinct values per column, in one aggregate that holds only
     distinct counts (exact: one expansion per column; ``approx``: HyperLogLog++
@@ -34,9 +37,17 @@ def distinct_counts(df: DataFrame, cols: Sequence[str], approx: bool = False) ->
     cols = list(cols)
     if not cols:
         return {}
-    f = F.approx_count_distinct if approx else F.count_distinct
-    row = df.agg(*[f(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    return {c: int(row[f"d{i}"]) for i, c in enumerate(cols)}
+    if approx:
+        row = df.agg(*[F.approx_count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+        return {c: int(row[f"d{i}"]) for i, c in enumerate(cols)}
+    # exact: at most DISTINCT_BATCH columns per aggregate, so a wide table never
+    # expands every row hundreds of times in one stage
+    out: dict[str, int] = {}
+    for start in range(0, len(cols), DISTINCT_BATCH):
+        part = cols[start:start + DISTINCT_BATCH]
+        row = df.agg(*[F.count_distinct(F.col(c)).alias(f"d{i}") for i, c in enumerate(part)]).first()
+        out.update({c: int(row[f"d{i}"]) for i, c in enumerate(part)})
+    return out
 
 
 def n_unique(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
