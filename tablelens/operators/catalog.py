@@ -40,9 +40,11 @@ def latest_analyses(analyses: DataFrame, key: str = "upload_id", ts: str = "crea
     return analyses.groupBy(key).agg(newest).select("_r.*")
 
 
-def recent(df: DataFrame, n: int = 50, ts: str = "created_at", tie: str = "id") -> DataFrame:
-    """The ``n`` newest records (a top-k)."""
-    return df.orderBy(F.col(ts).desc(), F.col(tie).desc()).limit(n)
+def recent(df: DataFrame, n: int = 50, ts: str = "created_at", tie: str = "id", offset: int = 0) -> DataFrame:
+    """The ``n`` newest records after skipping ``offset`` (a top-k;
+    the application's offset/limit had no order, newest first is added)."""
+    ordered = df.orderBy(F.col(ts).desc(), F.col(tie).desc())
+    return ordered.offset(offset).limit(n) if offset else ordered.limit(n)
 
 
 # ---------------------------------------------------------------------------

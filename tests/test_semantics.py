@@ -333,3 +333,8 @@ def test_constant_column_histogram_and_anomalies(spark):
     assert tl.anomaly_report(df).count() == 0                      # zero deviation: skipped
     h = sorted(tl.histogram(df, "x").collect())
     assert [r["count"] for r in h] == [12, 0, 0] and [r["range"] for r in h] == ["5-6", "6-7", "7-8"]
+
+
+def test_recent_offset(spark):
+    df = spark.createDataFrame([(str(i), i) for i in range(10)], "id string, created_at long")
+    assert [r["id"] for r in tl.recent(df, 3, offset=2).collect()] == ["7", "6", "5"]
