@@ -1083,7 +1083,9 @@ def _flat_record(rec: DataFrame) -> DataFrame:
 def q_analyze(spark, d):
     """B1 on the messy orders table: the stored record, flattened."""
     a = tl.analyze(fx.orders_messy(spark, d), ["o_orderkey", "_copy"])
-    return _flat_record(a.record("orders-analysis", "orders"))
+    rec = a.record("orders-analysis", "orders")     # a local one-row table
+    a.release()
+    return _flat_record(rec)
 
 
 Q["analyze"] = q_analyze

@@ -219,6 +219,14 @@ class Cleaned:
     rows_before: int
     rows_after: int
     facts: object = None
+    path: str | None = None
+
+    def release(self) -> bool:
+        """Delete the written copy of the cleaned table (when ``persist`` wrote one)."""
+        from ..session import release
+        done = release(self.table.sparkSession, self.path)
+        self.path = None
+        return done
 
 
 def clean_table(df: DataFrame, order: Sequence[str] | str | None = None, sample: int = 50,
@@ -229,7 +237,7 @@ def clean_table(df: DataFrame, order: Sequence[str] | str | None = None, sample:
     folder once, so the later passes of an analysis read it instead of
     recomputing the fill and the de-duplication (and survive executor loss).
     """
-    from ..session import cut_lineage
+    from ..session import materialize
 
     order = default_order(df, order)
     spark = df.sparkSession
@@ -246,12 +254,13 @@ def clean_table(df: DataFrame, order: Sequence[str] | str | None = None, sample:
         go = GlobalOrder.build(t, order, n_rows=rows_before)
     t, lines = fill_missing(t, order, nulls=nulls, go=go)
     t = drop_duplicate_rows(t, order)
+    path = None
     if persist:
-        t = cut_lineage(t)
+        t, path = materialize(t)
     # pass 4: every per-column measure of the cleaned table at once (row count included)
     from .profile import table_facts
     facts = table_facts(t)
     rows_after = facts.rows
     lines.append(("*", "removed_duplicates", rows_before - rows_after))
     lines += anomaly_counts(t, z, stats=anomaly_stats(t, facts))
-    return Cleaned(t, report_frame(spark, lines), order, rows_before, rows_after, facts)
+    return Cleaned(t, report_frame(spark, lines), order, rows_before, rows_after, facts, path)

@@ -52,6 +52,10 @@ class Analysis:
     column_stats: DataFrame
     extra: dict = field(default_factory=dict)
 
+    def release(self) -> bool:
+        """Delete the written copy of the cleaned table once the results are stored."""
+        return self.cleaned.release()
+
     def chart_index(self) -> DataFrame:
         return chart_index(self.table.sparkSession, self.charts)
 

@@ -49,9 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame) -> tuple[DataFrame, str]:
     """Write ``df`` once as Parquet under the shared checkpoint folder and
-    return a DataFrame that reads it back.
+    return (a DataFrame that reads it back, the folder).
 
     This cuts the lineage like ``checkpoint()`` (a lost executor re-reads the
     files instead of recomputing the plan) but computes the plan only once
@@ -61,4 +61,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tablelens-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    return materialize(df)[0]
+
+
+def release(spark: SparkSession, path: str | None) -> bool:
+    """Delete a folder written by ``materialize`` (through the Hadoop file
+    system of the path, so it works for any shared store)."""
+    if not path:
+        return False
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(p, True))

@@ -338,3 +338,12 @@ def test_constant_column_histogram_and_anomalies(spark):
 def test_recent_offset(spark):
     df = spark.createDataFrame([(str(i), i) for i in range(10)], "id string, created_at long")
     assert [r["id"] for r in tl.recent(df, 3, offset=2).collect()] == ["7", "6", "5"]
+
+
+def test_release_deletes_cleaned_copy(spark):
+    import os
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    c = tl.clean_table(o, "o_orderkey", persist=True)
+    path = c.path.replace("file:", "")
+    assert c.table.count() == 1500 and os.path.isdir(path)
+    assert c.release() and not os.path.exists(path)
