@@ -220,6 +220,7 @@ class Cleaned:
     rows_after: int
     facts: object = None
     path: str | None = None
+    counts: dict = None
 
     def release(self) -> bool:
         """Delete the written copy of the cleaned table (when ``persist`` wrote one)."""
@@ -230,7 +231,8 @@ class Cleaned:
 
 
 def clean_table(df: DataFrame, order: Sequence[str] | str | None = None, sample: int = 50,
-                threshold: float = 0.7, z: float = 3.0, persist: bool = True) -> Cleaned:
+                threshold: float = 0.7, z: float = 3.0, persist: bool = True,
+                extra_counts=None) -> Cleaned:
     """Clean a table as the application does and return it with its report.
 
     With ``persist`` the cleaned table is written to the shared checkpoint
@@ -262,5 +264,19 @@ def clean_table(df: DataFrame, order: Sequence[str] | str | None = None, sample:
     facts = table_facts(t)
     rows_after = facts.rows
     lines.append(("*", "removed_duplicates", rows_before - rows_after))
-    lines += anomaly_counts(t, z, stats=anomaly_stats(t, facts))
-    return Cleaned(t, report_frame(spark, lines), order, rows_before, rows_after, facts, path)
+    # pass 5: anomaly counts, with any other counts the caller needs over the same scan
+    stats = anomaly_stats(t, facts)
+    use = [(c, m, s) for c, (n, m, s) in stats.items() if n >= 10 and s not in (None, 0.0) and m is not None]
+    # ``extra_counts(table, facts)`` may add named conditions to count in the same scan
+    extra = dict(extra_counts(t, facts)) if extra_counts is not None else {}
+    aggs = [F.count_if(F.abs(F.col(c).cast("double") - F.lit(m)) / F.lit(s) > z).alias(f"a{i}")
+            for i, (c, m, s) in enumerate(use)]
+    aggs += [F.count_if(cond).alias(f"x{j}") for j, cond in enumerate(extra.values())]
+    got = {}
+    if aggs:
+        row = t.agg(*aggs).first()
+        lines += [(c, "anomalies_detected", int(row[f"a{i}"])) for i, (c, _, _) in enumerate(use)]
+        got = {name: int(row[f"x{j}"]) for j, name in enumerate(extra)}
+    cleaned = Cleaned(t, report_frame(spark, lines), order, rows_before, rows_after, facts, path)
+    cleaned.counts = got
+    return cleaned

@@ -9,8 +9,9 @@ cleaned copy written once to the checkpoint folder):
 3. fill + de-duplication, written once (checkpoint)
 4. ``TableFacts``: every per-column measure in one aggregate plus one aggregate of distinct
    counts — KPIs, statistics, anomaly bounds, insights, numeric summary and histogram bounds
-   all read it; then one aggregate counting anomalies
-5. domain pool (first 100 text values), top values, category breakdown, histogram counts
+   all read it
+5. one aggregate counting anomalies and the histogram bins of the first numeric column;
+   domain pool (first 100 text values), top values, category breakdown
 6. trend boundary (one bucket sorted) and half means
 7. chart series (only the buckets holding sampled positions are sorted)
 """
@@ -23,9 +24,11 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.types import column_classes
-from ..operators.charts import Chart, chart_index, charts
+from ..operators.charts import (HISTOGRAM_SCHEMA, Chart, chart_index, charts, histogram_bin, histogram_layout,
+                                histogram_rows)
 from ..operators.clean import Cleaned, clean_table
 from ..operators.domain import domain_of
 from ..operators.explore import filter_date_range, preview
@@ -87,10 +90,35 @@ def analyze(df: DataFrame, order: Sequence[str] | str | None = None, persist: bo
     """B1: clean, name the domain, KPIs, trends, insights, summary,
     recommendations, charts, preview and column statistics of one table."""
     order = default_order(df, order)
-    cleaned = clean_table(df, order, persist=persist)
+    layout: dict = {}
+
+    def histogram_counts(t, facts):
+        # pass 5: the histogram of the first numeric column is counted in the anomaly scan
+        num = column_classes(t).numeric
+        if not num:
+            return {}
+        c = num[0]
+        spec = histogram_layout(facts.count[c], facts.min[c], facts.max[c])
+        if spec is None:
+            layout["rows"] = []
+            return {}
+        bins, width = spec
+        lo = float(facts.min[c])
+        layout.update(lo=lo, width=width, bins=bins)
+        b = histogram_bin(c, lo, width, bins)
+        return {f"bin{i}": F.col(c).isNotNull() & (b == i) for i in range(bins)}
+
+    cleaned = clean_table(df, order, persist=persist, extra_counts=histogram_counts)
     t = cleaned.table
     n = cleaned.rows_after
     cc = column_classes(t)
+    spark = t.sparkSession
+    hist = None
+    if "rows" in layout:
+        hist = spark.createDataFrame(layout["rows"], HISTOGRAM_SCHEMA)
+    elif "bins" in layout:
+        counts = [cleaned.counts[f"bin{i}"] for i in range(layout["bins"])]
+        hist = spark.createDataFrame(histogram_rows(layout["lo"], layout["width"], counts), HISTOGRAM_SCHEMA)
     domain = domain_of(t, order)
     facts = cleaned.facts
     kpi_df = kpis(t, facts=facts)
@@ -99,9 +127,8 @@ def analyze(df: DataFrame, order: Sequence[str] | str | None = None, persist: bo
     trends = half_trend(t, cc.numeric[:3], order, go=go)
     ins = insights(t, domain, order, trends=trends, facts=facts)
     summary = summary_text(domain, n, cc.columns, cc.numeric, cc.text, kpi_rows)
-    spark = t.sparkSession
     recs = recommendations(spark, domain)
-    chart_list = charts(t, order, n_rows=n, facts=facts)
+    chart_list = charts(t, order, n_rows=n, facts=facts, histogram_data=hist)
     pv = preview(t, order, 50)
     stats = column_statistics(t, facts=facts)
     return Analysis(t, order, cleaned, domain, kpi_df, trends, ins, recs, summary, chart_list, pv, stats)
