@@ -154,7 +154,6 @@ def drop_duplicate_rows(df: DataFrame, order: Sequence[str] | str | None = None)
     return grouped.select(*data, *[F.col(f"_first.{c}").alias(c) for c in hidden]).select(*df.columns)
 
 
-
 # ---------------------------------------------------------------------------
 # A2
 # ---------------------------------------------------------------------------
@@ -173,16 +172,25 @@ def anomaly_stats(df: DataFrame, facts=None) -> dict[str, tuple[int, float | Non
     return {c: (int(row[f"n{i}"]), row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(num)}
 
 
+def anomaly_columns(stats: dict, min_rows: int = 10) -> list[tuple[str, float, float]]:
+    """Columns A2 looks at: ≥ ``min_rows`` values and a non-zero sample deviation."""
+    return [(c, m, s) for c, (n, m, s) in stats.items() if n >= min_rows and s not in (None, 0.0) and m is not None]
+
+
+def z_score(c: str, mean: float, std: float):
+    """|x − mean| / std with the mean and deviation of an earlier pass as literals."""
+    return F.abs(F.col(c).cast("double") - F.lit(mean)) / F.lit(std)
+
+
 def anomaly_counts(df: DataFrame, z: float = 3.0, min_rows: int = 10,
                    stats: dict | None = None) -> list[tuple[str, str, int]]:
     """A2: per numeric column with ≥ ``min_rows`` values and a non-zero sample
     deviation, the number of values with |x − mean| / std > ``z``. Rows stay."""
     stats = stats if stats is not None else anomaly_stats(df)
-    use = [(c, m, s) for c, (n, m, s) in stats.items() if n >= min_rows and s not in (None, 0.0) and m is not None]
+    use = anomaly_columns(stats, min_rows)
     if not use:
         return []
-    row = df.agg(*[F.count_if(F.abs(F.col(c).cast("double") - F.lit(m)) / F.lit(s) > z).alias(f"a{i}")
-                   for i, (c, m, s) in enumerate(use)]).first()
+    row = df.agg(*[F.count_if(z_score(c, m, s) > z).alias(f"a{i}") for i, (c, m, s) in enumerate(use)]).first()
     return [(c, "anomalies_detected", int(row[f"a{i}"])) for i, (c, _, _) in enumerate(use)]
 
 
@@ -192,14 +200,13 @@ def anomaly_report(df: DataFrame, z: float = 3.0, min_rows: int = 10) -> DataFra
 
 def flag_anomalies(df: DataFrame, z: float = 3.0, min_rows: int = 10) -> DataFrame:
     """The rows A2 counts, with the column that flagged them (one row per flag)."""
-    stats = anomaly_stats(df)
-    use = [(c, m, s) for c, (n, m, s) in stats.items() if n >= min_rows and s not in (None, 0.0) and m is not None]
+    use = anomaly_columns(anomaly_stats(df), min_rows)
     spark = df.sparkSession
     if not use:
         return spark.createDataFrame([], df.schema.add("anomaly_column", "string").add("z_score", "double"))
     parts = []
     for c, m, s in use:
-        zc = F.abs(F.col(c).cast("double") - F.lit(m)) / F.lit(s)
+        zc = z_score(c, m, s)
         parts.append(df.filter(zc > z).withColumn("anomaly_column", F.lit(c)).withColumn("z_score", zc))
     out = parts[0]
     for p in parts[1:]:
@@ -265,12 +272,10 @@ def clean_table(df: DataFrame, order: Sequence[str] | str | None = None, sample:
     rows_after = facts.rows
     lines.append(("*", "removed_duplicates", rows_before - rows_after))
     # pass 5: anomaly counts, with any other counts the caller needs over the same scan
-    stats = anomaly_stats(t, facts)
-    use = [(c, m, s) for c, (n, m, s) in stats.items() if n >= 10 and s not in (None, 0.0) and m is not None]
+    use = anomaly_columns(anomaly_stats(t, facts))
     # ``extra_counts(table, facts)`` may add named conditions to count in the same scan
     extra = dict(extra_counts(t, facts)) if extra_counts is not None else {}
-    aggs = [F.count_if(F.abs(F.col(c).cast("double") - F.lit(m)) / F.lit(s) > z).alias(f"a{i}")
-            for i, (c, m, s) in enumerate(use)]
+    aggs = [F.count_if(z_score(c, m, s) > z).alias(f"a{i}") for i, (c, m, s) in enumerate(use)]
     aggs += [F.count_if(cond).alias(f"x{j}") for j, cond in enumerate(extra.values())]
     got = {}
     if aggs:
