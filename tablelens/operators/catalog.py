@@ -162,31 +162,31 @@ def keys_to_compute(requests: DataFrame, history: DataFrame, ttl_seconds: int, n
 
 def resolve_analyses(questions: DataFrame, analyses: DataFrame, uploads: DataFrame | None = None) -> DataFrame:
     """The analysis each question is about — by ``analysis_id`` when given,
-    else the newest analysis of ``upload_id``; ``error`` says why none fits."""
+    else the newest analysis of ``upload_id``; ``error`` says why none fits.
+
+    The newest-per-upload aggregate carries only (upload, id, time); the chosen
+    record is then fetched with one equi-join on its id."""
     rec_cols = ["id", "status", "summary", "kpis", "insights", "recommendations", "business_type"]
-    rec = analyses.select(*rec_cols)
-    by_id = rec.select(*[F.col(c).alias(f"_a_{c}") for c in rec_cols])
-    latest = latest_analyses(analyses.select("upload_id", "created_at", *rec_cols))
-    by_upload = latest.select(F.col("upload_id").alias("_u_upload_id"),
-                              *[F.col(c).alias(f"_u_{c}") for c in rec_cols])
-    q = questions.join(by_id, questions["analysis_id"] == by_id["_a_id"], "left")
-    q = q.join(by_upload, q["upload_id"] == by_upload["_u_upload_id"], "left")
+    newest = latest_analyses(analyses.select("upload_id", "created_at", "id")) \
+        .select(F.col("upload_id").alias("_u_upload_id"), F.col("id").alias("_u_id"))
     has_aid = F.col("analysis_id").isNotNull() & (F.col("analysis_id") != "")
     has_uid = F.col("upload_id").isNotNull() & (F.col("upload_id") != "")
+    q = questions.join(newest, questions["upload_id"] == newest["_u_upload_id"], "left")
+    q = q.withColumn("_pick", F.when(has_aid, F.col("analysis_id")).otherwise(F.col("_u_id")))
+    rec = analyses.select(*[F.col(c).alias(f"_a_{c}") for c in rec_cols])
+    q = q.join(rec, q["_pick"] == rec["_a_id"], "left")
     if uploads is not None:
         known = uploads.select(F.col("id").alias("_known_upload")).distinct()
         q = q.join(known, q["upload_id"] == known["_known_upload"], "left")
         upload_ok = F.col("_known_upload").isNotNull()
     else:
         upload_ok = F.lit(True)
-    pick = {c: F.when(has_aid, F.col(f"_a_{c}")).otherwise(F.col(f"_u_{c}")) for c in rec_cols}
     error = (F.when(has_aid & F.col("_a_id").isNull(), F.lit(W.ERR_ANALYSIS_NOT_FOUND))
              .when(~has_aid & ~has_uid, F.lit(W.ERR_CONTEXT_REQUIRED))
              .when(~has_aid & ~upload_ok, F.lit(W.ERR_UPLOAD_NOT_FOUND))
              .when(~has_aid & F.col("_u_id").isNull(), F.lit(W.ERR_NO_ANALYSIS))
-             .when(pick["status"] != "completed", F.lit(W.ERR_NOT_COMPLETED)))
-    out = q.select(*questions.columns, *[v.alias(f"a_{k}") for k, v in pick.items()], error.alias("error"))
-    return out
+             .when(F.col("_a_status") != "completed", F.lit(W.ERR_NOT_COMPLETED)))
+    return q.select(*questions.columns, *[F.col(f"_a_{c}").alias(f"a_{c}") for c in rec_cols], error.alias("error"))
 
 
 def _kpi_line(k: Column) -> Column:
