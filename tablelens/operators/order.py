@@ -43,6 +43,8 @@ def default_order(df: DataFrame, order: Sequence[str] | str | None) -> list[str]
     if order is None:
         if "_row_id" in df.columns:
             return ["_row_id"]
+        if "_file_no" in df.columns and "_pos" in df.columns:      # file order from load_table
+            return ["_file_no", "_block", "_pos"] if "_block" in df.columns else ["_file_no", "_pos"]
         raise ValueError("an order is needed: pass order=[...] or add a _row_id column")
     return [order] if isinstance(order, str) else list(order)
 

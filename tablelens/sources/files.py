@@ -25,24 +25,29 @@ def with_file_order(df: DataFrame) -> DataFrame:
 
     Parquet: ``_row_id = file number × 2^40 + row index in the file``, one
     long (files numbered by sorted path; the file list is known from the
-    plan). With more than ``MAX_FILES_FOR_ROW_ID`` files the order is the
-    pair (``_file``, ``_pos``) instead. Text formats have no row index: the
-    split start plus a per-split counter is used (splits are cut the same way
-    on every read of the same files)."""
+    plan). Text formats have no row index: the order is the triple
+    (``_file_no``, ``_block``, ``_pos``) — file number, split start, and a
+    counter that increases along each split (rows of a split are read in file
+    order and stay together in one partition, so the triple follows the
+    files even though Spark packs splits into partitions by size). With more
+    than ``MAX_FILES_FOR_ROW_ID`` files the file path itself is used."""
     meta = F.col("_metadata")
     files = sorted({_path_key(f) for f in df.inputFiles()})
+    key = F.regexp_replace(F.regexp_replace(meta["file_path"], r"^[a-zA-Z][a-zA-Z0-9+.\-]*:", ""), "^//", "")
+    if 0 < len(files) <= MAX_FILES_FOR_ROW_ID:
+        number = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i))])
+        file_no = F.element_at(number, key).cast("bigint")
+    else:
+        file_no = meta["file_path"]
     try:
         pos = df.withColumn("_pos", meta["row_index"])
     except Exception:
-        return (df.withColumn("_file", meta["file_path"])
-                .withColumn("_pos", F.struct(meta["file_block_start"].alias("start"),
-                                             F.monotonically_increasing_id().alias("n"))))
+        return (df.withColumn("_file_no", file_no)
+                .withColumn("_block", meta["file_block_start"])
+                .withColumn("_pos", F.monotonically_increasing_id()))
     if 0 < len(files) <= MAX_FILES_FOR_ROW_ID:
-        number = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i))])
-        key = F.regexp_replace(F.regexp_replace(meta["file_path"], r"^[a-zA-Z][a-zA-Z0-9+.\-]*:", ""), "^//", "")
-        return pos.withColumn("_row_id", F.element_at(number, key).cast("bigint")
-                              * F.lit(1 << 40) + F.col("_pos")).drop("_pos")
-    return pos.withColumn("_file", meta["file_path"])
+        return pos.withColumn("_row_id", file_no * F.lit(1 << 40) + F.col("_pos")).drop("_pos")
+    return pos.withColumn("_file_no", file_no)
 
 
 def _infer_type(spark: SparkSession, head: DataFrame, c: str) -> T.DataType:

@@ -347,3 +347,16 @@ def test_release_deletes_cleaned_copy(spark):
     path = c.path.replace("file:", "")
     assert c.table.count() == 1500 and os.path.isdir(path)
     assert c.release() and not os.path.exists(path)
+
+
+def test_csv_file_order_and_analysis(spark, tmp_path):
+    src = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").orderBy("o_orderkey")
+    out = str(tmp_path / "orders_csv")
+    src.repartition(1).sortWithinPartitions("o_orderkey").write.option("header", True).csv(out + "/a.csv")
+    df = tl.load_table(spark, out + "/a.csv")
+    assert {"_file_no", "_block", "_pos"} <= set(df.columns)
+    first = tl.preview(df, n=5).select("o_orderkey").collect()
+    assert [r[0] for r in first] == [0, 1, 2, 3, 4]
+    a = tl.analyze(df, persist=False)
+    assert a.business_type == "Retail / E-commerce"
+    assert {k["name"] for k in a.kpis.collect()} >= {"Total Records", "Total o_totalprice"}
