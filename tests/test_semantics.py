@@ -360,3 +360,14 @@ def test_csv_file_order_and_analysis(spark, tmp_path):
     a = tl.analyze(df, persist=False)
     assert a.business_type == "Retail / E-commerce"
     assert {k["name"] for k in a.kpis.collect()} >= {"Total Records", "Total o_totalprice"}
+
+
+def test_exact_quantiles_many_columns(spark):
+    import statistics
+    rows = [(i, float((i * 37) % 101), None if i % 4 == 0 else float((i * 11) % 13), float(i % 2)) for i in range(57)]
+    df = spark.createDataFrame(rows, "_row_id long, a double, b double, c double")
+    got = tl.operators.profile.exact_quantiles_many(df, ["a", "b", "c"], [0.25, 0.5, 0.75])
+    for j, col in enumerate(["a", "b", "c"]):
+        vals = [r[j + 1] for r in rows if r[j + 1] is not None]
+        want = statistics.quantiles(vals, n=4, method="inclusive")
+        assert all(math.isclose(x, y) for x, y in zip(got[col], want)), col
