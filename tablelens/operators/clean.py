@@ -239,12 +239,13 @@ class Cleaned:
 
 def clean_table(df: DataFrame, order: Sequence[str] | str | None = None, sample: int = 50,
                 threshold: float = 0.7, z: float = 3.0, persist: bool = True,
-                extra_counts=None) -> Cleaned:
+                extra_counts=None, approx: bool = False) -> Cleaned:
     """Clean a table as the application does and return it with its report.
 
     With ``persist`` the cleaned table is written to the shared checkpoint
     folder once, so the later passes of an analysis read it instead of
     recomputing the fill and the de-duplication (and survive executor loss).
+    ``approx`` counts distinct values with HyperLogLog++ sketches.
     """
     from ..session import materialize
 
@@ -268,7 +269,7 @@ def clean_table(df: DataFrame, order: Sequence[str] | str | None = None, sample:
         t, path = materialize(t)
     # pass 4: every per-column measure of the cleaned table at once (row count included)
     from .profile import table_facts
-    facts = table_facts(t)
+    facts = table_facts(t, approx)
     rows_after = facts.rows
     lines.append(("*", "removed_duplicates", rows_before - rows_after))
     # pass 5: anomaly counts, with any other counts the caller needs over the same scan

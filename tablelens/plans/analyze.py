@@ -86,9 +86,12 @@ class Analysis:
         return spark.createDataFrame([row], ANALYSIS_SCHEMA)
 
 
-def analyze(df: DataFrame, order: Sequence[str] | str | None = None, persist: bool = True) -> Analysis:
+def analyze(df: DataFrame, order: Sequence[str] | str | None = None, persist: bool = True,
+            approx: bool = False) -> Analysis:
     """B1: clean, name the domain, KPIs, trends, insights, summary,
-    recommendations, charts, preview and column statistics of one table."""
+    recommendations, charts, preview and column statistics of one table.
+    ``approx=True`` uses approximate distinct counts (unique KPIs, statistics)
+    for very large or wide tables; everything else stays exact."""
     order = default_order(df, order)
     layout: dict = {}
 
@@ -108,7 +111,7 @@ def analyze(df: DataFrame, order: Sequence[str] | str | None = None, persist: bo
         b = histogram_bin(c, lo, width, bins)
         return {f"bin{i}": F.col(c).isNotNull() & (b == i) for i in range(bins)}
 
-    cleaned = clean_table(df, order, persist=persist, extra_counts=histogram_counts)
+    cleaned = clean_table(df, order, persist=persist, extra_counts=histogram_counts, approx=approx)
     t = cleaned.table
     n = cleaned.rows_after
     cc = column_classes(t)
