@@ -27,6 +27,6 @@ from .operators.context import prompt_context, prompt_text, parse_responses
 from .sources.files import load_table, read_csv_table, file_manifest, with_file_order
 from .sources.extract import text_to_rows, cells_to_table, rows_in_order
 from .sources.sinks import write_analysis, read_analyses, current_analyses, write_report, ANALYSIS_SCHEMA
-from .plans.analyze import analyze, analyze_range, Analysis
+from .plans.analyze import analyze, analyze_range, run_analysis, Analysis
 
 __all__ = [n for n in dir() if not n.startswith("_")]

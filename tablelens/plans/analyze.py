@@ -159,3 +159,33 @@ def analyze_range(df: DataFrame, stored: dict, start: str | None, end: str | Non
     out["table"] = sub
     return out
 
+
+
+def _bare_record(spark, analysis_id: str, upload_id: str, status: str, summary: str | None,
+                 created: datetime, completed: datetime | None) -> DataFrame:
+    row = (analysis_id, upload_id, status, None, summary, None, None, None, None, None, None, None, created, completed)
+    return spark.createDataFrame([row], ANALYSIS_SCHEMA)
+
+
+def run_analysis(df: DataFrame, analysis_id: str, upload_id: str, path: str | None = None,
+                 order: Sequence[str] | str | None = None, approx: bool = False) -> DataFrame:
+    """S7 + B1: the record life cycle — a ``processing`` record, then the
+    ``completed`` record, or a ``failed`` one whose summary carries the error.
+    With ``path`` every state is appended to that records folder (the current
+    state is the newest record, see ``current_analyses``). Returns the final record."""
+    from ..sources.sinks import write_analysis
+
+    spark = df.sparkSession
+    created = datetime.now(timezone.utc).replace(tzinfo=None)
+    if path:
+        write_analysis(_bare_record(spark, analysis_id, upload_id, "processing", None, created, None), path)
+    try:
+        a = analyze(df, order, approx=approx)
+        final = a.record(analysis_id, upload_id, created_at=created)
+        a.release()
+    except Exception as e:  # noqa: BLE001 — any failure is stored, as the application does
+        final = _bare_record(spark, analysis_id, upload_id, "failed", f"Analysis failed: {e}", created,
+                             datetime.now(timezone.utc).replace(tzinfo=None))
+    if path:
+        write_analysis(final, path)
+    return final

@@ -371,3 +371,16 @@ def test_exact_quantiles_many_columns(spark):
         vals = [r[j + 1] for r in rows if r[j + 1] is not None]
         want = statistics.quantiles(vals, n=4, method="inclusive")
         assert all(math.isclose(x, y) for x, y in zip(got[col], want)), col
+
+
+def test_run_analysis_lifecycle(spark, tmp_path):
+    path = str(tmp_path / "records")
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    ok = tl.run_analysis(o, "a1", "u1", path, order="o_orderkey").first()
+    assert ok["status"] == "completed"
+    bad = tl.run_analysis(o, "a2", "u2", path, order="no_such_column").first()
+    assert bad["status"] == "failed" and bad["summary"].startswith("Analysis failed: ")
+    stored = tl.read_analyses(spark, path)
+    assert sorted(r["status"] for r in stored.collect()) == ["completed", "failed", "processing", "processing"]
+    cur = {r["id"]: r["status"] for r in tl.current_analyses(stored).collect()}
+    assert cur == {"a1": "completed", "a2": "failed"}
