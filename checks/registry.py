@@ -902,7 +902,8 @@ def q_summary(spark, d):
     cc = tl.column_classes(o)
     k = [(r["name"], r["value"], r["type"]) for r in tl.kpis(o).orderBy("kpi_order").collect()]
     n = o.count()
-    return spark.createDataFrame([(tl.summary_text(dom, n, cc.columns, cc.numeric, cc.text, k),)], "summary string")
+    from tablelens.functions.frames import rows_frame
+    return rows_frame(spark, [(tl.summary_text(dom, n, cc.columns, cc.numeric, cc.text, k),)], "summary string")
 
 
 # ---------------------------------------------------------------------------

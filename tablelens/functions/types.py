@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .frames import rows_frame
+
 HIDDEN_PREFIX = "_"
 
 # numeric: KPIs, charts, insights, anomalies, prompt context
@@ -83,4 +85,4 @@ def column_classes_table(df: DataFrame) -> DataFrame:
         klass = "numeric" if is_numeric(dt) else "numeric_wide" if is_numeric_wide(dt) else \
             "text" if is_text(dt) else "date" if is_date(dt) else "other"
         rows.append((i, c, dt.simpleString(), klass))
-    return spark.createDataFrame(rows, "position long, column string, dtype string, class string")
+    return rows_frame(spark, rows, "position long, column string, dtype string, class string")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.frames import rows_frame
+
 from ..functions.text import parses_as_python_float, to_number
 from ..functions.types import column_classes, data_columns
 from ..functions.words import EMPTY_TEXT
@@ -25,7 +27,7 @@ REPORT_SCHEMA = "column string, action string, affected_rows bigint"
 
 def report_frame(spark, rows: list[tuple[str, str, int]]) -> DataFrame:
     """A report keeps only lines with a positive count."""
-    return spark.createDataFrame([r for r in rows if r[2] > 0], REPORT_SCHEMA)
+    return rows_frame(spark, [r for r in rows if r[2] > 0], REPORT_SCHEMA)
 
 
 # ---------------------------------------------------------------------------
@@ -203,7 +205,7 @@ def flag_anomalies(df: DataFrame, z: float = 3.0, min_rows: int = 10) -> DataFra
     use = anomaly_columns(anomaly_stats(df), min_rows)
     spark = df.sparkSession
     if not use:
-        return spark.createDataFrame([], df.schema.add("anomaly_column", "string").add("z_score", "double"))
+        return rows_frame(spark, [], T.StructType(df.schema.fields + [T.StructField("anomaly_column", T.StringType()), T.StructField("z_score", T.DoubleType())]))
     parts = []
     for c, m, s in use:
         zc = z_score(c, m, s)

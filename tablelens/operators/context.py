@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import rows_frame
+
 from ..functions.types import column_classes
 from .heads import head_tail, head_values
 from .order import default_order
@@ -60,7 +62,7 @@ def prompt_context(df: DataFrame, order: Sequence[str] | str | None = None) -> D
         for r in rows:
             if r["part"] == "last":
                 lines.append(json.dumps({c: r[c] for c in cc.columns}, default=str, ensure_ascii=False))
-    return df.sparkSession.createDataFrame(list(enumerate(lines)), "line_no long, text string")
+    return rows_frame(df.sparkSession, list(enumerate(lines)), "line_no long, text string")
 
 
 def prompt_text(df: DataFrame, order: Sequence[str] | str | None = None) -> str:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import rows_frame
+
 from ..functions.types import column_classes
 from ..functions.words import (DOMAIN_KEYWORDS, GENERAL_DOMAIN, KIND_COLUMNS, METRIC_WORDS,
                                MIN_DOMAIN_SCORE, UNKNOWN_KIND)
@@ -22,7 +24,7 @@ def keyword_pool(df: DataFrame, order: Sequence[str] | str | None = None, k: int
     order = default_order(df, order)
     cc = column_classes(df)
     spark = df.sparkSession
-    names = spark.createDataFrame([(c,) for c in cc.columns], "piece string")
+    names = rows_frame(spark, [(c,) for c in cc.columns], "piece string")
     if not cc.text:
         return names.select(F.lower("piece").alias("piece"))
     heads = head_values(df, cc.text, order, k).select(F.col("value").alias("piece"))
@@ -48,7 +50,7 @@ def domain_scores(df: DataFrame, order: Sequence[str] | str | None = None, k: in
     """Score per domain = number of its distinct keywords found in the pool.
     (position, domain, score). Each pool piece is matched against the keyword
     table with one array filter; distinct (domain, keyword) hits are counted."""
-    return df.sparkSession.createDataFrame(_score_rows(df, order, k), "position long, domain string, score long")
+    return rows_frame(df.sparkSession, _score_rows(df, order, k), "position long, domain string, score long")
 
 
 def _best(rows: list[tuple[int, str, int]]) -> tuple[str, int]:
@@ -59,7 +61,7 @@ def _best(rows: list[tuple[int, str, int]]) -> tuple[str, int]:
 def detect_domain(df: DataFrame, order: Sequence[str] | str | None = None, k: int = 100) -> DataFrame:
     """The domain with the highest score, the first listed on ties; a best
     score under 2 gives ``General Business``. One row: (business_type, score)."""
-    return df.sparkSession.createDataFrame([_best(_score_rows(df, order, k))], "business_type string, score long")
+    return rows_frame(df.sparkSession, [_best(_score_rows(df, order, k))], "business_type string, score long")
 
 
 def domain_of(df: DataFrame, order: Sequence[str] | str | None = None) -> str:

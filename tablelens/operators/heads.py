@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import rows_frame
+
 from .order import default_order
 
 
@@ -23,7 +25,7 @@ def head_values(df: DataFrame, cols: Sequence[str], order: Sequence[str] | str |
     order = default_order(df, order)
     cols = list(cols)
     if not cols:
-        return df.sparkSession.createDataFrame([], "column string, position bigint, rank bigint, value string")
+        return rows_frame(df.sparkSession, [], "column string, position bigint, rank bigint, value string")
     parts = []
     for i, c in enumerate(cols):
         part = (df.filter(F.col(c).isNotNull())

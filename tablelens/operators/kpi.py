@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..functions.frames import rows_frame
+
 from ..functions.types import column_classes
 from ..functions.words import KPI_MONEY_WORDS
 from .profile import TableFacts, table_facts
@@ -44,7 +46,7 @@ def kpis(df: DataFrame, numeric_k: int = 4, text_k: int = 2, approx: bool = Fals
     Two aggregates over the table (ordinary measures; distinct counts alone);
     the at most 10 KPI rows are laid out from their single result rows."""
     rows = kpi_rows(df, numeric_k, text_k, approx, facts)
-    return df.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rows)], KPI_SCHEMA)
+    return rows_frame(df.sparkSession, [(i, *r) for i, r in enumerate(rows)], KPI_SCHEMA)
 
 
 def numeric_summary(df: DataFrame, k: int = 5, facts: TableFacts | None = None) -> DataFrame:
@@ -53,7 +55,7 @@ def numeric_summary(df: DataFrame, k: int = 5, facts: TableFacts | None = None)
     num = column_classes(df).numeric[:k]
     schema = "position long, name string, total double, average double"
     if not num:
-        return df.sparkSession.createDataFrame([], schema)
+        return rows_frame(df.sparkSession, [], schema)
     f = facts or table_facts(df.select(*num))
     rows = [(i, c, round(f.sum[c], 2), round(f.mean[c], 2)) for i, c in enumerate(num) if f.count[c]]
-    return df.sparkSession.createDataFrame(rows, schema)
+    return rows_frame(df.sparkSession, rows, schema)

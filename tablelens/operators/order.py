@@ -22,7 +22,6 @@ columns; names starting with ``_`` are hidden from analysis.
 
 from __future__ import annotations
 
-import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -31,6 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.frames import array_literal
+
 ROWS_PER_BUCKET = 4_000_000
 MAX_BUCKETS = 4096
 MAX_TREE_BOUNDS = 255
@@ -60,40 +61,6 @@ def typed_lit(value, dtype: T.DataType) -> Column:
     return F.lit(value).cast(dtype)
 
 
-NTZ_FORMAT = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
-
-
-def _jsonable(v, dt: T.DataType):
-    if v is None:
-        return None
-    if isinstance(dt, T.StructType):
-        vals = v if isinstance(v, (tuple, list)) else [v[f.name] for f in dt.fields]
-        return {f.name: _jsonable(x, f.dataType) for f, x in zip(dt.fields, vals)}
-    if isinstance(dt, (T.TimestampNTZType, T.DateType)):
-        return v.isoformat()
-    if isinstance(dt, T.DecimalType):
-        return float(v) if dt.scale else int(v)
-    return v
-
-
-def _has_ltz(dt: T.DataType) -> bool:
-    if isinstance(dt, T.StructType):
-        return any(_has_ltz(f.dataType) for f in dt.fields)
-    return isinstance(dt, (T.TimestampType, T.DecimalType, T.BinaryType))
-
-
-def array_literal(values: Sequence, dtype: T.DataType) -> Column:
-    """One typed array literal for many driver-side values: a JSON string read
-    with ``from_json``, which the optimizer folds into a single literal (far
-    cheaper to plan than thousands of separate literal expressions)."""
-    if _has_ltz(dtype):
-        return F.array(*[typed_lit(v, dtype) if not isinstance(dtype, T.StructType)
-                         else _struct_lit(v, list(dtype.fields)) for v in values])
-    payload = json.dumps([_jsonable(v, dtype) for v in values], allow_nan=True)
-    return F.from_json(F.lit(payload), T.ArrayType(dtype, True),
-                       {"timestampNTZFormat": NTZ_FORMAT, "allowNonNumericNumbers": "true"})
-
-
 FIXED_WIDTH = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
                T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
 

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import rows_frame
+
 from ..functions.types import column_classes, data_columns
 from .order import GlobalOrder, default_order
 
@@ -56,7 +58,7 @@ def n_unique(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = Fa
     nulls = df.agg(*[F.max(F.col(c).isNull().cast("int")).alias(f"z{i}") for i, c in enumerate(cols)]).first()
     dist = distinct_counts(df, cols, approx)
     rows = [(i, c, dist[c] + int(nulls[f"z{i}"] or 0)) for i, c in enumerate(cols)]
-    return df.sparkSession.createDataFrame(rows, "position long, column string, unique_count long")
+    return rows_frame(df.sparkSession, rows, "position long, column string, unique_count long")
 
 
 @dataclass
@@ -116,7 +118,7 @@ def column_statistics(df: DataFrame, approx: bool = False, facts: TableFacts | N
         rows.append((i, c, cc.dtypes[c].simpleString(), f.nulls[c], f.unique(c),
                      f.mean[c] if wide else None, f.min[c] if wide else None,
                      f.max[c] if wide else None, f.std[c] if wide else None))
-    return df.sparkSession.createDataFrame(
+    return rows_frame(df.sparkSession, 
         rows, "position long, column string, dtype string, null_count long, unique_count long, "
               "mean double, min double, max double, std double")
 
@@ -263,6 +265,6 @@ def describe_all(df: DataFrame, order: Sequence[str] | str | None = None, exact:
         out.append(rec)
     schema = ("position long, column string, count double, unique double, top string, freq double, "
               "mean double, std double, min double, p25 double, p50 double, p75 double, max double")
-    return spark.createDataFrame([tuple(r[k] for k in ["position", "column", "count", "unique", "top", "freq",
+    return rows_frame(spark, [tuple(r[k] for k in ["position", "column", "count", "unique", "top", "freq",
                                                        "mean", "std", "min", "p25", "p50", "p75", "max"])
                                   for r in out], schema)

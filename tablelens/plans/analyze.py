@@ -26,6 +26,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import rows_frame
+
 from ..functions.types import column_classes
 from ..operators.charts import (HISTOGRAM_SCHEMA, Chart, chart_index, charts, histogram_bin, histogram_layout,
                                 histogram_rows)
@@ -83,7 +85,7 @@ class Analysis:
                 for r in self.preview.collect()]
         row = (analysis_id, upload_id, "completed", self.business_type, self.summary, ins, recs, kp, tr, corr,
                json.dumps(stats, indent=2, default=str), prev, created, now)
-        return spark.createDataFrame([row], ANALYSIS_SCHEMA)
+        return rows_frame(spark, [row], ANALYSIS_SCHEMA)
 
 
 def analyze(df: DataFrame, order: Sequence[str] | str | None = None, persist: bool = True,
@@ -118,10 +120,10 @@ def analyze(df: DataFrame, order: Sequence[str] | str | None = None, persist: bo
     spark = t.sparkSession
     hist = None
     if "rows" in layout:
-        hist = spark.createDataFrame(layout["rows"], HISTOGRAM_SCHEMA)
+        hist = rows_frame(spark, layout["rows"], HISTOGRAM_SCHEMA)
     elif "bins" in layout:
         counts = [cleaned.counts[f"bin{i}"] for i in range(layout["bins"])]
-        hist = spark.createDataFrame(histogram_rows(layout["lo"], layout["width"], counts), HISTOGRAM_SCHEMA)
+        hist = rows_frame(spark, histogram_rows(layout["lo"], layout["width"], counts), HISTOGRAM_SCHEMA)
     domain = domain_of(t, order)
     facts = cleaned.facts
     kpi_df = kpis(t, facts=facts)
@@ -164,7 +166,7 @@ def analyze_range(df: DataFrame, stored: dict, start: str | None, end: str | Non
 def _bare_record(spark, analysis_id: str, upload_id: str, status: str, summary: str | None,
                  created: datetime, completed: datetime | None) -> DataFrame:
     row = (analysis_id, upload_id, status, None, summary, None, None, None, None, None, None, None, created, completed)
-    return spark.createDataFrame([row], ANALYSIS_SCHEMA)
+    return rows_frame(spark, [row], ANALYSIS_SCHEMA)
 
 
 def run_analysis(df: DataFrame, analysis_id: str, upload_id: str, path: str | None = None,

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import rows_frame
+
 from ..functions.words import EMPTY_DOCUMENT
 
 
@@ -41,7 +43,7 @@ def cells_to_table(cells: DataFrame, doc: str | None = None) -> DataFrame:
     c = cells if doc is None else cells.filter(F.col("doc") == doc)
     first = c.select("table_no", "row_no").distinct().orderBy("table_no", "row_no").limit(2).collect()
     if not first:
-        return c.sparkSession.createDataFrame([], "text string")
+        return rows_frame(c.sparkSession, [], "text string")
     h_table, h_row = first[0]["table_no"], first[0]["row_no"]
     header = {r["col_no"]: r["text"] for r in
               c.filter((F.col("table_no") == h_table) & (F.col("row_no") == h_row)).select("col_no", "text").collect()}

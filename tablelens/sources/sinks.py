@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import parse_schema
+
 ANALYSIS_SCHEMA = (
     "id string, upload_id string, status string, business_type string, summary string, "
     "insights array<struct<title:string,description:string,severity:string,category:string>>, "
@@ -18,7 +20,7 @@ ANALYSIS_SCHEMA = (
 
 def conform(records: DataFrame) -> DataFrame:
     """Records cast to the ``analyses`` schema, columns in its order."""
-    schema = records.sparkSession.createDataFrame([], ANALYSIS_SCHEMA).schema
+    schema = parse_schema(ANALYSIS_SCHEMA)
     return records.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 

@@ -10,7 +10,8 @@ from tests.conftest import SF_SMALL
 
 QUERIES = E.queries()
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF",
-                "FlatMapCoGroupsInPandas", "AggregateInPandas", "WindowInPandas")
+                "FlatMapCoGroupsInPandas", "AggregateInPandas", "WindowInPandas",
+                "Scan ExistingRDD")            # rows shipped through a Python worker
 
 
 def plan_of(df) -> str:
