@@ -19,7 +19,7 @@ def kpi_rows(df: DataFrame, numeric_k: int = 4, text_k: int = 2, approx: bool =
     """K1 as (name, value, type, icon) tuples, in order, at most 10."""
     cc = column_classes(df)
     num, text = cc.numeric[:numeric_k], cc.text[:text_k]
-    f = facts or table_facts(df.select(*num, *text), approx)
+    f = facts or table_facts(df.select(*num, *text), approx, distinct=text)
     rows = [("Total Records", float(f.rows), "count", "rows"),
             ("Data Fields", float(len(cc.columns)), "count", "columns")]
     for c in num:
@@ -56,6 +56,6 @@ def numeric_summary(df: DataFrame, k: int = 5, facts: TableFacts | None = None)
     schema = "position long, name string, total double, average double"
     if not num:
         return rows_frame(df.sparkSession, [], schema)
-    f = facts or table_facts(df.select(*num))
+    f = facts or table_facts(df.select(*num), distinct=[])
     rows = [(i, c, round(f.sum[c], 2), round(f.mean[c], 2)) for i, c in enumerate(num) if f.count[c]]
     return rows_frame(df.sparkSession, rows, schema)

@@ -84,7 +84,8 @@ class TableFacts:
         return self.distinct[c] + (1 if self.nulls[c] > 0 else 0)
 
 
-def table_facts(df: DataFrame, approx: bool = False) -> TableFacts:
+def table_facts(df: DataFrame, approx: bool = False, distinct: Sequence[str] | None = None) -> TableFacts:
+    """``distinct``: the columns whose distinct values are counted (all by default)."""
     cc = column_classes(df)
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, c in enumerate(cc.columns):
@@ -94,7 +95,7 @@ def table_facts(df: DataFrame, approx: bool = False) -> TableFacts:
             aggs += [F.sum(x).alias(f"t{i}"), F.avg(x).alias(f"m{i}"), F.min(x).alias(f"lo{i}"),
                      F.max(x).alias(f"hi{i}"), F.stddev_samp(x).alias(f"s{i}")]
     row = df.agg(*aggs).first()
-    dist = distinct_counts(df, cc.columns, approx)
+    dist = distinct_counts(df, cc.columns if distinct is None else list(distinct), approx)
     rows = int(row["_rows"])
     wide = {c: i for i, c in enumerate(cc.columns) if c in cc.numeric_wide}
 

@@ -153,7 +153,7 @@ def analyze_range(df: DataFrame, stored: dict, start: str | None, end: str | Non
     if not cc.date:
         return stored
     sub = filter_date_range(t, start, end, cc.date[0])
-    facts = table_facts(sub)
+    facts = table_facts(sub, distinct=cc.text[:2])
     out = dict(stored)
     out["charts"] = charts(sub, order, n_rows=facts.rows, facts=facts)
     out["kpis"] = kpis(sub, facts=facts)
