@@ -241,13 +241,15 @@ class Cleaned:
 
 def clean_table(df: DataFrame, order: Sequence[str] | str | None = None, sample: int = 50,
                 threshold: float = 0.7, z: float = 3.0, persist: bool = True,
-                extra_counts=None, approx: bool = False) -> Cleaned:
+                extra_counts=None, approx: bool = False, report: bool = True) -> Cleaned:
     """Clean a table as the application does and return it with its report.
 
     With ``persist`` the cleaned table is written to the shared checkpoint
     folder once, so the later passes of an analysis read it instead of
     recomputing the fill and the de-duplication (and survive executor loss).
     ``approx`` counts distinct values with HyperLogLog++ sketches.
+    ``report=False`` stops after the cleaning itself (no statistics or
+    anomaly passes): for callers that only need the cleaned rows.
     """
     from ..session import materialize
 
@@ -269,6 +271,8 @@ def clean_table(df: DataFrame, order: Sequence[str] | str | None = None, sample:
     path = None
     if persist:
         t, path = materialize(t)
+    if not report:
+        return Cleaned(t, report_frame(spark, lines), order, rows_before, -1, None, path, {})
     # pass 4: every per-column measure of the cleaned table at once (row count included)
     from .profile import table_facts
     facts = table_facts(t, approx)

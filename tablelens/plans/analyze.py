@@ -147,7 +147,7 @@ def analyze_range(df: DataFrame, stored: dict, start: str | None, end: str | Non
     order = default_order(df, order)
     if not start and not end:
         return stored
-    cleaned = clean_table(df, order, persist=persist)
+    cleaned = clean_table(df, order, persist=persist, report=False)   # the stored report is kept
     t = cleaned.table
     cc = column_classes(t)
     if not cc.date:
