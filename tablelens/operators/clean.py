@@ -241,7 +241,8 @@ class Cleaned:
 
 def clean_table(df: DataFrame, order: Sequence[str] | str | None = None, sample: int = 50,
                 threshold: float = 0.7, z: float = 3.0, persist: bool = True,
-                extra_counts=None, approx: bool = False, report: bool = True) -> Cleaned:
+                extra_counts=None, approx: bool = False, report: bool = True,
+                distinct: bool = False) -> Cleaned:
     """Clean a table as the application does and return it with its report.
 
     With ``persist`` the cleaned table is written to the shared checkpoint
@@ -250,6 +251,8 @@ def clean_table(df: DataFrame, order: Sequence[str] | str | None = None, sample:
     ``approx`` counts distinct values with HyperLogLog++ sketches.
     ``report=False`` stops after the cleaning itself (no statistics or
     anomaly passes): for callers that only need the cleaned rows.
+    ``distinct=True`` also counts distinct values of every column in the
+    statistics pass (a full analysis needs them; the report does not).
     """
     from ..session import materialize
 
@@ -275,7 +278,7 @@ def clean_table(df: DataFrame, order: Sequence[str] | str | None = None, sample:
         return Cleaned(t, report_frame(spark, lines), order, rows_before, -1, None, path, {})
     # pass 4: every per-column measure of the cleaned table at once (row count included)
     from .profile import table_facts
-    facts = table_facts(t, approx)
+    facts = table_facts(t, approx, distinct=None if distinct else [])
     rows_after = facts.rows
     lines.append(("*", "removed_duplicates", rows_before - rows_after))
     # pass 5: anomaly counts, with any other counts the caller needs over the same scan

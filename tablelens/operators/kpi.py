@@ -19,7 +19,8 @@ def kpi_rows(df: DataFrame, numeric_k: int = 4, text_k: int = 2, approx: bool =
     """K1 as (name, value, type, icon) tuples, in order, at most 10."""
     cc = column_classes(df)
     num, text = cc.numeric[:numeric_k], cc.text[:text_k]
-    f = facts or table_facts(df.select(*num, *text), approx, distinct=text)
+    f = facts if facts is not None and all(c in facts.distinct for c in text) else \
+        table_facts(df.select(*num, *text), approx, distinct=text)
     rows = [("Total Records", float(f.rows), "count", "rows"),
             ("Data Fields", float(len(cc.columns)), "count", "columns")]
     for c in num:

@@ -112,7 +112,7 @@ def column_statistics(df: DataFrame, approx: bool = False, facts: TableFacts | N
     unique_count and, for numeric columns (small integers included) holding
     data, mean / min / max / sample std (null where undefined)."""
     cc = column_classes(df)
-    f = facts or table_facts(df, approx)
+    f = facts if facts is not None and all(c in facts.distinct for c in cc.columns) else table_facts(df, approx)
     rows = []
     for i, c in enumerate(cc.columns):
         wide = c in cc.numeric_wide

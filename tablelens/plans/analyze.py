@@ -113,7 +113,7 @@ def analyze(df: DataFrame, order: Sequence[str] | str | None = None, persist: bo
         b = histogram_bin(c, lo, width, bins)
         return {f"bin{i}": F.col(c).isNotNull() & (b == i) for i in range(bins)}
 
-    cleaned = clean_table(df, order, persist=persist, extra_counts=histogram_counts, approx=approx)
+    cleaned = clean_table(df, order, persist=persist, extra_counts=histogram_counts, approx=approx, distinct=True)
     t = cleaned.table
     n = cleaned.rows_after
     cc = column_classes(t)
