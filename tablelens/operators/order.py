@@ -116,7 +116,10 @@ def _shortest_prefixes(rows: list[tuple]) -> list[int]:
 
 
 def choose_buckets(df: DataFrame, n_rows: int) -> int:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    try:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    except ValueError:          # e.g. "auto" on some platforms
+        parts = df.sparkSession.sparkContext.defaultParallelism
     want = max(parts, math.ceil(n_rows / ROWS_PER_BUCKET))
     return int(max(1, min(MAX_BUCKETS, want, max(1, n_rows))))
 
