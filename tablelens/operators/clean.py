@@ -230,6 +230,7 @@ class Cleaned:
     facts: object = None
     path: str | None = None
     counts: dict = None
+    buckets: object = None          # the range buckets built for the fill, if any
 
     def release(self) -> bool:
         """Delete the written copy of the cleaned table (when ``persist`` wrote one)."""
@@ -275,7 +276,7 @@ def clean_table(df: DataFrame, order: Sequence[str] | str | None = None, sample:
     if persist:
         t, path = materialize(t)
     if not report:
-        return Cleaned(t, report_frame(spark, lines), order, rows_before, -1, None, path, {})
+        return Cleaned(t, report_frame(spark, lines), order, rows_before, -1, None, path, {}, go)
     # pass 4: every per-column measure of the cleaned table at once (row count included)
     from .profile import table_facts
     facts = table_facts(t, approx, distinct=None if distinct else [])
@@ -292,6 +293,6 @@ def clean_table(df: DataFrame, order: Sequence[str] | str | None = None, sample:
         row = t.agg(*aggs).first()
         lines += [(c, "anomalies_detected", int(row[f"a{i}"])) for i, (c, _, _) in enumerate(use)]
         got = {name: int(row[f"x{j}"]) for j, name in enumerate(extra)}
-    cleaned = Cleaned(t, report_frame(spark, lines), order, rows_before, rows_after, facts, path)
+    cleaned = Cleaned(t, report_frame(spark, lines), order, rows_before, rows_after, facts, path, {}, go)
     cleaned.counts = got
     return cleaned

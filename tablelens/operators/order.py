@@ -181,6 +181,11 @@ class GlobalOrder:
         steps = max(1, math.ceil(math.log2(len(rows) + 1)))
         return cls(df, order, n, None, len(rows) + 1, (arr, steps, len(rows)))
 
+    def on(self, df: DataFrame, n_rows: int) -> "GlobalOrder":
+        """The same boundaries over another table with the same order columns
+        (any sorted boundary set is a valid range partition), without sampling again."""
+        return GlobalOrder(df, self.order, n_rows, self.bucket, self.n_buckets, self.search)
+
     # ---- per-bucket facts -------------------------------------------------
     def with_bucket(self, df: DataFrame | None = None) -> DataFrame:
         d = df if df is not None else self.df

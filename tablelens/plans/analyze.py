@@ -128,7 +128,9 @@ def analyze(df: DataFrame, order: Sequence[str] | str | None = None, persist: bo
     facts = cleaned.facts
     kpi_df = kpis(t, facts=facts)
     kpi_rows = [(r["name"], r["value"], r["type"]) for r in kpi_df.orderBy("kpi_order").collect()]
-    go = GlobalOrder.build(t, order, n_rows=n) if cc.numeric else None
+    go = None
+    if cc.numeric:
+        go = cleaned.buckets.on(t, n) if cleaned.buckets is not None else GlobalOrder.build(t, order, n_rows=n)
     trends = half_trend(t, cc.numeric[:3], order, go=go)
     ins = insights(t, domain, order, trends=trends, facts=facts)
     summary = summary_text(domain, n, cc.columns, cc.numeric, cc.text, kpi_rows)

@@ -91,3 +91,12 @@ def test_array_search_buckets_equal_window(spark, rows, buckets, parts):
         last = rows[i][1] if rows[i][1] is not None else last
         want_ff[i] = last
     assert ff == want_ff
+
+
+def test_boundaries_reused_on_another_table(spark):
+    a = spark.range(0, 2000).select((F.col("id") * 7 % 2003).alias("_row_id"))
+    b = spark.range(0, 500).select((F.col("id") * 11 % 4001).alias("_row_id"))     # other rows, same key
+    go = GlobalOrder.build(a, ["_row_id"], buckets=6).on(b, 500)
+    got = {r["_row_id"]: r["_idx"] for r in go.global_index().collect()}
+    want = {k: i for i, k in enumerate(sorted(r["_row_id"] for r in b.collect()))}
+    assert got == want
