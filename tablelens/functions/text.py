@@ -1,5 +1,5 @@
 """Scalar column functions, all built from Spark SQL functions so they
-stay inside whole-stage code generation (no Python UDF anywhere).
+run in the JVM (mostly code-generated; no Python UDF anywhere).
 
 Number text follows the analysed application exactly where Spark allows:
 ``format_number`` rounds the double's exact binary value half-to-even, which is

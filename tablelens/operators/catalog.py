@@ -32,9 +32,10 @@ def latest_analyses(analyses: DataFrame, key: str = "upload_id", ts: str = "crea
                     tie: str = "id") -> DataFrame:
     """The newest record per ``key`` (ties: larger ``tie``).
 
-    A hash aggregate with ``max_by``: partial on the map side, so one key that
+    An aggregate with ``max_by``, partial on the map side, so one key that
     owns a third of all records is reduced before the shuffle, unlike a
-    ``row_number`` window that would sort that key's rows in one task."""
+    ``row_number`` window that would sort that key's rows in one task (Spark
+    runs it sort-based because the value is a struct)."""
     cols = analyses.columns
     newest = F.max_by(F.struct(*[F.col(c) for c in cols]), F.struct(F.col(ts), F.col(tie))).alias("_r")
     return analyses.groupBy(key).agg(newest).select("_r.*")

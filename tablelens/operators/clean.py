@@ -138,8 +138,9 @@ def missing_report(df: DataFrame, nulls: dict[str, int] | None = None) -> list[t
 
 def drop_duplicate_rows(df: DataFrame, order: Sequence[str] | str | None = None) -> DataFrame:
     """A1: whole-row duplicates (nulls equal) removed; the copy first in table
-    order survives. A hash aggregate: partial on the map side, so a value that
-    repeats millions of times shrinks before the shuffle."""
+    order survives. An aggregate that is partial on the map side, so a row
+    that repeats millions of times shrinks before the shuffle (hash-based for
+    a single fixed-width order column, sort-based for a composite one)."""
     order = default_order(df, order)
     data = data_columns(df)
     hidden = [c for c in order if c not in data]

@@ -9,8 +9,9 @@ every row into one task. Instead:
    take ``B - 1`` boundary keys from it. Boundaries become *literals*, so the
    bucket of a row is a pure function of the row and every later job agrees
    on it (``repartitionByRange`` would re-sample and could disagree).
-2. ``bucket = `` a binary-search ``CASE`` over the literal boundaries
-   (``log2 B`` comparisons per row, inside code generation).
+2. ``bucket = `` a binary search over the literal boundaries (``log2 B``
+   comparisons per row): a ``CASE`` tree up to 255 boundaries, an unrolled
+   search over one array literal beyond.
 3. One aggregate per bucket (count, last non-null value, ...) gives ``B``
    rows; prefix sums over those ``B`` rows happen on the driver.
 4. Inside a bucket, a window ``PARTITION BY bucket ORDER BY key`` gives local
