@@ -12,6 +12,25 @@ from ..functions.frames import rows_frame
 from .order import default_order
 
 
+MAX_TOPK_BRANCHES = 16
+
+
+def _head_values_one_scan(df: DataFrame, cols: list[str], order: list[str], k: int) -> DataFrame:
+    """Wide tables: one scan, columns unpivoted, ``row_number() <= k`` per
+    column (planned as a partial WindowGroupLimit before the shuffle, so only
+    k rows per column and input partition move)."""
+    def q(name: str) -> str:
+        return "`" + name.replace("`", "``") + "`"
+    parts = ", ".join(f"{i}L, '{c.replace(chr(39), chr(92) + chr(39))}', CAST({q(c)} AS STRING)"
+                      for i, c in enumerate(cols))
+    keys = [F.col(o).alias(f"_k{j}") for j, o in enumerate(order)]
+    long = (df.select(F.expr(f"stack({len(cols)}, {parts}) AS (position, column, value)"), *keys)
+            .filter(F.col("value").isNotNull()))
+    w = Window.partitionBy("column").orderBy(*[F.col(f"_k{j}") for j in range(len(order))])
+    return (long.withColumn("rank", F.row_number().over(w).cast("bigint"))
+            .filter(F.col("rank") <= k).select("column", "position", "rank", "value"))
+
+
 def head_values(df: DataFrame, cols: Sequence[str], order: Sequence[str] | str | None = None,
                 k: int = 50) -> DataFrame:
     """H1: the first ``k`` non-null values of every column in ``cols``, in
@@ -26,6 +45,8 @@ def head_values(df: DataFrame, cols: Sequence[str], order: Sequence[str] | str |
     cols = list(cols)
     if not cols:
         return rows_frame(df.sparkSession, [], "column string, position bigint, rank bigint, value string")
+    if len(cols) > MAX_TOPK_BRANCHES:
+        return _head_values_one_scan(df, cols, order, k)
     parts = []
     for i, c in enumerate(cols):
         part = (df.filter(F.col(c).isNotNull())

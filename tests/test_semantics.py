@@ -384,3 +384,13 @@ def test_run_analysis_lifecycle(spark, tmp_path):
     assert sorted(r["status"] for r in stored.collect()) == ["completed", "failed", "processing", "processing"]
     cur = {r["id"]: r["status"] for r in tl.current_analyses(stored).collect()}
     assert cur == {"a1": "completed", "a2": "failed"}
+
+
+def test_head_values_wide_table_path(spark, monkeypatch):
+    from tablelens.operators import heads
+    p = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    cols = ["p_name", "p_brand", "p_type"]
+    narrow = sorted(tuple(r) for r in tl.head_values(p, cols, "p_partkey", 7).collect())
+    monkeypatch.setattr(heads, "MAX_TOPK_BRANCHES", 1)
+    wide = sorted(tuple(r) for r in tl.head_values(p, cols, "p_partkey", 7).collect())
+    assert narrow == wide and len(narrow) == 21
