@@ -79,6 +79,8 @@ FILE_TYPES: list[tuple[str, str]] = [
     (".pdf", "pdf"), (".docx", "docx"), (".doc", "docx"),
 ]
 UNKNOWN_FILE_TYPE = "unknown"
+# FIXED VALUES — suffixes the browser's upload widget offers (S3); the server also takes .doc.
+CLIENT_SUFFIXES = [".xlsx", ".xls", ".csv", ".pdf", ".docx"]
 
 # FIXED VALUES — defaults when flattening stored insights / recommendations.
 INSIGHT_DEFAULTS = {"title": "Untitled Insight", "description": "No description available.",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import allowed_file, file_suffix, file_type
+from ..functions.words import CLIENT_SUFFIXES
 
 
 MAX_FILES_FOR_ROW_ID = 10_000
@@ -99,7 +100,8 @@ def load_table(spark: SparkSession, path: str, **options) -> DataFrame:
 
 def file_manifest(spark: SparkSession, pattern: str, recursive: bool = False) -> DataFrame:
     """S3: one upload row per file matching ``pattern``: id, filename,
-    original_name, file_type, file_size, allowed, status, created_at.
+    original_name, file_type, file_size, allowed, status, created_at, suffix,
+    client_accepts (the browser widget offers no ``.doc``).
     The ``binaryFile`` source is asked for path, length and time only, so
     file contents are never read."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
@@ -115,4 +117,5 @@ def file_manifest(spark: SparkSession, pattern: str, recursive: bool = False) ->
         F.when(allowed_file(name), F.lit("uploaded")).otherwise(F.lit("rejected")).alias("status"),
         F.col("modificationTime").alias("created_at"),
         file_suffix(name).alias("suffix"),
+        file_suffix(name).isin(CLIENT_SUFFIXES).alias("client_accepts"),
     )

@@ -249,10 +249,10 @@ def test_csv_inference_and_suffix_dispatch(spark, tmp_path):
 def test_file_manifest_labels(spark, tmp_path):
     for name in ["a.CSV", "b.xlsx", "c.doc", "d.txt"]:
         (tmp_path / name).write_text("x")
-    m = {r["original_name"]: (r["file_type"], r["allowed"], r["status"])
+    m = {r["original_name"]: (r["file_type"], r["allowed"], r["status"], r["client_accepts"])
          for r in tl.file_manifest(spark, str(tmp_path)).collect()}
-    assert m == {"a.CSV": ("csv", True, "uploaded"), "b.xlsx": ("excel", True, "uploaded"),
-                 "c.doc": ("docx", True, "uploaded"), "d.txt": ("unknown", False, "rejected")}
+    assert m == {"a.CSV": ("csv", True, "uploaded", True), "b.xlsx": ("excel", True, "uploaded", True),
+                 "c.doc": ("docx", True, "uploaded", False), "d.txt": ("unknown", False, "rejected", False)}
 
 
 def test_deep_page_uses_buckets(spark, monkeypatch):
