@@ -53,8 +53,17 @@ def cells_to_table(cells: DataFrame, doc: str | None = None) -> DataFrame:
         h = header.get(i)
         names.append(h.strip() if h else f"col_{i}")
     if len(first) < 2 or width == 0:
+        # fewer than two rows: one ``text`` row per table row, as Python prints a list of cells
         rows = c.groupBy("table_no", "row_no").agg(F.sort_array(F.collect_list(F.struct("col_no", "text"))).alias("r"))
-        return rows.select(F.to_json(F.transform("r", lambda x: x["text"])).alias("text"))
+        def cell(x):
+            t = x["text"]
+            for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+                t = F.replace(t, F.lit(raw), F.lit(shown))
+            dq = t.contains("'") & ~t.contains('"')
+            return (F.when(x["text"].isNull(), F.lit("None"))
+                    .when(dq, F.concat(F.lit('"'), t, F.lit('"')))
+                    .otherwise(F.concat(F.lit("'"), F.replace(t, F.lit("'"), F.lit("\\'")), F.lit("'"))))
+        return rows.select(F.concat(F.lit("["), F.array_join(F.transform("r", cell), ", "), F.lit("]")).alias("text"))
     data = c.filter(~((F.col("table_no") == h_table) & (F.col("row_no") == h_row)) & (F.col("col_no") < width))
     wide = data.groupBy("table_no", "row_no").pivot("col_no", list(range(width))).agg(F.first("text"))
     # every data row, including rows whose cells were all cut

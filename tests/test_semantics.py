@@ -394,3 +394,10 @@ def test_head_values_wide_table_path(spark, monkeypatch):
     monkeypatch.setattr(heads, "MAX_TOPK_BRANCHES", 1)
     wide = sorted(tuple(r) for r in tl.head_values(p, cols, "p_partkey", 7).collect())
     assert narrow == wide and len(narrow) == 21
+
+
+def test_cells_one_row_table_prints_like_python(spark):
+    vals = ["a", None, "it's", 'say "hi"', "both ' \"", "back\\slash", "new\nline"]
+    cells = spark.createDataFrame([("d", 0, 0, i, v) for i, v in enumerate(vals)],
+                                  "doc string, table_no int, row_no int, col_no int, text string")
+    assert tl.cells_to_table(cells, "d").collect()[0]["text"] == repr(vals)
