@@ -22,7 +22,8 @@ from .operators.derive import derive_metrics
 from .operators.explore import filter_date_range, search_rows, page, preview, clean_question, match_uploads
 from .operators.catalog import (latest_analyses, recent, dashboard, dashboard_counts, explode_insights,
                                 explode_recommendations, correction_lines, reuse_answers, keys_to_compute,
-                                answer_questions, resolve_analyses, chat_context, source_label)
+                                answer_questions, resolve_analyses, chat_context, source_label,
+                                question_key, prompt_key)
 from .operators.context import prompt_context, prompt_text, parse_responses
 from .sources.files import load_table, read_csv_table, file_manifest, with_file_order
 from .sources.extract import text_to_rows, cells_to_table, rows_in_order

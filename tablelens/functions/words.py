@@ -139,6 +139,12 @@ ERR_UPLOAD_NOT_FOUND = "Upload not found"
 ERR_NO_ANALYSIS = "No analysis found for selected upload"
 ERR_NOT_COMPLETED = "Analysis not yet completed"
 
+# FIXED VALUES — how long a stored answer may be reused (J4), in seconds.
+TTL_ANALYSIS = 24 * 3600
+TTL_QUESTION = 4 * 3600
+TTL_PROMPT = 12 * 3600
+TTL_DASHBOARD = 5 * 60
+
 # FIXED VALUES — chat-context section heads (Q2) and the correction line.
 CONTEXT_TYPE = "Business Type: "
 CONTEXT_SUMMARY = "Summary: "

@@ -137,6 +137,12 @@ def question_key(scope: Column, question: Column) -> Column:
     return F.concat(F.lit("chat:"), scope, F.lit(":"), short_hash(norm))
 
 
+def prompt_key(system: Column, user: Column) -> Column:
+    """Key of a stored model answer: the first 16 hex digits of SHA-256 over
+    the system text, a vertical bar and the user text."""
+    return F.concat(F.lit("prompt:"), short_hash(F.concat(system, F.lit("|"), user)))
+
+
 def fresh_answers(history: DataFrame, ttl_seconds: int, now: Column) -> DataFrame:
     """Still-valid stored answers (stored less than ``ttl_seconds`` before
     ``now``), newest per key (partial aggregate, skew-safe)."""

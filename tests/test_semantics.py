@@ -401,3 +401,13 @@ def test_cells_one_row_table_prints_like_python(spark):
     cells = spark.createDataFrame([("d", 0, 0, i, v) for i, v in enumerate(vals)],
                                   "doc string, table_no int, row_no int, col_no int, text string")
     assert tl.cells_to_table(cells, "d").collect()[0]["text"] == repr(vals)
+
+
+def test_answer_keys(spark):
+    import hashlib
+    df = spark.createDataFrame([("a1", "  What IS this? ", "sys", "user text")], "aid string, q string, s string, u string")
+    r = df.select(tl.question_key(F.col("aid"), F.col("q")).alias("k"), tl.prompt_key(F.col("s"), F.col("u")).alias("p")).first()
+    assert r["k"] == "chat:a1:" + hashlib.sha256("what is this?".encode()).hexdigest()[:16]
+    assert r["p"] == "prompt:" + hashlib.sha256("sys|user text".encode()).hexdigest()[:16]
+    from tablelens.functions import words
+    assert (words.TTL_ANALYSIS, words.TTL_QUESTION, words.TTL_PROMPT, words.TTL_DASHBOARD) == (86400, 14400, 43200, 300)
