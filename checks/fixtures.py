@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablelens.functions.words import TTL_QUESTION
+
 LINEITEM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                   "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 MESSY_LINEITEM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "_o_quantity", "l_extendedprice",
@@ -167,7 +169,7 @@ def chat_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 HISTORY_NOW = "2024-01-01 05:00:00"
-HISTORY_TTL = 4 * 3600
+HISTORY_TTL = TTL_QUESTION          # stored chat answers live 4 hours
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
