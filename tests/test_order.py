@@ -100,3 +100,22 @@ def test_boundaries_reused_on_another_table(spark):
     got = {r["_row_id"]: r["_idx"] for r in go.global_index().collect()}
     want = {k: i for i, k in enumerate(sorted(r["_row_id"] for r in b.collect()))}
     assert got == want
+
+
+def test_array_search_with_timestamps_and_odd_strings(spark):
+    """The JSON-encoded boundary array must round-trip microsecond timestamps
+    and strings with quotes, backslashes and non-ASCII letters."""
+    from tablelens.operators import order as O
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id", "ts")
+    words = ["é\"x", "a'b", "c\\d", "ünï", "plain"]
+    df = ev.withColumn("s", F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("event_id") % 5 + 1).cast("int")))
+    saved = O.MAX_TREE_BOUNDS
+    O.MAX_TREE_BOUNDS = 0
+    try:
+        for key in (["ts", "event_id"], ["s", "event_id"]):
+            go = GlobalOrder.build(df, key, buckets=7)
+            got = go.global_index().select("event_id", "_idx")
+            want = df.select("event_id", (F.row_number().over(Window.orderBy(*key)) - 1).alias("_idx"))
+            assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0, key
+    finally:
+        O.MAX_TREE_BOUNDS = saved
