@@ -411,3 +411,23 @@ def test_answer_keys(spark):
     assert r["p"] == "prompt:" + hashlib.sha256("sys|user text".encode()).hexdigest()[:16]
     from tablelens.functions import words
     assert (words.TTL_ANALYSIS, words.TTL_QUESTION, words.TTL_PROMPT, words.TTL_DASHBOARD) == (86400, 14400, 43200, 300)
+
+
+def test_type_classes_in_analysis(spark):
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    df = o.select(
+        "o_orderkey",
+        F.when(F.col("o_orderkey") % 9 == 0, None).otherwise((F.col("o_custkey") % 100)).cast("short").alias("small"),
+        (F.col("o_orderstatus") == "F").alias("flag"),
+        F.col("o_orderdate").cast("date").alias("day"),
+        "o_totalprice")
+    a = tl.analyze(df, "o_orderkey", persist=False)
+    names = [r["name"] for r in a.kpis.collect()]
+    assert "Total small" not in names and "Total o_totalprice" in names      # short: no KPI
+    stats = {r["column"]: r for r in a.column_stats.collect()}
+    assert stats["small"]["null_count"] == 0 and stats["small"]["mean"] is not None   # filled and profiled
+    lines = {(r["column"], r["action"]) for r in a.cleaned.report.collect()}
+    assert ("small", "filled_numeric_nulls") in lines
+    ts = [c for c in a.charts if c.type == "line"][0]
+    assert ts.title == "Trend over day" and len(ts.data.first()["date"]) == 10       # date text
+    assert "small" not in ts.data_keys
