@@ -431,3 +431,16 @@ def test_type_classes_in_analysis(spark):
     ts = [c for c in a.charts if c.type == "line"][0]
     assert ts.title == "Trend over day" and len(ts.data.first()["date"]) == 10       # date text
     assert "small" not in ts.data_keys
+
+
+def test_converted_values_are_then_filled(spark):
+    from checks import fixtures as fx
+    pm = fx.part_messy(spark, "/root/testdata/sf0.001")
+    n_bad = pm.filter(F.col("price_text") == "n/a").count()
+    c = tl.clean_table(pm, "p_partkey", persist=False)
+    types = dict(c.table.dtypes)
+    assert types["price_text"] == "double" and types["price_text_70"] == "string" and types["size_pct"] == "double"
+    assert c.table.filter(F.col("price_text").isNull()).count() == 0
+    lines = {(r["column"], r["action"]): r["affected_rows"] for r in c.report.collect()}
+    assert lines[("price_text", "filled_numeric_nulls")] == n_bad
+    assert not any(a == "converted_to_numeric" for _, a in lines)      # that line never appears
