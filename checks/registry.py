@@ -910,9 +910,21 @@ def q_summary(spark, d):
 # rows-only checks (no SQL form)
 # ---------------------------------------------------------------------------
 
-@query("file_manifest")
+@query("file_manifest", """
+SELECT name AS original_name,
+       CASE suffix WHEN '.xlsx' THEN 'excel' WHEN '.xls' THEN 'excel' WHEN '.csv' THEN 'csv' WHEN '.pdf' THEN 'pdf'
+                   WHEN '.docx' THEN 'docx' WHEN '.doc' THEN 'docx' ELSE 'unknown' END AS file_type,
+       suffix IN ('.xlsx', '.xls', '.csv', '.pdf', '.docx', '.doc') AS allowed,
+       CASE WHEN suffix IN ('.xlsx', '.xls', '.csv', '.pdf', '.docx', '.doc') THEN 'uploaded' ELSE 'rejected' END AS status,
+       suffix,
+       suffix IN ('.xlsx', '.xls', '.csv', '.pdf', '.docx') AS client_accepts
+FROM (SELECT regexp_extract(file, '([^/]+)$', 1) AS name,
+             lower(regexp_extract(regexp_extract(file, '([^/]+)$', 1), '(\\.[^./\\\\]*)$', 1)) AS suffix
+      FROM glob('/root/testdata/sf0.01/*.parquet'))""")
 def q_file_manifest(spark, d):
-    return tl.file_manifest(spark, f"{d.rstrip('/')}/*.parquet").drop("created_at")
+    """S3 over the folder of the driver's tables; the columns that depend only on file names."""
+    m = tl.file_manifest(spark, f"{d.rstrip('/')}/*.parquet")
+    return m.select("original_name", "file_type", "allowed", "status", "suffix", "client_accepts")
 
 
 @query("cells_to_table", """
