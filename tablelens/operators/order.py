@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from ..functions.frames import array_literal
 
 ROWS_PER_BUCKET = 4_000_000
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 16384
 MAX_TREE_BOUNDS = 255
 OVERSAMPLE = 32
 BUCKET = "_bucket"
@@ -152,10 +152,10 @@ class GlobalOrder:
             sample = sample.sample(withReplacement=False, fraction=fraction, seed=SEED)
         # the sample is bounded (about B * OVERSAMPLE rows): ranking it in one task is cheap
         ranked = (sample.select(key.alias("k"))
-                  .withColumn("r", F.row_number().over(Window.orderBy("k")))
+                  .withColumn("r", F.row_number().over(Window.orderBy("k")).cast("long"))
                   .withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))))
         step_rows = (ranked
-                     .withColumn("slot", F.floor((F.col("r") - 1) * F.lit(b) / F.col("m")))
+                     .withColumn("slot", F.floor((F.col("r") - 1) * F.lit(b).cast("long") / F.col("m")))
                      .withColumn("first", F.col("r") == F.min("r").over(Window.partitionBy("slot")))
                      .filter(F.col("first") & (F.col("slot") > 0))
                      .orderBy("slot")
