@@ -32,8 +32,11 @@ def prompt_context(df: DataFrame, order: Sequence[str] | str | None = None) -> D
     for i, c in enumerate(cc.columns):
         aggs.append(F.count_if(F.col(c).isNull()).alias(f"z{i}"))
         if c in cc.numeric:
+            integral = cc.dtypes[c].typeName() in ("long", "integer")
+            # integer sums as decimal(38,0): exact, printed like Python's int, no overflow under ANSI
+            total = F.sum(F.col(c).cast("decimal(38,0)")) if integral else F.sum(c)
             aggs += [F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), F.avg(F.col(c).cast("double")).alias(f"m{i}"),
-                     F.sum(c).alias(f"s{i}"), F.count(c).alias(f"n{i}")]
+                     total.alias(f"s{i}"), F.count(c).alias(f"n{i}")]
     row = df.agg(*aggs).first()
     dist = distinct_counts(df, cc.columns)
     samples: dict[str, list[str]] = {c: [] for c in cc.text}
