@@ -109,8 +109,9 @@ def py_repr(col: Column | str) -> Column:
     """Python ``str(float)`` for doubles between 1e-4 and 1e16: shortest digits,
     at least one decimal (``15000.0``, ``12345678.9``)."""
     c = _c(col).cast("double")
-    plain = F.regexp_replace(c.cast("decimal(38,12)").cast("string"), r"(\.\d*?)0+$", "$1")
-    plain = F.regexp_replace(plain, r"\.$", ".0")
+    dec = c.try_cast("decimal(38,12)")          # null past 1e26: Spark's own text is used there
+    plain = F.regexp_replace(dec.cast("string"), r"(\.\d*?)0+$", "$1")
+    plain = F.coalesce(F.regexp_replace(plain, r"\.$", ".0"), c.cast("string"))
     return (F.when(c.isNull(), F.lit("None"))
             .when(F.isnan(c), F.lit("nan"))
             .when(c == float("inf"), F.lit("inf"))
