@@ -129,12 +129,13 @@ def null_percent(df: DataFrame) -> DataFrame:
     cols = data_columns(df)
     nulls = sum((F.count_if(F.col(c).isNull()) for c in cols), F.lit(0))
     agg = df.agg(F.count(F.lit(1)).alias("rows"), nulls.alias("nulls"))
+    pct = (F.when(F.col("rows") > 0, F.col("nulls") / (F.col("rows") * F.lit(len(cols))) * 100)
+           .otherwise(F.lit(0.0)) if cols else F.lit(0.0))
     return agg.select(
         F.col("rows").cast("bigint").alias("rows"),
         F.lit(len(cols)).cast("bigint").alias("columns"),
         F.col("nulls").cast("bigint").alias("null_cells"),
-        F.when(F.col("rows") > 0, F.col("nulls") / (F.col("rows") * F.lit(len(cols))) * 100)
-        .otherwise(F.lit(0.0)).alias("null_percent"),
+        pct.cast("double").alias("null_percent"),
     )
 
 
