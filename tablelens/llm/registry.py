@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablelens.llm.jaccard_join import ngram_jaccard_join
+from tablelens.llm.packing import pack_documents
+from tablelens.llm.substring_dedup import remove_repeated_spans
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,3 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op2_ngram_jaccard_join")
 def op2(spark, sf_dir):
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=4, threshold=(85, 100))
+
+
+@query("op5_best_fit_packing")
+def op5(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), payload="crc32")
+
+
+@query("op10_substring_dedup")
+def op10(spark, sf_dir):
+    return remove_repeated_spans(table(spark, sf_dir, "documents"), payload="digest")

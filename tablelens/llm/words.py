@@ -162,3 +162,8 @@ def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         out = out * np.uint64(0x9FB21C651E98DF25) + h[i:i + n]
     return mix(out)
+
+
+def split_words(text: bytes) -> list[bytes]:
+    """Words of a byte string (bytes.split without arguments cuts at these separators)."""
+    return text.split()
