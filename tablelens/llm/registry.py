@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablelens.llm.jaccard_join import ngram_jaccard_join
 from tablelens.llm.packing import pack_documents
+from tablelens.llm.quality import fit_quality, grade_documents, grades_of_labels
 from tablelens.llm.substring_dedup import remove_repeated_spans
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +42,11 @@ def op5(spark, sf_dir):
 @query("op10_substring_dedup")
 def op10(spark, sf_dir):
     return remove_repeated_spans(table(spark, sf_dir, "documents"), payload="digest")
+
+
+@query("op4_quality_classifier")
+def op4(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = fit_quality(docs, grades_of_labels(table(spark, sf_dir, "labels")), levels=3)
+    graded = grade_documents(docs.select("doc_id", "text"), model, select_grade=2)
+    return graded.select("doc_id", "score", "expected_grade", "p_select", (F.col("p_select") >= 0.5).alias("selected"))
