@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from tablelens.llm.jaccard_join import ngram_jaccard_join
 from tablelens.llm.packing import pack_documents
 from tablelens.llm.quality import fit_quality, grade_documents, grades_of_labels
@@ -50,3 +51,12 @@ def op4(spark, sf_dir):
     model = fit_quality(docs, grades_of_labels(table(spark, sf_dir, "labels")), levels=3)
     graded = grade_documents(docs.select("doc_id", "text"), model, select_grade=2)
     return graded.select("doc_id", "score", "expected_grade", "p_select", (F.col("p_select") >= 0.5).alias("selected"))
+
+
+@query("pipeline")
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
