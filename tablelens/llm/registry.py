@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 from tablelens.llm.jaccard_join import ngram_jaccard_join
 from tablelens.llm.packing import pack_documents
+from tablelens.llm.pitman_yor import score_documents
 from tablelens.llm.quality import fit_quality, grade_documents, grades_of_labels
 from tablelens.llm.substring_dedup import remove_repeated_spans
 
@@ -45,6 +46,11 @@ def op10(spark, sf_dir):
     return remove_repeated_spans(table(spark, sf_dir, "documents"), payload="digest")
 
 
+@query("op3_lm_scoring")
+def op3(spark, sf_dir):
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op4_quality_classifier")
 def op4(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
