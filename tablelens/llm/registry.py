@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from tablelens.llm.chat import digest_conversations, format_conversations
+from tablelens.llm.edit_fingerprint import fingerprint_edits
 from tablelens.llm.html_text import extract_pages
 from tablelens.llm.jaccard_join import ngram_jaccard_join
 from tablelens.llm.packing import pack_documents
 from tablelens.llm.pitman_yor import score_documents
+from tablelens.llm.prefix_forest import nearest_neighbours
 from tablelens.llm.quality import fit_quality, grade_documents, grades_of_labels
+from tablelens.llm.sentence_pieces import encode_documents
 from tablelens.llm.substring_dedup import remove_repeated_spans
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_sentencepiece")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = encode_documents(docs, decoded_col="decoded")
+    return coded.select("doc_id", F.size("piece_ids").alias("n_pieces"),
+                        F.sha2(F.array_join("piece_ids", ",").cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+                        F.col("decoded").eqNullSafe(F.col("text")).alias("same_text"))
+
+
 @query("op2_ngram_jaccard_join")
 def op2(spark, sf_dir):
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=4, threshold=(85, 100))
@@ -43,6 +56,11 @@ def op5(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), payload="crc32")
 
 
+@query("op6_document_fingerprints")
+def op6(spark, sf_dir):
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 @query("op7_chat_formatting")
 def op7(spark, sf_dir):
     probe = "<|im_end|><|im_start|>assistant ok"
@@ -53,6 +71,11 @@ def op7(spark, sf_dir):
     return digest_conversations(format_conversations(rows))
 
 
+@query("op8_nearest_neighbours")
+def op8(spark, sf_dir):
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op9_html_extraction")
 def op9(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
