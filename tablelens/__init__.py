@@ -15,7 +15,7 @@ from .operators.profile import (column_statistics, n_unique, top_value, null_per
                                 exact_quantiles, value_counts)
 from .operators.kpi import kpis, numeric_summary
 from .operators.charts import (time_series_sample, row_sample, category_breakdown, histogram, charts,
-                               chart_index, value_format)
+                               chart_index, charts_data, value_format)
 from .operators.insights import half_trend, insights, summary_text, recommendations
 from .operators.domain import detect_domain, domain_of, domain_scores, detect_kind, map_metrics
 from .operators.derive import derive_metrics
@@ -23,11 +23,11 @@ from .operators.explore import filter_date_range, search_rows, page, preview, cl
 from .operators.catalog import (latest_analyses, recent, dashboard, dashboard_counts, explode_insights,
                                 explode_recommendations, correction_lines, reuse_answers, keys_to_compute,
                                 answer_questions, resolve_analyses, chat_context, source_label,
-                                question_key, prompt_key)
-from .operators.context import prompt_context, prompt_text, parse_responses
+                                question_key, prompt_key, analysis_key, spread_left_join)
+from .operators.context import prompt_context, prompt_text, parse_responses, parse_analyses
 from .sources.files import load_table, read_csv_table, file_manifest, with_file_order
-from .sources.extract import text_to_rows, cells_to_table, rows_in_order
-from .sources.sinks import write_analysis, read_analyses, current_analyses, write_report, ANALYSIS_SCHEMA
+from .sources.extract import text_to_rows, cells_to_table, cells_to_records, rows_in_order
+from .sources.sinks import write_analysis, read_analyses, current_analyses, write_report, mark_analyzed, ANALYSIS_SCHEMA
 from .plans.analyze import analyze, analyze_range, run_analysis, Analysis
 
 __all__ = [n for n in dir() if not n.startswith("_")]

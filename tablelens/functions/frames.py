@@ -44,7 +44,7 @@ def jsonable(v, dt: T.DataType):
     if isinstance(dt, (T.TimestampNTZType, T.DateType)):
         return v.isoformat()
     if isinstance(dt, T.DecimalType):
-        return float(v) if dt.scale else int(v)
+        return str(v)          # from_json reads a decimal's text exactly
     return v
 
 

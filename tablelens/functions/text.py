@@ -105,18 +105,72 @@ def py_round(col: Column | str, digits: int) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), c).otherwise(fixed(c, digits).cast("double"))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once (an expression that is used
+    often would otherwise be copied to each place)."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _parts(s: Column) -> Column:
+    """struct(sign, d: significant digits, e: decimal exponent) of a number's text."""
+    def cut(x):
+        shown = F.regexp_replace(F.regexp_replace(x["digits"], "^0+", ""), "0+$", "")
+        lead = F.length(x["digits"]) - F.length(F.regexp_replace(x["digits"], "^0+", ""))
+        return F.struct(x["sign"].alias("sign"), F.when(shown == "", F.lit("0")).otherwise(shown).alias("d"),
+                        F.when(shown == "", F.lit(0)).otherwise(x["whole"] - 1 - lead + x["power"]).alias("e"))
+
+    raw = F.struct(
+        F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit("")).alias("sign"),
+        F.regexp_replace(s, r"^-|\.|[eE].*$", "").alias("digits"),
+        F.length(F.regexp_extract(s, r"^-?(\d+)", 1)).alias("whole"),
+        F.coalesce(F.regexp_extract(s, r"[eE]\+?(-?\d+)$", 1).try_cast("int"), F.lit(0)).alias("power"))
+    return _let(raw, cut)
+
+
+def _scientific(c: Column) -> Column:
+    """The parts of a finite double's shortest text. Older Java versions print
+    some doubles with too many digits: fewer are taken where they read back as
+    the same double."""
+    def reads_back(text):
+        return _let(text, lambda f: F.when(f.try_cast("double") == c, f))
+
+    def shortest(x):
+        n = F.length(x["d"])
+        fewer = (F.when(n == 2, reads_back(F.format_string("%.0e", c)))
+                 .when(n >= 16, F.coalesce(reads_back(F.format_string("%.14e", c)),
+                                           F.when(n > 16, reads_back(F.format_string("%.15e", c))),
+                                           F.when(n > 17, reads_back(F.format_string("%.16e", c))))))
+        return _let(fewer, lambda f: F.when(f.isNotNull(), _parts(f)).otherwise(x))
+
+    return _let(_parts(c.cast("string")), shortest)
+
+
+def _double_text(c: Column, low: int, high: int, whole_tail: str, power_digits: int) -> Column:
+    """Plain digits for decimal exponents in ``low .. high - 1``, else
+    scientific with at least ``power_digits`` digits in the power."""
+    def shown(x):
+        d, e, n = x["d"], x["e"], F.length(x["d"])
+        plain = (F.when(e < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), d))
+                 .when(n <= e + 1, F.concat(d, F.repeat(F.lit("0"), e + 1 - n), F.lit(whole_tail)))
+                 .otherwise(F.concat(d.substr(F.lit(1), e + 1), F.lit("."), d.substr(e + 2, n))))
+        head = F.when(n > 1, F.concat(F.substring(d, 1, 1), F.lit("."), d.substr(F.lit(2), n))).otherwise(d)
+        power = F.abs(e).cast("string")
+        power = F.when(F.length(power) < power_digits, F.lpad(power, power_digits, "0")).otherwise(power)
+        scientific = F.concat(head, F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")), power)
+        return F.concat(x["sign"], F.when((e >= low) & (e < high), plain).otherwise(scientific))
+
+    return _let(_scientific(c), shown)
+
+
 def py_repr(col: Column | str) -> Column:
-    """Python ``str(float)`` for doubles between 1e-4 and 1e16: shortest digits,
-    at least one decimal (``15000.0``, ``12345678.9``)."""
+    """Python ``str(float)``: the shortest digits, at least one decimal
+    (``15000.0``, ``0.30000000000000004``), scientific below 1e-4 and from 1e16."""
     c = _c(col).cast("double")
-    dec = c.try_cast("decimal(38,12)")          # null past 1e26: Spark's own text is used there
-    plain = F.regexp_replace(dec.cast("string"), r"(\.\d*?)0+$", "$1")
-    plain = F.coalesce(F.regexp_replace(plain, r"\.$", ".0"), c.cast("string"))
     return (F.when(c.isNull(), F.lit("None"))
             .when(F.isnan(c), F.lit("nan"))
             .when(c == float("inf"), F.lit("inf"))
             .when(c == float("-inf"), F.lit("-inf"))
-            .otherwise(plain))
+            .otherwise(_double_text(c, -4, 16, ".0", 2)))
 
 
 def py_value_text(value: Column | str, is_int: Column) -> Column:
@@ -137,9 +191,12 @@ def py_datetime_text(col: Column | str, is_date: bool = False) -> Column:
 
 
 def js_number_text(col: Column | str) -> Column:
-    """JavaScript ``String(x)`` for ordinary doubles (integral values lose ``.0``)."""
+    """JavaScript ``String(x)`` of a double: integral values without ``.0``,
+    scientific below 1e-6 and from 1e21; null stays null."""
     c = _c(col).cast("double")
-    return F.when((c == F.floor(c)) & (F.abs(c) < 1e16), c.cast("decimal(38,0)").cast("string")).otherwise(py_repr(c))
+    return (F.when(F.isnan(c), F.lit("NaN")).when(c == float("inf"), F.lit("Infinity"))
+            .when(c == float("-inf"), F.lit("-Infinity")).when(c == 0, F.lit("0"))
+            .otherwise(_double_text(c, -6, 21, "", 1)))
 
 
 def _id_groups(whole: Column) -> Column:

@@ -1,7 +1,8 @@
 """C4: column classes, read from the schema in column order (no job).
 
-Columns whose name starts with ``_`` are hidden bookkeeping (row order,
-copy numbers) and are never analysed.
+Hidden columns are the library's own bookkeeping (row order, copy numbers), by
+an explicit list of names; every other column is the user's, whatever its name
+starts with, and is analysed.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from pyspark.sql import types as T
 
 from .frames import rows_frame
 
-HIDDEN_PREFIX = "_"
+#: The bookkeeping columns of this library: file order, table and row numbers of
+#: extracted cells, copy numbers, and positions. No other column is hidden.
+HIDDEN_COLUMNS = frozenset({"_row_id", "_file", "_block", "_pos", "_table_no", "_row_no", "_copy", "_idx", "_bucket"})
 
 # numeric: KPIs, charts, insights, anomalies, prompt context
 NUMERIC_TYPES = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType)
@@ -24,7 +27,7 @@ DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
 def data_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if not c.startswith(HIDDEN_PREFIX)]
+    return [c for c in df.columns if c not in HIDDEN_COLUMNS]
 
 
 def _is(dt: T.DataType, kinds: tuple) -> bool:
@@ -44,7 +47,7 @@ class ColumnClasses:
 def column_classes(df: DataFrame) -> ColumnClasses:
     cols, num, wide, text, date, dtypes = [], [], [], [], [], {}
     for f in df.schema.fields:
-        if f.name.startswith(HIDDEN_PREFIX):
+        if f.name in HIDDEN_COLUMNS:
             continue
         cols.append(f.name)
         dtypes[f.name] = f.dataType

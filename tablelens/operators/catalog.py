@@ -148,23 +148,51 @@ def fresh_answers(history: DataFrame, ttl_seconds: int, now: Column) -> DataFram
     ``now``), newest per key (partial aggregate, skew-safe)."""
     fresh = history.filter((F.col("created_at") <= now) &
                            (F.col("created_at") > now - F.make_dt_interval(secs=F.lit(ttl_seconds))))
-    return fresh.groupBy("key").agg(F.max_by(F.col("answer"), F.col("created_at")).alias("cached_answer"))
+    # of answers stored at the same time the last one in text order, whatever the order of rows
+    newest = F.max_by(F.col("answer"), F.struct("created_at", "answer"))
+    return fresh.groupBy("key").agg(newest.alias("cached_answer"))
+
+
+def analysis_key(upload_id: Column) -> Column:
+    """Key of a stored analysis: one per upload."""
+    return F.concat(F.lit("analysis:"), upload_id)
+
+
+SALTS = 8
+
+
+def spread_left_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: str, salts: int = SALTS) -> DataFrame:
+    """Left join where one key of ``left``, or null, may hold any share of the
+    rows: the rows of ``left`` are dealt over ``salts`` parts of their key, and
+    ``right``, which is unique by key, is there once per part. (The optimizer
+    cannot split a hot key here itself: an aggregate stands on the right side.)"""
+    dealt = left.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")) \
+        .withColumn("_left_key", left_key)
+    copies = right.withColumn("_copy_no", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    both = (F.col("_left_key") == F.col(right_key)) & (F.col("_part") == F.col("_copy_no"))
+    return dealt.join(copies, both, "left").drop("_part", "_left_key", "_copy_no")
 
 
 def reuse_answers(requests: DataFrame, history: DataFrame, ttl_seconds: int, now: Column,
-                  scope_col: str = "analysis_id", question_col: str = "question") -> DataFrame:
+                  scope_col: str = "analysis_id", question_col: str = "question",
+                  key: Column | None = None) -> DataFrame:
     """Requests with their cache key and the reused answer when a fresh
-    one exists (``reused``)."""
-    keyed = requests.withColumn("key", question_key(F.col(scope_col), F.col(question_col)))
-    fresh = fresh_answers(history, ttl_seconds, now)
-    return (keyed.join(fresh, "key", "left")
+    one exists (``reused``). ``key`` says what is reused: by default a chat
+    answer (``question_key``); ``prompt_key`` and ``analysis_key`` serve stored
+    model answers and analyses, each with its own lifetime."""
+    key = question_key(F.col(scope_col), F.col(question_col)) if key is None else key
+    keyed = requests.withColumn("key", key)
+    fresh = fresh_answers(history, ttl_seconds, now).withColumnRenamed("key", "_fresh_key")
+    return (spread_left_join(keyed, fresh, F.col("key"), "_fresh_key").drop("_fresh_key")
             .withColumn("reused", F.col("cached_answer").isNotNull()))
 
 
 def keys_to_compute(requests: DataFrame, history: DataFrame, ttl_seconds: int, now: Column,
-                    scope_col: str = "analysis_id", question_col: str = "question") -> DataFrame:
+                    scope_col: str = "analysis_id", question_col: str = "question",
+                    key: Column | None = None) -> DataFrame:
     """Distinct keys with no fresh stored answer (left anti join)."""
-    keyed = requests.select(question_key(F.col(scope_col), F.col(question_col)).alias("key")).distinct()
+    key = question_key(F.col(scope_col), F.col(question_col)) if key is None else key
+    keyed = requests.select(key.alias("key")).distinct()
     return keyed.join(fresh_answers(history, ttl_seconds, now), "key", "left_anti")
 
 
@@ -183,13 +211,15 @@ def resolve_analyses(questions: DataFrame, analyses: DataFrame, uploads: DataFra
         .select(F.col("upload_id").alias("_u_upload_id"), F.col("id").alias("_u_id"))
     has_aid = F.col("analysis_id").isNotNull() & (F.col("analysis_id") != "")
     has_uid = F.col("upload_id").isNotNull() & (F.col("upload_id") != "")
-    q = questions.join(newest, questions["upload_id"] == newest["_u_upload_id"], "left")
+    # a question with an analysis id looks up no upload: its key is null there
+    by_upload = F.when(~has_aid, F.col("upload_id"))
+    q = spread_left_join(questions, newest, by_upload, "_u_upload_id")
     q = q.withColumn("_pick", F.when(has_aid, F.col("analysis_id")).otherwise(F.col("_u_id")))
     rec = analyses.select(*[F.col(c).alias(f"_a_{c}") for c in rec_cols])
-    q = q.join(rec, q["_pick"] == rec["_a_id"], "left")
+    q = spread_left_join(q, rec, F.col("_pick"), "_a_id")
     if uploads is not None:
         known = uploads.select(F.col("id").alias("_known_upload")).distinct()
-        q = q.join(known, q["upload_id"] == known["_known_upload"], "left")
+        q = spread_left_join(q, known, by_upload, "_known_upload")
         upload_ok = F.col("_known_upload").isNotNull()
     else:
         upload_ok = F.lit(True)

@@ -143,18 +143,20 @@ def drop_duplicate_rows(df: DataFrame, order: Sequence[str] | str | None = None)
     a single fixed-width order column, sort-based for a composite one)."""
     order = default_order(df, order)
     data = data_columns(df)
-    hidden = [c for c in order if c not in data]
+    # the surviving copy keeps all its hidden columns, those of the order first
+    own = [c for c in df.columns if c not in data]
+    hidden = [c for c in order if c in own] + [c for c in own if c not in order]
     if not hidden:
         return df.dropDuplicates(data)
     fixed_width = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
                    T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
-    if len(hidden) == 1 and isinstance(df.schema[hidden[0]].dataType, fixed_width):
+    if len(hidden) == 1 and hidden[0] in order and isinstance(df.schema[hidden[0]].dataType, fixed_width):
         # one fixed-width key: a hash aggregate with a map-side partial min
         return df.groupBy(*data).agg(F.min(hidden[0]).alias(hidden[0])).select(*df.columns)
     # a composite key: min over a struct (Spark plans a sort-based aggregate, still partial first)
     first = F.min(F.struct(*[F.col(c) for c in hidden])).alias("_first")
     grouped = df.groupBy(*data).agg(first)
-    return grouped.select(*data, *[F.col(f"_first.{c}").alias(c) for c in hidden]).select(*df.columns)
+    return grouped.select(*[F.col("_first")[c].alias(c) if c in hidden else F.col(f"`{c}`") for c in df.columns])
 
 
 # ---------------------------------------------------------------------------
@@ -207,14 +209,10 @@ def flag_anomalies(df: DataFrame, z: float = 3.0, min_rows: int = 10) -> DataFra
     spark = df.sparkSession
     if not use:
         return rows_frame(spark, [], T.StructType(df.schema.fields + [T.StructField("anomaly_column", T.StringType()), T.StructField("z_score", T.DoubleType())]))
-    parts = []
-    for c, m, s in use:
-        zc = z_score(c, m, s)
-        parts.append(df.filter(zc > z).withColumn("anomaly_column", F.lit(c)).withColumn("z_score", zc))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # one scan: the flags of a row as an array, then one row per flag
+    flags = F.filter(F.array(*[F.struct(F.lit(c).alias("anomaly_column"), z_score(c, m, s).alias("z_score"))
+                               for c, m, s in use]), lambda f: f["z_score"] > z)
+    return df.select("*", F.inline(flags))
 
 
 # ---------------------------------------------------------------------------
@@ -233,6 +231,11 @@ class Cleaned:
     counts: dict = None
     buckets: object = None          # the range buckets built for the fill, if any
 
+    @classmethod
+    def of(cls, table: DataFrame, order: Sequence[str] | str | None = None) -> "Cleaned":
+        """An already cleaned table, for instance one stored earlier."""
+        return cls(table, report_frame(table.sparkSession, []), default_order(table, order), -1, -1, None, None, {})
+
     def release(self) -> bool:
         """Delete the written copy of the cleaned table (when ``persist`` wrote one)."""
         from ..session import release

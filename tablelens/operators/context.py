@@ -16,6 +16,11 @@ from .order import default_order
 from .profile import distinct_counts
 
 KPI_ITEM = "struct<name:string,value:double,type:string,icon:string,description:string>"
+INSIGHT_ITEM = "struct<title:string,description:string,severity:string,category:string>"
+RECOMMENDATION_ITEM = "struct<title:string,description:string,priority:string,impact:string>"
+TREND_ITEM = "struct<column:string,direction:string,change_percent:double,description:string>"
+ANALYSIS_ITEM = (f"struct<summary:string,insights:array<{INSIGHT_ITEM}>,"
+                 f"recommendations:array<{RECOMMENDATION_ITEM}>,trends:array<{TREND_ITEM}>>")
 
 
 
@@ -103,3 +108,29 @@ def parse_responses(responses: DataFrame, text_col: str = "text") -> DataFrame:
                     F.when(F.col("kind") == "kpis", obj["kpis"]).when(F.col("kind") == "array", arr).alias("kpis"),
                     F.when(F.col("kind").isin("kpis", "object"), obj["business_type"]).alias("business_type"),
                     F.when(F.col("kind").isin("kpis", "object"), obj["summary"]).alias("summary")))
+
+
+def parse_analyses(responses: DataFrame, text_col: str = "text", rule_based: DataFrame | None = None) -> DataFrame:
+    """P2 for full analyses: (id, kind, summary, insights, recommendations,
+    trends). A JSON object gives its fields, empty where one is missing
+    (``object``); anything else is a ``fallback``, whose fields come from the row
+    of ``rule_based`` (id and the same four fields) with its id, where given."""
+    clean = responses.select("id", strip_fences(text_col).alias("_clean"))
+    first = F.substring(F.col("_clean"), 1, 1)
+    # parsed once; only what starts like an object and has keys is one
+    parsed = clean.select("id", F.when((first == "{") & F.json_object_keys("_clean").isNotNull(),
+                                       F.from_json("_clean", ANALYSIS_ITEM)).alias("_p"))
+    fields = ["summary", "insights", "recommendations", "trends"]
+    types = dict(zip(fields, ["string", f"array<{INSIGHT_ITEM}>", f"array<{RECOMMENDATION_ITEM}>", f"array<{TREND_ITEM}>"]))
+    empty = {f: F.lit("") if f == "summary" else F.array().cast(types[f]) for f in fields}
+    own = {f: F.coalesce(F.col("_p")[f], empty[f]) for f in fields}
+    is_object = F.col("_p").isNotNull()
+    if rule_based is None:
+        other = {f: F.lit(None).cast(types[f]) for f in fields}
+    else:
+        from .catalog import spread_left_join
+        rules = rule_based.select(F.col("id").alias("_rule_id"), *[F.col(f).cast(types[f]).alias(f"_r_{f}") for f in fields])
+        parsed = spread_left_join(parsed, rules, F.when(~is_object, F.col("id")), "_rule_id")
+        other = {f: F.col(f"_r_{f}") for f in fields}
+    return parsed.select("id", F.when(is_object, F.lit("object")).otherwise(F.lit("fallback")).alias("kind"),
+                         *[F.when(is_object, own[f]).otherwise(other[f]).alias(f) for f in fields])

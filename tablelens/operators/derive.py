@@ -2,39 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .domain import map_metrics
 
 
+def _ratio(a: Column, b: Column) -> Column:
+    """a / b, where a divisor of 0 counts as 1."""
+    return a / F.when(b == 0, F.lit(1)).otherwise(b)
+
+
+@dataclass(frozen=True)
+class Derived:
+    """A column made of two others, and the aggregate that is its KPI. A need
+    names a metric kind, or with ``=`` a column of exactly that name."""
+
+    name: str
+    needs: tuple[str, str]
+    value: Callable[[Column, Column], Column]
+    kpi: Callable[[Column], Column]
+
+
+#: M3, M4, M5, each seeing the columns made before it.
+DERIVED = [
+    Derived("profit", ("revenue", "cost"), lambda a, b: a - b, lambda c: F.coalesce(F.sum(c), F.lit(0.0))),
+    Derived("avg_price", ("revenue", "quantity"), _ratio, F.avg),
+    Derived("margin", ("=profit", "revenue"), _ratio, F.avg),
+]
+
+
 def derive_metrics(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add ``profit = revenue − cost`` (when both are mapped),
     ``avg_price = revenue / quantity`` (quantity 0 → 1) and
     ``margin = profit / revenue`` (revenue 0 → 1; profit may be given).
     The first mapped column of each kind is used. Returns the table and one
     KPI row (profit sum, avg_price mean, margin mean; null when not derived)."""
-    mapped = map_metrics(df.columns)
-    by_kind: dict[str, list[str]] = {}
-    for col, kind in mapped.items():
-        by_kind.setdefault(kind, []).append(col)
+    kinds = map_metrics(df.columns)
+    source = {kind: name for name, kind in reversed(list(kinds.items()))}   # the first column of a kind
+    made: dict[str, Column] = {}
     out = df
-    aggs = []
-    if "revenue" in by_kind and "cost" in by_kind:
-        out = out.withColumn("profit", F.col(by_kind["revenue"][0]) - F.col(by_kind["cost"][0]))
-        aggs.append(F.coalesce(F.sum("profit"), F.lit(0.0)).cast("double").alias("profit"))
-    else:
-        aggs.append(F.lit(None).cast("double").alias("profit"))
-    if "revenue" in by_kind and "quantity" in by_kind:
-        q = F.col(by_kind["quantity"][0])
-        out = out.withColumn("avg_price", F.col(by_kind["revenue"][0]) / F.when(q == 0, F.lit(1)).otherwise(q))
-        aggs.append(F.avg("avg_price").cast("double").alias("avg_price"))
-    else:
-        aggs.append(F.lit(None).cast("double").alias("avg_price"))
-    if "profit" in out.columns and "revenue" in by_kind:
-        r = F.col(by_kind["revenue"][0])
-        out = out.withColumn("margin", F.col("profit") / F.when(r == 0, F.lit(1)).otherwise(r))
-        aggs.append(F.avg("margin").cast("double").alias("margin"))
-    else:
-        aggs.append(F.lit(None).cast("double").alias("margin"))
-    return out, out.agg(*aggs)
+    for rule in DERIVED:
+        source.update({f"={c}": c for c in out.columns})
+        if all(need in source for need in rule.needs):
+            out = out.withColumn(rule.name, rule.value(*[F.col(source[need]) for need in rule.needs]))
+            made[rule.name] = rule.kpi(F.col(rule.name))
+    return out, out.agg(*[made.get(r.name, F.lit(None)).cast("double").alias(r.name) for r in DERIVED])

@@ -70,20 +70,17 @@ def domain_of(df: DataFrame, order: Sequence[str] | str | None = None) -> str:
 
 def detect_kind(columns: Sequence[str]) -> str:
     """M1: dataset kind by exact lower-cased column name; first group wins."""
-    lowered = [c.lower() for c in columns]
-    for kind, names in KIND_COLUMNS:
-        if any(n in lowered for n in names):
-            return kind
-    return UNKNOWN_KIND
+    present = {c.lower() for c in columns}
+    return next((kind for kind, names in KIND_COLUMNS if present.intersection(names)), UNKNOWN_KIND)
+
+
+def _metric_kind(column: str) -> str | None:
+    """The last kind one of whose words the name contains."""
+    kinds = [kind for kind, words in METRIC_WORDS if any(w in column.lower() for w in words)]
+    return kinds[-1] if kinds else None
 
 
 def map_metrics(columns: Sequence[str]) -> dict[str, str]:
     """M2: column → revenue / cost / profit / quantity by contained word; a
     later group overwrites an earlier one."""
-    mapped: dict[str, str] = {}
-    for col in columns:
-        low = col.lower()
-        for key, words in METRIC_WORDS:
-            if any(w in low for w in words):
-                mapped[col] = key
-    return mapped
+    return {c: kind for c in columns if (kind := _metric_kind(c))}

@@ -11,9 +11,11 @@ from pyspark.sql import types as T
 
 from ..functions.text import js_number_text, py_datetime_text
 from ..functions.types import column_classes
-from .order import GlobalOrder, default_order
+from .order import GlobalOrder, default_order, typed_lit
 
-DEEP_PAGE_ROWS = 100_000
+#: Pages that end within so many rows are a top-k.
+TOP_ROWS = 100_000
+_FILLED = "_filled"
 
 
 def parse_bound(text: str | None) -> str | None:
@@ -72,36 +74,62 @@ def search_rows(df: DataFrame, text: str) -> DataFrame:
     needle = F.lit(text.lower())
     cond = F.lit(False)
     for c in cols:
-        cond = cond | F.coalesce(F.lower(_cell_text(df, c)).contains(needle), F.lit(False))
+        # an empty cell shows nothing, so it matches nothing
+        cond = cond | (F.col(c).isNotNull() & F.coalesce(F.lower(_cell_text(df, c)).contains(needle), F.lit(False)))
     return df.filter(cond)
 
 
 def page(df: DataFrame, sort: str | None = None, descending: bool = False, page_no: int = 0,
-         size: int = 15, order: Sequence[str] | str | None = None) -> DataFrame:
-    """One page of ``size`` rows, sorted by ``sort`` (ties in table order).
-
-    Shallow pages are a top-k (TakeOrderedAndProject). Deep pages would make
-    that top-k hold ``offset + size`` rows in one task, so past
-    ``DEEP_PAGE_ROWS`` the rows are found with range buckets instead."""
+         size: int = 15, order: Sequence[str] | str | None = None, top_rows: int = TOP_ROWS) -> DataFrame:
+    """One page of ``size`` rows, sorted by ``sort`` (nulls first ascending,
+    last descending; ties in table order), in page order.
+
+    Up to ``top_rows`` rows a page is a top-k, whose heap holds offset + size
+    rows in one task. Later pages are found by their positions instead: range
+    buckets over (null flag, sort value, table order) sort only the buckets that
+    hold them. Both ways give the same rows in the same order."""
     order = default_order(df, order)
     start = page_no * size
     if sort is None:
-        keys = [F.col(c).asc() for c in order]
+        sort, rest = order[0], list(order[1:])
+        descending = False
     else:
-        s = F.col(sort).desc() if descending else F.col(sort).asc()
-        keys = [s, *[F.col(c).asc() for c in order if c != sort]]
-    if start + size <= DEEP_PAGE_ROWS:
+        rest = [c for c in order if c != sort]
+    keys = [F.col(sort).desc() if descending else F.col(sort).asc(), *[F.col(c).asc() for c in rest]]
+    if start + size <= top_rows:
         ordered = df.orderBy(*keys)
         return ordered.offset(start).limit(size) if start else ordered.limit(size)
-    base = df
-    key_cols = list(order)
-    if sort is not None and sort not in order:
-        if descending:
-            raise NotImplementedError("deep descending pages: sort by a negated copy of the column")
-        base = df.withColumn("_nn", F.col(sort).isNotNull())
-        key_cols = ["_nn", sort, *order]
-    go = GlobalOrder.build(base, key_cols)
-    return go.select_positions(range(start, start + size)).drop("_idx", "_nn")
+    go = GlobalOrder.build(df.withColumn(_FILLED, F.col(sort).isNotNull()), [_FILLED, sort, *rest])
+    counts = go.bucket_counts()
+    wanted = range(start, min(start + size, sum(counts)))
+    if descending:
+        wanted = _from_the_end(go, counts, sort, wanted)
+    return go.select_positions(wanted, counts=counts).orderBy(*keys).drop("_idx", _FILLED)
+
+
+def _from_the_end(go: GlobalOrder, counts: list[int], sort: str, wanted: range) -> list[int]:
+    """Ascending positions of the rows at descending positions ``wanted``. Equal
+    sort values keep their table order both ways, so a row's place within its
+    group of equal values is the same; the group itself is mirrored."""
+    n = sum(counts)
+    mirrored = {n - 1 - p: p for p in wanted}
+    if not mirrored:
+        return []
+    values = {r["_idx"]: r[sort] for r in go.select_positions(list(mirrored), counts=counts).select("_idx", sort).collect()}
+    groups = list(dict.fromkeys(values.values()))          # at most one per row of the page
+    dtype = go.df.schema[sort].dataType
+    aggs = []
+    for i, v in enumerate(groups):
+        lower = F.lit(False) if v is None else ~F.col(_FILLED) | (F.col(sort) < typed_lit(v, dtype))
+        equal = ~F.col(_FILLED) if v is None else F.col(sort) == typed_lit(v, dtype)
+        aggs += [F.count_if(lower).alias(f"low{i}"), F.count_if(equal).alias(f"same{i}")]
+    row = go.df.agg(*aggs).first()
+    out = []
+    for i, p in mirrored.items():
+        g = groups.index(values[i])
+        low, same = row[f"low{g}"], row[f"same{g}"]
+        out.append(low + p - (n - low - same))
+    return out
 
 
 def preview(df: DataFrame, order: Sequence[str] | str | None = None, n: int = 50) -> DataFrame:

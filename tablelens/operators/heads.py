@@ -12,17 +12,16 @@ from ..functions.frames import rows_frame
 from .order import default_order
 
 
-MAX_TOPK_BRANCHES = 16
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def _head_values_one_scan(df: DataFrame, cols: list[str], order: list[str], k: int) -> DataFrame:
-    """Wide tables: one scan, columns unpivoted, ``row_number() <= k`` per
-    column (planned as a partial WindowGroupLimit before the shuffle, so only
-    k rows per column and input partition move)."""
-    def q(name: str) -> str:
-        return "`" + name.replace("`", "``") + "`"
-    parts = ", ".join(f"{i}L, '{c.replace(chr(39), chr(92) + chr(39))}', CAST({q(c)} AS STRING)"
-                      for i, c in enumerate(cols))
+def _unpivoted_heads(df: DataFrame, cols: list[str], positions: list[int], order: list[str], k: int) -> DataFrame:
+    """One scan: columns unpivoted, ``row_number() <= k`` per column (planned as
+    a partial WindowGroupLimit before the shuffle, so only k rows per column
+    and input partition move)."""
+    parts = ", ".join(f"{i}L, '{c.replace(chr(92), chr(92) * 2).replace(chr(39), chr(92) + chr(39))}', "
+                      f"CAST({_quoted(c)} AS STRING)" for i, c in zip(positions, cols))
     keys = [F.col(o).alias(f"_k{j}") for j, o in enumerate(order)]
     long = (df.select(F.expr(f"stack({len(cols)}, {parts}) AS (position, column, value)"), *keys)
             .filter(F.col("value").isNotNull()))
@@ -34,33 +33,14 @@ def _head_values_one_scan(df: DataFrame, cols: list[str], order: list[str], k: i
 def head_values(df: DataFrame, cols: Sequence[str], order: Sequence[str] | str | None = None,
                 k: int = 50) -> DataFrame:
     """H1: the first ``k`` non-null values of every column in ``cols``, in
-    table order: (column, position, rank, value).
-
-    One top-k per column (``TakeOrderedAndProject``: a bounded heap of ``k``
-    rows per input partition, no sort of the table), each reading only its
-    column and the order key with the null filter pushed to the scan; the
-    branches run as one union. The final ranking sees at most ``k`` rows per
-    column."""
+    table order: (column, position, rank, value), from one scan of the table
+    that reads only these columns and the order key, for any number of columns.
+    At most ``k`` rows per column and input partition leave the scan."""
     order = default_order(df, order)
     cols = list(cols)
     if not cols:
         return rows_frame(df.sparkSession, [], "column string, position bigint, rank bigint, value string")
-    if len(cols) > MAX_TOPK_BRANCHES:
-        return _head_values_one_scan(df, cols, order, k)
-    parts = []
-    for i, c in enumerate(cols):
-        part = (df.filter(F.col(c).isNotNull())
-                .select(F.lit(c).alias("column"), F.lit(i).cast("bigint").alias("position"),
-                        F.col(c).cast("string").alias("value"), *[F.col(o).alias(f"_k{j}") for j, o in enumerate(order)])
-                .orderBy(*[F.col(f"_k{j}") for j in range(len(order))])
-                .limit(k))
-        parts.append(part)
-    heads = parts[0]
-    for p_ in parts[1:]:
-        heads = heads.unionByName(p_)
-    w = Window.partitionBy("column").orderBy(*[F.col(f"_k{j}") for j in range(len(order))])
-    return (heads.withColumn("rank", F.row_number().over(w).cast("bigint"))
-            .select("column", "position", "rank", "value"))
+    return _unpivoted_heads(df, cols, list(range(len(cols))), order, k)
 
 
 def head_tail(df: DataFrame, order: Sequence[str] | str | None = None, first: int = 15,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..functions.frames import rows_frame
 
+from ..functions.rules import Rule, rows_of
 from ..functions.types import column_classes
 from ..functions.words import KPI_MONEY_WORDS
 from .profile import TableFacts, table_facts
@@ -14,6 +15,26 @@ KPI_SCHEMA = "kpi_order long, name string, value double, type string, icon strin
 MAX_KPIS = 10
 
 
+def _amount(title: str, measure: str, kind: str, icon: str):
+    return lambda f: (f"{title} {f['column']}", round(f[measure], 2), kind, icon)
+
+
+#: K1 as a table: subject, row, condition.
+KPI_RULES = [
+    Rule("table", lambda f: ("Total Records", float(f["rows"]), "count", "rows")),
+    Rule("table", lambda f: ("Data Fields", float(f["fields"]), "count", "columns")),
+    Rule("money", _amount("Total", "sum", "currency", "dollar")),
+    Rule("money", _amount("Avg", "mean", "currency", "trending")),
+    Rule("number", _amount("Total", "sum", "number", "sum")),
+    Rule("text", lambda f: (f"Unique {f['column']}", float(f["unique"]), "count", "hash")),
+]
+
+
+def _numeric_kind(column: str, count: int) -> str:
+    """Which rules a numeric column falls under; one without data under none."""
+    return "empty" if not count else "money" if any(w in column.lower() for w in KPI_MONEY_WORDS) else "number"
+
+
 def kpi_rows(df: DataFrame, numeric_k: int = 4, text_k: int = 2, approx: bool = False,
              facts: TableFacts | None = None) -> list[tuple]:
     """K1 as (name, value, type, icon) tuples, in order, at most 10."""
@@ -21,20 +42,10 @@ def kpi_rows(df: DataFrame, numeric_k: int = 4, text_k: int = 2, approx: bool =
     num, text = cc.numeric[:numeric_k], cc.text[:text_k]
     f = facts if facts is not None and all(c in facts.distinct for c in text) else \
         table_facts(df.select(*num, *text), approx, distinct=text)
-    rows = [("Total Records", float(f.rows), "count", "rows"),
-            ("Data Fields", float(len(cc.columns)), "count", "columns")]
-    for c in num:
-        if not f.count[c]:
-            continue
-        total, mean = f.sum[c], f.mean[c]
-        if any(w in c.lower() for w in KPI_MONEY_WORDS):
-            rows.append((f"Total {c}", round(total, 2), "currency", "dollar"))
-            rows.append((f"Avg {c}", round(mean, 2), "currency", "trending"))
-        else:
-            rows.append((f"Total {c}", round(total, 2), "number", "sum"))
-    for c in text:
-        rows.append((f"Unique {c}", float(f.unique(c)), "count", "hash"))
-    return rows[:MAX_KPIS]
+    subjects = [("table", {"rows": f.rows, "fields": len(cc.columns)})]
+    subjects += [(_numeric_kind(c, f.count[c]), {"column": c, "sum": f.sum[c], "mean": f.mean[c]}) for c in num]
+    subjects += [("text", {"column": c, "unique": f.unique(c)}) for c in text]
+    return rows_of(KPI_RULES, subjects, MAX_KPIS)
 
 
 def kpis(df: DataFrame, numeric_k: int = 4, text_k: int = 2, approx: bool = False,

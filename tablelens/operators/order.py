@@ -18,7 +18,7 @@ every row into one task. Instead:
    positions; global position = bucket offset + local position.
 
 The order key must be unique (a total order). Tables carry it as one or more
-columns; names starting with ``_`` are hidden from analysis.
+columns; those in ``types.HIDDEN_COLUMNS`` are hidden from analysis.
 """
 
 from __future__ import annotations
@@ -45,8 +45,8 @@ def default_order(df: DataFrame, order: Sequence[str] | str | None) -> list[str]
     if order is None:
         if "_row_id" in df.columns:
             return ["_row_id"]
-        if "_file_no" in df.columns and "_pos" in df.columns:      # file order from load_table
-            return ["_file_no", "_block", "_pos"] if "_block" in df.columns else ["_file_no", "_pos"]
+        if "_file" in df.columns and "_pos" in df.columns:      # file order from load_table
+            return ["_file", "_block", "_pos"] if "_block" in df.columns else ["_file", "_pos"]
         raise ValueError("an order is needed: pass order=[...] or add a _row_id column")
     return [order] if isinstance(order, str) else list(order)
 
@@ -216,13 +216,28 @@ class GlobalOrder:
     def local_window(self) -> Window:
         return Window.partitionBy(BUCKET).orderBy(*[F.col(c) for c in self.order])
 
+    def dealt(self, d: DataFrame, only: Sequence[int] | None = None) -> DataFrame:
+        """One task per bucket: rows go to the partition with their bucket's
+        number, so the number of tasks follows the number of buckets and no two
+        buckets meet in one task (hashing them would). Windows by bucket need no
+        further exchange."""
+        if self.n_buckets <= 1:
+            return d
+        if only is None:
+            return d.repartitionById(self.n_buckets, F.col(BUCKET))
+        place = F.col(BUCKET)
+        if len(only) < self.n_buckets:
+            numbers = array_literal(list(only), T.IntegerType())
+            place = (F.array_position(numbers, F.col(BUCKET)) - 1).cast("int")
+        return d.repartitionById(max(len(only), 1), place)
+
     # ---- positions --------------------------------------------------------
     def global_index(self, name: str = "_idx", counts: list[int] | None = None) -> DataFrame:
         """Every row with its 0-based position in the total order."""
         counts = counts if counts is not None else self.bucket_counts()
         offsets = _prefix(counts)
         offs = array_literal(offsets, T.LongType())
-        d = self.with_bucket()
+        d = self.dealt(self.with_bucket())
         return (d.withColumn(name, F.element_at(offs, F.col(BUCKET) + 1)
                              + F.row_number().over(self.local_window()) - 1)
                 .drop(BUCKET))
@@ -241,6 +256,8 @@ class GlobalOrder:
         if not wanted:
             return self.df.withColumn(name, F.lit(None).cast("bigint")).limit(0)
         d = self.with_bucket().filter(F.col(BUCKET).isin(list(wanted)))
+        # only the wanted buckets move, each to a task of its own
+        d = self.dealt(d, sorted(wanted))
         offs = array_literal(offsets, T.LongType())
         pos = F.element_at(offs, F.col(BUCKET) + 1) + F.row_number().over(self.local_window()) - 1
         flat = [p for ps in wanted.values() for p in ps]
@@ -289,7 +306,7 @@ def forward_fill(df: DataFrame, cols: Sequence[str], order: Sequence[str] | str
         aggs.append(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), key)).alias(f"_last{i}"))
     per_bucket = {r[BUCKET]: r for r in d.groupBy(BUCKET).agg(*aggs).collect()}
     w = go.local_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = d
+    out = go.dealt(d)
     for i, c in enumerate(cols):
         dtype = df.schema[c].dataType
         carry, carried = None, []

@@ -19,6 +19,7 @@ cleaned copy written once to the checkpoint folder):
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -40,6 +41,8 @@ from ..operators.order import GlobalOrder, default_order
 from ..operators.profile import column_statistics, table_facts
 from ..sources.sinks import ANALYSIS_SCHEMA
 
+logger = logging.getLogger(__name__)
+
 
 @dataclass
 class Analysis:
@@ -64,6 +67,19 @@ class Analysis:
     def chart_index(self) -> DataFrame:
         return chart_index(self.table.sparkSession, self.charts)
 
+    def chart_items(self) -> list[tuple]:
+        """The charts as they are stored: their parts and points (a chart has
+        less than a hundred points by construction) as JSON rows."""
+        out = []
+        index = {r["chart_no"]: r["value_format"] for r in self.chart_index().collect()} if self.charts else {}
+        for i, c in enumerate(self.charts):
+            place = next((k for k in ("idx", "position", "bin", "rank", "index") if k in c.data.columns), None)
+            data = c.data.orderBy(place) if place else c.data
+            keys = [c.name_key or c.x_key, *c.data_keys]
+            points = [json.dumps({k: r[k] for k in keys}, default=str, ensure_ascii=False) for r in data.collect()]
+            out.append((c.type, c.title, c.x_key, list(c.data_keys), c.name_key, index.get(i), points))
+        return out
+
     def record(self, analysis_id: str, upload_id: str, created_at: datetime | None = None) -> DataFrame:
         """The analysis as one ``analyses`` row (status ``completed``)."""
         spark = self.table.sparkSession
@@ -84,7 +100,7 @@ class Analysis:
         prev = [json.dumps({c: r[c] for c in cols}, default=str, ensure_ascii=False)
                 for r in self.preview.collect()]
         row = (analysis_id, upload_id, "completed", self.business_type, self.summary, ins, recs, kp, tr, corr,
-               json.dumps(stats, indent=2, default=str), prev, created, now)
+               json.dumps(stats, indent=2, default=str), prev, self.chart_items(), created, now)
         return rows_frame(spark, [row], ANALYSIS_SCHEMA)
 
 
@@ -142,18 +158,23 @@ def analyze(df: DataFrame, order: Sequence[str] | str | None = None, persist: bo
 
 
 def analyze_range(df: DataFrame, stored: dict, start: str | None, end: str | None,
-                  order: Sequence[str] | str | None = None, persist: bool = True) -> dict:
-    """B2: clean again, filter the first date column to [start, end], then
-    new charts, KPIs and preview; everything else comes from ``stored``.
-    No bounds or no date column → ``stored`` unchanged."""
+                  order: Sequence[str] | str | None = None, persist: bool = True,
+                  clean: Cleaned | None = None) -> dict:
+    """B2: filter the first date column of the cleaned table to [start, end],
+    then new charts, KPIs and preview; everything else comes from ``stored``.
+    No bounds or no date column → ``stored`` unchanged, without a job.
+
+    ``clean``: the kept cleaned table (``Analysis.cleaned``, or a stored copy as
+    ``Cleaned.of(table, order)``), so the range filter is pushed into its scan
+    and nothing is cleaned again. Without it the table is cleaned here, and
+    ``out["cleaned"].release()`` drops the copy that was written for it."""
     order = default_order(df, order)
-    if not start and not end:
+    # cleaning never changes which columns hold dates: the schema tells before any job
+    if (not start and not end) or not column_classes(df).date:
         return stored
-    cleaned = clean_table(df, order, persist=persist, report=False)   # the stored report is kept
+    cleaned = clean if clean is not None else clean_table(df, order, persist=persist, report=False)
     t = cleaned.table
     cc = column_classes(t)
-    if not cc.date:
-        return stored
     sub = filter_date_range(t, start, end, cc.date[0])
     facts = table_facts(sub, distinct=cc.text[:2])
     out = dict(stored)
@@ -161,13 +182,16 @@ def analyze_range(df: DataFrame, stored: dict, start: str | None, end: str | Non
     out["kpis"] = kpis(sub, facts=facts)
     out["raw_data_preview"] = preview(sub, order, 50)
     out["table"] = sub
+    if clean is None:
+        out["cleaned"] = cleaned
     return out
 
 
 
 def _bare_record(spark, analysis_id: str, upload_id: str, status: str, summary: str | None,
                  created: datetime, completed: datetime | None) -> DataFrame:
-    row = (analysis_id, upload_id, status, None, summary, None, None, None, None, None, None, None, created, completed)
+    row = (analysis_id, upload_id, status, None, summary, None, None, None, None, None, None, None, None, created,
+           completed)
     return rows_frame(spark, [row], ANALYSIS_SCHEMA)
 
 
@@ -183,13 +207,17 @@ def run_analysis(df: DataFrame, analysis_id: str, upload_id: str, path: str | No
     created = datetime.now(timezone.utc).replace(tzinfo=None)
     if path:
         write_analysis(_bare_record(spark, analysis_id, upload_id, "processing", None, created, None), path)
+    a = None
     try:
         a = analyze(df, order, approx=approx)
         final = a.record(analysis_id, upload_id, created_at=created)
-        a.release()
     except Exception as e:  # noqa: BLE001 — any failure is stored, as the application does
+        logger.exception("analysis %s failed", analysis_id)
         final = _bare_record(spark, analysis_id, upload_id, "failed", f"Analysis failed: {e}", created,
                              datetime.now(timezone.utc).replace(tzinfo=None))
+    finally:
+        if a is not None:
+            a.release()
     if path:
         write_analysis(final, path)
     return final

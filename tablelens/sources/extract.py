@@ -31,30 +31,72 @@ def text_to_rows(docs: DataFrame, drop_blank: bool = False, doc_col: str = "doc"
         .withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
-def cells_to_table(cells: DataFrame, doc: str | None = None) -> DataFrame:
+def _with_headers(cells: DataFrame, docx: bool) -> DataFrame:
+    """Cells with their document's header row, column names and width:
+    ``_names`` (by column number), ``_header`` (is this cell in the header row).
+
+    The header is the first row of a document's first table. Names are trimmed,
+    missing or empty ones become ``col_{i}``, a repeated name gets ``_2``, ``_3``.
+    DOCX documents have one table, the first, and trimmed cells."""
+    at = F.struct("table_no", "row_no")
+    first = cells.groupBy("doc").agg(F.min(at).alias("_first"))
+    c = cells.join(first, "doc")
+    if docx:
+        c = c.where(F.col("table_no") == F.col("_first.table_no")).withColumn("text", F.trim("text"))
+    c = c.withColumn("_header", at == F.col("_first")).drop("_first")
+    head = c.where("_header").groupBy("doc").agg(
+        F.max("col_no").alias("_last"), F.map_from_entries(F.collect_list(F.struct("col_no", "text"))).alias("_text"))
+    raw = F.transform(F.sequence(F.lit(0), F.col("_last")), lambda i: F.coalesce(
+        F.nullif(F.regexp_replace(F.element_at("_text", i), r"^\s+|\s+$", ""), F.lit("")),
+        F.concat(F.lit("col_"), i.cast("string"))))
+    head = head.withColumn("_raw", raw)
+    unique = F.transform("_raw", lambda name, k: F.concat(name, F.when(
+        F.size(F.filter(F.slice("_raw", 1, k), lambda x: x == name)) > 0,
+        F.concat(F.lit("_"), (F.size(F.filter(F.slice("_raw", 1, k), lambda x: x == name)) + 1).cast("string")))
+        .otherwise(F.lit(""))))
+    return c.join(head.select("doc", unique.alias("_names")), "doc")
+
+
+def cells_to_records(cells: DataFrame, docx: bool = False) -> DataFrame:
+    """S4 and U1 for any number of documents at once: one row per data row of
+    every table of every document, in one table: (doc, table_no, row_no, record),
+    ``record`` a map from the document's column names to cell texts. Short rows
+    are padded with null, cells beyond the header are cut, a row all of whose
+    cells were cut stays. A document with a header row only has no rows here
+    (see ``cells_to_table``)."""
+    c = _with_headers(cells, docx).where(~F.col("_header"))
+    row = c.groupBy("doc", "table_no", "row_no").agg(
+        F.first("_names").alias("_names"), F.map_from_entries(F.collect_list(F.struct("col_no", "text"))).alias("_cells"))
+    entries = F.transform("_names", lambda name, i: F.struct(name, F.element_at("_cells", i.cast("bigint"))))
+    return row.select("doc", "table_no", "row_no", F.map_from_entries(entries).alias("record"))
+
+
+def cells_to_table(cells: DataFrame, doc: str | None = None, docx: bool = False) -> DataFrame:
     """The cells of one document as a table. The first row of the first
-    table is the header (trimmed; missing or empty → ``col_{i}``); every other
-    row of every table is data, in (table, row) order; short rows are padded
-    with null, long rows cut. A document with fewer than two rows becomes a
-    one-column table ``text``.
+    table is the header (trimmed; missing or empty → ``col_{i}``; a repeated
+    name gets a number); every other row of every table is data, in (table, row)
+    order; short rows are padded with null, long rows cut. A document with fewer
+    than two rows becomes a one-column table ``text``. ``docx=True``: the first
+    table only, with trimmed cells. Cells of several documents are refused unless
+    ``doc`` names one: their headers differ (``cells_to_records`` takes them all).
 
     The header is one row (collected); data rows are pivoted on the known
     column positions in one aggregate."""
     c = cells if doc is None else cells.filter(F.col("doc") == doc)
-    first = c.select("table_no", "row_no").distinct().orderBy("table_no", "row_no").limit(2).collect()
-    if not first:
+    if "doc" not in c.columns:
+        c = c.withColumn("doc", F.lit(""))
+    if doc is None and c.select("doc").distinct().limit(2).count() > 1:
+        raise ValueError("cells of several documents: name one, or use cells_to_records")
+    c = c.withColumn("col_no", F.col("col_no").cast("bigint"))
+    named = _with_headers(c, docx)
+    head = named.where("_header").select("table_no", "row_no", "_names").limit(1).collect()
+    if not head:
         return rows_frame(c.sparkSession, [], "text string")
-    h_table, h_row = first[0]["table_no"], first[0]["row_no"]
-    header = {r["col_no"]: r["text"] for r in
-              c.filter((F.col("table_no") == h_table) & (F.col("row_no") == h_row)).select("col_no", "text").collect()}
-    width = max(header) + 1 if header else 0
-    names = []
-    for i in range(width):
-        h = header.get(i)
-        names.append(h.strip() if h else f"col_{i}")
-    if len(first) < 2 or width == 0:
-        # fewer than two rows: one ``text`` row per table row, as Python prints a list of cells
-        rows = c.groupBy("table_no", "row_no").agg(F.sort_array(F.collect_list(F.struct("col_no", "text"))).alias("r"))
+    names = head[0]["_names"]
+    data = named.where(~F.col("_header"))
+    if data.isEmpty():
+        # one row: a ``text`` row as Python prints a list of cells
+        rows = named.groupBy("table_no", "row_no").agg(F.sort_array(F.collect_list(F.struct("col_no", "text"))).alias("r"))
         def cell(x):
             t = x["text"]
             for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
@@ -64,14 +106,12 @@ def cells_to_table(cells: DataFrame, doc: str | None = None) -> DataFrame:
                     .when(dq, F.concat(F.lit('"'), t, F.lit('"')))
                     .otherwise(F.concat(F.lit("'"), F.replace(t, F.lit("'"), F.lit("\\'")), F.lit("'"))))
         return rows.select(F.concat(F.lit("["), F.array_join(F.transform("r", cell), ", "), F.lit("]")).alias("text"))
-    data = c.filter(~((F.col("table_no") == h_table) & (F.col("row_no") == h_row)) & (F.col("col_no") < width))
-    wide = data.groupBy("table_no", "row_no").pivot("col_no", list(range(width))).agg(F.first("text"))
-    # every data row, including rows whose cells were all cut
-    keys = c.filter(~((F.col("table_no") == h_table) & (F.col("row_no") == h_row))) \
-        .select("table_no", "row_no").distinct()
-    full = keys.join(wide, ["table_no", "row_no"], "left")
+    # cells beyond the header are skipped inside the aggregate, so their rows stay
+    wide = [F.first(F.when(F.col("col_no") == i, F.col("text")), ignorenulls=True).alias(f"_v{i}")
+            for i in range(len(names))]
+    full = data.groupBy("table_no", "row_no").agg(*wide)
     return full.select(F.col("table_no").alias("_table_no"), F.col("row_no").alias("_row_no"),
-                       *[F.col(str(i)).alias(names[i]) for i in range(width)])
+                       *[F.col(f"_v{i}").alias(names[i]) for i in range(len(names))])
 
 
 def rows_in_order(table: DataFrame) -> DataFrame:

@@ -1,86 +1,70 @@
-"""Loading a table by file suffix, CSV with fixed-cost type
-inference, and the upload manifest of a folder."""
+"""Loading a table by file suffix, CSV typed over all rows, and the
+upload manifest of a folder."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import allowed_file, file_suffix, file_type
 from ..functions.words import CLIENT_SUFFIXES
 
 
-MAX_FILES_FOR_ROW_ID = 10_000
-
-
-def _path_key(uri: str) -> str:
-    """A file URI without its scheme (``file:/a`` and ``file:///a`` agree)."""
-    from urllib.parse import urlparse
-    u = urlparse(uri)
-    return (u.netloc + u.path) if u.scheme else uri
-
-
 def with_file_order(df: DataFrame) -> DataFrame:
-    """Hidden total order of a file scan.
-
-    Parquet: ``_row_id = file number × 2^40 + row index in the file``, one
-    long (files numbered by sorted path; the file list is known from the
-    plan). Text formats have no row index: the order is the triple
-    (``_file_no``, ``_block``, ``_pos``) — file number, split start, and a
-    counter that increases along each split (rows of a split are read in file
-    order and stay together in one partition, so the triple follows the
-    files even though Spark packs splits into partitions by size). With more
-    than ``MAX_FILES_FOR_ROW_ID`` files the file path itself is used."""
+    """Hidden total order of a file scan, of one form at any size: the file's
+    path and the place of the row in it.
+
+    Parquet: (``_file``, ``_pos``) with the row index that the reader knows.
+    Text formats have no row index: (``_file``, ``_block``, ``_pos``) — path,
+    split start, and a counter that increases along each split (rows of a split
+    are read in file order and stay together in one partition, so the triple
+    follows the files even though Spark packs splits into partitions by size).
+    """
     meta = F.col("_metadata")
-    files = sorted({_path_key(f) for f in df.inputFiles()})
-    key = F.regexp_replace(F.regexp_replace(meta["file_path"], r"^[a-zA-Z][a-zA-Z0-9+.\-]*:", ""), "^//", "")
-    if 0 < len(files) <= MAX_FILES_FOR_ROW_ID:
-        number = F.create_map(*[x for i, f in enumerate(files) for x in (F.lit(f), F.lit(i))])
-        file_no = F.element_at(number, key).cast("bigint")
-    else:
-        file_no = meta["file_path"]
     try:
         pos = df.withColumn("_pos", meta["row_index"])
-    except Exception:
-        return (df.withColumn("_file_no", file_no)
+    except AnalysisException:  # the format has no row index
+        return (df.withColumn("_file", meta["file_path"])
                 .withColumn("_block", meta["file_block_start"])
                 .withColumn("_pos", F.monotonically_increasing_id()))
-    if 0 < len(files) <= MAX_FILES_FOR_ROW_ID:
-        return pos.withColumn("_row_id", file_no * F.lit(1 << 40) + F.col("_pos")).drop("_pos")
-    return pos.withColumn("_file_no", file_no)
-
-
-def _infer_type(spark: SparkSession, head: DataFrame, c: str) -> T.DataType:
-    v = F.col(c)
-    probes = {
-        "bigint": F.count_if(v.isNotNull() & ~v.rlike(r"^\s*[+-]?\d{1,18}\s*$")),
-        "double": F.count_if(v.isNotNull() & ~v.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$")),
-        "boolean": F.count_if(v.isNotNull() & ~F.lower(v).isin("true", "false")),
-        "date": F.count_if(v.isNotNull() & ~v.rlike(r"^\d{4}-\d{2}-\d{2}$")),
-        "timestamp_ntz": F.count_if(v.isNotNull() & (~v.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$")
-                                                     | v.try_cast("timestamp_ntz").isNull())),
-        "n": F.count(v),
-    }
-    r = head.agg(*[e.alias(k) for k, e in probes.items()]).first()
-    if r["n"] == 0:
-        return T.StringType()
-    for name, dt in [("bigint", T.LongType()), ("double", T.DoubleType()), ("boolean", T.BooleanType()),
-                     ("date", T.DateType()), ("timestamp_ntz", T.TimestampNTZType())]:
-        if r[name] == 0:
-            return dt
-    return T.StringType()
-
-
-def read_csv_table(spark: SparkSession, path: str, infer_rows: int = 1000, **options) -> DataFrame:
-    """CSV with a header row; types inferred from the first ``infer_rows``
-    rows only (integer, float, Boolean, date, date-time, else text), then the
-    files are read with that schema (cells that do not fit become null)."""
-    raw = spark.read.options(header=True, inferSchema=False, **options).csv(path)
-    head = raw.limit(infer_rows).cache()
-    fields = [T.StructField(c, _infer_type(spark, head, c), True) for c in raw.columns]
-    head.unpersist()
-    return spark.read.options(header=True, mode="PERMISSIVE", **options).schema(T.StructType(fields)).csv(path)
+    return pos.withColumn("_file", meta["file_path"])
+
+
+# types a text column may have, narrowest first: (type, fits)
+_CSV_TYPES = [
+    ("bigint", lambda v: v.rlike(r"^\s*[+-]?\d{1,18}\s*$")),
+    ("double", lambda v: v.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$")),
+    ("boolean", lambda v: F.lower(v).isin("true", "false")),
+    ("date", lambda v: v.rlike(r"^\d{4}-\d{2}-\d{2}$") & v.try_cast("date").isNotNull()),
+    ("timestamp_ntz", lambda v: v.rlike(r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$")
+     & v.try_cast("timestamp_ntz").isNotNull()),
+]
+
+
+def csv_types(raw: DataFrame) -> dict[str, str]:
+    """The narrowest type that every cell of each text column fits, from one
+    aggregate over all rows (all null: text)."""
+    aggs = []
+    for i, c in enumerate(raw.columns):
+        v = F.col(f"`{c}`")
+        aggs.append(F.count(v).alias(f"n{i}"))
+        aggs += [F.count_if(v.isNotNull() & ~fits(v)).alias(f"{name}{i}") for name, fits in _CSV_TYPES]
+    row = raw.agg(*aggs).first() if aggs else {}
+    return {c: next((name for name, _ in _CSV_TYPES if row[f"n{i}"] and not row[f"{name}{i}"]), "string")
+            for i, c in enumerate(raw.columns)}
+
+
+def read_csv_table(spark: SparkSession, path: str, multi_line: bool = False, **options) -> DataFrame:
+    """CSV with a header row, typed over **all** its rows (integer, float,
+    Boolean, date, date-time, else text): a column takes the narrowest type that
+    every cell fits, so no cell is lost to a type. Quotes are doubled inside
+    quoted cells. ``multi_line=True`` reads quoted line breaks; such files cannot
+    be split, so each is read by one task."""
+    raw = spark.read.options(header=True, inferSchema=False, escape='"', multiLine=multi_line, **options).csv(path)
+    kinds = csv_types(raw)
+    return raw.select(*[(F.col(f"`{c}`") if t == "string" else F.trim(F.col(f"`{c}`")).cast(t)).alias(c)
+                        for c, t in kinds.items()])
 
 
 def load_table(spark: SparkSession, path: str, **options) -> DataFrame:

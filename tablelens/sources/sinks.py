@@ -14,14 +14,18 @@ ANALYSIS_SCHEMA = (
     "kpis array<struct<name:string,value:double,type:string,icon:string,description:string>>, "
     "trends array<struct<column:string,direction:string,change_percent:double,description:string>>, "
     "data_corrections array<struct<column:string,action:string,affected_rows:bigint>>, "
-    "column_stats string, raw_data_preview array<string>, created_at timestamp, completed_at timestamp"
+    "column_stats string, raw_data_preview array<string>, "
+    "charts array<struct<type:string,title:string,x_key:string,data_keys:array<string>,name_key:string,"
+    "value_format:string,data:array<string>>>, created_at timestamp, completed_at timestamp"
 )
 
 
 def conform(records: DataFrame) -> DataFrame:
     """Records cast to the ``analyses`` schema, columns in its order."""
     schema = parse_schema(ANALYSIS_SCHEMA)
-    return records.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    # records from before a field existed have it as null
+    return records.select(*[(F.col(f.name) if f.name in records.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                            for f in schema.fields])
 
 
 def write_analysis(records: DataFrame, path: str) -> None:
@@ -63,3 +67,13 @@ def write_report(parts: dict[str, DataFrame], folder: str, fmt: str = "csv") ->
             df.write.mode("overwrite").parquet(out)
         written.append(out)
     return written
+
+
+def mark_analyzed(uploads: DataFrame, records: DataFrame) -> DataFrame:
+    """Uploads with status ``analyzed`` where a completed analysis exists;
+    other statuses stay. A completed upload has one row on the right however
+    many records it has."""
+    done = (records.where("status = 'completed'").select(F.col("upload_id").alias("_done")).distinct())
+    joined = uploads.join(done, uploads["id"] == done["_done"], "left")
+    return joined.withColumn("status", F.when(F.col("_done").isNotNull(), F.lit("analyzed"))
+                             .otherwise(F.col("status"))).drop("_done")

@@ -58,7 +58,9 @@ def test_bucket_plan_has_no_single_partition_exchange(spark):
     plan = GlobalOrder.build(df, ["_row_id"], buckets=8).global_index()._jdf.queryExecution() \
         .executedPlan().toString()
     assert "SinglePartition" not in plan
-    assert "hashpartitioning(_bucket" in plan
+    # one task per bucket: rows go to the partition with their bucket's number
+    assert "direct_shuffle_partition_id(_bucket" in plan and ", 8), REPARTITION_BY_NUM" in plan
+    assert plan.count("Exchange") == 1
 
 
 def test_global_window_reference_agrees(spark):
