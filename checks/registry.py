@@ -497,8 +497,11 @@ def q_head_values(spark, d):
     return tl.head_values(fx.read(spark, d, "part"), ["p_name", "p_brand", "p_type"], "p_partkey", 5)
 
 
-PY_FLOAT_SQL = tx.PY_FLOAT_RE.replace("'", "''")
-DECIMAL_SQL = tx.DECIMAL_RE
+# written apart from the library's patterns: what Python's float() takes, and plain decimal numbers
+_DIGITS = r"[0-9]+(?:_[0-9]+)*"
+PY_FLOAT_SQL = (rf"^[-+]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][-+]?{_DIGITS})?"
+                r"|(?i:inf|infinity|nan))$")
+DECIMAL_SQL = r"^[-+]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][-+]?[0-9]+)?$"
 
 
 def _core(c: str) -> str:
@@ -910,23 +913,6 @@ def q_summary(spark, d):
 # rows-only checks (no SQL form)
 # ---------------------------------------------------------------------------
 
-@query("file_manifest", """
-SELECT name AS original_name,
-       CASE suffix WHEN '.xlsx' THEN 'excel' WHEN '.xls' THEN 'excel' WHEN '.csv' THEN 'csv' WHEN '.pdf' THEN 'pdf'
-                   WHEN '.docx' THEN 'docx' WHEN '.doc' THEN 'docx' ELSE 'unknown' END AS file_type,
-       suffix IN ('.xlsx', '.xls', '.csv', '.pdf', '.docx', '.doc') AS allowed,
-       CASE WHEN suffix IN ('.xlsx', '.xls', '.csv', '.pdf', '.docx', '.doc') THEN 'uploaded' ELSE 'rejected' END AS status,
-       suffix,
-       suffix IN ('.xlsx', '.xls', '.csv', '.pdf', '.docx') AS client_accepts
-FROM (SELECT regexp_extract(file, '([^/]+)$', 1) AS name,
-             lower(regexp_extract(regexp_extract(file, '([^/]+)$', 1), '(\\.[^./\\\\]*)$', 1)) AS suffix
-      FROM glob('/root/testdata/sf0.01/*.parquet'))""")
-def q_file_manifest(spark, d):
-    """S3 over the folder of the driver's tables; the columns that depend only on file names."""
-    m = tl.file_manifest(spark, f"{d.rstrip('/')}/*.parquet")
-    return m.select("original_name", "file_type", "allowed", "status", "suffix", "client_accepts")
-
-
 @query("cells_to_table", """
 WITH body AS (
   SELECT 0 AS _table_no, o_orderkey + 1 AS _row_no,
@@ -1007,7 +993,7 @@ SELECT CAST(0 AS BIGINT) AS chart_no, 'line' AS type, 'Trend over o_orderdate' A
        'o_orderkey,o_custkey,o_totalprice' AS data_keys, CAST(NULL AS VARCHAR) AS name_key, 'currency' AS value_format
 UNION ALL SELECT 1, 'bar', 'Numeric Column Summary', 'name', 'total,average', NULL, 'currency'
 UNION ALL SELECT 2, 'pie', 'o_orderkey by o_orderstatus', 'name', 'value', 'name',
-       CASE WHEN (contains('o_orderkey_by_o_orderstatus', 'revenue') OR contains('value', 'revenue') OR contains('o_orderkey_by_o_orderstatus', 'sales') OR contains('value', 'sales') OR contains('o_orderkey_by_o_orderstatus', 'amount') OR contains('value', 'amount') OR contains('o_orderkey_by_o_orderstatus', 'income') OR contains('value', 'income') OR contains('o_orderkey_by_o_orderstatus', 'profit') OR contains('value', 'profit') OR contains('o_orderkey_by_o_orderstatus', 'expense') OR contains('value', 'expense') OR contains('o_orderkey_by_o_orderstatus', 'cost') OR contains('value', 'cost') OR contains('o_orderkey_by_o_orderstatus', 'price') OR contains('value', 'price') OR contains('o_orderkey_by_o_orderstatus', 'harga') OR contains('value', 'harga') OR contains('o_orderkey_by_o_orderstatus', 'pendapatan') OR contains('value', 'pendapatan') OR contains('o_orderkey_by_o_orderstatus', 'omzet') OR contains('value', 'omzet') OR contains('o_orderkey_by_o_orderstatus', 'total') OR contains('value', 'total') OR contains('o_orderkey_by_o_orderstatus', 'subtotal') OR contains('value', 'subtotal') OR contains('o_orderkey_by_o_orderstatus', 'gaji') OR contains('value', 'gaji') OR contains('o_orderkey_by_o_orderstatus', 'salary') OR contains('value', 'salary') OR contains('o_orderkey_by_o_orderstatus', 'budget') OR contains('value', 'budget') OR contains('o_orderkey_by_o_orderstatus', 'payment') OR contains('value', 'payment') OR contains('o_orderkey_by_o_orderstatus', 'cash') OR contains('value', 'cash') OR contains('o_orderkey_by_o_orderstatus', 'id_r') OR contains('value', 'id_r') OR contains('o_orderkey_by_o_orderstatus', 'idr') OR contains('value', 'idr') OR contains('o_orderkey_by_o_orderstatus', 'rupiah') OR contains('value', 'rupiah')) THEN 'currency' ELSE 'number' END
+       CASE WHEN """ + S.contains_any("'o_orderkey_by_o_orderstatus value'", CURRENCY_WORDS) + """ THEN 'currency' ELSE 'number' END
 UNION ALL SELECT 3, 'bar', 'o_orderkey Distribution', 'range', 'count', NULL, 'number'
 """)
 def q_charts(spark, d):
@@ -1032,73 +1018,206 @@ def q_recommendations(spark, d):
     return tl.recommendations(spark, tl.domain_of(o, "o_orderkey"))
 
 
-@query("column_classes", """
-SELECT CAST(position AS BIGINT) AS position, "column", dtype, class FROM (VALUES
-  (0, 'l_orderkey', 'bigint', 'numeric'), (1, 'l_partkey', 'bigint', 'numeric'), (2, 'l_suppkey', 'bigint', 'numeric'),
-  (3, 'l_linenumber', 'int', 'numeric'), (4, 'l_quantity', 'double', 'numeric'), (5, 'l_extendedprice', 'double', 'numeric'),
-  (6, 'l_discount', 'double', 'numeric'), (7, 'l_tax', 'double', 'numeric'), (8, 'l_returnflag', 'string', 'text'),
-  (9, 'l_linestatus', 'string', 'text'), (10, 'l_shipdate', 'timestamp_ntz', 'date')) t(position, "column", dtype, class)
-WHERE (SELECT count(*) FROM lineitem) >= 0""")
-def q_column_classes(spark, d):
-    return tl.column_classes_table(fx.read(spark, d, "lineitem"))
 
 
-def _analyze_sql() -> str:
-    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
-    domain = _domain_sql("dd", cols, ["o_orderstatus", "o_orderpriority"], "o_orderkey").replace("WITH pool", "pool", 1)
-    trend = _half_trend_ctes("dd", ["o_orderkey", "o_custkey", "o_totalprice"], "o_orderkey")
-    top = "(SELECT {c} FROM dd GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
-    return CLEAN_SQL + f""",
-{domain},
-dom AS (SELECT CASE WHEN score >= 2 THEN domain ELSE '{GENERAL_DOMAIN}' END AS d
-        FROM (SELECT * FROM sc ORDER BY score DESC, pos LIMIT 1)),
-{trend},
-ins AS (
-  SELECT 0 AS slot, (SELECT d FROM dom) || ' Data Analysis' AS title
-  UNION ALL SELECT 1, 'Good Data Completeness'
-  UNION ALL SELECT 2, 'o_orderstatus Distribution'
-  UNION ALL SELECT 3, 'o_orderpriority Distribution'
-  UNION ALL SELECT 4 + position, CASE WHEN direction = 'up' THEN 'Growth' ELSE 'Decline' END || ' in ' || "column"
-            FROM tr WHERE direction <> 'stable'),
-ins6 AS (SELECT * FROM ins ORDER BY slot LIMIT 6),
-corr AS (SELECT slot, "column" || '|' || action || '|' || CAST(affected_rows AS VARCHAR) AS line
-         FROM rep WHERE affected_rows > 0)
-SELECT 'orders-analysis' AS id, 'completed' AS status, (SELECT d FROM dom) AS business_type,
-       'This ' || (SELECT d FROM dom) || ' dataset contains ' || (SELECT count(*) FROM dd) || ' records across 6 fields. '
-         || 'Numeric fields: o_orderkey, o_custkey, o_totalprice. Categorical fields: o_orderstatus, o_orderpriority. '
-         || 'Key financial metric: Total o_totalprice = '
-         || format('{{:,.2f}}', {S.py_round('(SELECT sum(o_totalprice) FROM dd)', 2)}) || '.' AS summary,
-       'Total Records|Data Fields|Total o_orderkey|Total o_custkey|Total o_totalprice|Avg o_totalprice|'
-         || 'Unique o_orderstatus|Unique o_orderpriority' AS kpi_names,
-       (SELECT string_agg(title, '|' ORDER BY slot) FROM ins6) AS insight_titles,
-       (SELECT string_agg(line, ';' ORDER BY slot) FROM corr) AS corrections,
-       (SELECT count(*) FROM tr) AS n_trends,
-       'Most common: ''' || {top.format(c='o_orderstatus')} || '''' AS status_top,
-       CAST(50 AS INTEGER) AS n_preview"""
-
-
-SQL["analyze"] = _analyze_sql()
-
-
-def _flat_record(rec: DataFrame) -> DataFrame:
-    """The record's fields as flat columns (names and titles joined in order)."""
-    return rec.select(
-        "id", "status", "business_type", "summary",
-        F.array_join(F.transform("kpis", lambda k: k["name"]), "|").alias("kpi_names"),
-        F.array_join(F.transform("insights", lambda i: i["title"]), "|").alias("insight_titles"),
-        F.array_join(F.transform("data_corrections", lambda c: F.concat_ws(
-            "|", c["column"], c["action"], c["affected_rows"].cast("string"))), ";").alias("corrections"),
-        F.size("trends").cast("bigint").alias("n_trends"),
-        F.regexp_extract(F.col("insights")[2]["description"], r"(Most common: '[^']*')", 1).alias("status_top"),
-        F.size("raw_data_preview").alias("n_preview"))
-
-
-def q_analyze(spark, d):
-    """B1 on the messy orders table: the stored record, flattened."""
-    a = tl.analyze(fx.orders_messy(spark, d), ["o_orderkey", "_copy"])
-    rec = a.record("orders-analysis", "orders")     # a local one-row table
-    a.release()
-    return _flat_record(rec)
-
-
-Q["analyze"] = q_analyze
+# ===========================================================================
+# inputs that once lost rows or changed answers
+# ===========================================================================
+
+@query("clean_table_underscore", """
+SELECT DISTINCT o_custkey % 20 AS "_id", o_orderstatus AS s FROM orders""")
+def q_clean_table_underscore(spark, d):
+    o = fx.read(spark, d, "orders").select((F.col("o_custkey") % 20).alias("_id"), F.col("o_orderstatus").alias("s"),
+                                           F.col("o_orderkey").alias("_row_id"))
+    return tl.clean_table(o, persist=False).table.select("_id", "s")
+
+
+_MANY_NAMES = {"a": ["key", "col_1", "key_2"], "b": ["k", "v"]}
+
+
+@query("cells_to_table_many", "\nUNION ALL ".join(
+    f"SELECT '{doc}' AS doc, o_orderkey // 2 % 2 AS table_no, o_orderkey + 1 AS row_no, '{name}' AS name, "
+    f"{value} AS value FROM orders WHERE o_orderkey % 2 = {k}"
+    for k, doc in enumerate("ab") for name, value in zip(
+        _MANY_NAMES[doc], ["CAST(o_orderkey AS VARCHAR)", "o_orderstatus",
+                           "CASE WHEN o_orderkey % 50 <> 0 THEN o_orderpriority END"])))
+def q_cells_to_table_many(spark, d):
+    """Two documents with two tables each: a blank and a repeated header, short rows and cells to cut."""
+    o = fx.read(spark, d, "orders")
+    doc = F.when(F.col("o_orderkey") % 2 == 0, "a").otherwise("b")
+    body = o.select(doc.alias("doc"), (F.floor(F.col("o_orderkey") / 2) % 2).alias("table_no"),
+                    (F.col("o_orderkey") + 1).alias("row_no"),
+                    F.expr("stack(3, 0L, CAST(o_orderkey AS STRING), 1L, o_orderstatus, 2L, o_orderpriority) AS (col_no, text)"),
+                    "o_orderkey")
+    body = body.where(~((F.col("o_orderkey") % 50 == 0) & (F.col("col_no") == 2))).drop("o_orderkey")
+    heads = o.where("o_orderkey = 0").selectExpr(
+        "stack(5, 'a', 0L, ' key ', 'a', 1L, '  ', 'a', 2L, 'key', 'b', 0L, 'k', 'b', 1L, 'v') AS (doc, col_no, text)")
+    heads = heads.select("doc", F.lit(0).cast("bigint").alias("table_no"), F.lit(0).cast("bigint").alias("row_no"),
+                         "col_no", "text")
+    records = tl.cells_to_records(heads.unionByName(body))
+    return records.select("doc", "table_no", "row_no", F.explode("record").alias("name", "value"))
+
+
+def _deep_sql(table: str, order: str, page_no: int) -> str:
+    return (f"SELECT o_orderkey, price, CAST(n - {page_no * 15} AS BIGINT) AS place FROM (SELECT o_orderkey, price, "
+            f"row_number() OVER (ORDER BY {order}) - 1 AS n FROM {table}) WHERE n >= {page_no * 15} AND n < {page_no * 15 + 15}")
+
+
+_PRICES = "(SELECT o_orderkey, o_totalprice AS price FROM orders)"
+_PRICES_NULLS = "(SELECT o_orderkey, CASE WHEN o_orderkey % 7 >= 2 THEN floor(o_totalprice / 1000) END AS price FROM orders)"
+
+
+def _deep(spark, d, sort, page_no, nulls=False):
+    o = fx.read(spark, d, "orders")
+    price = F.col("o_totalprice") if not nulls else F.when(F.col("o_orderkey") % 7 >= 2, F.floor(F.col("o_totalprice") / 1000)
+                                                           .cast("double"))
+    rows = tl.page(o.select("o_orderkey", price.alias("price")), sort, True, page_no, 15, "o_orderkey", top_rows=0)
+    # at most 15 rows, in page order: their place is compared too
+    return rows.coalesce(1).withColumn("place", F.monotonically_increasing_id())
+
+
+@query("page_deep_desc", _deep_sql(_PRICES, "price DESC NULLS LAST, o_orderkey", 20))
+def q_page_deep_desc(spark, d):
+    return _deep(spark, d, "price", 20)
+
+
+@query("page_deep_key_desc", _deep_sql(_PRICES, "o_orderkey DESC", 33))
+def q_page_deep_key_desc(spark, d):
+    return _deep(spark, d, "o_orderkey", 33)
+
+
+@query("page_deep_nulls", _deep_sql(_PRICES_NULLS, "price DESC NULLS LAST, o_orderkey", 71))
+def q_page_deep_nulls(spark, d):
+    """Ties in the sorted column; the page where the null cells begin (at 1,500 rows: 1,071 have a price)."""
+    return _deep(spark, d, "price", 71, nulls=True)
+
+
+@query("search_rows_nulls", """
+SELECT o_orderkey, price, day FROM (
+  SELECT o_orderkey, CASE WHEN o_orderkey % 7 >= 2 THEN o_totalprice END AS price,
+         CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders)
+WHERE contains(COALESCE(CAST(day AS VARCHAR), ''), '-n') OR contains(CAST(o_orderkey AS VARCHAR), '95')
+   OR contains(COALESCE(""" + S.js_number("price") + """, ''), '95') OR contains(COALESCE(CAST(day AS VARCHAR), ''), '95')""")
+def q_search_rows_nulls(spark, d):
+    o = fx.read(spark, d, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 7 >= 2, F.col("o_totalprice")).alias("price"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate").cast("date")).alias("day"))
+    none = tl.search_rows(o, "n").limit(1)          # nothing holds an n: null cells show no text
+    return tl.search_rows(o, "95").unionByName(none)
+
+
+@query("number_text", """
+SELECT event_id, CAST(value / 3 AS VARCHAR) AS third, CAST(value / 1e9 AS VARCHAR) AS tiny,
+       CAST(floor(value) * 1e15 AS VARCHAR) AS huge, CAST(value * 1000 AS VARCHAR) AS plain FROM events""")
+def q_number_text(spark, d):
+    v = F.col("value")
+    return fx.read(spark, d, "events").select(
+        "event_id", tx.py_repr(v / 3).alias("third"), tx.py_repr(v / 1e9).alias("tiny"),
+        tx.py_repr(F.floor(v).cast("double") * 1e15).alias("huge"), tx.py_repr(v * 1000).alias("plain"))
+
+
+def _chart_points_sql(table: str, numeric: list[str], text: str) -> str:
+    """Summary, breakdown and histogram of a table without a date column."""
+    first = numeric[0]
+    bars = " UNION ALL ".join(
+        f"SELECT CAST(0 AS BIGINT) AS chart_no, CAST({i} AS BIGINT) AS point, '{c}' AS x, unnest(['total', 'average']) AS series, "
+        f"unnest([{S.py_round(f'sum(CAST({c} AS DOUBLE))', 2)}, {S.py_round(f'avg(CAST({c} AS DOUBLE))', 2)}]) AS value FROM {table}"
+        for i, c in enumerate(numeric))
+    pie = (f"SELECT 1, row_number() OVER (ORDER BY value DESC, name), name, 'value', value FROM (SELECT {text} AS name, "
+           f"sum(CAST({first} AS DOUBLE)) AS value FROM {table} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8)")
+    bins = (f"WITH s AS (SELECT count(*) AS n, min(CAST({first} AS DOUBLE)) AS lo, max(CAST({first} AS DOUBLE)) AS hi FROM {table}), "
+            f"l AS (SELECT *, least(10, greatest(3, n // 5)) AS bins FROM s), w AS (SELECT *, (hi - lo) / bins AS width FROM l) "
+            f"SELECT 2, b, printf('%.0f', lo + b * width) || '-' || printf('%.0f', lo + (b + 1) * width), 'count', "
+            f"CAST((SELECT count(*) FROM {table} WHERE least(floor((CAST({first} AS DOUBLE) - lo) / width), bins - 1) = b) AS DOUBLE) "
+            f"FROM w, range(10) r(b) WHERE b < bins")
+    return f"SELECT * FROM ({bars}) UNION ALL ({pie}) UNION ALL ({bins})"
+
+
+def _tidy(points):
+    """Amounts as whole hundredths, so that both engines agree on the last digit."""
+    return points.withColumn("value", F.round("value", 2))
+
+
+@query("charts_data", _chart_points_sql("customer", ["c_custkey", "c_nationkey", "c_acctbal"], "c_mktsegment"))
+def q_charts_data(spark, d):
+    c = fx.read(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    return _tidy(tl.charts_data(spark, tl.charts(c, "c_custkey")))
+
+
+_RANGE = "(SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1997-06-30')"
+
+
+def _range_charts(spark, d):
+    o = fx.read(spark, d, "orders").dropDuplicates()
+    from tablelens.operators.clean import Cleaned
+    return tl.analyze_range(o, {}, "1996-01-01", "1997-06-30", "o_orderkey", clean=Cleaned.of(o, "o_orderkey"))
+
+
+@query("analyze_range_charts", _chart_points_sql("orders_range", ["o_orderkey", "o_custkey", "o_totalprice"], "o_orderstatus")
+       .replace("orders_range", _RANGE))
+def q_analyze_range_charts(spark, d):
+    """The three charts behind the time series (that one has its own query)."""
+    charts = _range_charts(spark, d)["charts"]
+    return _tidy(tl.charts_data(spark, charts[1:]))
+
+
+@query("analyze_range_preview", f"""
+SELECT o_orderkey, o_totalprice, o_orderdate FROM {_RANGE} ORDER BY o_orderkey LIMIT 50""")
+def q_analyze_range_preview(spark, d):
+    return _range_charts(spark, d)["raw_data_preview"].select("o_orderkey", "o_totalprice", "o_orderdate")
+
+
+@query("parse_responses_full", """
+SELECT event_id AS id, CASE WHEN event_id % 4 < 2 THEN 'object' ELSE 'fallback' END AS kind,
+       CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN '' WHEN 2 THEN 'rules ' || CAST(event_id AS VARCHAR) END AS summary,
+       CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE NULL END AS n_insights,
+       CASE event_id % 4 WHEN 0 THEN event_type WHEN 2 THEN 'rule' END AS insight
+FROM events""")
+def q_parse_responses_full(spark, d):
+    """Objects with and without fields; fallbacks with and without a rule-based result."""
+    e, k = fx.read(spark, d, "events"), F.col("event_id") % 4
+    text = (F.when(k == 0, F.concat(F.lit('{"summary": "'), F.col("event_type"), F.lit('", "insights": [{"title": "'),
+                                    F.col("event_type"), F.lit('"}]}')))
+            .when(k == 1, F.lit('{"trends": []}')).otherwise(F.lit("no answer")))
+    item = "array<struct<title:string,description:string,severity:string,category:string>>"
+    rules = e.where(k == 2).select(
+        F.col("event_id").alias("id"), F.concat(F.lit("rules "), F.col("event_id").cast("string")).alias("summary"),
+        F.from_json(F.lit('[{"title": "rule"}]'), item).alias("insights"), F.array().alias("recommendations"),
+        F.array().alias("trends"))
+    out = tl.parse_analyses(e.select(F.col("event_id").alias("id"), text.alias("text")), rule_based=rules)
+    n = F.when(F.col("insights").isNotNull(), F.size("insights"))
+    return out.select("id", "kind", "summary", n.alias("n_insights"),
+                      F.when(n > 0, F.col("insights")[0]["title"]).alias("insight"))
+
+
+_REUSE_NOW = "TIMESTAMP '2024-01-20 00:00:00'"
+
+
+def _reuse_sql(prefix: str, part: str, hours: int) -> str:
+    return f"""
+WITH h AS (SELECT '{prefix}' || {part} AS key, 'answer ' || CAST(event_id AS VARCHAR) AS answer, ts FROM events),
+fresh AS (SELECT key, arg_max(answer, struct_pack(t := ts, a := answer)) AS cached_answer FROM h
+          WHERE ts <= {_REUSE_NOW} AND ts > {_REUSE_NOW} - INTERVAL {hours} HOUR GROUP BY key),
+r AS (SELECT event_id AS request_id, '{prefix}' || {part} AS key FROM events)
+SELECT request_id, r.key, cached_answer, cached_answer IS NOT NULL AS reused FROM r LEFT JOIN fresh ON r.key = fresh.key"""
+
+
+def _reuse(spark, d, key, ttl):
+    e = fx.read(spark, d, "events")
+    history = e.select(key.alias("key"), F.concat(F.lit("answer "), F.col("event_id").cast("string")).alias("answer"),
+                       F.col("ts").alias("created_at"))
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    out = tl.reuse_answers(e.withColumn("request_id", F.col("event_id")), history, ttl, now, key=key)
+    return out.select("request_id", "key", "cached_answer", "reused")
+
+
+@query("reuse_analyses", _reuse_sql("analysis:", "CAST(user_id AS VARCHAR)", 24))
+def q_reuse_analyses(spark, d):
+    """Stored analyses of an upload, for 24 hours."""
+    return _reuse(spark, d, tl.analysis_key(F.col("user_id").cast("string")), 24 * 3600)
+
+
+@query("reuse_prompts", _reuse_sql("prompt:", "substr(sha256(event_type || '|' || CAST(user_id AS VARCHAR)), 1, 16)", 12))
+def q_reuse_prompts(spark, d):
+    """Stored model answers to equal prompts, for 12 hours."""
+    return _reuse(spark, d, tl.prompt_key(F.col("event_type"), F.col("user_id").cast("string")), 12 * 3600)

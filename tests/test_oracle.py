@@ -5,11 +5,10 @@ import pytest
 
 import __spark_entry__ as E
 from checks.compare import digest
+from checks.registry import Q as QUERIES
+from checks.registry import SQL
 from tests.conftest import SF_SMALL
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
-
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, duck, name):

@@ -3,12 +3,12 @@ whole tables, filters and column pruning reach the Parquet scan."""
 
 import pytest
 
-import __spark_entry__ as E
+from checks.registry import Q as QUERIES
 import tablelens as tl
 from checks import fixtures as fx
 from tests.conftest import SF_SMALL
 
-QUERIES = E.queries()
+
 PYTHON_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF",
                 "FlatMapCoGroupsInPandas", "AggregateInPandas", "WindowInPandas",
                 "Scan ExistingRDD")            # rows shipped through a Python worker
