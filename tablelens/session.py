@@ -64,10 +64,6 @@ def materialize(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.parquet(path), path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    return materialize(df)[0]
-
-
 def release(spark: SparkSession, path: str | None) -> bool:
     """Delete a folder written by ``materialize`` (through the Hadoop file
     system of the path, so it works for any shared store)."""
