@@ -46,6 +46,8 @@ _WORDS = frozenset(
 _STATES = frozenset("has with without no is".split())
 _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[^a-z0-9]+")
+_MARKED = re.compile(r"<!\[[^>]*>")
+_UNFINISHED = re.compile(r"</?[a-zA-Z][^<>]*\Z")
 #: An open element is closed by these starts (end tags that HTML leaves out).
 _CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
               "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]),
@@ -179,6 +181,9 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     parser = _Lines()
+    # as browsers read them: "<![" begins a comment that ends at the next ">",
+    # and a tag that the page's end cuts off is dropped
+    html = _UNFINISHED.sub("", _MARKED.sub("", html))
     try:
         parser.feed(html)
         parser.close()

@@ -85,7 +85,7 @@ class PrefixForest:
         until their ranges hold ``wanted`` rows, counted over the trees."""
         low, high = self.ranges(queries)
         held = (high - low).sum(axis=1)  # depth by query, falling with depth
-        depth = (held >= min(wanted, len(self.vectors))).sum(axis=0) - 1
+        depth = (held >= min(wanted, self.trees * len(self.vectors))).sum(axis=0) - 1
         for j in range(len(queries)):
             d = depth[j]
             hit = np.zeros(len(self.vectors), dtype=bool)

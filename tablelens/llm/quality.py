@@ -27,7 +27,7 @@ from tablelens.llm.stage import ship_package
 
 BITS = 22
 #: Rated rows used for fitting at most.
-MAX_ROWS = 16_000
+MAX_ROWS = 8_000
 _HEADS, _TAILS = (3, 4, 5, 6), (2, 3)
 _HEAD_SHARES = (0.0, 0.004, 0.008, 0.016, 0.032)
 _LOWEST_BIT = np.uint64(64 - BITS)
@@ -99,14 +99,21 @@ def fit_ordinal(marks: list[np.ndarray], grades: np.ndarray, levels: int, epochs
     a mark can only lower a grade, so a long text does not make up for it. Only
     marks take part whose texts are mostly below the top grade (the lower
     two-sigma Wilson bound of that share is at least 0.6)."""
-    used, flat, texts = np.unique(np.concatenate(marks), return_inverse=True, return_counts=True)
-    ends = np.cumsum([len(m) for m in marks])
-    rows = [flat[b - len(m):b] for m, b in zip(marks, ends)]
-    low = np.bincount(flat, weights=np.repeat(grades < levels - 1, [len(m) for m in marks]), minlength=len(used))
+    sizes = np.array([len(m) for m in marks])
+    flat = np.concatenate(marks)
+    used, texts = np.unique(flat, return_counts=True)
+    below = np.repeat(grades < levels - 1, sizes)
+    low = np.bincount(np.searchsorted(used, flat[below]), minlength=len(used))
     share = low / texts
     bound = (share + 2 / texts - 2 * np.sqrt(share * (1 - share) / texts + 1 / texts ** 2)) / (1 + 4 / texts)
-    telling = bound >= 0.6
-    rows = [x[telling[x]] for x in rows]
+    # from here on only the telling marks, numbered anew
+    used = used[bound >= 0.6]
+    place = np.minimum(np.searchsorted(used, flat), max(len(used) - 1, 0)).astype(np.int32)
+    kept = used[place] == flat if len(used) else np.zeros(len(flat), dtype=bool)
+    del flat
+    ends = np.cumsum(np.add.reduceat(kept, np.cumsum(sizes) - sizes)) if len(sizes) else sizes
+    place = place[kept]
+    rows = np.split(place, ends[:-1]) if len(sizes) else []
     z, square = np.zeros(len(used)), np.zeros(len(used))
     share = np.array([(grades >= k).mean() for k in range(1, levels)])
     share = np.clip(share, 1e-3, 1 - 1e-3)

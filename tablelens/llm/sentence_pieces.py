@@ -99,12 +99,12 @@ class DoubleArray:
             if not children[node]:
                 continue
             codes = np.array(sorted(children[node]), dtype=np.int64)
-            while used[start]:
+            while start < len(used) and used[start]:
                 start += 1
             at, b = max(start, hints.get(len(codes), 0)), 0
             while not b:
                 if at + 512 + codes[-1] + 1 >= len(used):
-                    grow = len(used)
+                    grow = len(used) + 1024
                     base, value = np.concatenate((base, np.zeros(grow, np.int64))), np.concatenate((value, np.full(grow, -1)))
                     check, used = np.concatenate((check, np.full(grow, -1))), np.concatenate((used, np.zeros(grow, bool)))
                 tries = at + np.flatnonzero(~used[at:at + 512]) - codes[0]
@@ -246,8 +246,10 @@ class UnigramModel:
             parts.append(" ⁇ " if kind == _UNKNOWN else "" if kind == _CONTROL else self.pieces[k])
         if run:
             parts.append(run.decode("utf-8", "replace"))
-        text = "".join(parts).replace(MARK, " ")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        text = "".join(parts)
+        if self.prefix and text.startswith(MARK):  # the marker that encoding put there
+            text = text[1:]
+        return text.replace(MARK, " ")
 
 
 def read_model(path: str) -> UnigramModel:
