@@ -579,7 +579,7 @@ def q_correction_lines(spark, d):
 @query("clean_table", CLEAN_SQL + """
 SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM dd""")
 def q_clean_table(spark, d):
-    c = tl.clean_table(fx.orders_messy(spark, d), ["o_orderkey", "_copy"], persist=True)
+    c = tl.clean_table(fx.orders_messy(spark, d), ["o_orderkey", "_copy"], persist=False)
     return c.table.drop("_copy")
 
 
@@ -937,7 +937,31 @@ def q_cells_to_table(spark, d):
     return tl.cells_to_table(cells, "orders")
 
 
-@query("prompt_context")
+def _profile_line_sql(place: int, c: str, kind: str, samples: bool = False) -> str:
+    head = (f"'  {c} (type={kind}, nulls=' || count(*) FILTER (WHERE {c} IS NULL) || ', unique=' || "
+            f"count(DISTINCT {c}) + CASE WHEN count(*) > count({c}) THEN 1 ELSE 0 END || ')'")
+    if kind in ("bigint", "double"):
+        total = f"CAST(sum(CAST({c} AS DECIMAL(38,0))) AS VARCHAR)" if kind == "bigint" else \
+            f"CAST(CAST(sum(CAST({c} AS DECIMAL(30,6))) AS DOUBLE) AS VARCHAR)"
+        head += f" || ' min=' || min({c}) || ' max=' || max({c}) || ' mean=' || printf('%.2f', avg({c})) || ' sum=' || {total}"
+    if samples:
+        head += (f" || ' samples=[' || (SELECT string_agg(chr(39) || v || chr(39), ', ' ORDER BY k) FROM "
+                 f"(SELECT {c} AS v, o_orderkey AS k FROM orders WHERE {c} IS NOT NULL ORDER BY k LIMIT 5)) || ']'")
+    return f"SELECT {place}, {head} FROM orders"
+
+
+@query("prompt_context", "\nUNION ALL ".join([
+    "SELECT CAST(0 AS BIGINT) AS line_no, 'DATASET: ' || count(*) || ' rows, 6 columns' AS text FROM orders",
+    "SELECT 1, 'COLUMNS: o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority'",
+    "SELECT 2, ''", _profile_line_sql(3, "o_orderkey", "bigint"), _profile_line_sql(4, "o_custkey", "bigint"),
+    _profile_line_sql(5, "o_orderstatus", "string", True), _profile_line_sql(6, "o_totalprice", "double"),
+    _profile_line_sql(7, "o_orderdate", "timestamp_ntz"), _profile_line_sql(8, "o_orderpriority", "string", True),
+    "SELECT 9, ''", "SELECT 10, 'FIRST 15 ROWS:'", "SELECT 26, ''", "SELECT 27, 'LAST 5 ROWS:'",
+    """SELECT CASE WHEN a <= 15 THEN 10 + a ELSE 33 - z END, '{"o_orderkey": ' || o_orderkey || ', "o_custkey": ' || o_custkey ||
+       ', "o_orderstatus": "' || o_orderstatus || '", "o_totalprice": ' || CAST(o_totalprice AS VARCHAR) || ', "o_orderdate": "' ||
+       strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '", "o_orderpriority": "' || o_orderpriority || '"}'
+       FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS a, row_number() OVER (ORDER BY o_orderkey DESC) AS z FROM orders)
+       WHERE a <= 15 OR z <= 5"""]))
 def q_prompt_context(spark, d):
     return tl.prompt_context(fx.read(spark, d, "orders"), "o_orderkey")
 
@@ -1018,6 +1042,65 @@ def q_recommendations(spark, d):
     return tl.recommendations(spark, tl.domain_of(o, "o_orderkey"))
 
 
+def _analyze_sql() -> str:
+    cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+    domain = _domain_sql("dd", cols, ["o_orderstatus", "o_orderpriority"], "o_orderkey").replace("WITH pool", "pool", 1)
+    trend = _half_trend_ctes("dd", ["o_orderkey", "o_custkey", "o_totalprice"], "o_orderkey")
+    top = "(SELECT {c} FROM dd GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
+    return CLEAN_SQL + f""",
+{domain},
+dom AS (SELECT CASE WHEN score >= 2 THEN domain ELSE '{GENERAL_DOMAIN}' END AS d
+        FROM (SELECT * FROM sc ORDER BY score DESC, pos LIMIT 1)),
+{trend},
+ins AS (
+  SELECT 0 AS slot, (SELECT d FROM dom) || ' Data Analysis' AS title
+  UNION ALL SELECT 1, 'Good Data Completeness'
+  UNION ALL SELECT 2, 'o_orderstatus Distribution'
+  UNION ALL SELECT 3, 'o_orderpriority Distribution'
+  UNION ALL SELECT 4 + position, CASE WHEN direction = 'up' THEN 'Growth' ELSE 'Decline' END || ' in ' || "column"
+            FROM tr WHERE direction <> 'stable'),
+ins6 AS (SELECT * FROM ins ORDER BY slot LIMIT 6),
+corr AS (SELECT slot, "column" || '|' || action || '|' || CAST(affected_rows AS VARCHAR) AS line
+         FROM rep WHERE affected_rows > 0)
+SELECT 'orders-analysis' AS id, 'completed' AS status, (SELECT d FROM dom) AS business_type,
+       'This ' || (SELECT d FROM dom) || ' dataset contains ' || (SELECT count(*) FROM dd) || ' records across 6 fields. '
+         || 'Numeric fields: o_orderkey, o_custkey, o_totalprice. Categorical fields: o_orderstatus, o_orderpriority. '
+         || 'Key financial metric: Total o_totalprice = '
+         || format('{{:,.2f}}', {S.py_round('(SELECT sum(o_totalprice) FROM dd)', 2)}) || '.' AS summary,
+       'Total Records|Data Fields|Total o_orderkey|Total o_custkey|Total o_totalprice|Avg o_totalprice|'
+         || 'Unique o_orderstatus|Unique o_orderpriority' AS kpi_names,
+       (SELECT string_agg(title, '|' ORDER BY slot) FROM ins6) AS insight_titles,
+       (SELECT string_agg(line, ';' ORDER BY slot) FROM corr) AS corrections,
+       (SELECT count(*) FROM tr) AS n_trends,
+       'Most common: ''' || {top.format(c='o_orderstatus')} || '''' AS status_top,
+       CAST(50 AS INTEGER) AS n_preview"""
+
+
+SQL["analyze"] = _analyze_sql()
+
+
+def _flat_record(rec: DataFrame) -> DataFrame:
+    """The record's fields as flat columns (names and titles joined in order)."""
+    return rec.select(
+        "id", "status", "business_type", "summary",
+        F.array_join(F.transform("kpis", lambda k: k["name"]), "|").alias("kpi_names"),
+        F.array_join(F.transform("insights", lambda i: i["title"]), "|").alias("insight_titles"),
+        F.array_join(F.transform("data_corrections", lambda c: F.concat_ws(
+            "|", c["column"], c["action"], c["affected_rows"].cast("string"))), ";").alias("corrections"),
+        F.size("trends").cast("bigint").alias("n_trends"),
+        F.regexp_extract(F.col("insights")[2]["description"], r"(Most common: '[^']*')", 1).alias("status_top"),
+        F.size("raw_data_preview").alias("n_preview"))
+
+
+def q_analyze(spark, d):
+    """B1 on the messy orders table: the stored record, flattened."""
+    a = tl.analyze(fx.orders_messy(spark, d), ["o_orderkey", "_copy"])
+    rec = a.record("orders-analysis", "orders")     # a local one-row table
+    a.release()
+    return _flat_record(rec)
+
+
+Q["analyze"] = q_analyze
 
 
 # ===========================================================================
@@ -1221,3 +1304,26 @@ def q_reuse_analyses(spark, d):
 def q_reuse_prompts(spark, d):
     """Stored model answers to equal prompts, for 12 hours."""
     return _reuse(spark, d, tl.prompt_key(F.col("event_type"), F.col("user_id").cast("string")), 12 * 3600)
+
+
+@query("analyze_kpis", _kpi_sql("orders", "TRUE"))
+def q_analyze_kpis(spark, d):
+    """KPI values of a full analysis (the table has nothing to clean)."""
+    a = tl.analyze(fx.read(spark, d, "orders"), "o_orderkey", persist=False)
+    return a.kpis
+
+
+@query("record_charts", """
+SELECT * FROM (VALUES (CAST(0 AS BIGINT), 'line', 'Trend over o_orderdate', 'o_orderkey,o_custkey,o_totalprice', CAST(NULL AS VARCHAR)),
+  (1, 'bar', 'Numeric Column Summary', 'total,average', NULL), (2, 'pie', 'o_orderkey by o_orderstatus', 'value', 'name'),
+  (3, 'bar', 'o_orderkey Distribution', 'count', NULL)) t(chart_no, type, title, data_keys, name_key),
+  (SELECT count(*) AS n, max(1, count(*) // 50) AS step, count(DISTINCT o_orderstatus) AS names FROM orders) o,
+  LATERAL (SELECT CAST(CASE chart_no WHEN 0 THEN (n + step - 1) // step WHEN 1 THEN 3 WHEN 2 THEN least(8, names) ELSE 10 END AS INTEGER)
+    AS points)""".replace("SELECT * FROM", "SELECT chart_no, type, title, data_keys, name_key, points FROM", 1).replace(
+    "max(1, count(*) // 50)", "greatest(1, count(*) // 50)"))
+def q_record_charts(spark, d):
+    """The charts of a stored record: their parts, and how many points each holds."""
+    a = tl.analyze(fx.read(spark, d, "orders"), "o_orderkey", persist=False)
+    c = a.record("a", "u").select(F.posexplode("charts").alias("chart_no", "c"))
+    return c.select(F.col("chart_no").cast("bigint").alias("chart_no"), "c.type", "c.title",
+                    F.array_join("c.data_keys", ",").alias("data_keys"), "c.name_key", F.size("c.data").alias("points"))

@@ -173,6 +173,36 @@ def py_repr(col: Column | str) -> Column:
             .otherwise(_double_text(c, -4, 16, ".0", 2)))
 
 
+def py_text_repr(col: Column | str) -> Column:
+    """Python ``repr(str)``: single quotes, or double ones around a text that
+    holds only single ones; null → ``None``."""
+    c = _c(col)
+    t = c
+    for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
+        t = F.replace(t, F.lit(raw), F.lit(shown))
+    double = t.contains("'") & ~t.contains('"')
+    return (F.when(c.isNull(), F.lit("None"))
+            .when(double, F.concat(F.lit('"'), t, F.lit('"')))
+            .otherwise(F.concat(F.lit("'"), F.replace(t, F.lit("'"), F.lit("\\'")), F.lit("'"))))
+
+
+def json_text(col: Column | str, dtype) -> Column:
+    """A cell as Python's ``json.dumps(v, default=str, ensure_ascii=False)`` prints it."""
+    c = _c(col)
+    kind = dtype.typeName()
+    if kind in ("double", "float"):
+        shown = F.when(F.isnan(c), F.lit("NaN")).when(F.abs(c) == float("inf"), F.when(c > 0, F.lit("Infinity"))
+                                                      .otherwise(F.lit("-Infinity"))).otherwise(py_repr(c))
+    elif kind in ("long", "integer", "short", "byte", "boolean"):
+        shown = c.cast("string")
+    elif kind in ("date", "timestamp", "timestamp_ntz"):
+        shown = F.concat(F.lit('"'), py_datetime_text(c, is_date=kind == "date"), F.lit('"'))
+    else:
+        quoted = F.to_json(F.array(c.cast("string")))
+        shown = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    return F.coalesce(F.when(c.isNotNull(), shown), F.lit("null"))
+
+
 def py_value_text(value: Column | str, is_int: Column) -> Column:
     """Python ``str(v)`` of a value that was an int (``is_int``) or a float."""
     v = _c(value).cast("double")

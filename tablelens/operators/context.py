@@ -5,11 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import rows_frame
-
+from ..functions.text import fixed, json_text, py_repr, py_text_repr
 from ..functions.types import column_classes
 from .heads import head_tail, head_values
 from .order import default_order
@@ -24,53 +23,66 @@ ANALYSIS_ITEM = (f"struct<summary:string,insights:array<{INSIGHT_ITEM}>,"
 
 
 
+def _exact_sum(c: str, dtype) -> Column:
+    """A column's sum, as text, that no order of adding changes: whole numbers
+    and decimals exactly; doubles through 12 decimals where all values fit."""
+    if dtype.typeName() in ("long", "integer"):
+        return F.sum(F.col(c).cast("decimal(38,0)")).cast("string")
+    dec = F.col(c).try_cast("decimal(38,12)")
+    exact = F.when(F.count(c) == F.count(dec), F.try_sum(dec).cast("double"))
+    return py_repr(F.coalesce(exact, F.sum(F.col(c).cast("double"))))
+
+
+def _column_line(df: DataFrame, c: str, dtype, numeric: bool, distinct: int, samples: str | None) -> Column:
+    """One aggregate expression: the profile line of a column."""
+    nulls = F.count_if(F.col(c).isNull())
+    number = (lambda x: py_repr(x)) if dtype.typeName() in ("double", "float") else (lambda x: x.cast("string"))
+    parts = [F.lit(f"  {c} (type={dtype.simpleString()}, nulls="), nulls.cast("string"), F.lit(", unique="),
+             F.when(nulls > 0, F.lit(str(distinct + 1))).otherwise(F.lit(str(distinct))), F.lit(")")]
+    if numeric:
+        values = F.concat(F.lit(" min="), number(F.min(c)), F.lit(" max="), number(F.max(c)), F.lit(" mean="),
+                          fixed(F.avg(F.col(c).cast("double")), 2), F.lit(" sum="), _exact_sum(c, dtype))
+        parts.append(F.when(F.count(c) > 0, values).otherwise(F.lit("")))
+    if samples is not None:
+        parts.append(F.lit(f" samples=[{samples}]"))
+    return F.concat(*parts)
+
+
 def prompt_context(df: DataFrame, order: Sequence[str] | str | None = None) -> DataFrame:
     """The context lines of a table (line_no, text): ``DATASET``,
     ``COLUMNS``, one profile line per column, the first 15 rows and, for
     longer tables, the last 5 as JSON.
 
-    Spark computes one aggregate, the 5-value heads and the 20 rows; the
-    lines are laid out from those bounded results."""
+    All lines are made by Spark: the profile is one aggregate whose result row
+    is an array of texts, the rows are a top-k printed cell by cell. Only the row
+    count, the distinct counts and the printed samples (5 per text column) pass
+    through the driver."""
     order = default_order(df, order)
     cc = column_classes(df)
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(cc.columns):
-        aggs.append(F.count_if(F.col(c).isNull()).alias(f"z{i}"))
-        if c in cc.numeric:
-            integral = cc.dtypes[c].typeName() in ("long", "integer")
-            # integer sums as decimal(38,0): exact, printed like Python's int, no overflow under ANSI
-            total = F.sum(F.col(c).cast("decimal(38,0)")) if integral else F.sum(c)
-            aggs += [F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"), F.avg(F.col(c).cast("double")).alias(f"m{i}"),
-                     total.alias(f"s{i}"), F.count(c).alias(f"n{i}")]
-    row = df.agg(*aggs).first()
-    dist = distinct_counts(df, cc.columns)
-    samples: dict[str, list[str]] = {c: [] for c in cc.text}
+    n = df.count()
+    distinct = distinct_counts(df, cc.columns)
+    samples: dict[str, str] = {c: "" for c in cc.text}
     if cc.text:
-        for r in head_values(df, cc.text, order, 5).orderBy("position", "rank").collect():
-            samples[r["column"]].append(r["value"])
-    n = int(row["_rows"])
-    lines = [f"DATASET: {n} rows, {len(cc.columns)} columns", f"COLUMNS: {', '.join(cc.columns)}", ""]
-    for i, c in enumerate(cc.columns):
-        info = f"  {c} (type={cc.dtypes[c].simpleString()}, nulls={row[f'z{i}']}, unique={dist[c] + (1 if row[f'z{i}'] else 0)})"
-        if c in cc.numeric and row[f"n{i}"]:
-            info += f" min={row[f'lo{i}']} max={row[f'hi{i}']} mean={row[f'm{i}']:.2f} sum={row[f's{i}']}"
-        if c in cc.text:
-            info += f" samples={samples[c]}"
-        lines.append(info)
-    ht = head_tail(df.select(*cc.columns, *[o for o in order if o not in cc.columns]), order, 15, 5, n_rows=n)
-    rows = ht.orderBy(F.col("part").asc(), "rank").collect()
-    lines.append("")
-    lines.append("FIRST 15 ROWS:")
-    for r in rows:
-        if r["part"] == "first":
-            lines.append(json.dumps({c: r[c] for c in cc.columns}, default=str, ensure_ascii=False))
-    if n > 15:
-        lines.append("")
-        lines.append("LAST 5 ROWS:")
-        for r in rows:
-            if r["part"] == "last":
-                lines.append(json.dumps({c: r[c] for c in cc.columns}, default=str, ensure_ascii=False))
-    return rows_frame(df.sparkSession, list(enumerate(lines)), "line_no long, text string")
+        heads = head_values(df, cc.text, order, 5).groupBy("column").agg(
+            F.array_sort(F.collect_list(F.struct("rank", py_text_repr("value").alias("shown")))).alias("h"))
+        shown = heads.select("column", F.array_join(F.transform("h", lambda x: x["shown"]), ", ").alias("line"))
+        samples.update({r["column"]: r["line"] for r in shown.collect()})
+    profile = [F.lit(f"DATASET: {n} rows, {len(cc.columns)} columns"), F.lit(f"COLUMNS: {', '.join(cc.columns)}"), F.lit("")]
+    profile += [_column_line(df, c, cc.dtypes[c], c in cc.numeric, distinct[c], samples.get(c)) for c in cc.columns]
+    profile += [F.lit(""), F.lit("FIRST 15 ROWS:")]
+    top = min(n, 15)
+    tail = [F.lit(""), F.lit("LAST 5 ROWS:")] if n > 15 else []
+    # the heading of the last rows stands behind the first ones
+    numbers = [*range(len(profile)), *range(len(profile) + top, len(profile) + top + len(tail))]
+    texts = df.agg(F.array(*profile, *tail).alias("texts"))
+    lines = texts.select(F.inline(F.arrays_zip(F.array(*[F.lit(k).cast("bigint") for k in numbers]).alias("line_no"),
+                                               F.col("texts").alias("text"))))
+    rows = head_tail(df.select(*cc.columns, *[o for o in order if o not in cc.columns]), order, 15, 5, n_rows=n)
+    cells = [F.concat(F.lit(json.dumps(c, ensure_ascii=False) + ": "), json_text(c, cc.dtypes[c])) for c in cc.columns]
+    first = F.when(F.col("part") == "first", F.lit(len(profile) - 1)).otherwise(F.lit(len(profile) + top + len(tail) - 1))
+    printed = rows.select((first + F.col("rank")).cast("bigint").alias("line_no"),
+                          F.concat(F.lit("{"), F.concat_ws(", ", *cells), F.lit("}")).alias("text"))
+    return lines.toDF("line_no", "text").unionByName(printed)
 
 
 def prompt_text(df: DataFrame, order: Sequence[str] | str | None = None) -> str:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import rows_frame
 
+from ..functions.text import py_text_repr
 from ..functions.words import EMPTY_DOCUMENT
 
 
@@ -97,15 +98,7 @@ def cells_to_table(cells: DataFrame, doc: str | None = None, docx: bool = False)
     if data.isEmpty():
         # one row: a ``text`` row as Python prints a list of cells
         rows = named.groupBy("table_no", "row_no").agg(F.sort_array(F.collect_list(F.struct("col_no", "text"))).alias("r"))
-        def cell(x):
-            t = x["text"]
-            for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
-                t = F.replace(t, F.lit(raw), F.lit(shown))
-            dq = t.contains("'") & ~t.contains('"')
-            return (F.when(x["text"].isNull(), F.lit("None"))
-                    .when(dq, F.concat(F.lit('"'), t, F.lit('"')))
-                    .otherwise(F.concat(F.lit("'"), F.replace(t, F.lit("'"), F.lit("\\'")), F.lit("'"))))
-        return rows.select(F.concat(F.lit("["), F.array_join(F.transform("r", cell), ", "), F.lit("]")).alias("text"))
+        return rows.select(F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: py_text_repr(x["text"])), ", "), F.lit("]")).alias("text"))
     # cells beyond the header are skipped inside the aggregate, so their rows stay
     wide = [F.first(F.when(F.col("col_no") == i, F.col("text")), ignorenulls=True).alias(f"_v{i}")
             for i in range(len(names))]
