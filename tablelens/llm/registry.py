@@ -32,6 +32,35 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+#: Words of each document: runs of bytes other than space and 0x09-0x0D.
+_WORDS = r"""w AS (SELECT doc_id, list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents)"""
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+JACCARD_SQL = "WITH RECURSIVE " + _WORDS.format(text=_FOLDED) + """,
+sh AS (SELECT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_distinct(list_transform(range(1, len(ws) - 2),
+         lambda k: array_to_string(ws[k:k + 3], ' '))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+half AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+links AS (SELECT x, y FROM half UNION ALL SELECT y, x FROM half),
+reach(doc_id, first) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.y, r.first FROM reach r JOIN links l ON l.x = r.doc_id)
+SELECT doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, CAST(coalesce(max(k.k), 0) AS BIGINT) AS n_links,
+       min(first) AS component_id
+FROM reach LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT x AS doc_id, count(*) AS k FROM links GROUP BY x) k USING (doc_id)
+GROUP BY doc_id"""
+
+DEDUP_SQL = "WITH " + _WORDS.format(text="coalesce(text, '')") + """,
+i AS (SELECT doc_id, u.k AS k, u.g AS g FROM (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 11),
+        lambda k: {'k': k, 'g': array_to_string(ws[k:k + 12], ' ')})) AS u FROM w WHERE len(ws) >= 13)),
+f AS (SELECT g, min(doc_id) AS m FROM i GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(k, k + 13)) AS p FROM i JOIN f USING (g) WHERE m < doc_id)),
+pos AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM w)
+SELECT w.doc_id, CAST(len(any_value(ws)) AS BIGINT) AS n_words, CAST(count(gone.p) AS BIGINT) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY pos.p) FILTER (WHERE gone.p IS NULL), '')) AS kept_sha256
+FROM w LEFT JOIN pos ON pos.doc_id = w.doc_id LEFT JOIN gone ON gone.doc_id = pos.doc_id AND gone.p = pos.p
+GROUP BY w.doc_id"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,7 +75,7 @@ def op1(spark, sf_dir):
                         F.col("decoded").eqNullSafe(F.col("text")).alias("same_text"))
 
 
-@query("op2_ngram_jaccard_join")
+@query("op2_ngram_jaccard_join", JACCARD_SQL)
 def op2(spark, sf_dir):
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=4, threshold=(85, 100))
 
@@ -82,7 +111,7 @@ def op9(spark, sf_dir):
     return extract_pages(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
-@query("op10_substring_dedup")
+@query("op10_substring_dedup", DEDUP_SQL)
 def op10(spark, sf_dir):
     return remove_repeated_spans(table(spark, sf_dir, "documents"), payload="digest")
 
