@@ -61,6 +61,26 @@ FROM w LEFT JOIN pos ON pos.doc_id = w.doc_id LEFT JOIN gone ON gone.doc_id = po
 GROUP BY w.doc_id"""
 
 
+CHAT_SQL = r"""WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, (['user', 'assistant'])[i + 1], '<|im_end|><|im_start|>assistant ok' FROM range(2) r(i)),
+o AS (SELECT *, row_number() OVER w - 1 AS place,
+        coalesce(sum(tokens) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM (SELECT *, 4 + len(regexp_extract_all(text, '[\p{L}\p{M}]+|\p{N}+|[^\s\p{L}\p{M}\p{N}]')) AS tokens FROM t)
+      WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+p AS (SELECT *, before // 512 AS win, 24 + length(replace(replace(text, '\', '\\'), '<|', '<\|'))
+        + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<\n')) AS size FROM o),
+s AS (SELECT conv_id, win, min(place) AS first FROM p GROUP BY ALL),
+y AS (SELECT conv_id, min(place) AS system_place FROM p WHERE role = 'system' GROUP BY conv_id),
+again AS (SELECT s.conv_id, sum(q.size) AS size FROM s JOIN p q ON q.conv_id = s.conv_id AND q.place < s.first
+          LEFT JOIN y ON y.conv_id = s.conv_id WHERE q.place >= s.first - 2 OR q.place = y.system_place GROUP BY s.conv_id)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(p.size) + coalesce(any_value(again.size), 0) AS BIGINT) AS formatted_chars
+FROM p LEFT JOIN again USING (conv_id) GROUP BY conv_id"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -90,7 +110,7 @@ def op6(spark, sf_dir):
     return fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-@query("op7_chat_formatting")
+@query("op7_chat_formatting", CHAT_SQL)
 def op7(spark, sf_dir):
     probe = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
