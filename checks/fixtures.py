@@ -12,6 +12,8 @@ LINEITEM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_qua
                   "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 MESSY_LINEITEM_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "_o_quantity", "l_extendedprice",
                         "_o_discount", "l_tax", "_o_returnflag", "l_linestatus", "l_shipdate"]
+# copies of the values before nulls were put in; they only serve the order
+ORIGINALS = ["_o_quantity", "_o_discount", "_o_returnflag"]
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:

@@ -113,7 +113,7 @@ def _column_statistics_sql() -> str:
 
 @query("column_statistics", _column_statistics_sql())
 def q_column_statistics(spark, d):
-    st = tl.column_statistics(fx.lineitem_messy(spark, d))
+    st = tl.column_statistics(fx.lineitem_messy(spark, d).drop(*fx.ORIGINALS))
     return st.withColumn("mean", r4("mean")).withColumn("std", r4("std"))
 
 
@@ -125,7 +125,7 @@ SELECT count(*) AS rows, CAST(11 AS BIGINT) AS columns,
              / (count(*) * 11) * 100, 4) AS null_percent
 FROM lm""")
 def q_null_percent(spark, d):
-    return tl.null_percent(fx.lineitem_messy(spark, d)).withColumn("null_percent", r4("null_percent"))
+    return tl.null_percent(fx.lineitem_messy(spark, d).drop(*fx.ORIGINALS)).withColumn("null_percent", r4("null_percent"))
 
 
 def _anomaly_sql(cte: str, table: str, cols: list[str]) -> str:
