@@ -229,8 +229,8 @@ def test_exact_quantiles(spark):
 
 def test_load_table_parquet_row_order(spark):
     df = tl.load_table(spark, "/root/testdata/sf0.001/orders.parquet")
-    assert "_row_id" in df.columns
-    assert df.select("_row_id").distinct().count() == df.count()
+    assert {"_file", "_pos"} <= set(df.columns) and "_file" not in tl.data_columns(df)
+    assert df.select("_file", "_pos").distinct().count() == df.count()
 
 
 def test_csv_inference_and_suffix_dispatch(spark, tmp_path):
