@@ -132,7 +132,8 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 20, id_col: str =
 
     ``is_query``: condition on the columns of ``vectors``. ``share``: part of a
     shard's rows that the ascent gathers before it stops, counted over the
-    trees; more gives a higher recall. Vectors that are null, empty, all zero or
+    trees (and always so many that a tree holds 8 * k, or the whole shard); more
+    gives a higher recall. Vectors that are null, empty, all zero or
     hold null or non-finite components, and rows without id, take no part. An id
     that repeats counts once, with its smallest vector. Vectors of different
     lengths are not compared. Other columns are only for ``is_query``. An empty
@@ -162,8 +163,10 @@ def nearest_neighbours(vectors: DataFrame, is_query, k: int = 20, id_col: str =
         schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
         if own.num_rows == 0 or asking.num_rows == 0:
             return schema.empty_table()
+        # one tree at least then holds 8 * k rows, or all of a small shard
+        wanted = max(math.ceil(share * own.num_rows), trees * min(own.num_rows, 8 * k))
         found = search_shard(own.column("id").to_numpy(), _matrix(own.column("v")), asking.column("id").to_numpy(),
-                             _matrix(asking.column("v")), k, trees, math.ceil(share * own.num_rows), top)
+                             _matrix(asking.column("v")), k, trees, wanted, top)
         return pa.table([pa.array(x) for x in found], schema=schema)
 
     columns = ["dim", "shard", "block", "id", "v"]
