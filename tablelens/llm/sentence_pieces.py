@@ -30,7 +30,7 @@ from tablelens.llm.stage import ship_package
 MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 #: Units that a process remembers.
-_REMEMBERED = 400_000
+_REMEMBERED = 200_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -279,8 +279,13 @@ class SentencePieces:
         @F.arrow_udf("array<int>")
         def encoded(column: pa.Array) -> pa.Array:
             own = model.value
-            out = [None if x is None else own.encode(x) for x in column.to_pylist()]
-            return pa.array(out, pa.list_(pa.int32()))
+            # one text at a time is held as Python objects
+            out = [np.array(own.encode(x.as_py()), dtype=np.int32) if x.is_valid else None for x in column]
+            ends = np.cumsum([0] + [0 if x is None else len(x) for x in out]).astype(np.int32)
+            values = [x for x in out if x is not None]
+            values = pa.array(np.concatenate(values) if values else np.zeros(0, dtype=np.int32))
+            missing = pa.array([x is None for x in out] , pa.bool_())
+            return pa.ListArray.from_arrays(pa.array(ends), values, mask=missing)
 
         return encoded(text)
 
@@ -290,7 +295,10 @@ class SentencePieces:
         @F.arrow_udf("string")
         def decoded(column: pa.Array) -> pa.Array:
             own = model.value
-            return pa.array([None if x is None else own.decode(x) for x in column.to_pylist()], pa.string())
+            values, bounds = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            valid = column.is_valid().to_numpy(zero_copy_only=False)
+            return pa.array([own.decode(values[bounds[r]:bounds[r + 1]].tolist()) if valid[r] else None
+                             for r in range(len(column))], pa.string())
 
         return decoded(ids)
 
