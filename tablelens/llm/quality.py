@@ -144,7 +144,29 @@ def fit_ordinal(marks: list[np.ndarray], grades: np.ndarray, levels: int, epochs
                 cut = np.maximum.accumulate(cut)
                 cut[1:] = np.maximum(cut[1:], cut[:-1] + 1e-3)
     w = -np.maximum(z - l1, 0.0) / ((1.0 + np.sqrt(square)) / alpha + l2)
-    return used[w != 0], w[w != 0], cut
+    score = np.array([w[x].sum() for x in rows])
+    # thresholds with the grades' weights; but where those would turn away texts
+    # without any telling mark (score 0), all texts count alike
+    even, alike = fit_cuts(score, grades, levels, weight[grades]), fit_cuts(score, grades, levels, np.ones(len(score)))
+    return used[w != 0], w[w != 0], np.maximum.accumulate(np.where(even < 0, even, alike))
+
+
+def fit_cuts(score: np.ndarray, grades: np.ndarray, levels: int, weight: np.ndarray, steps: int = 400) -> np.ndarray:
+    """Thresholds of the largest weighted likelihood for given scores."""
+    share = np.clip([(grades >= k).mean() for k in range(1, levels)], 1e-3, 1 - 1e-3)
+    cut = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-3 * np.arange(levels - 1))
+    for _ in range(steps):
+        edge = np.concatenate(([-np.inf], cut, [np.inf]))
+        low, high = (np.where(np.isinf(e), np.where(e < 0, 1.0, 0.0), _sigmoid(score - np.where(np.isinf(e), 0.0, e)))
+                     for e in (edge[grades], edge[grades + 1]))
+        p = np.maximum(low - high, 1e-9)
+        up = np.minimum(high * (1 - high) / p, 5.0)
+        down = np.minimum(low * (1 - low) / p, 5.0)
+        up, down = up * weight, down * weight
+        slope = np.array([up[grades == k].sum() - down[grades == k + 1].sum() for k in range(levels - 1)])
+        cut = np.maximum.accumulate(cut + 4.0 * slope / max(weight.sum(), 1.0))
+        cut[1:] = np.maximum(cut[1:], cut[:-1] + 1e-3)
+    return cut
 
 
 @dataclass(frozen=True)
