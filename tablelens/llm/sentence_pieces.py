@@ -17,6 +17,7 @@ its vocabulary file); documents are one narrow pass, without a shuffle.
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 from collections.abc import Iterator
@@ -163,6 +164,8 @@ class UnigramModel:
         self.unknown = next((k for k, t in enumerate(self.types) if t == _UNKNOWN), 0)
         self.bytes = {int(p[3:5], 16): k for k, (p, t) in enumerate(zip(self.pieces, self.types)) if t == _BYTE}
         self.byte_of = {k: b for b, k in self.bytes.items()}
+        self.is_byte = np.array([t == _BYTE for t in self.types], dtype=bool)
+        self.shown = [" ⁇ " if t == _UNKNOWN else "" if t == _CONTROL else p for p, t in zip(self.pieces, self.types)]
         whole = [(p, k) for k, (p, t) in enumerate(zip(self.pieces, self.types)) if t in (_NORMAL, _USER) and p]
         self.trie = DoubleArray(whole)
         self.low = min((s for s, t in zip(self.scores, self.types) if t == _NORMAL), default=0.0) - 10.0
@@ -176,33 +179,35 @@ class UnigramModel:
 
     def _unit(self, unit: str) -> list[int]:
         """Pieces of the best path; of equal paths the one found first, from the left."""
-        trie = self.trie
-        base, check, value, scores = trie.base, trie.check, trie.value, self.scores
-        codes = [trie.codes.get(c, 0) for c in unit]
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        scores, low = self.scores, self.low
+        find = self.trie.codes.get
+        codes = [find(c, 0) for c in unit]
         n, size = len(codes), len(check)
-        best: list[float | None] = [None] * (n + 1)
-        back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
+        best = [-math.inf] * (n + 1)
+        came, through = [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
         for i in range(n):
-            here, s, single = best[i], 0, False
-            for j in range(i, n):
-                t = base[s] + codes[j]
-                if not codes[j] or t >= size or check[t] != s:
+            here, s, end = best[i], 0, i
+            single = False
+            while end < n:
+                t = base[s] + codes[end]
+                if t >= size or check[t] != s or not codes[end]:
                     break
                 s = t
+                end += 1
                 piece = value[s]
                 if piece >= 0:
                     score = here + scores[piece]
-                    if best[j + 1] is None or score > best[j + 1]:
-                        best[j + 1], back[j + 1] = score, (i, piece)
-                    single = single or j == i
-            if not single:
-                score = here + self.low
-                if best[i + 1] is None or score > best[i + 1]:
-                    best[i + 1], back[i + 1] = score, (i, -1)
+                    if score > best[end]:
+                        best[end], came[end], through[end] = score, i, piece
+                    if end == i + 1:
+                        single = True
+            if not single and here + low > best[i + 1]:
+                best[i + 1], came[i + 1], through[i + 1] = here + low, i, -1
         path, at = [], n
         while at:
-            at, piece = back[at]
+            piece, at = through[at], came[at]
             path.append((at, piece))
         out = []
         for at, piece in reversed(path):
@@ -224,28 +229,26 @@ class UnigramModel:
             ids = known.get(unit)
             if ids is None:
                 ids = self._unit(unit)
-                if len(unit) <= 64:
-                    if len(known) >= _REMEMBERED:
-                        known.clear()
+                if len(unit) <= 64 and len(known) < _REMEMBERED:  # common units come early
                     known[unit] = ids
             out += ids
         return out
 
     def decode(self, ids) -> str:
         """Bytes that are no valid UTF-8 become U+FFFD, an unknown piece `` ⁇ ``."""
-        parts, run = [], bytearray()
-        for k in ids:
-            b = self.byte_of.get(k)
-            if b is not None:
-                run.append(b)
-                continue
-            if run:
-                parts.append(run.decode("utf-8", "replace"))
-                run = bytearray()
-            kind = self.types[k]
-            parts.append(" ⁇ " if kind == _UNKNOWN else "" if kind == _CONTROL else self.pieces[k])
-        if run:
-            parts.append(run.decode("utf-8", "replace"))
+        ids = np.asarray(ids, dtype=np.int64)
+        shown = self.shown.__getitem__
+        is_byte = self.is_byte[ids]
+        if not is_byte.any():
+            parts = list(map(shown, ids.tolist()))
+        else:  # runs of bytes and of other pieces take turns
+            parts = []
+            edges = np.flatnonzero(np.diff(is_byte)) + 1
+            for run in np.split(ids, edges):
+                if self.is_byte[run[0]]:
+                    parts.append(bytes(self.byte_of[k] for k in run.tolist()).decode("utf-8", "replace"))
+                else:
+                    parts.extend(map(shown, run.tolist()))
         text = "".join(parts)
         if self.prefix and text.startswith(MARK):  # the marker that encoding put there
             text = text[1:]
@@ -297,7 +300,7 @@ class SentencePieces:
             own = model.value
             values, bounds = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
             valid = column.is_valid().to_numpy(zero_copy_only=False)
-            return pa.array([own.decode(values[bounds[r]:bounds[r + 1]].tolist()) if valid[r] else None
+            return pa.array([own.decode(values[bounds[r]:bounds[r + 1]]) if valid[r] else None
                              for r in range(len(column))], pa.string())
 
         return decoded(ids)
