@@ -20,7 +20,8 @@ the corpus itself, in shards that documents visit:
 3. A shard of more than ``shard_segments`` different segments (a very common
    phrase in many surroundings) is split: the rest of its windows are shuffled
    by the window itself, and a window goes if its run begins with a smaller id.
-4. Removed windows return to their documents by id and the spans are cut.
+4. Removed windows return to their rows by id and text (a hash of it: rows with
+   one id may hold different texts) and the spans are cut.
 
 All of this is linear in the number of words, whatever is repeated how often.
 """
@@ -174,6 +175,7 @@ def _segments(window: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = W.column_bytes(batch.column(1))
+            keys = batch.column(3).to_numpy(zero_copy_only=False)
             lists = batch.column(2)
             shared = lists.values.to_numpy(zero_copy_only=False)
             bounds = lists.offsets.to_numpy()
@@ -197,13 +199,13 @@ def _segments(window: int):
                 content = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(to.tobytes()),
                                                                         pa.py_buffer(flat.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(ids[i + row]), pa.array(begin - first[row]), content],
-                    names=["anchor", "doc_id", "begin", "content"])
+                    [pa.array(anchor), pa.array(ids[i + row]), pa.array(keys[i + row]), pa.array(begin - first[row]), content],
+                    names=["anchor", "doc_id", "text_key", "begin", "content"])
 
     return make
 
 
-_MARK = pa.schema([("doc_id", pa.int64()), ("begin", pa.int64()), ("windows", pa.int64()), ("content", pa.binary())])
+_MARK = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("begin", pa.int64()), ("windows", pa.int64()), ("content", pa.binary())])
 
 
 def _runs(flags) -> Iterator[tuple[int, int]]:
@@ -224,26 +226,26 @@ def _match(window: int, shard_segments: int):
     reference, windows 0: a segment to judge)."""
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, known, automaton, split = None, {}, None, False
-        out: tuple[list, list, list, list] = ([], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [])
 
         def put(*row):
             for c, x in zip(out, row):
                 c.append(x)
 
         for batch in batches:
-            for a, doc, begin, content in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for a, doc, key, begin, content in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 if a != anchor:
                     anchor, known, automaton, split = a, {}, None, False
                 if split:
-                    put(doc, begin, 0, content)
+                    put(doc, key, begin, 0, content)
                     continue
                 seen = known.get(content)
                 if seen is None:
                     if len(known) >= shard_segments:
                         split = True
                         for text, (owner, _, _) in known.items():
-                            put(owner, -1, -1, text)
-                        put(doc, begin, 0, content)
+                            put(owner, 0, -1, -1, text)
+                        put(doc, key, begin, 0, content)
                         known, automaton = {}, None
                         continue
                     sequence = W.split_words(content)
@@ -259,13 +261,13 @@ def _match(window: int, shard_segments: int):
                     seen = known[content] = (doc, sequence, owners)
                 owner, _, owners = seen
                 if owner < doc:
-                    put(doc, begin, len(owners), None)
+                    put(doc, key, begin, len(owners), None)
                 else:
                     for at, count in _runs([o < doc for o in owners]):
-                        put(doc, begin + at, count, None)
+                        put(doc, key, begin + at, count, None)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(out, _MARK)], schema=_MARK)
-                out = ([], [], [], [])
+                out = ([], [], [], [], [])
 
     return match
 
@@ -273,8 +275,8 @@ def _match(window: int, shard_segments: int):
 def _split_windows(window: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, begin, kind = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            data, offsets = W.column_bytes(batch.column(3).cast(pa.string()))
+            doc, key, begin, kind = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            data, offsets = W.column_bytes(batch.column(4).cast(pa.string()))
             for i, j in W.text_groups(offsets):
                 h, _, _, first = W.words_of_rows(data, offsets, i, j, lower=False)
                 g = W.window_hashes(h, window)
@@ -282,8 +284,8 @@ def _split_windows(window: int):
                     a, b = first[r - i], first[r - i + 1] - window + 1
                     at = np.arange(b - a) + begin[r] if kind[r] == 0 else np.full(b - a, -1)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(g[a:b].view(np.int64)), pa.array(np.full(b - a, doc[r])), pa.array(at)],
-                        names=["hash", "doc_id", "begin"])
+                        [pa.array(g[a:b].view(np.int64)), pa.array(np.full(b - a, doc[r])),
+                         pa.array(np.full(b - a, key[r])), pa.array(at)], names=["hash", "doc_id", "text_key", "begin"])
 
     return make
 
@@ -293,16 +295,16 @@ def _split_match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        h, d, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        h, d, text, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
         edges = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
         head = d[edges[:-1]].copy()
         if h[0] == key:
             head[0] = first
         key, first = h[-1], head[-1]
         take = (np.repeat(head, np.diff(edges)) < d) & (at >= 0)
-        yield pa.RecordBatch.from_arrays([pa.array(d[take]), pa.array(at[take]),
+        yield pa.RecordBatch.from_arrays([pa.array(d[take]), pa.array(text[take]), pa.array(at[take]),
                                           pa.array(np.ones(int(take.sum()), dtype=np.int64))],
-                                         names=["doc_id", "begin", "windows"])
+                                         names=["doc_id", "text_key", "begin", "windows"])
 
 
 def _cut(window: int, payload: str, id_name: str, text_name: str):
@@ -393,7 +395,7 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Words are compared as they are. Null texts have no words and stay null.
     Rows without id give and lose nothing; rows with equal ids are one document
-    as far as the order goes. Texts shorter than a window keep all. Columns named
+    as far as the order goes, each with its own text. Texts shorter than a window keep all. Columns named
     like the added ones are refused in "text" mode. An empty table gives an
     empty result.
     """
@@ -409,20 +411,23 @@ def remove_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str
                          .repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id")
                          .mapInArrow(_shared, "doc_id long, anchor long"))
     lists = shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    segments = source.join(lists, "doc_id").select("doc_id", "text", "anchors").mapInArrow(
-        _segments(window), "anchor long, doc_id long, begin long, content binary")
+    segments = source.join(lists, "doc_id").select("doc_id", "text", "anchors", F.xxhash64("text")).mapInArrow(
+        _segments(window), "anchor long, doc_id long, text_key long, begin long, content binary")
     marks = steps.write("marks", segments.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc_id")
                         .mapInArrow(_match(window, shard_segments),
-                                    "doc_id long, begin long, windows long, content binary"))
+                                    "doc_id long, text_key long, begin long, windows long, content binary"))
     steps.drop("shared")
-    gone = marks.where("content is null").select("doc_id", "begin", "windows")
+    gone = marks.where("content is null").select("doc_id", "text_key", "begin", "windows")
     if not marks.where("content is not null").isEmpty():
-        rest = (marks.where("content is not null").mapInArrow(_split_windows(window), "hash long, doc_id long, begin long")
+        rest = (marks.where("content is not null")
+                .mapInArrow(_split_windows(window), "hash long, doc_id long, text_key long, begin long")
                 .repartition(parts, "hash").sortWithinPartitions("hash", "doc_id")
-                .mapInArrow(_split_match, "doc_id long, begin long, windows long"))
+                .mapInArrow(_split_match, "doc_id long, text_key long, begin long, windows long"))
         gone = gone.union(steps.write("split", rest))
-    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "windows")).alias("__marks"))
-    joined = docs.join(gone.withColumnRenamed("doc_id", "__doc"), F.col(id_col).cast("long") == F.col("__doc"), "left")
+    gone = gone.groupBy(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).agg(
+        F.collect_list(F.struct("begin", "windows")).alias("__marks"))
+    joined = docs.join(gone, (F.col(id_col).cast("long") == F.col("__doc"))
+                       & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__key")), "left")
     if payload == "digest":
         joined = joined.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col),
                                "__marks")

@@ -57,6 +57,18 @@ def test_texts_keep_what_is_not_cut(llm_spark):
         remove_repeated_spans(df.withColumnRenamed("begin", "removed"))
 
 
+@pytest.mark.parametrize("segments", [4096, 1])
+def test_rows_of_one_id_with_different_texts(llm_spark, segments):
+    """Each row loses words of its own text only; one of them is shorter than a window."""
+    a = "p q r s t u v w x y z 1 2 3"
+    other = " ".join(f"n{k}" for k in range(40))
+    rows = [(1, a), (2, f"head {a} tail"), (2, "too short"), (2, other), (3, f"{a} {other}"), (3, a), (3, None)]
+    df = llm_spark.createDataFrame(rows, "doc_id long, text string")
+    assert run(df, shard_segments=segments) == brute(rows, 13)
+    out = sorted((r["doc_id"], r["text"] or "") for r in remove_repeated_spans(df, shard_segments=segments).collect())
+    assert out == sorted([(1, a), (2, "head tail"), (2, "too short"), (2, other), (3, ""), (3, ""), (3, "")])
+
+
 def test_empty_table(empty):
     assert run(empty) == []
 
