@@ -1,6 +1,8 @@
 """Nearest neighbours: recall against brute force, exact scores and ties."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tablelens.llm.prefix_forest import PrefixForest, nearest_neighbours
@@ -36,6 +38,27 @@ def test_recall_and_scores(llm_spark):
     assert np.mean(recall) >= 0.9
 
 
+def test_recall_with_production_shards(llm_spark, tmp_path):
+    """Several full shards of clustered vectors of unequal norm, default parameters."""
+    random = np.random.RandomState(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = unit(random.randn(400, 64))
+    vectors = unit(centres[random.randint(400, size=40_000)] + 0.5 * unit(random.randn(40_000, 64)))
+    vectors *= np.exp(0.5 * random.randn(40_000, 1))
+    path = str(tmp_path / "vectors.parquet")
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(40_000)), "embedding": pa.array(list(vectors))}), path)
+    out = nearest_neighbours(llm_spark.read.parquet(path), F.col("vec_id") % 400 == 0).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = []
+    for q in range(0, 40_000, 400):
+        score = vectors @ vectors[q]
+        score[q] = -np.inf
+        recall.append(len(got[q] & set(np.argsort(-score)[:20].tolist())) / 20)
+    assert np.mean(recall) >= 0.9
+
+
 def test_odd_vectors(llm_spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 5), (20, [0.0, 2.0], 5), (1, [3.0, 1.0], 1), (2, [3.0, 1.0], 1), (3, None, 1), (4, [0.0, 0.0], 1),
