@@ -11,6 +11,7 @@ from tablelens.llm.chat import digest_conversations, format_conversations
 from tablelens.llm.edit_fingerprint import fingerprint_edits
 from tablelens.llm.html_text import extract_pages
 from tablelens.llm.jaccard_join import ngram_jaccard_join
+from tablelens.llm.mixing import mix_sources
 from tablelens.llm.packing import pack_documents
 from tablelens.llm.pitman_yor import score_documents
 from tablelens.llm.prefix_forest import nearest_neighbours
@@ -81,6 +82,28 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM p LEFT JOIN again USING (conv_id) GROUP BY conv_id"""
 
 
+#: Targets by the closed form: sources by size over weight, the first that is not full sets the level.
+MIX_SQL = r"""WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(concat_ws(':', 'mix', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(md5(text), ''))), 1, 15) AS BIGINT) AS key
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, ([3, 1, 2])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+      FROM d GROUP BY source),
+f AS (SELECT *, CAST(3 * sum(source_size) OVER () AS HUGEINT) - 4 * coalesce(sum(source_size) OVER b, 0) AS rest,
+        sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS shared
+      FROM s WINDOW b AS (ORDER BY source_size / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lv AS (SELECT rest, shared FROM f WHERE rest * w <= 4 * source_size * shared ORDER BY shared DESC, rest DESC LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN lv.rest * w > 4 * source_size * lv.shared THEN CAST(2 * source_size AS DOUBLE)
+        ELSE CAST(lv.rest AS DOUBLE) / 2 * w / CAST(lv.shared AS DOUBLE) END AS target FROM s, lv),
+p AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM d),
+e AS (SELECT p.*, source_size, target, CAST(floor(target) AS BIGINT) AS budget,
+        CASE WHEN source_size > 0 THEN CAST(floor(target) AS BIGINT) // source_size ELSE 0 END AS epochs
+      FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, source, size, source_size, target,
+       CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - place)) AS BIGINT) AS taken FROM e"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -149,6 +172,11 @@ def op4(spark, sf_dir):
     return graded.select("doc_id", "score", "expected_grade", "p_select", (F.col("p_select") >= 0.5).alias("selected"))
 
 
+@query("op11_source_mixing", MIX_SQL)
+def op11(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents")).drop("epochs", "part")
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
 import tempfile
@@ -50,8 +51,29 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+_left: dict[str, set[str]] = {}
+
+
+def release_steps(spark: SparkSession) -> int:
+    """Delete every step that operators of this application have written and not
+    dropped; results that still read them can't be read afterwards. Also done
+    when the driver program ends."""
+    paths = _left.pop(spark.sparkContext.applicationId, set())
+    for path in paths:
+        release(spark, path)
+    return len(paths)
+
+
+@atexit.register
+def _at_exit() -> None:
+    spark = SparkSession.getActiveSession() if _left else None
+    if spark is not None and spark.sparkContext._jsc is not None:
+        release_steps(spark)
+
+
 class Steps:
-    """Written steps of one operator; ``drop`` deletes those no longer read."""
+    """Written steps of one operator; ``drop`` deletes those no longer read, and
+    ``release_steps`` what is left."""
 
     def __init__(self, spark: SparkSession):
         ship_package(spark)
@@ -62,8 +84,11 @@ class Steps:
         with shuffle_cleanup(self.spark):
             out, path = materialize(df)
         self._paths[name] = path
+        _left.setdefault(self.spark.sparkContext.applicationId, set()).add(path)
         return out
 
     def drop(self, *names: str) -> None:
         for name in names:
-            release(self.spark, self._paths.pop(name, None))
+            path = self._paths.pop(name, None)
+            release(self.spark, path)
+            _left.get(self.spark.sparkContext.applicationId, set()).discard(path)
