@@ -13,6 +13,7 @@ from tablelens.llm.html_text import extract_pages
 from tablelens.llm.jaccard_join import ngram_jaccard_join
 from tablelens.llm.mixing import mix_sources
 from tablelens.llm.packing import pack_documents
+from tablelens.llm.phrases import collocations
 from tablelens.llm.pitman_yor import score_documents
 from tablelens.llm.prefix_forest import nearest_neighbours
 from tablelens.llm.quality import fit_quality, grade_documents, grades_of_labels
@@ -104,6 +105,25 @@ SELECT doc_id, source, size, source_size, target,
        CAST(epochs * size + greatest(0, least(size, budget - epochs * source_size - place)) AS BIGINT) AS taken FROM e"""
 
 
+PHRASES_SQL = r"""WITH pc AS (SELECT coalesce(lang, 'und') AS lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(""" + _FOLDED + r""", '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, k AS len
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT lang, w, unnest(range(1, least(len(w), 5) + 1)) AS k FROM pc))),
+f AS (SELECT lang, phrase, any_value(len) AS len, count(*) AS f FROM g GROUP BY lang, phrase),
+n AS (SELECT lang, sum(f)::HUGEINT AS n FROM f WHERE len = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, len, f AS a, string_split(phrase, ' ') AS w FROM f WHERE len >= 2 AND f >= 100),
+cut AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y
+        FROM (SELECT *, unnest(range(1, len)) AS k FROM c)),
+s AS (SELECT cut.lang, cut.phrase, a, k, l.f AS l, r.f AS r, n, (1000 * a::HUGEINT * n) // (l.f::HUGEINT * r.f::HUGEINT) AS score
+      FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.phrase = y JOIN n ON n.lang = cut.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, array_to_string(w[j:j + m - 1], ' ') AS phrase, max(a) AS longer
+      FROM (SELECT lang, w, a, m, unnest(range(1, len - m + 2)) AS j FROM (SELECT *, unnest(range(2, len)) AS m FROM c)) GROUP BY 1, 2),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+      FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 100 * a)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 2000"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -177,6 +197,11 @@ def op11(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents")).drop("epochs", "part")
 
 
+@query("op12_phrase_collocations", PHRASES_SQL)
+def op12(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
