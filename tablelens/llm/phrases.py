@@ -68,7 +68,7 @@ def _strings(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.Array
 
 def _spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words one after another, each followed by a space, and where each begins."""
-    out, offsets = _gather(data, starts, ends - starts + 1)
+    out, offsets = _gather(np.append(data, np.uint8(32)), starts, ends - starts + 1)
     out[offsets[1:] - 1] = 32
     return out, offsets
 
@@ -94,7 +94,11 @@ def _chunks(data: np.ndarray, span: int, more: bool):
     if more:
         # the last chunk may go on, and the chunk before it needs no more words
         rest = int(starts[at[-1]])
-        at, nxt, stop = at[:-1], nxt[:-1], stop[:-1]
+        if len(data) - rest >= BLOCK and n - span > at[-1]:
+            # BLOCK bytes without a trigger: the chunk ends here, the next one takes its last words again
+            nxt[-1], stop[-1], rest = n - span, n, int(starts[n - span])
+        else:
+            at, nxt, stop = at[:-1], nxt[:-1], stop[:-1]
         if not len(at):
             return None, rest
     text, offsets = _spaced(data, starts, ends)

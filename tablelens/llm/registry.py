@@ -19,6 +19,7 @@ from tablelens.llm.prefix_forest import nearest_neighbours
 from tablelens.llm.quality import fit_quality, grade_documents, grades_of_labels
 from tablelens.llm.sentence_pieces import encode_documents
 from tablelens.llm.substring_dedup import remove_repeated_spans
+from tablelens.llm.turn_repair import damage_conversations, repair_conversations
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -124,6 +125,58 @@ o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM o WHERE rank <= 2000"""
 
 
+#: The cheapest scripts turn by turn, by the state of the grammar after it (0: nothing yet, s, u, a):
+#: at most two inserts go before a turn, and two may close the conversation.
+REPAIR_SQL = r"""WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(
+           string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda x, b: CASE WHEN b >= 0 THEN xor(x, b) WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::BIGINT) ELSE x // 2 END) AS c
+  FROM conversations),
+kind AS (SELECT *, xor(c, 4294967295::BIGINT) % 20 AS k FROM raw),
+harm AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+           CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kind),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM harm),
+p AS (SELECT *, left(role, 1) AS x, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN again THEN 'd'
+        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 't' ELSE '' END AS fault FROM o),
+moves AS (SELECT * FROM (VALUES ('0', 'K', 's', 's'), ('0', 'K', 'u', 'u'), ('s', 'K', 'u', 'u'), ('a', 'K', 'u', 'u'), ('u', 'K', 'a', 'a'),
+        ('0', 'R', '', 'u'), ('s', 'R', '', 'u'), ('a', 'R', '', 'u'), ('u', 'R', '', 'a')) AS v(state, op, x, after)),
+ins AS (SELECT * FROM (VALUES ('0', '', '0'), ('s', '', 's'), ('u', '', 'u'), ('a', '', 'a'), ('0', 'I', 'u'), ('s', 'I', 'u'), ('a', 'I', 'u'), ('u', 'I', 'a'),
+        ('0', 'II', 'a'), ('s', 'II', 'a'), ('a', 'II', 'a'), ('u', 'II', 'u')) AS v(state, ops, mid)),
+lead AS (SELECT ins.state AS state, ops || m.op AS ops, m.x, m.after, 3 * len(ops) + CASE m.op WHEN 'R' THEN 3 ELSE 0 END AS cost
+         FROM ins JOIN moves m ON m.state = ins.mid
+         UNION ALL SELECT ins.state, ops || 'D', '', mid, 3 * len(ops) + 4 FROM ins),
+walk(conv_id, i, state, cost, audit, lines) AS (
+  SELECT conv_id, 0::BIGINT, '0', 0::BIGINT, '', []::VARCHAR[] FROM (SELECT DISTINCT conv_id FROM raw)
+  UNION ALL
+  SELECT conv_id, i, state, cost, audit, lines FROM (
+    SELECT w.conv_id, p.i, l.after AS state, w.cost + l.cost + CASE WHEN p.fault = 't' AND right(l.ops, 1) <> 'D' THEN 3 ELSE 0 END AS cost,
+           w.audit || l.ops AS audit,
+           list_concat(w.lines, CASE WHEN starts_with(l.ops, 'II') THEN [CASE w.state WHEN 'u' THEN 'assistant:' ELSE 'user:' END, CASE w.state WHEN 'u' THEN 'user:' ELSE 'assistant:' END]
+             WHEN starts_with(l.ops, 'I') THEN [CASE w.state WHEN 'u' THEN 'assistant:' ELSE 'user:' END] ELSE [] END,
+             CASE right(l.ops, 1) WHEN 'K' THEN [p.role || ':' || p.text] WHEN 'R' THEN [CASE l.after WHEN 'u' THEN 'user:' ELSE 'assistant:' END || p.text] ELSE [] END) AS lines
+    FROM walk w JOIN p ON p.conv_id IS NOT DISTINCT FROM w.conv_id AND p.i = w.i + 1 JOIN lead l ON l.state = w.state
+    WHERE (right(l.ops, 1) <> 'K' OR l.x = p.x) AND (p.fault NOT IN ('b', 'd') OR right(l.ops, 1) = 'D')
+      AND (right(l.ops, 1) <> 'R' OR p.x <> l.after))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, i, state ORDER BY cost, audit) = 1),
+last AS (SELECT conv_id, max(i) AS i FROM walk GROUP BY conv_id),
+ended AS (SELECT w.conv_id, cost + CASE state WHEN 'u' THEN 3 WHEN 's' THEN 6 ELSE 0 END AS cost,
+          audit || CASE state WHEN 'u' THEN 'I' WHEN 's' THEN 'II' ELSE '' END AS audit,
+          list_concat(lines, CASE state WHEN 'u' THEN ['assistant:'] WHEN 's' THEN ['user:', 'assistant:'] ELSE [] END) AS lines
+        FROM walk w JOIN last ON last.conv_id IS NOT DISTINCT FROM w.conv_id AND last.i = w.i),
+fin AS (SELECT * FROM ended QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1),
+j AS (SELECT *, lag(x) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM p),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+        count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+        count(*) FILTER (WHERE prev IS NOT NULL AND prev || x NOT IN ('su', 'ua', 'au')) AS illegal FROM j GROUP BY conv_id)
+SELECT fin.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit,
+       sha256(array_to_string(lines, chr(10))) AS repaired_sha256
+FROM fin LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM fin.conv_id"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -202,6 +255,11 @@ def op12(spark, sf_dir):
     return collocations(table(spark, sf_dir, "documents"))
 
 
+@query("op13_conversation_repair", REPAIR_SQL)
+def op13(spark, sf_dir):
+    return repair_conversations(damage_conversations(table(spark, sf_dir, "conversations"))).report
+
+
 @query("pipeline")
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
