@@ -35,17 +35,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return graded.where("p_select >= 0.5").select(*[f"`{c}`" for c in docs.columns])
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"{name}_"
+    return name
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group that shares five-word
-    shingles with a Jaccard similarity of 0.8 or more."""
-    linked = ngram_jaccard_join(docs, n=5, threshold=(4, 5))
-    per_id = linked.groupBy("doc_id").agg(F.min("component_id").alias("keeper"), F.count(F.lit(1)).alias("rows"))
-    marks = per_id.where("doc_id is not null and (keeper <> doc_id or rows > 1)").select(
-        F.col("doc_id").alias("__id"), (F.col("keeper") != F.col("doc_id")).alias("__gone"))
-    joined = docs.join(marks, F.col("doc_id") == F.col("__id"), "left")
-    once = joined.where("__gone is null").select(*[f"`{c}`" for c in docs.columns])
-    again = joined.where("not __gone").select(*[f"`{c}`" for c in docs.columns]).dropDuplicates(["doc_id", "text"])
-    return once.union(again)
+    shingles with a Jaccard similarity of 0.8 or more. Rows are told apart by id
+    and text, so an id that occurs with several texts loses only those that
+    another row stands for."""
+    row, group, gone = (_free(docs, c) for c in ("row", "group", "gone"))
+    keyed = docs.withColumn(row, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    linked = ngram_jaccard_join(keyed.select(row, "text"), id_col=row, n=5, threshold=(4, 5)).where("n_links > 0")
+    members = linked.groupBy(F.col("doc_id").alias(row)).agg(F.min("component_id").alias(group))
+    keepers = keyed.select("doc_id", row).join(members, row).groupBy(group).agg(F.min(F.struct("doc_id", row))[row].alias(gone))
+    marks = members.join(keepers, group).select(row, (F.col(row) != F.col(gone)).alias(gone))
+    joined = keyed.join(marks, row, "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # rows of the keeper's id and text are the same document: one of them stays
+    again = joined.where(~F.col(gone)).groupBy(row).agg(F.min(F.struct(*columns)).alias(group)).select(f"{group}.*")
+    return joined.where(F.col(gone).isNull()).select(*columns).union(again)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tablelens.llm.stage import Steps
 
 #: Rows of one key range, about.
-RANGE_ROWS = 1 << 16
+RANGE_ROWS = 1 << 12
 #: Copies of one row that are written out together.
 COPIES = 1 << 16
 _KEY_BITS = 60

@@ -66,3 +66,13 @@ def test_run_and_odd_rows(llm_spark, tmp_path, edge):
     for stage in (C.near_duplicates, C.repeated_passages, C.packing):
         assert stage(llm_spark, rows.where("false"), SF).count() == 0
     assert C.quality(llm_spark, rows.where("false"), SF).count() == 0
+
+
+def test_one_id_with_two_texts(llm_spark):
+    """An id that repeats with another text keeps the text that is nowhere else."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a, 1, "x"), (5, a, 2, "x"), (5, b, 3, "y"), (7, c, 4, "z"), (7, c, 3, "z"), (7, b + " tail", 5, "z"), (None, a, 6, "n")]
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string, `row` long, gone string")
+    got = C.near_duplicates(llm_spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[2], rows[4], rows[6]], key=str)
