@@ -1,8 +1,10 @@
 """C4: column classes, read from the schema in column order (no job).
 
-Hidden columns are the library's own bookkeeping (row order, copy numbers), by
-an explicit list of names; every other column is the user's, whatever its name
-starts with, and is analysed.
+Hidden columns are the library's own bookkeeping (row order, copy numbers). The
+loader marks the order columns it adds in the schema's metadata, under names the
+file does not use; in a table with marked columns exactly those are hidden. A table
+without marks hides an explicit list of names. Every other column is the
+user's, whatever its name starts with, and is analysed.
 """
 
 from __future__ import annotations
@@ -18,6 +20,13 @@ from .frames import rows_frame
 #: extracted cells, copy numbers, and positions. No other column is hidden.
 HIDDEN_COLUMNS = frozenset({"_row_id", "_file", "_block", "_pos", "_table_no", "_row_no", "_copy", "_idx", "_bucket"})
 
+#: Names that the order-dependent operators use for their working columns; the
+#: loader refuses a file that has one of them rather than overwrite it.
+WORKING_COLUMNS = frozenset({"_idx", "_bucket", "_lo", "_hi", "_lo2", "_hi2", "_first", "_filled", "_metadata"})
+
+#: Metadata key of a marked order column; its value is the column's place in the order.
+ORDER_MARK = "tablelens.order"
+
 # numeric: KPIs, charts, insights, anomalies, prompt context
 NUMERIC_TYPES = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType)
 # numeric-wide: null filling and column statistics also take the small integers
@@ -26,8 +35,28 @@ TEXT_TYPES = (T.StringType, T.VarcharType, T.CharType)
 DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
+def order_columns(df: DataFrame) -> list[str]:
+    """The marked order columns, in their order."""
+    marked = [(f.metadata[ORDER_MARK], f.name) for f in df.schema.fields if f.metadata and ORDER_MARK in f.metadata]
+    return [name for _, name in sorted(marked)]
+
+
+def hidden_columns(df: DataFrame) -> frozenset[str]:
+    return frozenset(order_columns(df)) or HIDDEN_COLUMNS
+
+
+def with_marks_of(df: DataFrame, source: DataFrame) -> DataFrame:
+    """``df`` with the marks that ``source`` has on columns of the same names
+    (an aggregate's result loses them)."""
+    for place, c in enumerate(order_columns(source)):
+        if c in df.columns:
+            df = df.withMetadata(c, {ORDER_MARK: place})
+    return df
+
+
 def data_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in HIDDEN_COLUMNS]
+    hidden = hidden_columns(df)
+    return [c for c in df.columns if c not in hidden]
 
 
 def _is(dt: T.DataType, kinds: tuple) -> bool:
@@ -46,8 +75,9 @@ class ColumnClasses:
 
 def column_classes(df: DataFrame) -> ColumnClasses:
     cols, num, wide, text, date, dtypes = [], [], [], [], [], {}
+    hidden = hidden_columns(df)
     for f in df.schema.fields:
-        if f.name in HIDDEN_COLUMNS:
+        if f.name in hidden:
             continue
         cols.append(f.name)
         dtypes[f.name] = f.dataType

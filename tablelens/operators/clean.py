@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions.frames import rows_frame
 
 from ..functions.text import parses_as_python_float, to_number
-from ..functions.types import column_classes, data_columns
+from ..functions.types import column_classes, data_columns, with_marks_of
 from ..functions.words import EMPTY_TEXT
 from .heads import head_values
 from .order import GlobalOrder, default_order, forward_fill
@@ -152,11 +152,12 @@ def drop_duplicate_rows(df: DataFrame, order: Sequence[str] | str | None = None)
                    T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
     if len(hidden) == 1 and hidden[0] in order and isinstance(df.schema[hidden[0]].dataType, fixed_width):
         # one fixed-width key: a hash aggregate with a map-side partial min
-        return df.groupBy(*data).agg(F.min(hidden[0]).alias(hidden[0])).select(*df.columns)
+        return with_marks_of(df.groupBy(*data).agg(F.min(hidden[0]).alias(hidden[0])).select(*df.columns), df)
     # a composite key: min over a struct (Spark plans a sort-based aggregate, still partial first)
     first = F.min(F.struct(*[F.col(c) for c in hidden])).alias("_first")
     grouped = df.groupBy(*data).agg(first)
-    return grouped.select(*[F.col("_first")[c].alias(c) if c in hidden else F.col(f"`{c}`") for c in df.columns])
+    out = grouped.select(*[F.col("_first")[c].alias(c) if c in hidden else F.col(f"`{c}`") for c in df.columns])
+    return with_marks_of(out, df)
 
 
 # ---------------------------------------------------------------------------

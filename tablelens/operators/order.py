@@ -18,7 +18,7 @@ every row into one task. Instead:
    positions; global position = bucket offset + local position.
 
 The order key must be unique (a total order). Tables carry it as one or more
-columns; those in ``types.HIDDEN_COLUMNS`` are hidden from analysis.
+columns; marked ones, and those in ``types.HIDDEN_COLUMNS``, are hidden from analysis.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.frames import array_literal
+from ..functions.types import order_columns
 
 ROWS_PER_BUCKET = 4_000_000
 MAX_BUCKETS = 16384
@@ -43,9 +44,12 @@ SEED = 20240101
 
 def default_order(df: DataFrame, order: Sequence[str] | str | None) -> list[str]:
     if order is None:
+        marked = order_columns(df)                               # file order from load_table
+        if marked:
+            return marked
         if "_row_id" in df.columns:
             return ["_row_id"]
-        if "_file" in df.columns and "_pos" in df.columns:      # file order from load_table
+        if "_file" in df.columns and "_pos" in df.columns:
             return ["_file", "_block", "_pos"] if "_block" in df.columns else ["_file", "_pos"]
         raise ValueError("an order is needed: pass order=[...] or add a _row_id column")
     return [order] if isinstance(order, str) else list(order)

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import allowed_file, file_suffix, file_type
+from ..functions.types import ORDER_MARK, WORKING_COLUMNS, order_columns
 from ..functions.words import CLIENT_SUFFIXES
 
 
-def with_file_order(df: DataFrame) -> DataFrame:
+def with_file_order(df: DataFrame, blocks: bool = False) -> DataFrame:
     """Hidden total order of a file scan, of one form at any size: the file's
     path and the place of the row in it.
 
@@ -20,15 +21,31 @@ def with_file_order(df: DataFrame) -> DataFrame:
     split start, and a counter that increases along each split (rows of a split
     are read in file order and stay together in one partition, so the triple
     follows the files even though Spark packs splits into partitions by size).
+    ``blocks=True`` gives Parquet the triple too, for scans in physical order.
+
+    A name that the table uses itself gets an underscore more; the added columns are
+    marked in the schema, so the user's are analysed whatever their names (those
+    of ``WORKING_COLUMNS`` are refused). A table that already carries marked order columns (a stored copy) keeps them.
     """
+    if order_columns(df):
+        return df
+    taken = {c.lower() for c in df.columns}
+
+    def free(name: str) -> str:
+        while name in taken:
+            name += "_"
+        return name
+
     meta = F.col("_metadata")
+    if taken & WORKING_COLUMNS:
+        raise ValueError(f"rename the columns {sorted(taken & WORKING_COLUMNS)}: they are names of working columns")
+    parts = [(free("_file"), meta["file_path"]), (free("_block"), meta["file_block_start"])]
     try:
-        pos = df.withColumn("_pos", meta["row_index"])
+        df.select(meta["row_index"])
+        parts = (parts if blocks else parts[:1]) + [(free("_pos"), meta["row_index"])]
     except AnalysisException:  # the format has no row index
-        return (df.withColumn("_file", meta["file_path"])
-                .withColumn("_block", meta["file_block_start"])
-                .withColumn("_pos", F.monotonically_increasing_id()))
-    return pos.withColumn("_file", meta["file_path"])
+        parts.append((free("_pos"), F.monotonically_increasing_id()))
+    return df.select("*", *[c.alias(name, metadata={ORDER_MARK: i}) for i, (name, c) in enumerate(parts)])
 
 
 # types a text column may have, narrowest first: (type, fits)

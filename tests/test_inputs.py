@@ -56,6 +56,27 @@ def test_file_order_has_one_form(spark, tmp_path):
 
 # --- names -----------------------------------------------------------------
 
+def test_user_columns_named_like_the_order_are_kept(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(60).select("id", (F.col("id") * 7).alias("_pos"), F.concat(F.lit("f"), F.col("id") % 3).alias("_file"),
+                           (F.col("id") % 5).alias("_row_id"), F.lit(1.5).alias("_copy")).coalesce(1).write.parquet(path)
+    df = tl.load_table(spark, path)
+    assert df.columns == ["id", "_pos", "_file", "_row_id", "_copy", "_file_", "_pos_"]
+    assert tl.data_columns(df) == ["id", "_pos", "_file", "_row_id", "_copy"]
+    rows = {r["id"]: (r["_pos"], r["_file"]) for r in df.collect()}
+    assert rows == {k: (7 * k, f"f{k % 3}") for k in range(60)}
+    a = tl.analyze(df)
+    assert [r["column"] for r in a.column_stats.orderBy("position").collect()] == ["id", "_pos", "_file", "_row_id", "_copy"]
+    assert [r["id"] for r in tl.preview(df, n=4).collect()] == [0, 1, 2, 3]
+    # a stored copy keeps its marks, and is not given a second order
+    again = tl.load_table(spark, a.cleaned.path + "/") if a.cleaned.path.endswith(".parquet") else tl.with_file_order(a.table)
+    assert tl.data_columns(again) == tl.data_columns(df) and again.columns == a.table.columns
+    a.release()
+    spark.range(3).withColumnRenamed("id", "_idx").write.parquet(str(tmp_path / "w.parquet"))
+    with pytest.raises(ValueError, match="_idx"):
+        tl.load_table(spark, str(tmp_path / "w.parquet"))
+
+
 def test_columns_that_start_with_an_underscore(spark):
     df = spark.createDataFrame([(1, "a", 0), (2, "a", 1), (3, "a", 2), (3, "a", 3)], "_id long, s string, _row_id long")
     assert tl.drop_duplicate_rows(df).count() == 3

@@ -356,7 +356,7 @@ def test_csv_file_order_and_analysis(spark, tmp_path):
     out = str(tmp_path / "orders_csv")
     src.repartition(1).sortWithinPartitions("o_orderkey").write.option("header", True).csv(out + "/a.csv")
     df = tl.load_table(spark, out + "/a.csv")
-    assert {"_file_no", "_block", "_pos"} <= set(df.columns)
+    assert {"_file", "_block", "_pos"} <= set(df.columns)
     first = tl.preview(df, n=5).select("o_orderkey").collect()
     assert [r[0] for r in first] == [0, 1, 2, 3, 4]
     a = tl.analyze(df, persist=False)
