@@ -352,6 +352,41 @@ def q_analyze_range_kpis(spark, d):
     return out["kpis"]
 
 
+@query("cube_range_kpis", _kpi_sql("orders", "o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1997-06-30'"))
+def q_cube_range_kpis(spark, d):
+    """K1 of a date range from the daily cube of the table."""
+    return tl.build_cube(fx.read(spark, d, "orders"), sketches=False).kpis("1996-01-01", "1997-06-30")
+
+
+EVENT_COLS = [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"),
+              ("value", "double"), ("props", "string")]
+
+
+def _event_range_statistics_sql() -> str:
+    parts = []
+    for i, (c, t) in enumerate(EVENT_COLS):
+        wide = t in ("bigint", "double")
+        measures = ", ".join(f"{f} AS {name}" if wide else f"CAST(NULL AS DOUBLE) AS {name}" for f, name in (
+            (f"round(avg(CAST({c} AS DOUBLE)), 4)", "mean"), (f"CAST(min({c}) AS DOUBLE)", "min"),
+            (f"CAST(max({c}) AS DOUBLE)", "max"), (f"round(stddev_samp(CAST({c} AS DOUBLE)), 4)", "std")))
+        parts.append(f"SELECT CAST({i} AS BIGINT) AS position, '{c}' AS \"column\", '{t}' AS dtype, count(*) - count({c}) AS null_count, "
+                     f"CAST(count(DISTINCT {c}) + coalesce(max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END), 0) AS BIGINT) AS unique_count, {measures} FROM e")
+    return ("WITH e AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20')\n" + "\nUNION ALL ".join(parts))
+
+
+@query("cube_range_statistics", _event_range_statistics_sql())
+def q_cube_range_statistics(spark, d):
+    """A3 of a date range from a cube that was built in two parts and merged; all
+    distinct counts exact."""
+    e = fx.read(spark, d, "events")
+    names = [c for c, _ in EVENT_COLS]
+    cube = tl.build_cube(e.where("event_id % 2 = 0"), exact=names, sketches=False).append(e.where("event_id % 2 = 1"))
+    merged = cube.compact()
+    cube.release()
+    st = merged.statistics("2024-01-05", "2024-01-20")
+    return st.withColumn("mean", r4("mean")).withColumn("std", r4("std"))
+
+
 def _ts_sample_sql(table: str, date: str, cols: list[str], order_sql: str, points: int = 50) -> str:
     return f"""
 WITH r AS (SELECT *, row_number() OVER (ORDER BY {date} NULLS FIRST, {order_sql}) - 1 AS idx,

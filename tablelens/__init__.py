@@ -14,6 +14,7 @@ from .operators.clean import (clean_table, coerce_numeric, fill_missing, drop_du
 from .operators.profile import (column_statistics, n_unique, top_value, null_percent, describe_all,
                                 exact_quantiles, value_counts)
 from .operators.kpi import kpis, numeric_summary
+from .operators.cube import DayCube, build_cube, open_cube
 from .operators.charts import (time_series_sample, row_sample, category_breakdown, histogram, charts,
                                chart_index, charts_data, value_format)
 from .operators.insights import half_trend, insights, summary_text, recommendations

@@ -33,6 +33,7 @@ from ..functions.types import column_classes
 from ..operators.charts import (HISTOGRAM_SCHEMA, Chart, chart_index, charts, histogram_bin, histogram_layout,
                                 histogram_rows)
 from ..operators.clean import Cleaned, clean_table
+from ..operators.cube import DayCube
 from ..operators.domain import domain_of
 from ..operators.explore import filter_date_range, preview
 from ..operators.insights import half_trend, insights, recommendations, summary_text
@@ -159,7 +160,7 @@ def analyze(df: DataFrame, order: Sequence[str] | str | None = None, persist: bo
 
 def analyze_range(df: DataFrame, stored: dict, start: str | None, end: str | None,
                   order: Sequence[str] | str | None = None, persist: bool = True,
-                  clean: Cleaned | None = None) -> dict:
+                  clean: Cleaned | None = None, cube: DayCube | None = None) -> dict:
     """B2: filter the first date column of the cleaned table to [start, end],
     then new charts, KPIs and preview; everything else comes from ``stored``.
     No bounds or no date column → ``stored`` unchanged, without a job.
@@ -167,7 +168,10 @@ def analyze_range(df: DataFrame, stored: dict, start: str | None, end: str | Non
     ``clean``: the kept cleaned table (``Analysis.cleaned``, or a stored copy as
     ``Cleaned.of(table, order)``), so the range filter is pushed into its scan
     and nothing is cleaned again. Without it the table is cleaned here, and
-    ``out["cleaned"].release()`` drops the copy that was written for it."""
+    ``out["cleaned"].release()`` drops the copy that was written for it.
+
+    ``cube``: the daily cube of the cleaned table (``build_cube``): KPIs and the
+    bounds that the charts need come from the days of the range, not its rows."""
     order = default_order(df, order)
     # cleaning never changes which columns hold dates: the schema tells before any job
     if (not start and not end) or not column_classes(df).date:
@@ -176,7 +180,7 @@ def analyze_range(df: DataFrame, stored: dict, start: str | None, end: str | Non
     t = cleaned.table
     cc = column_classes(t)
     sub = filter_date_range(t, start, end, cc.date[0])
-    facts = table_facts(sub, distinct=cc.text[:2])
+    facts = cube.facts(start, end, cc.text[:2]) if cube is not None else table_facts(sub, distinct=cc.text[:2])
     out = dict(stored)
     out["charts"] = charts(sub, order, n_rows=facts.rows, facts=facts)
     out["kpis"] = kpis(sub, facts=facts)
