@@ -352,6 +352,21 @@ def q_analyze_range_kpis(spark, d):
     return out["kpis"]
 
 
+@query("csv_quoted_lines", """
+SELECT doc_id, source, coalesce(nullif(text, ''), NULL) AS text, n_chars FROM documents""")
+def q_csv_quoted_lines(spark, d):
+    """``documents`` written as CSV (texts with quotes, commas and line breaks), in
+    small splits, and read back split by split."""
+    import uuid
+
+    from tablelens.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tablelens-csv-{uuid.uuid4().hex}.csv"
+    docs = fx.read(spark, d, "documents").select("doc_id", "source", "text", "n_chars")
+    docs.write.options(header=True, escape='"', emptyValue="").csv(path)
+    df = tl.load_table(spark, path)
+    return df.select(*tl.data_columns(df))
+
+
 @query("cube_range_kpis", _kpi_sql("orders", "o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1997-06-30'"))
 def q_cube_range_kpis(spark, d):
     """K1 of a date range from the daily cube of the table."""

@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from ..functions.text import allowed_file, file_suffix, file_type
 from ..functions.types import ORDER_MARK, WORKING_COLUMNS, order_columns
 from ..functions.words import CLIENT_SUFFIXES
+from .csv_splits import csv_records, has_quoted_breaks
+
+
+def _free(columns: list[str], name: str) -> str:
+    """``name``, with an underscore more until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def with_file_order(df: DataFrame, blocks: bool = False) -> DataFrame:
@@ -25,26 +34,21 @@ def with_file_order(df: DataFrame, blocks: bool = False) -> DataFrame:
 
     A name that the table uses itself gets an underscore more; the added columns are
     marked in the schema, so the user's are analysed whatever their names (those
-    of ``WORKING_COLUMNS`` are refused). A table that already carries marked order columns (a stored copy) keeps them.
+    of ``WORKING_COLUMNS`` are refused). A table that already carries marked order
+    columns (a stored copy) keeps them.
     """
     if order_columns(df):
         return df
     taken = {c.lower() for c in df.columns}
-
-    def free(name: str) -> str:
-        while name in taken:
-            name += "_"
-        return name
-
-    meta = F.col("_metadata")
     if taken & WORKING_COLUMNS:
         raise ValueError(f"rename the columns {sorted(taken & WORKING_COLUMNS)}: they are names of working columns")
-    parts = [(free("_file"), meta["file_path"]), (free("_block"), meta["file_block_start"])]
+    meta = F.col("_metadata")
+    parts = [(_free(df.columns, "_file"), meta["file_path"]), (_free(df.columns, "_block"), meta["file_block_start"])]
     try:
         df.select(meta["row_index"])
-        parts = (parts if blocks else parts[:1]) + [(free("_pos"), meta["row_index"])]
+        parts = (parts if blocks else parts[:1]) + [(_free(df.columns, "_pos"), meta["row_index"])]
     except AnalysisException:  # the format has no row index
-        parts.append((free("_pos"), F.monotonically_increasing_id()))
+        parts.append((_free(df.columns, "_pos"), F.monotonically_increasing_id()))
     return df.select("*", *[c.alias(name, metadata={ORDER_MARK: i}) for i, (name, c) in enumerate(parts)])
 
 
@@ -72,23 +76,52 @@ def csv_types(raw: DataFrame) -> dict[str, str]:
             for i, c in enumerate(raw.columns)}
 
 
-def read_csv_table(spark: SparkSession, path: str, multi_line: bool = False, **options) -> DataFrame:
+#: Options under which the records of a CSV file can be found split by split.
+_SPLIT_OPTIONS = {"sep", "delimiter"}
+_COMPRESSED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate")
+
+
+def _typed(raw: DataFrame, names: list[str]) -> list:
+    kinds = csv_types(raw.select(*[F.col(f"`{c}`") for c in names]))
+    return [(F.col(f"`{c}`") if t == "string" else F.trim(F.col(f"`{c}`")).cast(t)).alias(c) for c, t in kinds.items()]
+
+
+def _read_csv(spark: SparkSession, path: str, multi_line: bool | None, options: dict) -> DataFrame:
+    """A typed CSV; read split by split it comes with its marked order columns."""
+    sep = options.get("sep", options.get("delimiter", ","))
+    probe = spark.read.options(header=True, inferSchema=False, escape='"', **options).csv(path)
+    by_splits = set(options) <= _SPLIT_OPTIONS and multi_line is not False and not any(
+        f.lower().endswith(_COMPRESSED) for f in probe.inputFiles())
+    if by_splits and (multi_line or has_quoted_breaks(spark, path, sep)):
+        names = spark.read.options(header=True, inferSchema=False, escape='"', multiLine=True, **options).csv(path).columns
+        raw = csv_records(spark, path, [f"c{i}" for i in range(len(names))], sep).toDF("place", *[f"c{i}" for i in range(len(names))])
+        typed = _typed(raw, raw.columns[1:])
+        places = [F.col("place")[c].alias(_free(names, f"_{c}"), metadata={ORDER_MARK: i}) for i, c in enumerate(("file", "block", "pos"))]
+        return raw.select(*[t.alias(n) for t, n in zip(typed, names)], *places)
+    raw = spark.read.options(header=True, inferSchema=False, escape='"', multiLine=bool(multi_line), **options).csv(path)
+    return raw.select(*_typed(raw, raw.columns))
+
+
+def read_csv_table(spark: SparkSession, path: str, multi_line: bool | None = None, **options) -> DataFrame:
     """CSV with a header row, typed over **all** its rows (integer, float,
     Boolean, date, date-time, else text): a column takes the narrowest type that
     every cell fits, so no cell is lost to a type. Quotes are doubled inside
-    quoted cells. ``multi_line=True`` reads quoted line breaks; such files cannot
-    be split, so each is read by one task."""
-    raw = spark.read.options(header=True, inferSchema=False, escape='"', multiLine=multi_line, **options).csv(path)
-    kinds = csv_types(raw)
-    return raw.select(*[(F.col(f"`{c}`") if t == "string" else F.trim(F.col(f"`{c}`")).cast(t)).alias(c)
-                        for c, t in kinds.items()])
+    quoted cells.
+
+    Line breaks inside quoted cells: by default the lines with quotes are looked at,
+    and files that have such breaks are read split by split (``csv_splits``), so a
+    file is never one task. ``multi_line=False`` takes every line as a record;
+    ``multi_line=True`` skips the look. Compressed files, and files read with other
+    options than the separator, can't be cut: ``multi_line=True`` reads each in one task."""
+    df = _read_csv(spark, path, multi_line, options)
+    return df.drop(*order_columns(df))
 
 
 def load_table(spark: SparkSession, path: str, **options) -> DataFrame:
     """Dispatch by lower-cased suffix; an unknown suffix is an error."""
     low = path.lower().rstrip("/")
     if low.endswith(".csv"):
-        df = read_csv_table(spark, path, **options)
+        df = _read_csv(spark, path, options.pop("multi_line", None), options)
     elif low.endswith(".parquet"):
         df = spark.read.options(**options).parquet(path)
     elif low.endswith(".json") or low.endswith(".jsonl"):
