@@ -352,6 +352,38 @@ def q_analyze_range_kpis(spark, d):
     return out["kpis"]
 
 
+@query("forward_fill_scan", """
+WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS r FROM orders),
+m AS (SELECT o_orderkey, r, CASE WHEN o_orderkey % 7 < 2 THEN NULL ELSE o_totalprice END AS o_totalprice,
+             CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_orderstatus END AS o_orderstatus, o_orderdate FROM o)
+SELECT o_orderkey, COALESCE(last_value(o_totalprice IGNORE NULLS) OVER w, 0) AS o_totalprice,
+       last_value(o_orderstatus IGNORE NULLS) OVER w AS o_orderstatus, o_orderdate
+FROM m WINDOW w AS (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def q_forward_fill_scan(spark, d):
+    """W1 in the physical order of the file (``orders`` is stored by key), no shuffle of rows."""
+    o = tl.load_table(spark, f"{d}/orders.parquet", blocks=True)
+    o = o.withColumns({"o_totalprice": F.when(F.col("o_orderkey") % 7 >= 2, F.col("o_totalprice")),
+                       "o_orderstatus": F.when(F.col("o_custkey") % 3 != 0, F.col("o_orderstatus"))})
+    filled = tl.forward_fill_scan(tl.forward_fill_scan(o, ["o_totalprice"], then=0.0), ["o_orderstatus"])
+    return filled.select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderdate")
+
+
+@query("row_sample_scan", """
+WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, count(*) OVER () AS n FROM orders)
+SELECT CAST(idx // greatest(1, n // 30) AS BIGINT) AS "index", o_orderkey, o_custkey, o_totalprice
+FROM r WHERE idx % greatest(1, n // 30) = 0 AND idx // greatest(1, n // 30) < 30""")
+def q_row_sample_scan(spark, d):
+    return tl.row_sample_scan(tl.load_table(spark, f"{d}/orders.parquet", blocks=True))
+
+
+@query("read_heads", "\nUNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", CAST({i} AS BIGINT) AS position, CAST(row_number() OVER (ORDER BY p_partkey) AS BIGINT) AS rank, {c} AS value "
+    f"FROM (SELECT p_partkey, {c} FROM part WHERE {c} IS NOT NULL ORDER BY p_partkey LIMIT 50)" for i, c in enumerate(["p_name", "p_brand", "p_type"])))
+def q_read_heads(spark, d):
+    """H1 by an escalating read of files in their order (``part`` is stored by key)."""
+    return tl.read_heads(tl.load_table(spark, f"{d}/part.parquet"), ["p_name", "p_brand", "p_type"], 50).rows
+
+
 @query("csv_quoted_lines", """
 SELECT doc_id, source, coalesce(nullif(text, ''), NULL) AS text, n_chars FROM documents""")
 def q_csv_quoted_lines(spark, d):

@@ -17,9 +17,9 @@ from pyspark.sql import types as T
 from ..functions.frames import rows_frame
 
 from ..functions.text import parses_as_python_float, to_number
-from ..functions.types import column_classes, data_columns, with_marks_of
+from ..functions.types import column_classes, data_columns, order_columns, with_marks_of
 from ..functions.words import EMPTY_TEXT
-from .heads import head_values
+from .heads import head_values, read_heads
 from .order import GlobalOrder, default_order, forward_fill
 
 REPORT_SCHEMA = "column string, action string, affected_rows bigint"
@@ -47,7 +47,8 @@ def numeric_decisions(df: DataFrame, order: Sequence[str] | str | None = None,
     text = column_classes(df).text
     if not text:
         return {}
-    heads = head_values(df, text, order, sample)
+    # in the loader's file order the first files that hold the sample are enough
+    heads = read_heads(df, text, sample).rows if order == order_columns(df) else head_values(df, text, order, sample)
     stats = (heads.groupBy("column")
              .agg(F.count(F.lit(1)).alias("n"), F.count_if(parses_as_python_float("value")).alias("ok"))
              .collect())

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import js_number_text, py_datetime_text
-from ..functions.types import column_classes
+from ..functions.types import column_classes, order_columns
+from .heads import read_first
 from .order import GlobalOrder, default_order, typed_lit
 
 #: Pages that end within so many rows are a top-k.
@@ -133,8 +134,11 @@ def _from_the_end(go: GlobalOrder, counts: list[int], sort: str, wanted: range)
 
 
 def preview(df: DataFrame, order: Sequence[str] | str | None = None, n: int = 50) -> DataFrame:
-    """The first ``n`` rows in table order (a top-k)."""
+    """The first ``n`` rows in table order (a top-k; of a table in the loader's
+    file order, over the first files that hold them)."""
     order = default_order(df, order)
+    if order == order_columns(df):
+        return read_first(df, n).rows
     return df.orderBy(*[F.col(c).asc() for c in order]).limit(n)
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import rows_frame
-
+from ..functions.types import order_columns
 from .order import default_order
 
 
@@ -43,6 +45,63 @@ def head_values(df: DataFrame, cols: Sequence[str], order: Sequence[str] | str |
     return _unpivoted_heads(df, cols, list(range(len(cols))), order, k)
 
 
+@dataclass
+class HeadRead:
+    """Rows found in the first files of a table, and how many files that took."""
+
+    rows: DataFrame
+    files_read: int
+    files: int
+
+
+#: Operators after which a table is no longer a plain scan of its files.
+_NO_SCAN = ("Aggregate", "Join", "Sort", "Window", "Repartition", "Union", "Limit", "Generate", "MapInArrow")
+
+
+def _file_prefixes(df: DataFrame):
+    """The rows of the first 1, 2, 4, ... files in table order, and at last the
+    whole table: (table, files, all files). Only for a scan of several files in
+    the loader's file order, where a condition on the path keeps the other files
+    from being opened; else the whole table at once."""
+    marked = order_columns(df)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    scan = marked and "_metadata" in plan and not any(w in plan for w in _NO_SCAN)
+    # a path without a host is written scheme:/path in the metadata
+    files = sorted((re.sub("^([^/:]+):///", r"\1:/", f) for f in df.inputFiles()), key=str.encode) if scan else []
+    n = 1
+    while n < len(files):
+        yield df.filter(F.col(f"`{marked[0]}`") <= F.lit(files[n - 1])), n, len(files)
+        n *= 2
+    yield df, max(len(files), 1), max(len(files), 1)
+
+
+def read_heads(df: DataFrame, cols: Sequence[str], k: int = 50) -> HeadRead:
+    """H1 by an escalating read: the first ``k`` non-null values of every column in
+    file order, from the first files that hold them. The files are taken in order, twice
+    as many each time, until every column has its ``k`` values or the table ends;
+    the same rows as ``head_values``."""
+    cols = list(cols)
+    order = default_order(df, None)
+    for part, n, total in _file_prefixes(df):
+        heads = head_values(part, cols, order, k)
+        if n == total:
+            return HeadRead(heads, n, total)
+        found = {r["column"]: r["count"] for r in heads.groupBy("column").count().collect()}
+        if all(found.get(c, 0) >= k for c in cols):
+            return HeadRead(heads, n, total)
+    raise AssertionError("the last prefix is the whole table")
+
+
+def read_first(df: DataFrame, n: int = 50) -> HeadRead:
+    """S6 by an escalating read: the first ``n`` rows in file order."""
+    order = default_order(df, None)
+    for part, k, total in _file_prefixes(df):
+        first = part.orderBy(*[F.col(f"`{c}`").asc() for c in order]).limit(n)
+        if k == total or part.limit(n).count() == n:
+            return HeadRead(first, k, total)
+    raise AssertionError("the last prefix is the whole table")
+
+
 def head_tail(df: DataFrame, order: Sequence[str] | str | None = None, first: int = 15,
               last: int = 5, n_rows: int | None = None) -> DataFrame:
     """H2: the first ``first`` rows and, when the table has more than ``first``

@@ -117,8 +117,9 @@ def read_csv_table(spark: SparkSession, path: str, multi_line: bool | None = Non
     return df.drop(*order_columns(df))
 
 
-def load_table(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Dispatch by lower-cased suffix; an unknown suffix is an error."""
+def load_table(spark: SparkSession, path: str, blocks: bool = False, **options) -> DataFrame:
+    """Dispatch by lower-cased suffix; an unknown suffix is an error. The table
+    has the hidden file order of ``with_file_order`` (which see for ``blocks``)."""
     low = path.lower().rstrip("/")
     if low.endswith(".csv"):
         df = _read_csv(spark, path, options.pop("multi_line", None), options)
@@ -129,7 +130,7 @@ def load_table(spark: SparkSession, path: str, **options) -> DataFrame:
     else:
         suffix = "." + low.rsplit(".", 1)[-1] if "." in low.rsplit("/", 1)[-1] else ""
         raise ValueError(f"Unsupported file type: {suffix}")
-    return with_file_order(df)
+    return with_file_order(df, blocks)
 
 
 def file_manifest(spark: SparkSession, pattern: str, recursive: bool = False) -> DataFrame:
