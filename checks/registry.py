@@ -736,6 +736,38 @@ def q_recent(spark, d):
     return tl.recent(fx.analyses(spark, d), 50).select("id", "upload_id", "status", "created_at")
 
 
+@query("recent_offset", f"""
+WITH {S.ANALYSES}
+SELECT id, upload_id, status, created_at FROM an ORDER BY created_at DESC, id DESC LIMIT 25 OFFSET 75""")
+def q_recent_offset(spark, d):
+    return tl.recent(fx.analyses(spark, d), 25, offset=75).select("id", "upload_id", "status", "created_at")
+
+
+def _report(spark, d, fmt: str) -> dict:
+    """The report of ``orders``, written and read back: part name to table."""
+    import uuid
+
+    from tablelens.session import ensure_checkpoint_dir
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tablelens-report-{uuid.uuid4().hex}"
+    o = fx.read(spark, d, "orders")
+    parts = tl.write_report({"Preview": tl.preview(o, "o_orderkey", 50), "KPIs": tl.kpis(o)}, folder, fmt)
+    read = spark.read.options(header=True, escape='"').csv if fmt == "csv" else spark.read.parquet
+    return {p.rsplit("/", 1)[1]: read(p) for p in parts}
+
+
+@query("report_kpis_csv", _kpi_sql("orders"))
+def q_report_kpis_csv(spark, d):
+    """S8 as CSV: the KPI part read back."""
+    k = _report(spark, d, "csv")["KPIs"]
+    return k.select(F.col("kpi_order").cast("long"), "name", F.col("value").cast("double"), "type", "icon")
+
+
+@query("report_preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 50")
+def q_report_preview(spark, d):
+    """S8 as Parquet: the preview part read back."""
+    return _report(spark, d, "parquet")["Preview"]
+
+
 @query("latest_analyses", f"""
 WITH {S.ANALYSES}
 SELECT upload_id, arg_max(id, (created_at, id)) AS id, max(created_at) AS created_at FROM an GROUP BY upload_id""")

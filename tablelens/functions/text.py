@@ -114,16 +114,19 @@ def _let(value: Column, use) -> Column:
 def _parts(s: Column) -> Column:
     """struct(sign, d: significant digits, e: decimal exponent) of a number's text."""
     def cut(x):
-        shown = F.regexp_replace(F.regexp_replace(x["digits"], "^0+", ""), "0+$", "")
-        lead = F.length(x["digits"]) - F.length(F.regexp_replace(x["digits"], "^0+", ""))
+        shown = F.rtrim(x["bare"], F.lit("0"))
+        lead = F.length(x["digits"]) - F.length(x["bare"])
         return F.struct(x["sign"].alias("sign"), F.when(shown == "", F.lit("0")).otherwise(shown).alias("d"),
                         F.when(shown == "", F.lit(0)).otherwise(x["whole"] - 1 - lead + x["power"]).alias("e"))
 
+    upper = F.upper(s)
+    mantissa = F.translate(F.substring_index(upper, "E", 1), "-", "")
+    digits = F.translate(mantissa, ".", "")
     raw = F.struct(
         F.when(s.startswith("-"), F.lit("-")).otherwise(F.lit("")).alias("sign"),
-        F.regexp_replace(s, r"^-|\.|[eE].*$", "").alias("digits"),
-        F.length(F.regexp_extract(s, r"^-?(\d+)", 1)).alias("whole"),
-        F.coalesce(F.regexp_extract(s, r"[eE]\+?(-?\d+)$", 1).try_cast("int"), F.lit(0)).alias("power"))
+        digits.alias("digits"), F.ltrim(digits, F.lit("0")).alias("bare"),
+        F.length(F.substring_index(mantissa, ".", 1)).alias("whole"),
+        F.when(upper.contains("E"), F.substring_index(upper, "E", -1).try_cast("int")).otherwise(F.lit(0)).alias("power"))
     return _let(raw, cut)
 
 
@@ -146,8 +149,20 @@ def _scientific(c: Column) -> Column:
 
 
 def _double_text(c: Column, low: int, high: int, whole_tail: str, power_digits: int) -> Column:
-    """Plain digits for decimal exponents in ``low .. high - 1``, else
-    scientific with at least ``power_digits`` digits in the power."""
+    """Plain digits for decimal exponents in ``low .. high - 1`` (which holds
+    -3 .. 14), else scientific with at least ``power_digits`` digits in the power.
+
+    Whole numbers below 1e15, and texts of at most 15 digits (no two of those
+    are the same double, so none is shorter), are taken as they are; only
+    the rest has its digits looked at."""
+    text, size = c.cast("string"), F.abs(c)
+    whole = (c == F.floor(c)) & (size < 1e15) & (size >= 1)
+    short = (size >= 1e-3) & (size < 1e7) & (F.length(text) <= 16) & ~text.endswith("0")
+    return (F.when(whole, F.concat(c.cast("bigint").cast("string"), F.lit(whole_tail)))
+            .when(short, text).otherwise(_any_double_text(c, low, high, whole_tail, power_digits)))
+
+
+def _any_double_text(c: Column, low: int, high: int, whole_tail: str, power_digits: int) -> Column:
     def shown(x):
         d, e, n = x["d"], x["e"], F.length(x["d"])
         plain = (F.when(e < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), d))

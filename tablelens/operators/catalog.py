@@ -12,6 +12,8 @@ Uploads: ``id, filename, original_name, file_type, file_size, status, created_at
 
 from __future__ import annotations
 
+import json
+
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -158,17 +160,41 @@ def analysis_key(upload_id: Column) -> Column:
     return F.concat(F.lit("analysis:"), upload_id)
 
 
-SALTS = 8
+#: Rows of one key that a task of a join takes; a key with more is split.
+HOT_ROWS = 1_000_000
+
+
+def hot_keys(left: DataFrame, left_key: Column, rows: int | None = None) -> dict[str, int]:
+    """Keys of more than ``rows`` rows with the number of parts that brings each
+    under it (one aggregate, partial before its shuffle; a table has at most its size
+    over ``rows`` such keys)."""
+    rows = rows or HOT_ROWS
+    counted = left.select(left_key.cast("string").alias("k")).where("k is not null").groupBy("k").count().where(F.col("count") > rows)
+    return {r["k"]: -(-int(r["count"]) // rows) for r in counted.collect()}
 
 
-def spread_left_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: str, salts: int = SALTS) -> DataFrame:
+def spread_left_join(left: DataFrame, right: DataFrame, left_key: Column, right_key: str,
+                     hot: dict[str, int] | None = None) -> DataFrame:
     """Left join where one key of ``left``, or null, may hold any share of the
-    rows: the rows of ``left`` are dealt over ``salts`` parts of their key, and
-    ``right``, which is unique by key, is there once per part. (The optimizer
-    cannot split a hot key here itself: an aggregate stands on the right side.)"""
-    dealt = left.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")) \
-        .withColumn("_left_key", left_key)
-    copies = right.withColumn("_copy_no", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows. Keys are counted; the rows of a hot key (``hot_keys``, or given as ``hot``)
+    are dealt over as many parts as its frequency asks for, and its row of ``right``, which
+    is unique by key, is there once per part. Other rows of ``right`` are not
+    copied. Null keys, which match nothing, are dealt over all tasks. (The optimizer cannot split
+    a hot key here itself: an aggregate stands on the right side.)"""
+    hot = hot_keys(left, left_key) if hot is None else hot
+    number = F.monotonically_increasing_id()
+
+    def parts(key: Column) -> Column:
+        if not hot:
+            return F.lit(1)
+        table = F.from_json(F.lit(json.dumps(hot)), "map<string,int>")
+        return F.coalesce(F.try_element_at(table, key.cast("string")), F.lit(1))
+
+    dealt = left.withColumn("_left_key", left_key)
+    # a null key has a part of its own, so null rows spread over the tasks
+    dealt = dealt.withColumn("_part", F.when(F.col("_left_key").isNull(), F.pmod(number, F.lit(1 << 20)))
+                             .otherwise(F.pmod(number, parts(F.col("_left_key")))).cast("int"))
+    copies = right.withColumn("_copy_no", F.explode(F.sequence(F.lit(0), parts(F.col(right_key)) - 1)) if hot else F.lit(0))
     both = (F.col("_left_key") == F.col(right_key)) & (F.col("_part") == F.col("_copy_no"))
     return dealt.join(copies, both, "left").drop("_part", "_left_key", "_copy_no")
 
@@ -213,13 +239,14 @@ def resolve_analyses(questions: DataFrame, analyses: DataFrame, uploads: DataFra
     has_uid = F.col("upload_id").isNotNull() & (F.col("upload_id") != "")
     # a question with an analysis id looks up no upload: its key is null there
     by_upload = F.when(~has_aid, F.col("upload_id"))
-    q = spread_left_join(questions, newest, by_upload, "_u_upload_id")
+    hot = hot_keys(questions, by_upload)
+    q = spread_left_join(questions, newest, by_upload, "_u_upload_id", hot)
     q = q.withColumn("_pick", F.when(has_aid, F.col("analysis_id")).otherwise(F.col("_u_id")))
     rec = analyses.select(*[F.col(c).alias(f"_a_{c}") for c in rec_cols])
     q = spread_left_join(q, rec, F.col("_pick"), "_a_id")
     if uploads is not None:
         known = uploads.select(F.col("id").alias("_known_upload")).distinct()
-        q = spread_left_join(q, known, by_upload, "_known_upload")
+        q = spread_left_join(q, known, by_upload, "_known_upload", hot)
         upload_ok = F.col("_known_upload").isNotNull()
     else:
         upload_ok = F.lit(True)

@@ -67,14 +67,29 @@ def _cell_text(df: DataFrame, c: str) -> Column:
     return F.col(c).cast("string")
 
 
+def _signs(dtype: T.DataType) -> set[str] | None:
+    """The characters that a cell's lower-case text may hold (None: any)."""
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return set("0123456789.-+e" "nan" "infinity")
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return set("0123456789-+:. ")
+    if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        return set("0123456789-")
+    return None
+
+
 def search_rows(df: DataFrame, text: str) -> DataFrame:
     """Rows where any text, number or date cell contains ``text``,
     case-insensitive (numbers as the browser prints them, dates as text)."""
     cc = column_classes(df)
     cols = [c for c in cc.columns if c in cc.text or c in cc.numeric_wide or c in cc.date]
-    needle = F.lit(text.lower())
+    low = text.lower()
+    needle = F.lit(low)
     cond = F.lit(False)
-    for c in cols:
+    # cheap cells first; a column whose texts cannot hold the needle's characters is not looked at
+    signs = {c: _signs(df.schema[c].dataType) for c in cols}
+    cols = [c for c in cols if signs[c] is None or set(low) <= signs[c]]
+    for c in sorted(cols, key=lambda c: isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))):
         # an empty cell shows nothing, so it matches nothing
         cond = cond | (F.col(c).isNotNull() & F.coalesce(F.lower(_cell_text(df, c)).contains(needle), F.lit(False)))
     return df.filter(cond)

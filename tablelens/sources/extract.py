@@ -58,6 +58,12 @@ def _with_headers(cells: DataFrame, docx: bool) -> DataFrame:
     return c.join(head.select("doc", unique.alias("_names")), "doc")
 
 
+def _header_names(cells: dict[int, str | None]) -> list[str]:
+    """The column names of one header row, by the rules of ``_with_headers``."""
+    raw = [(cells.get(i) or "").strip(" \t\n\x0b\x0c\r") or f"col_{i}" for i in range(max(cells) + 1)]
+    return [name if name not in raw[:i] else f"{name}_{raw[:i].count(name) + 1}" for i, name in enumerate(raw)]
+
+
 def cells_to_records(cells: DataFrame, docx: bool = False) -> DataFrame:
     """S4 and U1 for any number of documents at once: one row per data row of
     every table of every document, in one table: (doc, table_no, row_no, record),
@@ -89,15 +95,18 @@ def cells_to_table(cells: DataFrame, doc: str | None = None, docx: bool = False)
     if doc is None and c.select("doc").distinct().limit(2).count() > 1:
         raise ValueError("cells of several documents: name one, or use cells_to_records")
     c = c.withColumn("col_no", F.col("col_no").cast("bigint"))
-    named = _with_headers(c, docx)
-    head = named.where("_header").select("table_no", "row_no", "_names").limit(1).collect()
-    if not head:
+    first = c.agg(F.min(F.struct("table_no", "row_no")).alias("at")).first()["at"]
+    if first is None:
         return rows_frame(c.sparkSession, [], "text string")
-    names = head[0]["_names"]
-    data = named.where(~F.col("_header"))
+    if docx:
+        c = c.where(F.col("table_no") == F.lit(first["table_no"])).withColumn("text", F.trim("text"))
+    is_header = (F.col("table_no") == F.lit(first["table_no"])) & (F.col("row_no") == F.lit(first["row_no"]))
+    # the header is one row: its names become literals, so the cells are not joined with it
+    names = _header_names({r["col_no"]: r["text"] for r in c.where(is_header).select("col_no", "text").collect()})
+    data = c.where(~is_header)
     if data.isEmpty():
         # one row: a ``text`` row as Python prints a list of cells
-        rows = named.groupBy("table_no", "row_no").agg(F.sort_array(F.collect_list(F.struct("col_no", "text"))).alias("r"))
+        rows = c.groupBy("table_no", "row_no").agg(F.sort_array(F.collect_list(F.struct("col_no", "text"))).alias("r"))
         return rows.select(F.concat(F.lit("["), F.array_join(F.transform("r", lambda x: py_text_repr(x["text"])), ", "), F.lit("]")).alias("text"))
     # cells beyond the header are skipped inside the aggregate, so their rows stay
     wide = [F.first(F.when(F.col("col_no") == i, F.col("text")), ignorenulls=True).alias(f"_v{i}")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import tablelens as tl
 from tablelens.functions.text import js_number_text, py_repr
+from tablelens.operators import catalog
 from tablelens.operators.order import GlobalOrder, forward_fill
 
 
@@ -184,6 +185,11 @@ def test_hot_and_null_keys_are_dealt_out(spark):
         assert "_part" in _plan(joined) and "hashpartitioning(_left_key" in _plan(joined)
         rows = joined.collect()
         assert len(rows) == 900 and sum(r["v"] == 1 for r in rows) == 300 and sum(r["v"] == 2 for r in rows) == 1
+        # hot keys are found by their frequency and split in proportion; other keys are not copied
+        hot = catalog.hot_keys(left, F.col("k"), rows=40)
+        assert hot == {"hot": 8}
+        split = tl.spread_left_join(left, right, F.col("k"), "rk", hot)
+        assert sorted(map(str, split.collect())) == sorted(map(str, rows))
         spread = (left.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(8)))
                   .groupBy("k", "_part").count().where("k is null or k = 'hot'"))
         assert spread.count() == 16 and spread.agg(F.max("count")).first()[0] <= 60
