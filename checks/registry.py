@@ -736,6 +736,28 @@ def q_recent(spark, d):
     return tl.recent(fx.analyses(spark, d), 50).select("id", "upload_id", "status", "created_at")
 
 
+@query("page_indexed", "SELECT * FROM orders ORDER BY o_totalprice NULLS FIRST, o_orderkey LIMIT 15 OFFSET 1200")
+def q_page_indexed(spark, d):
+    """A deep page from the stored order index of the table."""
+    index = tl.build_order_index(fx.read(spark, d, "orders"), ["o_totalprice", "o_orderkey"])
+    return index.page(80, 15)
+
+
+@query("series_indexed", _ts_sample_sql("orders", "o_orderdate", ["o_orderkey", "o_custkey", "o_totalprice"], "o_orderkey"))
+def q_series_indexed(spark, d):
+    """W3 from the order index by date."""
+    index = tl.build_order_index(fx.read(spark, d, "orders"), ["o_orderdate", "o_orderkey"])
+    return index.sample(50).select("idx", tx.py_datetime_text("o_orderdate").alias("date"), "o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("search_indexed", _search_sql("urgent"))
+def q_search_indexed(spark, d):
+    """C5 through the text index of the files."""
+    o = tl.load_table(spark, f"{d}/orders.parquet")
+    found = tl.build_text_index(o).search(o, "URGENT")
+    return found.select(*tl.data_columns(o))
+
+
 @query("recent_offset", f"""
 WITH {S.ANALYSES}
 SELECT id, upload_id, status, created_at FROM an ORDER BY created_at DESC, id DESC LIMIT 25 OFFSET 75""")

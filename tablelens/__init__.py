@@ -9,6 +9,8 @@ searched, summarised and asked simple questions in bulk.
 from .functions.types import column_classes, column_classes_table, data_columns
 from .operators.order import GlobalOrder, forward_fill
 from .operators.heads import head_values, head_tail, read_first, read_heads
+from .operators.order_index import OrderIndex, build_order_index, open_order_index
+from .operators.text_index import TextIndex, build_text_index
 from .operators.scan import forward_fill_scan, index_scan, row_sample_scan
 from .operators.clean import (clean_table, coerce_numeric, fill_missing, drop_duplicate_rows,
                               anomaly_report, flag_anomalies, numeric_decisions)

@@ -78,20 +78,23 @@ def _signs(dtype: T.DataType) -> set[str] | None:
     return None
 
 
+def cell_texts(df: DataFrame) -> dict[str, Column]:
+    """The text of each text, number and date cell, by column, as search sees it."""
+    cc = column_classes(df)
+    return {c: _cell_text(df, c) for c in cc.columns if c in cc.text or c in cc.numeric_wide or c in cc.date}
+
+
 def search_rows(df: DataFrame, text: str) -> DataFrame:
     """Rows where any text, number or date cell contains ``text``,
     case-insensitive (numbers as the browser prints them, dates as text)."""
-    cc = column_classes(df)
-    cols = [c for c in cc.columns if c in cc.text or c in cc.numeric_wide or c in cc.date]
     low = text.lower()
     needle = F.lit(low)
     cond = F.lit(False)
     # cheap cells first; a column whose texts cannot hold the needle's characters is not looked at
-    signs = {c: _signs(df.schema[c].dataType) for c in cols}
-    cols = [c for c in cols if signs[c] is None or set(low) <= signs[c]]
-    for c in sorted(cols, key=lambda c: isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))):
+    texts = {c: t for c, t in cell_texts(df).items() if set(low) <= (_signs(df.schema[c].dataType) or set(low))}
+    for c in sorted(texts, key=lambda c: isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))):
         # an empty cell shows nothing, so it matches nothing
-        cond = cond | (F.col(c).isNotNull() & F.coalesce(F.lower(_cell_text(df, c)).contains(needle), F.lit(False)))
+        cond = cond | (F.col(c).isNotNull() & F.coalesce(F.lower(texts[c]).contains(needle), F.lit(False)))
     return df.filter(cond)
 
 
