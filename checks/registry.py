@@ -18,6 +18,9 @@ from tablelens.functions.words import (CURRENCY_WORDS, DOMAIN_KEYWORDS, GENERAL_
                                        QUESTION_INSIGHT_WORDS, QUESTION_KPI_WORDS, QUESTION_RECOMMEND_WORDS,
                                        QUESTION_SUMMARY_WORDS, RECOMMEND_HEADER)
 
+from tablelens.functions.frames import rows_frame
+from tablelens.operators.profile import dense_distinct_counts
+
 from . import fixtures as fx
 from . import sql as S
 
@@ -758,6 +761,22 @@ def q_search_indexed(spark, d):
     return found.select(*tl.data_columns(o))
 
 
+@query("drop_duplicate_rows_by_hash", SQL["drop_duplicate_rows"])
+def q_drop_duplicate_rows_by_hash(spark, d):
+    """A1 with hashes shuffled before rows."""
+    out = tl.drop_duplicate_rows_by_hash(fx.orders_copies(spark, d), ["o_orderkey", "_copy"])
+    return out.withColumnRenamed("_copy", "survivor_copy")
+
+
+@query("dense_distinct_counts", """
+SELECT 'o_orderkey' AS "column", count(DISTINCT o_orderkey) AS unique_count FROM orders
+UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey) FROM orders""")
+def q_dense_distinct_counts(spark, d):
+    """A4 of whole-number columns by bitmaps."""
+    got = dense_distinct_counts(fx.read(spark, d, "orders"), ["o_orderkey", "o_custkey"])
+    return rows_frame(spark, list(got.items()), "column string, unique_count long")
+
+
 @query("recent_offset", f"""
 WITH {S.ANALYSES}
 SELECT id, upload_id, status, created_at FROM an ORDER BY created_at DESC, id DESC LIMIT 25 OFFSET 75""")

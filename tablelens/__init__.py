@@ -12,7 +12,7 @@ from .operators.heads import head_values, head_tail, read_first, read_heads
 from .operators.order_index import OrderIndex, build_order_index, open_order_index
 from .operators.text_index import TextIndex, build_text_index
 from .operators.scan import forward_fill_scan, index_scan, row_sample_scan
-from .operators.clean import (clean_table, coerce_numeric, fill_missing, drop_duplicate_rows,
+from .operators.clean import (clean_table, coerce_numeric, fill_missing, drop_duplicate_rows, drop_duplicate_rows_by_hash,
                               anomaly_report, flag_anomalies, numeric_decisions)
 from .operators.profile import (column_statistics, n_unique, top_value, null_percent, describe_all,
                                 exact_quantiles, value_counts)
