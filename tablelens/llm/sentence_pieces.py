@@ -11,7 +11,8 @@ The path is found unit by unit: a unit is a run of markers with the characters
 up to the next marker, or an unknown character. No piece reaches over the end of
 a unit (checked when a model is read; otherwise a text is one unit), so the best
 path of a text is the best paths of its units, and equal units of a batch are
-solved once. The model is read on the driver and broadcast (it is as large as
+solved once, those of one length together in arrays: a step of the trie or of
+Viterbi is taken for all of them at once. The model is read on the driver and broadcast (it is as large as
 its vocabulary file); documents are one narrow pass, without a shuffle.
 """
 
@@ -20,18 +21,24 @@ from __future__ import annotations
 import math
 import re
 import struct
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablelens.llm.stage import ship_package
 
 MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
-#: Units that a process remembers.
-_REMEMBERED = 200_000
+#: Characters of text whose units are solved together, and units of one array.
+_TOGETHER = 1 << 22
+_UNITS = 1 << 15
+#: Longer units are solved by themselves.
+_LONG = 64
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -170,12 +177,20 @@ class UnigramModel:
         self.trie = DoubleArray(whole)
         self.low = min((s for s, t in zip(self.scores, self.types) if t == _NORMAL), default=0.0) - 10.0
         letters = "".join(re.escape(c) for c in self.trie.codes if c != MARK)
-        crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p, _ in whole)
-        self.units = re.compile(r"(?s).+" if crossing or not letters else f"(?s){MARK}+[{letters}]*|[{letters}]+|.")
-        self._known: dict[str, list[int]] = {}
-
-    def __getstate__(self):
-        return {**self.__dict__, "_known": {}}
+        self.crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p, _ in whole)
+        self.units = re.compile(r"(?s).+" if self.crossing or not letters else f"(?s){MARK}+[{letters}]*|[{letters}]+|.")
+        # the same tables as arrays, and the bytes that each piece shows when decoded
+        self._nodes = [np.array(x, dtype=np.int32) for x in (self.trie.base, self.trie.check, self.trie.value)]
+        self._piece_scores = np.array(self.scores, dtype=np.float64)
+        self._code_of = np.zeros(0x110000, dtype=np.int32)
+        for c, k in self.trie.codes.items():
+            self._code_of[ord(c)] = k
+        # a byte below 128 is a character by itself; the others need a look at their neighbours
+        shown = [bytes([self.byte_of[k]]) if self.byte_of.get(k, 128) < 128 else p.replace(MARK, " ").encode("utf-8") for k, p in enumerate(self.shown)]
+        self.is_high = np.array([self.byte_of.get(k, 0) >= 128 for k in range(len(self.pieces))], dtype=bool)
+        self._shown_at = np.cumsum([0] + [len(b) for b in shown])
+        self._shown_bytes = np.frombuffer(b"".join(shown), dtype=np.uint8)
+        self._marked = np.array([p.startswith(MARK) for p in self.shown], dtype=bool)
 
     def _unit(self, unit: str) -> list[int]:
         """Pieces of the best path; of equal paths the one found first, from the left."""
@@ -219,20 +234,140 @@ class UnigramModel:
                 out.append(self.unknown)
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def _solve_alike(self, units: list[str], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``_unit`` for many units of one length: (pieces from the last to the first
+        with -2 behind them, their numbers, units that need unknown pieces)."""
+        base, check, value = self._nodes
+        m = len(units)
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(m, length)
+        codes = self._code_of[points]
+        best = np.full((length + 1, m), -np.inf)
+        came, through = np.zeros((length + 1, m), dtype=np.int32), np.full((length + 1, m), -1, dtype=np.int32)
+        best[0] = 0.0
+        for i in range(length):
+            rows = np.flatnonzero(best[i] > -np.inf)
+            state = np.zeros(len(rows), dtype=np.int32)
+            single = np.zeros(m, dtype=bool)
+            reached = rows
+            for end in range(i, length):
+                code = codes[rows, end]
+                to = base[state] + code
+                ok = (code > 0) & (to < len(check))
+                ok &= check[np.where(ok, to, 0)] == state
+                rows, state = rows[ok], to[ok]
+                if not len(rows):
+                    break
+                piece = value[state]
+                whole = piece >= 0
+                at, piece = rows[whole], piece[whole]
+                if end == i:
+                    single[at] = True
+                score = best[i, at] + self._piece_scores[piece]
+                better = score > best[end + 1, at]
+                at, piece = at[better], piece[better]
+                best[end + 1, at], came[end + 1, at], through[end + 1, at] = score[better], i, piece
+            at = reached[~single[reached]]
+            at = at[best[i, at] + self.low > best[i + 1, at]]
+            best[i + 1, at], came[i + 1, at], through[i + 1, at] = best[i, at] + self.low, i, -1
+        place, every = np.full(m, length, dtype=np.int32), np.arange(m)
+        path, number, unknown = [], np.zeros(m, dtype=np.int64), np.zeros(m, dtype=bool)
+        while True:
+            going = place > 0
+            if not going.any():
+                break
+            piece = np.where(going, through[place, every], -2)
+            unknown |= piece == -1
+            number += going
+            path.append(piece)
+            place = np.where(going, came[place, every], 0)
+        return np.array(path, dtype=np.int32).reshape(-1, m), number, unknown
+
+    def _solve(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of units one after another, and where each unit's begin."""
+        lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        order = np.argsort(lengths, kind="stable")
+        counts = np.zeros(len(units), dtype=np.int64)
+        parts, alone = [], []
+        cuts = np.flatnonzero(np.diff(lengths[order])) + 1
+        for group in np.split(order, cuts):
+            length = int(lengths[group[0]]) if len(group) else 0
+            for lo in range(0, len(group), _UNITS):
+                some = group[lo:lo + _UNITS]
+                if length > _LONG:
+                    alone.extend(some.tolist())
+                    continue
+                path, number, unknown = self._solve_alike([units[k] for k in some.tolist()], length)
+                alone.extend(some[unknown].tolist())
+                some, path, number = some[~unknown], path[:, ~unknown], number[~unknown]
+                counts[some] = number
+                pieces = path.T[:, ::-1].ravel()
+                parts.append((some, pieces[pieces >= 0], number))
+        single = {k: np.array(self._unit(units[k]), dtype=np.int32) for k in alone}
+        for k, ids in single.items():
+            counts[k] = len(ids)
+        starts = np.concatenate(([0], np.cumsum(counts)))
+        out = np.zeros(starts[-1], dtype=np.int32)
+        for some, pieces, number in parts:
+            begin = np.concatenate(([0], np.cumsum(number)))[:-1]
+            out[np.arange(len(pieces)) + np.repeat(starts[some] - begin, number)] = pieces
+        for k, ids in single.items():
+            out[starts[k]:starts[k + 1]] = ids
+        return out, starts
+
+    def _words_of(self, text: str) -> list[str]:
+        """A text as runs that no unit reaches over: its words with the marker before
+        them where each has one marker, else its units."""
         if self.trim:
             text = re.sub(" +", " ", text.strip(" "))
         if not text:
             return []
-        known, out = self._known, []
-        for unit in self.units.findall((MARK if self.prefix else "") + text.replace(" ", MARK)):
-            ids = known.get(unit)
-            if ids is None:
-                ids = self._unit(unit)
-                if len(unit) <= 64 and len(known) < _REMEMBERED:  # common units come early
-                    known[unit] = ids
-            out += ids
-        return out
+        first = MARK if self.prefix else ""
+        if self.crossing or "  " in text or MARK in text or (first and text[0] == " "):
+            return self.units.findall(first + text.replace(" ", MARK))
+        return (first + text.replace(" ", " " + MARK)).split(" ")
+
+    def encode_many(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text. Texts of some four million characters (or one longer
+        text) are held as words at a time; each different word is cut into units
+        once, and each different unit is solved once."""
+        at = 0
+        while at < len(texts):
+            words = _numbers()
+            places, size = [], 0
+            while at < len(texts) and (not size or size + len(texts[at]) <= _TOGETHER):
+                size += len(texts[at]) + 1
+                mine = self._words_of(texts[at])
+                places.append(np.array(list(map(words.__getitem__, mine)), dtype=np.int32))
+                at += 1
+            cut = list(map(self.units.findall, words))
+            units = _numbers()
+            used = np.array(list(map(units.__getitem__, chain.from_iterable(cut))), dtype=np.int64)
+            pieces, counts = _joined(*self._solve(list(units)), used)
+            # pieces of a word: those of its units
+            ends = np.cumsum([0, *map(len, cut)])
+            starts = np.concatenate(([0], np.cumsum(counts)))[ends]
+            for place in places:
+                yield _joined(pieces, starts, place)[0]
+
+    def encode(self, text: str) -> list[int]:
+        return next(self.encode_many([text])).tolist()
+
+    def decode_many(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The texts of rows of ids (``ids[bounds[r]:bounds[r + 1]]``): the pieces'
+        bytes one after another. Rows with bytes above 127 go through ``decode``."""
+        length = np.diff(self._shown_at)[ids]
+        ends = np.concatenate(([0], np.cumsum(length)))
+        place = np.arange(ends[-1]) + np.repeat(self._shown_at[ids] - ends[:-1], length)
+        data, offsets = self._shown_bytes[place], ends[bounds]
+        filled = np.flatnonzero(bounds[1:] > bounds[:-1])
+        begin = offsets[:-1].copy()
+        if self.prefix:         # the marker that encoding put there
+            begin[filled] += self._marked[ids[bounds[filled]]]
+        odd = np.zeros(len(bounds) - 1, dtype=bool)
+        odd[np.searchsorted(bounds, np.flatnonzero(self.is_high[ids]), side="right") - 1] = True
+        whole = data.tobytes()
+        return pa.array([self.decode(ids[bounds[r]:bounds[r + 1]]) if odd[r] else whole[begin[r]:offsets[r + 1]].decode("utf-8")
+                         for r in range(len(odd))], pa.string())
 
     def decode(self, ids) -> str:
         """Bytes that are no valid UTF-8 become U+FFFD, an unknown piece `` ⁇ ``."""
@@ -255,6 +390,17 @@ class UnigramModel:
         return text.replace(MARK, " ")
 
 
+def _numbers() -> defaultdict:
+    """Numbers for keys in the order in which they are first asked for."""
+    return defaultdict(count().__next__)
+
+
+def _joined(values: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of some rows (``values[starts[r]:starts[r + 1]]``) one after another, and how many each has."""
+    begin, size = starts[rows], starts[rows + 1] - starts[rows]
+    return values[np.arange(int(size.sum())) + np.repeat(begin - (np.cumsum(size) - size), size)], size
+
+
 def read_model(path: str) -> UnigramModel:
     with open(path, "rb") as f:
         return UnigramModel(f.read())
@@ -282,12 +428,11 @@ class SentencePieces:
         @F.arrow_udf("array<int>")
         def encoded(column: pa.Array) -> pa.Array:
             own = model.value
-            # one text at a time is held as Python objects
-            out = [np.array(own.encode(x.as_py()), dtype=np.int32) if x.is_valid else None for x in column]
-            ends = np.cumsum([0] + [0 if x is None else len(x) for x in out]).astype(np.int32)
-            values = [x for x in out if x is not None]
-            values = pa.array(np.concatenate(values) if values else np.zeros(0, dtype=np.int32))
-            missing = pa.array([x is None for x in out] , pa.bool_())
+            missing = column.is_null()
+            texts = [x.as_py() if x.is_valid else "" for x in column]
+            out = list(own.encode_many(texts))
+            ends = np.cumsum([0] + [len(x) for x in out]).astype(np.int32)
+            values = pa.array(np.concatenate(out) if out else np.zeros(0, dtype=np.int32))
             return pa.ListArray.from_arrays(pa.array(ends), values, mask=missing)
 
         return encoded(text)
@@ -299,9 +444,14 @@ class SentencePieces:
         def decoded(column: pa.Array) -> pa.Array:
             own = model.value
             values, bounds = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            valid = column.is_valid().to_numpy(zero_copy_only=False)
-            return pa.array([own.decode(values[bounds[r]:bounds[r + 1]]) if valid[r] else None
-                             for r in range(len(column))], pa.string())
+            texts = []
+            begin = 0
+            while begin < len(column):      # rows of some million ids at once
+                end = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + (1 << 20), side="right")) - 1)
+                texts.append(own.decode_many(values[bounds[begin]:bounds[end]], (bounds[begin:end + 1] - bounds[begin]).astype(np.int64)))
+                begin = end
+            whole = pa.concat_arrays(texts) if texts else pa.array([], pa.string())
+            return pa.compute.if_else(column.is_valid(), whole, pa.scalar(None, pa.string()))
 
         return decoded(ids)
 
