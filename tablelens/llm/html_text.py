@@ -2,15 +2,25 @@
 
 One pass over the events of the standard library's parser makes lines (one per
 block element). A line knows its text, its number of tags, the share of its
-characters inside links, the container it stands in, and whether it lies in
-something that is never main text (menus, page headers and footers, sidebars,
-notices, adverts, forms, scripts, reader comments: by element, role, or the
-words of class and id). The text-to-tag ratio of the remaining lines is
-smoothed with a Gaussian kernel and clustered by a threshold (one standard
-deviation, at most the mean): containers with a line above it are content
-regions. Where a page says which part is its article (article, then main or its
-role), only regions inside it count. All remaining lines of a content region
-belong to the text, however short.
+characters inside links, the container it stands in, and the marked element
+around it: one whose class or id has a word that menus, notices, adverts and the
+like often have. What HTML itself calls no main text (navigation, page headers
+and footers, asides, forms, scripts, by element or role) makes no lines.
+
+The text-to-tag ratio of all lines of the page, in page order, is smoothed with a
+Gaussian kernel and clustered by a threshold (one standard deviation, at most the
+mean). The lines above it decide the rest:
+
+* Marks are weak evidence. A marked element is left out, unless it holds more than
+  half of the characters above the threshold, in three lines or more, while less
+  than a tenth of them stand outside marked elements: then its name misleads.
+* Where a page says which part is its article (article, then main or its role),
+  that part is the content area; on other pages it is the smallest container that
+  holds nine tenths of the characters above the threshold.
+* Containers in the content area that hold more text than links, or most of whose
+  lines are above it, are content regions; where that area is the whole page,
+  containers that have a line above it and hold more text than links. All remaining
+  lines of a content region belong to the text, however short.
 
 Pages are independent, so this is one narrow pass: no shuffle, and a task holds
 an Arrow batch of pages and the lines of one page.
@@ -43,6 +53,9 @@ _WORDS = frozenset(
     "breadcrumbs header masthead footer comment comments commentlist discussion respond reply replies disqus share "
     "sharing social related recommended recommendations teaser newsletter subscribe subscription signup login search "
     "widget widgets toolbar pagination pager skip".split())
+#: Marks of things that may have article elements of their own.
+_LISTED = frozenset("comment comments commentlist discussion respond reply replies disqus sidebar related recommended "
+                    "recommendations teaser widget widgets ad ads advert adverts".split())
 _STATES = frozenset("has with without no is".split())
 _SPACE = re.compile(r"\s+")
 _PARTS = re.compile(r"[^a-z0-9]+")
@@ -57,10 +70,13 @@ _CLOSED_BY = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": froz
 class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        # open elements: (tag, inside something dropped, container, article level, in an article's header)
-        self.stack = [("", False, 0, 0, False)]
+        # open elements: (tag, inside something dropped, container, article level, in an article's header, mark)
+        self.stack = [("", False, 0, 0, False, 0)]
         self.open: dict[str, int] = {}
-        self.containers = 1
+        self.around = [0]  # the container around each container; the page is its own
+        self.page = {0}  # containers that are the whole page
+        self.marks = [0]  # the marked element around each marked element; 0 stands for none
+        self.listed = [False]  # whether a mark, or one around it, is one of _LISTED
         self.links = 0
         self.lines: list[tuple] = []
         self._new()
@@ -74,9 +90,9 @@ class _Lines(HTMLParser):
         if self.text:
             text = _SPACE.sub(" ", "".join(self.text)).strip()
             if text:
-                _, _, container, level, header = self.where
+                _, _, container, level, header, mark = self.where
                 if not header or self.heading:
-                    self.lines.append((text, self.tags, self.linked, container, level))
+                    self.lines.append((text, self.tags, self.linked, container, level, mark))
         self._new()
 
     def _dropped(self, tag: str, attrs: dict, level: int) -> bool:
@@ -87,12 +103,19 @@ class _Lines(HTMLParser):
         role = (attrs.get("role") or "").lower()
         if role in _ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
             return True
-        if "none" in (style := (attrs.get("style") or "").lower()) and re.search(r"display\s*:\s*none", style):
-            return True
-        if tag in _HEADING or (tag == "header" and level):
-            return False
-        words = frozenset(_PARTS.split(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
-        return bool(words & _WORDS) and not words & _STATES
+        return "none" in (style := (attrs.get("style") or "").lower()) and bool(re.search(r"display\s*:\s*none", style))
+
+    def _mark(self, tag: str, attrs: dict, level: int, mark: int) -> int:
+        """The number of the marked element around an element's text."""
+        words = frozenset()
+        if tag not in _HEADING and tag not in ("html", "body", "main") and not (tag == "header" and level):
+            words = frozenset(_PARTS.split(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
+        if words & _WORDS and not words & _STATES:
+            self.marks.append(mark)
+            self.listed.append(self.listed[mark] or bool(words & _LISTED))
+            return len(self.marks) - 1
+        # a page's own article is one, whatever is written on what it stands in
+        return 0 if tag in ("article", "main") and not self.listed[mark] else mark
 
     def handle_starttag(self, tag, attrs):
         stack = self.stack
@@ -110,12 +133,16 @@ class _Lines(HTMLParser):
             self.handle_data(" ")
         if tag in _VOID:
             return
-        _, dropped, container, level, header = stack[-1]
+        _, dropped, container, level, header, mark = stack[-1]
         attrs = dict(attrs)
         dropped = dropped or self._dropped(tag, attrs, level)
+        if not dropped:
+            mark = self._mark(tag, attrs, level, mark)
         if tag in _CONTAINER:
-            container = self.containers
-            self.containers += 1
+            self.around.append(container)
+            container = len(self.around) - 1
+            if tag in ("html", "body", "center"):
+                self.page.add(container)
         if tag == "article":
             level = 2
         elif tag == "main" or (attrs.get("role") or "").lower() == "main":
@@ -124,7 +151,7 @@ class _Lines(HTMLParser):
             self.heading = True
         if tag == "a":
             self.links += 1
-        stack.append((tag, dropped, container, level, header or (tag == "header" and level > 0)))
+        stack.append((tag, dropped, container, level, header or (tag == "header" and level > 0), mark))
         self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
@@ -193,21 +220,75 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    level = max(x[4] for x in lines)
-    lines = [x for x in lines if x[4] == level]
     size = np.array([len(x[0]) for x in lines], dtype=float)
     linked = np.array([min(x[2], len(x[0])) for x in lines], dtype=float)
     above = content_lines((size - linked) / np.array([max(1, x[1]) for x in lines]))
+    content = np.where(above, size - linked, 0.0)
+    open_marks = _misleading(parser.marks, np.array([x[5] for x in lines]), content)
+    keep = [k for k, x in enumerate(lines) if x[5] in open_marks]
+    if not keep:
+        return ""
+    level = max(lines[k][4] for k in keep)
+    keep = [k for k in keep if lines[k][4] == level]
+    # all that an article holds lies in the content area
+    area = _content_area(parser, np.array([lines[k][3] for k in keep]), content[keep]) if not level else None
     regions: dict[int, list[float]] = {}
-    for x, up, n, m in zip(lines, above, size, linked):
-        r = regions.setdefault(x[3], [0.0, 0.0, 0.0])
-        r[0] += n
-        r[1] += m
-        r[2] += up
-    # a region that the page names as its article goes only if it is a list of
-    # links below the threshold; any other must reach it and hold more than links
-    good = {k for k, (n, m, up) in regions.items() if (up or m < 0.5 * n if level else up and m < 0.5 * n)}
-    return "\n\n".join(x[0] for x in lines if x[3] in good)
+    for k in keep:
+        r = regions.setdefault(lines[k][3], [0.0, 0.0, 0.0, 0])
+        r[0] += size[k]
+        r[1] += linked[k]
+        r[2] += above[k]
+        r[3] += 1
+    # inside the content area a region goes only if it holds more links than text and
+    # most of its lines (smoothing lifts those beside a paragraph) are below the
+    # threshold; without one it must reach the threshold and hold more text than links
+    if area is None or area.any():
+        good = {c for c, (n, m, up, of) in regions.items() if (area is None or area[c]) and (m < 0.5 * n or 2 * up > of)}
+    else:
+        good = {c for c, (n, m, up, _) in regions.items() if up and m < 0.5 * n}
+    return "\n\n".join(lines[k][0] for k in keep if lines[k][3] in good)
+
+
+def _inside(parents: list[int], own: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Content of each element and all elements in it (parents have smaller numbers)."""
+    total = np.bincount(own, weights=content, minlength=len(parents))
+    for k in range(len(parents) - 1, 0, -1):
+        total[parents[k]] += total[k]
+    return total
+
+
+def _misleading(marks: list[int], own: np.ndarray, content: np.ndarray) -> set[int]:
+    """Marks that say nothing: 0 (none), and those whose elements hold the content."""
+    direct = np.bincount(own, weights=content, minlength=len(marks))
+    total, count = _inside(marks, own, content), _inside(marks, own, (content > 0).astype(float))
+    children: dict[int, list[int]] = {}
+    for k in range(1, len(marks)):
+        children.setdefault(marks[k], []).append(k)
+    here, out = 0, {0}
+    while here in children and direct[here] < 0.1 * total[here]:
+        best = max(children[here], key=lambda k: total[k])
+        if total[best] <= 0.5 * total[here] or count[best] < 3:
+            break
+        here = best
+        out.add(here)
+    return out
+
+
+def _content_area(parser: _Lines, own: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Which containers lie in the smallest one that holds nine tenths of the content
+    (none, if that is the whole page)."""
+    around = parser.around
+    total = _inside(around, own, content)
+    area = 0
+    for k in range(1, len(around)):  # containers in it have larger numbers
+        if around[k] == area and total[k] >= 0.9 * total[0] > 0:
+            area = k
+    inside = np.zeros(len(around), dtype=bool)
+    if area not in parser.page:
+        inside[area] = True
+        for k in range(area + 1, len(around)):
+            inside[k] = inside[around[k]]
+    return inside
 
 
 def extract_main_text(html: Column) -> Column:

@@ -43,6 +43,44 @@ def test_odd_pages(page, text):
     assert main_text(page) == text
 
 
+LINKS = "".join(f"<li><a href={k}>Another page {k}</a></li>" for k in range(6))
+BODY = f"<h2>T</h2><div><p>{LONG}</p><p>Short.</p></div><div><p>{LONG} 2</p></div><div><div><p>{LONG} 3</p></div></div>"
+BODY_TEXT = f"T\n\n{LONG}\n\nShort.\n\n{LONG} 2\n\n{LONG} 3"
+
+
+@pytest.mark.parametrize("page,text", [
+    # no article, no telling names: containers by their text
+    (f"<body><div><div><a href=h>Home</a> <a href=a>About us</a></div></div><div class=x1><div class=x2>{BODY}</div></div>"
+     f"<div><ul>{LINKS}</ul></div>{'<div><b>Site</b> <i>of</i> <span>2020</span></div>' * 20}</body>", BODY_TEXT),
+    # a list of links inside the article, without a telling name
+    (f"<article>{BODY}<div class=x3><ul>{LINKS}</ul></div></article>", BODY_TEXT),
+    # misleading names: of what the article stands in, and of the article itself
+    (f"<body><div class='header-wrap'><article>{BODY}</article></div><div><p>{LONG}</p></div></body>", BODY_TEXT),
+    (f"<body><div><a href=h>Home</a></div><div id='social-notice'>{BODY}<div class='share'><p>Tell it</p></div></div></body>",
+     BODY_TEXT),
+    # true names: comments longer than the article, a page with nothing but a notice
+    (f"<main>{BODY}<div class='comments'>{''.join(f'<p>{LONG} {k}</p>' for k in range(9))}</div></main>", BODY_TEXT),
+    (f"<div class='comments'><article><p>{LONG}</p></article><article><p>{LONG}</p></article></div><article>{BODY}</article>",
+     BODY_TEXT),
+    (f"<body><div class='cookie-notice'><p>{LONG}</p></div></body>", ""),
+])
+def test_regions_are_chosen_by_the_clustering(page, text, monkeypatch):
+    import numpy as np
+    from tablelens.llm import html_text
+    assert main_text(page) == text
+    if "x1" in page or "x3" in page:  # without it these pages come out otherwise
+        monkeypatch.setattr(html_text, "content_lines", lambda r: np.ones(len(r), dtype=bool))
+        assert main_text(page) != text
+    if "x1" in page or "social" in page:
+        monkeypatch.setattr(html_text, "content_lines", lambda r: np.zeros(len(r), dtype=bool))
+        assert main_text(page) != text
+
+
+def test_deep_markup():
+    page = "<div class='menu'>" * 5000 + "<div>" * 5000 + f"<p>{LONG}</p>" * 3 + "</div>" * 10_000
+    assert main_text(page) == "\n\n".join([LONG] * 3)
+
+
 def test_long_page_keeps_everything():
     blocks = [f"block {k} " + "w " * (k % 40) for k in range(5000)]
     page = "<html><body><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article></body></html>"
