@@ -20,6 +20,7 @@ from tablelens.functions.words import (CURRENCY_WORDS, DOMAIN_KEYWORDS, GENERAL_
 
 from tablelens.functions.frames import rows_frame
 from tablelens.operators.profile import dense_distinct_counts
+from tablelens.operators.quantiles import quantiles_by_narrowing
 
 from . import fixtures as fx
 from . import sql as S
@@ -777,6 +778,23 @@ def q_dense_distinct_counts(spark, d):
     return rows_frame(spark, list(got.items()), "column string, unique_count long")
 
 
+def _quantiles_sql(table: str, cols: list[str], qs: list[float]) -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", CAST({q} AS DOUBLE) AS q, round(quantile_cont(CAST({c} AS DOUBLE), {q}), 4) AS value FROM {table}"
+        for c in cols for q in qs)
+
+
+_QUANTILE_COLS, _QUANTILES = ["l_quantity", "l_extendedprice", "l_discount", "l_orderkey"], [0.01, 0.25, 0.5, 0.75, 0.99]
+
+
+@query("narrowed_quantiles", _quantiles_sql("lineitem", _QUANTILE_COLS, _QUANTILES))
+def q_narrowed_quantiles(spark, d):
+    """M6's exact quantiles by narrowing brackets: counts and sketches, no range shuffle."""
+    got = quantiles_by_narrowing(fx.read(spark, d, "lineitem"), _QUANTILE_COLS, _QUANTILES)
+    rows = [(c, q, v) for c in _QUANTILE_COLS for q, v in zip(_QUANTILES, got[c])]
+    return rows_frame(spark, rows, "column string, q double, value double").withColumn("value", r4("value"))
+
+
 @query("recent_offset", f"""
 WITH {S.ANALYSES}
 SELECT id, upload_id, status, created_at FROM an ORDER BY created_at DESC, id DESC LIMIT 25 OFFSET 75""")

@@ -16,6 +16,7 @@ from .operators.clean import (clean_table, coerce_numeric, fill_missing, drop_du
                               anomaly_report, flag_anomalies, numeric_decisions)
 from .operators.profile import (column_statistics, n_unique, top_value, null_percent, describe_all,
                                 exact_quantiles, value_counts)
+from .operators.quantiles import quantiles_by_narrowing
 from .operators.kpi import kpis, numeric_summary
 from .operators.cube import DayCube, build_cube, open_cube
 from .operators.charts import (time_series_sample, row_sample, category_breakdown, histogram, charts,
