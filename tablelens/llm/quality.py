@@ -28,6 +28,7 @@ from tablelens.llm.stage import ship_package
 BITS = 22
 #: Rated rows used for fitting at most.
 MAX_ROWS = 8_000
+_RUN = 256  # texts whose marks are sent in one batch
 _HEADS, _TAILS = (3, 4, 5, 6), (2, 3)
 _HEAD_SHARES = (0.0, 0.004, 0.008, 0.016, 0.032)
 _LOWEST_BIT = np.uint64(64 - BITS)
@@ -99,21 +100,29 @@ def fit_ordinal(marks: list[np.ndarray], grades: np.ndarray, levels: int, epochs
     a mark can only lower a grade, so a long text does not make up for it. Only
     marks take part whose texts are mostly below the top grade (the lower
     two-sigma Wilson bound of that share is at least 0.6)."""
-    sizes = np.array([len(m) for m in marks])
-    flat = np.concatenate(marks)
-    used, texts = np.unique(flat, return_counts=True)
-    below = np.repeat(grades < levels - 1, sizes)
-    low = np.bincount(np.searchsorted(used, flat[below]), minlength=len(used))
-    share = low / texts
-    bound = (share + 2 / texts - 2 * np.sqrt(share * (1 - share) / texts + 1 / texts ** 2)) / (1 + 4 / texts)
-    # from here on only the telling marks, numbered anew
-    used = used[bound >= 0.6]
-    place = np.minimum(np.searchsorted(used, flat), max(len(used) - 1, 0)).astype(np.int32)
-    kept = used[place] == flat if len(used) else np.zeros(len(flat), dtype=bool)
-    del flat
-    ends = np.cumsum(np.add.reduceat(kept, np.cumsum(sizes) - sizes)) if len(sizes) else sizes
-    place = place[kept]
-    rows = np.split(place, ends[:-1]) if len(sizes) else []
+    # counts by mark, text by text: no second copy of all marks at any time
+    numbers = max((int(m.max()) + 1 for m in marks if len(m)), default=0)
+    texts, low = np.zeros(numbers, dtype=np.int32), np.zeros(numbers, dtype=np.int32)
+    for m, below in zip(marks, grades < levels - 1):
+        texts[m] += 1  # (a text's marks are distinct)
+        if below:
+            low[m] += 1
+    used = [np.zeros(0, dtype=np.int32)]
+    for k in range(0, numbers, 1 << 18):  # from here on only the telling marks, numbered anew
+        at = np.flatnonzero(texts[k:k + (1 << 18)]) + k
+        n = texts[at]
+        share = low[at] / n
+        bound = (share + 2 / n - 2 * np.sqrt(share * (1 - share) / n + 1 / n ** 2)) / (1 + 4 / n)
+        used.append(at[bound >= 0.6].astype(np.int32))
+    used = np.concatenate(used)
+    del texts, low
+    place = np.full(numbers, -1, dtype=np.int32)
+    place[used] = np.arange(len(used), dtype=np.int32)
+    rows = []
+    for m in marks:
+        own = place[m]
+        rows.append(own[own >= 0])
+    del place
     z, square = np.zeros(len(used)), np.zeros(len(used))
     share = np.array([(grades >= k).mean() for k in range(1, levels)])
     share = np.clip(share, 1e-3, 1 - 1e-3)
@@ -206,19 +215,23 @@ class OrdinalModel:
 
 
 def _marks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        marks = list(text_marks(batch.column(1)))
-        offsets = np.concatenate(([0], np.cumsum([len(m) for m in marks], dtype=np.int64))).astype(np.int32)
-        values = np.concatenate(marks) if marks else np.zeros(0, dtype=np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["grade", "marks"])
+    for whole in batches:
+        for k in range(0, whole.num_rows, _RUN):
+            batch = whole.slice(k, _RUN)
+            marks = list(text_marks(batch.column(1)))
+            offsets = np.concatenate(([0], np.cumsum([len(m) for m in marks], dtype=np.int64))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(marks)))],
+                names=["grade", "marks"])
+    pa.default_memory_pool().release_unused()
 
 
 def _fit(levels: int):
     def fit(table: pa.Table) -> pa.Table:
-        lists = table.column("marks").combine_chunks()
-        values, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
-        marks = [values[bounds[r]:bounds[r + 1]] for r in range(len(lists))]
+        marks = []
+        for lists in table.column("marks").chunks:  # views, not copies
+            values, bounds = lists.values.to_numpy(), lists.offsets.to_numpy()
+            marks += [values[bounds[r]:bounds[r + 1]] for r in range(len(lists))]
         index, weight, cut = fit_ordinal(marks, table.column("grade").to_numpy().astype(np.int64), levels)
         return pa.table({"mark": pa.array(np.concatenate((-1 - np.arange(len(cut)), index)), pa.int32()),
                          "weight": pa.array(np.concatenate((cut, weight)))})

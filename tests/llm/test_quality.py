@@ -1,9 +1,12 @@
 """Quality classifier: held-out accuracy, determinism, odd rows."""
 
+import tracemalloc
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tablelens.llm.quality import fit_quality, grade_documents, grades_of_labels
+from tablelens.llm.quality import fit_ordinal, fit_quality, grade_documents, grades_of_labels
 
 
 def test_held_out_accuracy(llm_spark):
@@ -39,3 +42,19 @@ def test_no_ratings_keep_all(llm_spark, edge, empty):
     none = llm_spark.createDataFrame([], "doc_id long, grade int")
     model = fit_quality(edge, none, levels=3)
     assert {r["p_select"] for r in grade_documents(edge, model, 2).collect()} == {1.0}
+
+
+def test_fit_needs_little_memory_beside_the_marks():
+    """Marks are counted and numbered text by text: besides them and the telling
+    ones the fit holds no further copies of all marks."""
+    random = np.random.RandomState(0)
+    marks = [np.unique((random.random_sample(2500) ** 4 * (1 << 18)).astype(np.int32)) for _ in range(1500)]
+    grades = random.randint(0, 3, len(marks))
+    tracemalloc.start()
+    try:
+        index, weight, cuts = fit_ordinal(marks, grades, 3, epochs=1)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(index) == len(weight) and list(cuts) == sorted(cuts)
+    assert peak < 3 * sum(m.nbytes for m in marks)
