@@ -1,31 +1,37 @@
 """LM scoring: a hierarchical Pitman-Yor bigram model of all documents.
 
-Restaurants: one per frequent context (a word that makes up at least 1/2048 of
-the training tokens, or the start of a text; at most 2049 by that rule, at any
-size), and the root, their parent, whose base is uniform over the training
-words and one unknown word. A word after any other context is a customer of the
-root itself. Seating follows the Chinese restaurant process: a customer of a
-context that opens a table sends one customer to the root.
+Restaurants: one per context (every word of the training texts, and the start of
+a text), and the root, their parent, whose base is uniform over the training
+words and one unknown word. Seating follows the Chinese restaurant process: a
+customer of a context that opens a table sends one customer to the root. A
+context that training has not seen gives all its weight to the root.
 
 How the corpus is laid out:
 
-1. Words heavier than 1/2048 are found by counting all words, map-side first:
-   the same ones however the rows are split into tasks. They are few, so
-   everything about pairs of them fits into a table of fixed size; pairs are
-   counted with map-side sums.
+1. Words of at least 1/2048 of the training tokens ("heavy", at most 2048) are
+   found by counting all words, map-side first: the same ones however the rows
+   are split into tasks. Everything about pairs of them fits into a table of
+   fixed size; pairs are counted with map-side sums.
 2. All other tokens (word, document, context) travel once, in compressed lists,
    to the cell group of their *word*: a word's counts in all contexts and in
-   the root are then in one place, no word is heavier than 1/2048 of a group's
-   share, and the number of groups follows the number of tokens.
+   the root are then in one place. A heavy word after a light context goes to
+   the group of the *context* instead, so neither a word nor a context is heavier
+   than 1/2048 of all tokens there; the number of groups follows the number of
+   tokens.
 3. Gibbs sweeps run over written cells, one task per group of cells: customers
    drawn at random leave their tables and sit down again, as many moves in a
    sweep as a cell has customers (in cells of more than 64 customers, a 64th of
    them at a time), given the tables of their own restaurant (its total from
-   the sweep before) and the root's predictive probability. Only totals per restaurant are summed up between
-   sweeps. Cells of one customer have one table and need no sampling.
-4. Scoring averages the predictive probabilities of the kept states. The rest
-   tokens are scored in their cell groups, the heavy words beside their
-   document, and both are summed per document.
+   the sweep before) and the root's predictive probability. Cells of one
+   customer have one table and need no sampling.
+4. Between sweeps the tables of each restaurant are summed up: for the heavy
+   contexts in one small table, for the light ones by a shuffle of lists from the
+   cell groups to groups of contexts and back. Heavy words' tables after light
+   contexts are summed up too; their customers enter the root in the next sweep,
+   and those cells see the root as it was before the sweep.
+5. Scoring averages the predictive probabilities of the kept states. The
+   tokens of the lists are scored in their cell groups, the heavy words after
+   heavy contexts beside their document, and both are summed per document.
 """
 
 from __future__ import annotations
@@ -36,20 +42,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tablelens.llm import words as W
 from tablelens.llm.stage import Steps
 
-#: A word of at least this share is a context of its own.
+#: Words of at least this share are heavy: what concerns two of them is kept in
+#: tables of fixed size (all words are contexts, heavy or not).
 SHARE = 2048
 GROUP_TOKENS = 3 << 19
 END = np.uint64(0x1F83D9ABFB41BD6B)
 _FLUSH_TOKENS = 1 << 20
 _ROUNDS = 64  # moves of a cell in a sweep that are made one after another
-_NONE = 0  # context number of "no restaurant of its own"
+_NONE = 0  # stands for the root among the numbers of contexts
 _START = 1  # context number of the start of a text; heavy words follow from 2
+_LIGHT = np.uint64(1 << 63)  # set in the hash of a light word as context: below 0 as a signed number
 
 
 def held_out(doc_id) -> bool:
@@ -99,12 +108,12 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _LISTS = pa.schema([("kind", pa.int8()), ("part", pa.int32()), ("block", pa.int64()), ("words", pa.list_(pa.int64())),
-                    ("times", pa.list_(pa.int32())), ("doc", pa.list_(pa.int32())), ("context", pa.list_(pa.int32()))])
+                    ("times", pa.list_(pa.int32())), ("doc", pa.list_(pa.int32())), ("context", pa.list_(pa.int64()))])
 _LISTS_SQL = ("kind byte, part int, block long, words array<long>, times array<int>, doc array<int>, "
-              "context array<int>, ids array<long>, held array<boolean>, tokens array<int>")
+              "context array<long>, ids array<long>, held array<boolean>, tokens array<int>")
 _LISTS_ALL = pa.schema([*_LISTS, ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
                         ("tokens", pa.list_(pa.int32()))])
-_TOKENS, _COUNTS, _DOCS = 0, 1, 2
+_TOKENS, _COUNTS, _DOCS, _FAR, _SHARES = range(5)
 
 
 def _row(**values) -> pa.RecordBatch:
@@ -124,7 +133,9 @@ def _row(**values) -> pa.RecordBatch:
 
 def _distribute(heavy: np.ndarray, groups: int):
     """Tokens to their cell groups, in lists; per block of documents a row with
-    its documents and, in ``context``, the pairs of heavy words."""
+    its documents and, in ``context``, the pairs of heavy words. Heavy words after
+    light contexts go by context: ``words`` then has contexts, ``context`` the
+    numbers of the words."""
     def place(words: np.ndarray) -> np.ndarray:
         return (W.mix(words ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(groups)).astype(np.int64)
 
@@ -144,7 +155,9 @@ def _distribute(heavy: np.ndarray, groups: int):
                 pa.default_memory_pool().release_unused()
         if held_rows:
             yield from flush(held_rows, block, pairs)
-        u, w = np.nonzero(pairs)
+        there = pairs > 0
+        there[_START, 2:] = True  # its group hears of a heavy word in any case
+        u, w = np.nonzero(there)
         if len(u):
             words = heavy[w - 2]
             order = np.lexsort((u, words, place(words)))
@@ -168,27 +181,31 @@ def _distribute(heavy: np.ndarray, groups: int):
             at = np.minimum(np.searchsorted(heavy, tokens), len(heavy) - 1)
             number[heavy[at] == tokens] = at[heavy[at] == tokens] + 2
         before = np.empty(len(tokens), dtype=np.int64)
-        before[1:] = number[:-1]
+        before[1:] = np.where(number[:-1] > 0, number[:-1], (tokens[:-1] | _LIGHT).view(np.int64))
         before[starts] = _START
-        is_heavy = number > 0
+        is_heavy, after_light = number > 0, before < 0
         k = len(heavy) + 2
-        code = before[is_heavy] * k + number[is_heavy]
-        trained = ~held[doc[is_heavy]]
+        both = is_heavy & ~after_light
+        code = before[both] * k + number[both]
+        trained = ~held[doc[both]]
         pairs += np.bincount(code[trained], minlength=k * k).reshape(k, k)
-        per_doc = np.bincount(doc[is_heavy], minlength=len(ids))
+        per_doc = np.bincount(doc[both], minlength=len(ids))
         yield _row(kind=_DOCS, part=int(block % groups), block=block, ids=ids, held=held, tokens=lengths,
                    times=per_doc, context=code)
-        rest = np.flatnonzero(~is_heavy)
-        words = tokens[rest]
-        order = np.lexsort((words, place(words)))
-        rest, words = rest[order], words[order]
-        part = place(words)
+        doc = doc * 2 + held[doc]
+        rest, far = np.flatnonzero(~is_heavy), np.flatnonzero(is_heavy & after_light)
+        yield from spread(_TOKENS, block, tokens[rest].view(np.int64), doc[rest], before[rest])
+        yield from spread(_FAR, block, before[far], doc[far], number[far])
+
+    def spread(kind, block, keys, doc, beside):
+        part = place(keys.view(np.uint64))
+        order = np.lexsort((keys, part))
+        keys, doc, beside, part = keys[order], doc[order], beside[order], part[order]
         edge = np.flatnonzero(np.diff(part)) + 1
         for a, b in zip(np.concatenate(([0], edge)), np.concatenate((edge, [len(part)]))):
             if b > a:
-                own, times = np.unique(words[a:b], return_counts=True)
-                yield _row(kind=_TOKENS, part=int(part[a]), block=block, words=own.view(np.int64), times=times,
-                           doc=doc[rest[a:b]] * 2 + held[doc[rest[a:b]]], context=before[rest[a:b]])
+                own, times = np.unique(keys[a:b], return_counts=True)
+                yield _row(kind=kind, part=int(part[a]), block=block, words=own, times=times, doc=doc[a:b], context=beside[a:b])
 
     return send
 
@@ -207,30 +224,65 @@ def _tokens_of(table: pa.Table, types: np.ndarray | None = None):
     return types, index, _flat(table.column("context")), _flat(table.column("doc"))
 
 
+def _kinds(table: pa.Table, *kinds: int) -> list[pa.Table]:
+    kind = np.asarray(table.column("kind"))
+    return [table.filter(pa.array(kind == x)) for x in kinds]
+
+
+def _numbered(context: np.ndarray, light: np.ndarray, k: int) -> np.ndarray:
+    """Numbers of contexts: of those below 0 their places in ``light``, from ``k``."""
+    out = context.copy()
+    below = context < 0
+    out[below] = k + np.searchsorted(light, context[below])
+    return out
+
+
+def _homes(words: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, ascending, and numbers) of the heavy words among a group's words."""
+    keys = heavy.view(np.int64)
+    at = np.searchsorted(words, keys)
+    here = np.flatnonzero(at < len(words))
+    here = here[words[at[here]] == keys[here]]
+    here = here[np.argsort(at[here])]
+    return at[here], here + 2
+
+
 class _Cells:
-    """Counts of a cell group: words, and (word, context, customers) cells."""
+    """Counts of a cell group: words, and (word, context, customers) cells.
+    Contexts from ``k`` are the group's ``light`` ones (those of held-out texts
+    too); words from ``len(words)`` are heavy ones after light contexts, by number."""
 
-    def __init__(self, table: pa.Table, k: int):
-        kind = np.asarray(table.column("kind"))
-        tokens, counts = (table.filter(pa.array(kind == x)) for x in (_TOKENS, _COUNTS))
+    def __init__(self, table: pa.Table, k: int, heavy: np.ndarray, times: np.ndarray):
+        tokens, counts, far = _kinds(table, _TOKENS, _COUNTS, _FAR)
         types, index, context, doc = _tokens_of(tokens)
+        keys, far_index, far_word, far_doc = _tokens_of(far)
+        self.light = np.unique(np.concatenate((context[context < 0], keys)))
+        size = k + len(self.light)
         train = (doc & 1) == 0
-        cell, customers = np.unique(index[train].astype(np.int64) * k + context[train], return_counts=True)
-        # heavy words have come as counts; they are none of the others
+        cell, customers = np.unique(index[train].astype(np.int64) * size + _numbered(context[train], self.light, k),
+                                    return_counts=True)
+        train = (far_doc & 1) == 0
+        far_context = k + np.searchsorted(self.light, keys)[far_index[train]]
+        far_cell, far_customers = np.unique(far_word[train] * size + far_context, return_counts=True)
+        # pairs of heavy words have come as counts; they are none of the others
         more, index, context, n = _tokens_of(counts)
-        heavy, back = np.unique(index.astype(np.int64) * k + context, return_inverse=True)
-        n = np.bincount(back, weights=n, minlength=len(heavy)).astype(np.int64)
+        pair, back = np.unique(index.astype(np.int64) * size + context, return_inverse=True)
+        n = np.bincount(back, weights=n, minlength=len(pair)).astype(np.int64)
+        pair, n = pair[n > 0], n[n > 0]
         words = np.concatenate((types, more))
-        word = np.concatenate((cell // k, heavy // k + len(types)))
-        self.customers = np.concatenate((customers, n))
-        self.context = np.concatenate((cell % k, heavy % k))
+        word = np.concatenate((cell // size, pair // size + len(types)))
         # words in order, without those of held-out texts alone
-        total = np.bincount(word, weights=self.customers, minlength=len(words)).astype(np.int64)
+        total = np.bincount(word, weights=np.concatenate((customers, n)), minlength=len(words)).astype(np.int64)
+        if len(more):
+            total[len(types):] = times[np.searchsorted(heavy, more.view(np.uint64))]
         order = np.argsort(words, kind="stable")
         order = order[total[order] > 0]
         place = np.zeros(len(words), dtype=np.int64)
         place[order] = np.arange(len(order))
-        self.words, self.word, self.total = words[order], place[word], total[order]
+        self.words, self.total = words[order], total[order]
+        self.word = np.concatenate((place[word], len(order) + far_cell // size))
+        self.context = np.concatenate((cell % size, pair % size, far_cell % size))
+        self.customers = np.concatenate((customers, n, far_customers))
 
 
 class Seating:
@@ -399,69 +451,193 @@ def sweep_seats(cells: Seating, word: np.ndarray, room: np.ndarray, root: Seatin
         root.put(own, r)
 
 
-_STATE = ("part int, words array<long>, direct array<int>, cell_word array<int>, cell_context array<int>, "
-          "cell_owner array<int>, cell_size array<int>, root_owner array<int>, root_size array<int>, "
-          "root_p array<float>, cell_p array<float>, context array<int>, tables array<long>, customers array<long>, "
-          "ones long, twos long, root_ones long, root_twos long")
-_STATE_FIELDS = ["part", "words", "direct", "cell_word", "cell_context", "cell_owner", "cell_size", "root_owner",
-                 "root_size", "root_p", "cell_p", "context", "tables", "customers", "ones", "twos", "root_ones",
-                 "root_twos"]
-_STATE_TYPES = [pa.int32(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 7, *[pa.list_(pa.float32())] * 2,
-                pa.list_(pa.int32()), *[pa.list_(pa.int64())] * 2, *[pa.int64()] * 4]
-_STATE_SCHEMA = pa.schema(list(zip(_STATE_FIELDS, _STATE_TYPES)))
+def sweep_far(cells: Seating, room: np.ndarray, p: np.ndarray, discount: float, draws: int, random) -> None:
+    """The same for cells whose root is seated in another group; ``p``: the root's
+    predictive probability for each cell, as it was before the sweep."""
+    for own, moves, rounds in _classes(cells.customers(), draws):
+        c = cells.take(own)
+        new = room[own] * p[own]
+        for i in range(rounds):
+            some, k = _round_moves(moves, i, rounds, c.customers())
+            closed = c.leave_many(some, k, random)
+            c.sit_many(some, k, new[some], np.full(len(some), discount), random, closed)
+        cells.put(own, c)
+
 
+#: A cell group between sweeps. ``light``: the light contexts of its cells, with
+#: the group's own tables now (``light_tables``) and in each kept state (``kept``,
+#: by context); ``seated``: customers of its heavy words from other groups' cells.
+_STATE_COLUMNS = [("part", "int"), ("words", "array<long>"), ("cell_word", "array<int>"), ("cell_context", "array<int>"),
+                  ("cell_owner", "array<int>"), ("cell_size", "array<int>"), ("root_owner", "array<int>"),
+                  ("root_size", "array<int>"), ("root_p", "array<float>"), ("cell_p", "array<float>"),
+                  ("context", "array<int>"), ("tables", "array<long>"), ("customers", "array<long>"),
+                  ("light", "array<long>"), ("light_tables", "array<int>"), ("kept", "array<int>"),
+                  ("seated", "array<long>"), ("ones", "long"), ("twos", "long"), ("root_ones", "long"), ("root_twos", "long")]
+#: What the first state has besides: every light context of the group's tokens, with
+#: (cells of one customer, customers) of each.
+_FIRST_COLUMNS = [*_STATE_COLUMNS, ("every", "array<long>"), ("every_counts", "array<int>")]
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()),
+          "array<float>": pa.list_(pa.float32())}
 
-def _state_row(values: dict) -> pa.Table:
-    arrays = []
-    for f in _STATE_SCHEMA:
+
+def _sql(columns) -> str:
+    return ", ".join(f"{n} {t}" for n, t in columns)
+
+
+def _schema(columns) -> pa.Schema:
+    return pa.schema([(n, _ARROW[t]) for n, t in columns])
+
+
+def _state_row(values: dict, columns=_STATE_COLUMNS) -> pa.Table:
+    arrays, schema = [], _schema(columns)
+    for f in schema:
         v = values[f.name]
         if pa.types.is_list(f.type):
             v = pa.array(np.asarray(v).astype(f.type.value_type.to_pandas_dtype()))
             arrays.append(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v))
         else:
             arrays.append(pa.array([int(v)], f.type))
-    return pa.Table.from_arrays(arrays, schema=_STATE_SCHEMA)
+    return pa.Table.from_arrays(arrays, schema=schema)
 
 
-def _totals(k: int, context: np.ndarray, tables: np.ndarray, customers: np.ndarray) -> dict:
-    """Per restaurant of this group; number _NONE stands for the root."""
-    t = np.bincount(context, weights=tables, minlength=k).astype(np.int64)
-    c = np.bincount(context, weights=customers, minlength=k).astype(np.int64)
-    at = np.flatnonzero(c)
-    return {"context": at, "tables": t[at], "customers": c[at]}
+def _totals(tables: np.ndarray, customers: np.ndarray) -> dict:
+    """This group's share of the sums that every group hears: by number of a heavy
+    context (_NONE: the root); from k on, by heavy word, its tables in the root;
+    from 2k on, its tables after light contexts."""
+    at = np.flatnonzero(customers)
+    return {"context": at, "tables": tables[at], "customers": customers[at]}
 
 
-def _first_state(k: int):
+def _root_totals(k: int, homes: tuple[np.ndarray, np.ndarray], tables: np.ndarray, customers: np.ndarray,
+                 root_tables: np.ndarray, root_customers: np.ndarray) -> None:
+    at, number = homes
+    tables[_NONE], customers[_NONE] = root_tables.sum(), root_customers.sum()
+    tables[k + number], customers[k + number] = root_tables[at], root_customers[at]
+
+
+def _first_state(k: int, heavy: np.ndarray, times: np.ndarray):
     """One table per cell; cells of one customer stay so and are summed up."""
     def make(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         part = table.column("part")[0].as_py()
-        cells = _Cells(table, k)
-        own = cells.context != _NONE
-        several = own & (cells.customers > 1)
-        # customers that the root always has: direct ones, and those of single cells
-        fixed = np.bincount(cells.word, weights=np.where(own, 1, cells.customers) * ~several, minlength=len(cells.words))
-        root = fixed.astype(np.int64) + np.bincount(cells.word[several], minlength=len(cells.words))
-        word, context, count = cells.word[several], cells.context[several], cells.customers[several]
-        known = np.arange(len(cells.words))
-        sums = _totals(k, np.concatenate((cells.context[own], np.zeros(len(known), dtype=np.int64))),
-                       np.concatenate((np.ones(int(own.sum())), root > 0)),
-                       np.concatenate((cells.customers[own], root)))
+        cells = _Cells(table, k, heavy, times)
+        n = len(cells.words)
+        here, several, own = cells.word < n, cells.customers > 1, cells.context < k
+        # customers of the root: a table of each cell (those of far cells come with the first sweep)
+        root = np.bincount(cells.word[here], minlength=n)
+        known = np.arange(n)
+        homes = _homes(cells.words, heavy)
+        number = np.where(own, cells.context, 2 * k + cells.word - n)
+        number, customers = number[own | ~here], cells.customers[own | ~here]
+        sums = np.bincount(number, minlength=3 * k), np.bincount(number, weights=customers, minlength=3 * k).astype(np.int64)
+        _root_totals(k, homes, *sums, (root > 0).astype(np.int64), root)
+        # light contexts: all, for the groups of contexts; those of cells to be sampled stay in the state
+        every, light = len(cells.light), cells.context[~own] - k
+        counts = (np.bincount(light[~several[~own]], minlength=every),
+                  np.bincount(light, weights=cells.customers[~own], minlength=every))
+        used, light_tables = np.unique(cells.context[several & ~own] - k, return_counts=True)
+        context = cells.context[several]
+        context = np.where(context < k, context, k + np.searchsorted(used, context - k))
         return _state_row({
-            "part": part, "words": cells.words, "direct": fixed, "cell_word": word, "cell_context": context,
-            "cell_owner": np.arange(len(word)), "cell_size": count, "root_owner": known[root > 0],
-            "root_size": root[root > 0], "root_p": [], "cell_p": [], **sums,
-            "ones": int((cells.customers[own] == 1).sum()), "twos": int((cells.customers[own] == 2).sum()),
-            "root_ones": int((cells.total == 1).sum()), "root_twos": int((cells.total == 2).sum())})
+            "part": part, "words": cells.words, "cell_word": cells.word[several], "cell_context": context,
+            "cell_owner": np.arange(int(several.sum())), "cell_size": cells.customers[several],
+            "root_owner": known[root > 0], "root_size": root[root > 0], "root_p": [], "cell_p": [], **_totals(*sums),
+            "light": cells.light[used], "light_tables": light_tables, "kept": [], "seated": np.zeros(len(homes[0])),
+            "ones": int((cells.customers == 1).sum()), "twos": int((cells.customers == 2).sum()),
+            "root_ones": int((cells.total == 1).sum()), "root_twos": int((cells.total == 2).sum()),
+            "every": cells.light, "every_counts": np.column_stack(counts).reshape(-1)}, _FIRST_COLUMNS)
 
     return make
 
 
+#: Lists of light contexts with a few numbers of each, from a cell group to a group of contexts.
+_SENT = "home int, part int, contexts array<long>, numbers array<int>"
+
+
+def _send(homes: int):
+    """Lists of (part, light contexts ascending, numbers of each) to the groups of
+    their contexts, which are ranges of the hash."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                contexts, numbers = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in (1, 2))
+                if not len(contexts):
+                    continue
+                home = ((contexts.view(np.uint64) ^ _LIGHT) >> np.uint64(31)) * np.uint64(homes) >> np.uint64(32)
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(home)) + 1, [len(home)]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(home[cuts[:-1]].astype(np.int32)), pa.array(np.full(len(cuts) - 1, batch.column(0)[r].as_py(), np.int32)),
+                     _lists(cuts, contexts, np.int64), _lists(cuts * (len(numbers) // len(contexts)), numbers, np.int32)],
+                    names=["home", "part", "contexts", "numbers"])
+
+    return run
+
+
+def _lists(cuts: np.ndarray, values: np.ndarray, kind) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values.astype(kind)))
+
+
+def _cuts(column) -> np.ndarray:
+    """Ends of the lists of a column, from 0."""
+    return np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(column)), dtype=np.int64)))
+
+
+def _sum_contexts(sent: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts ascending, (cells of one customer, customers) of each, place of each entry)."""
+    contexts, back = np.unique(_flat(sent.column("contexts")), return_inverse=True)
+    counts = _flat(sent.column("numbers")).reshape(-1, 2)
+    return contexts, np.column_stack([np.bincount(back, weights=counts[:, j], minlength=len(contexts)).astype(np.int64)
+                                      for j in (0, 1)]), back
+
+
+def _count_contexts(sent: pa.Table) -> pa.Table:
+    contexts, counts, _ = _sum_contexts(sent)
+    return pa.table({"home": pa.array([sent.column("home")[0].as_py()], pa.int32()), "part": pa.array([-1], pa.int32()),
+                     "contexts": _lists(np.array([0, len(contexts)]), contexts, np.int64),
+                     "numbers": _lists(np.array([0, 2 * len(contexts)]), counts.reshape(-1), np.int32)})
+
+
+def _sum_tables(counted: pa.Table, sent: pa.Table) -> pa.Table:
+    """Answers to the lists of the cell groups: (tables, customers) of each context in all groups."""
+    cuts = _cuts(sent.column("contexts"))
+    if sent.num_rows:
+        contexts, counts = _flat(counted.column("contexts")), _flat(counted.column("numbers")).reshape(-1, 2)
+        at = np.searchsorted(contexts, _flat(sent.column("contexts")))
+        tables = counts[:, 0] + np.bincount(at, weights=_flat(sent.column("numbers")), minlength=len(contexts)).astype(np.int64)
+        numbers = np.column_stack((tables[at], counts[at, 1])).reshape(-1)
+    else:
+        numbers = np.zeros(0, dtype=np.int64)
+    return pa.table({"home": sent.column("home").cast(pa.int32()), "part": sent.column("part").cast(pa.int32()),
+                     "numbers": _lists(2 * cuts, numbers, np.int32)})
+
+
+def _light_shares(strength: float, discount: float, states: int):
+    """Customers and, by kept state, the weight for the parent of every light context of a cell group's tokens."""
+    def answer(asked: pa.Table, sent: pa.Table) -> pa.Table:
+        contexts, counts, back = _sum_contexts(asked)
+        cuts = _cuts(asked.column("contexts"))
+        tables = np.repeat(counts[:, :1], states, axis=1)
+        if sent.num_rows:
+            at = np.searchsorted(contexts, _flat(sent.column("contexts")))
+            kept = _flat(sent.column("numbers")).reshape(-1, states)
+            for j in range(states):
+                tables[:, j] += np.bincount(at, weights=kept[:, j], minlength=len(contexts)).astype(np.int64)
+        share = (strength + discount * tables) / (strength + counts[:, 1:])
+        n = asked.num_rows
+        return pa.table({"part": asked.column("part").cast(pa.int32()), "kind": pa.array(np.full(n, _SHARES, np.int8)),
+                         "words": asked.column("contexts"), "times": _lists(cuts, counts[back, 1], np.int32),
+                         "shares": _lists(states * cuts, share[back].reshape(-1), np.float32)})
+
+    return answer
+
+
 class _Globals:
     """What a sweep knows of the other groups: totals per restaurant."""
 
     def __init__(self, k, tables, customers, types, discount, root_discount, strength=1.0):
-        self.tables, self.customers = np.asarray(tables, dtype=np.float64), np.asarray(customers, dtype=np.float64)
+        self.tables, self.customers = tables[:k], customers[:k]
+        # by heavy word: tables and customers in the root, tables after light contexts
+        self.word_tables, self.word_customers, self.far = tables[k:2 * k], customers[k:2 * k], tables[2 * k:].astype(np.int64)
         self.types, self.d, self.d0, self.strength = types, discount, root_discount, strength
 
     def root_p(self, customers, tables):
@@ -469,6 +645,10 @@ class _Globals:
         c, t = self.customers[_NONE], self.tables[_NONE]
         return (customers - self.d0 * tables + (self.strength + self.d0 * t) / (self.types + 1)) / (self.strength + c)
 
+    def heavy_p(self) -> np.ndarray:
+        """The root's predictive probability of the heavy words, by number."""
+        return self.root_p(self.word_customers, self.word_tables)
+
     def unknown_p(self) -> float:
         return float(self.root_p(0.0, 0.0))
 
@@ -479,44 +659,69 @@ class _Globals:
         return s
 
 
-def _sweep(g: _Globals, keep: bool, move: bool, draws: int, seed: int):
+def _sweep(g: _Globals, heavy: np.ndarray, first: bool, keep: bool, move: bool, draws: int, seed: int):
     """Optionally note the predictive probabilities of a state, then move on."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {n: (batch.column(n)[r].values.to_numpy(zero_copy_only=False)
-                           if pa.types.is_list(batch.schema.field(n).type) else batch.column(n)[r].as_py())
-                       for n in _STATE_FIELDS}
-                yield from _state_row(step(row)).to_batches()
+    def run(state: pa.Table, answers: pa.Table) -> pa.Table:
+        row = {}
+        for n, t in _STATE_COLUMNS:
+            value = state.column(n)[0]
+            row[n] = value.values.to_numpy(zero_copy_only=False) if t.startswith("array") else value.as_py()
+        answers = answers.sort_by("home")
+        light = _flat(answers.column("numbers")).reshape(-1, 2).astype(np.float64)
+        out = _state_row(step(row, light[:, 0], light[:, 1]))
         pa.default_memory_pool().release_unused()
+        return out
 
-    def step(row: dict) -> dict:
+    def step(row: dict, light_tables: np.ndarray, light_customers: np.ndarray) -> dict:
         random = np.random.RandomState((seed * 1_000_003 + row["part"]) % (1 << 32))
-        words, word, context = len(row["words"]), row["cell_word"].astype(np.int64), row["cell_context"].astype(np.int64)
+        k, n = len(g.tables), len(row["words"])
+        word, context = row["cell_word"].astype(np.int64), row["cell_context"].astype(np.int64)
         cells = Seating(len(word), row["cell_owner"].astype(np.int64), row["cell_size"].astype(np.int64))
-        root = Seating(words, row["root_owner"].astype(np.int64), row["root_size"].astype(np.int64))
+        at, number = homes = _homes(row["words"], heavy)
+        owner, size = row["root_owner"].astype(np.int64), row["root_size"].astype(np.int64)
+        if first:  # one table each, for the customers from far cells too
+            size = np.bincount(owner, weights=size, minlength=n).astype(np.int64)
+            size[at] += g.far[number]
+            owner, size = np.flatnonzero(size), size[size > 0]
+        root = Seating(n, owner, size)
+        tables, customers = np.concatenate((g.tables, light_tables)), np.concatenate((g.customers, light_customers))
         if keep:
             p = g.root_p(root.customers(), root.tables())
-            own = (cells.customers() - g.d * cells.tables()) / (g.strength + g.customers[context])
+            own = (cells.customers() - g.d * cells.tables()) / (g.strength + customers[context])
+            share = (g.strength + g.d * tables) / (g.strength + customers)
             row["root_p"] = np.concatenate((row["root_p"], p))
-            row["cell_p"] = np.concatenate((row["cell_p"], own + g.share()[context] * p[word]))
+            row["cell_p"] = np.concatenate((row["cell_p"], own + share[context] * np.concatenate((p, g.heavy_p()))[word]))
+            if len(row["light"]):
+                row["kept"] = np.column_stack((row["kept"].reshape(len(row["light"]), -1), row["light_tables"])).reshape(-1)
         if move:
-            before = cells.tables()
             base = (g.strength + g.d0 * g.tables[_NONE]) / (g.types + 1)
-            sweep_seats(cells, word, g.strength + g.d * g.tables[context], root, g.root_p, g.d, base, g.d0, draws, random)
+            if not first:  # what the far cells have sent or taken back in the sweep before
+                more = g.far[number] - row["seated"]
+                root.leave_many(at[more < 0], -more[more < 0], random)
+                joins = at[more > 0]
+                root.sit_many(joins, more[more > 0], np.full(len(joins), base), np.full(len(joins), g.d0), random)
+            before = cells.tables()
+            room = g.strength + g.d * tables[context]
+            near, far = np.flatnonzero(word < n), np.flatnonzero(word >= n)
+            here, away = cells.take(near), cells.take(far)
+            sweep_seats(here, word[near], room[near], root, g.root_p, g.d, base, g.d0, draws, random)
+            sweep_far(away, room[far], g.heavy_p()[word[far] - n], g.d, draws, random)
+            cells.put(near, here)
+            cells.put(far, away)
             alive, there = cells.size > 0, root.size > 0
+            own = context < k
             row.update(cell_owner=cells.owner[alive], cell_size=cells.size[alive], root_owner=root.owner[there],
-                       root_size=root.size[there])
+                       root_size=root.size[there], seated=g.far[number], light_tables=np.bincount(
+                           context[~own] - k, weights=cells.tables()[~own], minlength=len(row["light"])))
             # this group's totals: what single cells add never changes
-            k = len(g.tables)
-            before_t = np.bincount(row["context"], weights=row["tables"], minlength=k)
-            before_c = np.bincount(row["context"], weights=row["customers"], minlength=k)
-            before_t += np.bincount(context, weights=cells.tables() - before, minlength=k)
-            before_t[_NONE], before_c[_NONE] = root.tables().sum(), root.customers().sum()
-            at = np.flatnonzero(before_c)
-            row.update(context=at, tables=before_t[at], customers=before_c[at])
+            sums = [np.bincount(row["context"], weights=row[x], minlength=3 * k).astype(np.int64) for x in ("tables", "customers")]
+            moved = cells.tables() - before
+            sums[0] += np.bincount(context[own], weights=moved[own], minlength=3 * k).astype(np.int64)
+            sums[0] += np.bincount(2 * k + word[far] - n, weights=moved[far], minlength=3 * k).astype(np.int64)
+            _root_totals(k, homes, *sums, root.tables(), root.customers())
+            row.update(_totals(*sums))
         else:  # the last state is only read: its seats are not needed any more
-            row.update({n: [] for n in ("direct", "cell_owner", "cell_size", "root_owner", "root_size")})
+            row.update({n: [] for n in ("cell_owner", "cell_size", "root_owner", "root_size", "light_tables", "seated")})
         return row
 
     return run
@@ -527,59 +732,81 @@ _SUMS = pa.schema([("block", pa.int64()), ("doc", pa.list_(pa.int32())), ("score
                    ("base", pa.list_(pa.float64())), ("known", pa.list_(pa.int32()))])
 
 
-def _score_group(g: _Globals, shares: np.ndarray, unknown: np.ndarray, total: int):
-    """Scores of a cell group's tokens, summed per document."""
+def _score_group(g: _Globals, shares: np.ndarray, unknown: np.ndarray, heavy_p: np.ndarray, heavy_base: np.ndarray, total: int):
+    """Scores of a cell group's tokens, summed per document. ``heavy_p``: the
+    root's probability of each heavy word by state, ``heavy_base``: their base."""
     states = len(unknown)
     schema = _SUMS
 
-    def score(tokens: pa.Table, state: pa.Table) -> pa.Table:
-        if tokens.num_rows == 0:
+    def score(lists: pa.Table, state: pa.Table) -> pa.Table:
+        tokens, far, answers = _kinds(lists, _TOKENS, _FAR, _SHARES)
+        del lists
+        if tokens.num_rows + far.num_rows == 0:
             return schema.empty_table()
-        tokens = tokens.combine_chunks()
-        rows = np.concatenate(([0], np.cumsum(np.diff(tokens.column("doc").combine_chunks().offsets.to_numpy()))))
-        blocks = np.asarray(tokens.column("block"))
-        u, index, context, doc = _tokens_of(tokens)
-        del tokens
         k = len(shares[0])
-        key = index.astype(np.int64) * k + context
-        train = (doc & 1) == 0
+        light = _flat(answers.column("words"))
+        order = np.argsort(light, kind="stable")
+        light = light[order]
+        size = k + len(light)
+        customers = np.concatenate((g.customers, _flat(answers.column("times"))[order]))
+        to_root = np.concatenate((shares, _flat(answers.column("shares")).reshape(-1, states)[order].T), axis=1)
+        del answers
+        rows = _cuts(tokens.column("doc"))
+        rows = np.concatenate((rows, rows[-1] + _cuts(far.column("doc"))[1:]))
+        blocks = np.concatenate((np.asarray(tokens.column("block")), np.asarray(far.column("block"))))
+        u, index, context, doc = _tokens_of(tokens)
+        keys, far_index, far_word, far_doc = _tokens_of(far)
+        del tokens, far
+        key = np.concatenate((index.astype(np.int64) * size + _numbered(context, light, k),
+                              (len(u) + far_word) * size + (k + np.searchsorted(light, keys))[far_index]))
         # counts of this group's words and (word, context) pairs in training
-        count = np.bincount(index[train], minlength=len(u))
+        count = np.bincount(index[(doc & 1) == 0], minlength=len(u))
+        index = np.concatenate((index, (len(u) + far_word).astype(np.int32)))
+        doc = np.concatenate((doc, far_doc))
+        train = (doc & 1) == 0
+        del context, far_index, far_word, far_doc
         pair = np.unique(key)
         back = np.searchsorted(pair, key).astype(np.int32)
-        del key, context
+        del key
         seen = np.bincount(back[train], minlength=len(pair))
         types = _flat(state.column("words")) if state.num_rows else np.zeros(0, dtype=np.int64)
         at = np.minimum(np.searchsorted(types, u), max(len(types) - 1, 0))
         has = types[at] == u if len(types) else np.zeros(len(u), dtype=bool)
         stored = _flat(state.column("root_p")).reshape(states, -1) if len(types) else None
-        pair_word, pair_context = (pair // k).astype(np.int32), (pair % k).astype(np.int32)
+        pair_word, pair_context = (pair // size).astype(np.int32), (pair % size).astype(np.int32)
         # a pair seen once has one customer at one table; unseen pairs have the parent's share only
-        p = np.where((seen == 1) & (pair_context != _NONE), (1 - g.d) / (g.strength + g.customers[pair_context]), 0.0)
+        p = np.where(seen == 1, (1 - g.d) / (g.strength + customers[pair_context]), 0.0)
         for s in range(states):
-            root = np.where(has, stored[s][at] if len(types) else 0.0, unknown[s])
-            p += shares[s][pair_context] * root[pair_word] / states
-        if len(types):
-            cell_word, cell_context = _flat(state.column("cell_word")), _flat(state.column("cell_context"))
+            root = np.concatenate((np.where(has, stored[s][at] if len(types) else 0.0, unknown[s]), heavy_p[s]))
+            p += to_root[s][pair_context] * root[pair_word] / states
+        if state.num_rows:
+            cell_word, cell_context = (_flat(state.column(c)).astype(np.int64) for c in ("cell_word", "cell_context"))
             if len(cell_word):
-                cells = types[cell_word]
-                code = np.minimum(np.searchsorted(u, cells), len(u) - 1)
-                mine = u[code] == cells
+                away = cell_word >= len(types)
+                code = len(u) + cell_word - len(types)
+                cells = types[cell_word[~away]]
+                code[~away] = np.minimum(np.searchsorted(u, cells), len(u))
+                mine = np.ones(len(code), dtype=bool)
+                mine[~away] = np.concatenate((u, [0]))[code[~away]] == cells
+                mine[~away] &= code[~away] < len(u)
+                of_light = cell_context >= k
+                cell_context[of_light] = k + np.searchsorted(light, _flat(state.column("light"))[cell_context[of_light] - k])
                 value = _flat(state.column("cell_p")).reshape(states, -1).mean(axis=0)
-                wanted = code[mine] * k + cell_context[mine]
+                wanted = code[mine] * size + cell_context[mine]
                 where = np.minimum(np.searchsorted(pair, wanted), len(pair) - 1)
                 fits = pair[where] == wanted
                 p[where[fits]] = value[mine][fits]
         np.log10(p, out=p)
-        base = np.log10((count + 0.1) / (total + 0.1 * (g.types + 1)))
+        base = np.concatenate((np.log10((count + 0.1) / (total + 0.1 * (g.types + 1))), heavy_base))
+        known = np.concatenate((count > 0, np.ones(k, dtype=bool)))
         parts = []
-        for r in np.argsort(blocks, kind="stable"):  # one row per block: its tokens of this group
+        for r in np.argsort(blocks, kind="stable"):  # a row per block and kind: its tokens of this group
             x, y = rows[r], rows[r + 1]
             d, w = doc[x:y] >> 1, index[x:y]
             tokens_in = np.bincount(d)
             there = np.flatnonzero(tokens_in)
             lists = (there, np.bincount(d, weights=p[back[x:y]])[there], np.bincount(d, weights=base[w])[there],
-                     np.bincount(d, weights=count[w] > 0)[there])
+                     np.bincount(d, weights=known[w])[there])
             ends = pa.array([0, len(there)], pa.int32())
             parts.append(pa.RecordBatch.from_arrays(
                 [pa.array([blocks[r]]), *(pa.ListArray.from_arrays(ends, pa.array(v.astype(t)))
@@ -639,40 +866,62 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         .groupBy("word").agg(F.sum("times").alias("times")))
     total = found.agg(F.sum("times")).first()[0] or 0
     # a share of 1/share each: at most `share` words
-    rows = found.where(F.col("times") * share >= total).select("word").collect()
+    rows = found.where(F.col("times") * share >= total).collect()
     steps.drop("counts")
-    heavy = np.sort(np.array([r["word"] for r in rows], dtype=np.int64).view(np.uint64))
+    heavy = np.array([r["word"] for r in rows], dtype=np.int64).view(np.uint64)
+    times = np.array([r["times"] for r in rows], dtype=np.int64)[np.argsort(heavy)]
+    heavy = np.sort(heavy)
     k = len(heavy) + 2
     groups = max(1, math.ceil(total / group_tokens))
+    homes = max(1, groups // 4)  # groups of light contexts
     lists = steps.write("lists", source.mapInArrow(_distribute(heavy, groups), _LISTS_SQL))
 
     counted = lists.where(f"kind <> {_DOCS}").select("part", "kind", "words", "times", "doc", "context")
-    state = steps.write("state0", counted.groupBy("part")
-                        .applyInArrow(_first_state(k), _STATE))
+    state = steps.write("state0", counted.groupBy("part").applyInArrow(_first_state(k, heavy, times), _sql(_FIRST_COLUMNS)))
     ones, twos, root_ones, root_twos, types = state.agg(
         F.sum("ones"), F.sum("twos"), F.sum("root_ones"), F.sum("root_twos"), F.sum(F.size("words"))).first()
     discount, root_discount = _discount(ones, twos), _discount(root_ones, root_twos)
-    shares, unknown = [], []
+    asked = steps.write("asked", state.select("part", "every", "every_counts").mapInArrow(_send(homes), _SENT))
+    contexts = steps.write("contexts", asked.groupBy("home").applyInArrow(_count_contexts, _SENT))
+    state = state.drop("every", "every_counts")
+    shares, unknown, heavy_p = [], [], []
     for i in range(burn_in + states):
-        tables, customers = np.zeros(k), np.zeros(k)
+        tables, customers = np.zeros(3 * k), np.zeros(3 * k)
         sums = state.select(F.explode(F.arrays_zip("context", "tables", "customers")).alias("s")).select("s.*")
         for r in sums.groupBy("context").agg(F.sum("tables").alias("t"), F.sum("customers").alias("c")).collect():
             tables[r["context"]], customers[r["context"]] = r["t"], r["c"]
+        if i == 0:  # customers from far cells, at the one table of their word in the root
+            far = tables[2 * k:]
+            new = (far > 0) & (customers[k:2 * k] == 0)
+            tables[k:2 * k] += new
+            customers[k:2 * k] += far
+            tables[_NONE], customers[_NONE] = tables[_NONE] + new.sum(), customers[_NONE] + far.sum()
         g = _Globals(k, tables, customers, types or 0, discount, root_discount)
         keep = i >= burn_in
         if keep:
             shares.append(g.share())
             unknown.append(g.unknown_p())
-        state = steps.write(f"state{i + 1}", state.mapInArrow(
-            _sweep(g, keep, i < burn_in + states - 1, draws, seed + i), _STATE))
+            heavy_p.append(g.heavy_p())
+        sent = state.select("part", "light", "light_tables").mapInArrow(_send(homes), _SENT)
+        answers = contexts.groupBy("home").cogroup(sent.groupBy("home")).applyInArrow(
+            _sum_tables, "home int, part int, numbers array<int>")
+        state = steps.write(f"state{i + 1}", state.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(
+            _sweep(g, heavy, i == 0, keep, i < burn_in + states - 1, draws, seed + i), _sql(_STATE_COLUMNS)))
         steps.drop(f"state{i}")
+    steps.drop("contexts")
     shares, unknown = np.array(shares), np.array(unknown)
 
-    tokens = lists.where(f"kind = {_TOKENS}").select("part", "block", "words", "times", "doc", "context")
+    base = np.log10((np.concatenate(([0, 0], times)) + 0.1) / (total + 0.1 * (g.types + 1)))
+    sent = state.select("part", "light", "kept").mapInArrow(_send(homes), _SENT)
+    weights = asked.groupBy("home").cogroup(sent.groupBy("home")).applyInArrow(
+        _light_shares(g.strength, discount, states),
+        "part int, kind byte, words array<long>, times array<int>, shares array<float>")
+    tokens = lists.where(f"kind in ({_TOKENS}, {_FAR})").select("part", "kind", "block", "words", "times", "doc", "context")
+    tokens = tokens.unionByName(weights, allowMissingColumns=True)
     scored = (tokens.groupBy("part").cogroup(state.groupBy("part")).applyInArrow(
-        _score_group(g, shares, unknown, total),
+        _score_group(g, shares, unknown, np.array(heavy_p), base, total),
         "block long, doc array<int>, score array<double>, base array<double>, known array<int>"))
-    tables = [spark.sparkContext.broadcast(x) for x in _heavy_tables(lists, state, heavy, g, shares, unknown, total)]
+    tables = [spark.sparkContext.broadcast(x) for x in _heavy_tables(lists, state, heavy, g, shares, unknown, base)]
     blocks = lists.where(f"kind = {_DOCS}").select("block", "ids", "held", "tokens", "times", "context")
     return (blocks.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(
         _finish_block(*tables, int(total)), "doc_id long, held_out boolean, n_tokens long, n_known long, "
@@ -694,7 +943,8 @@ def _heavy_states(heavy: np.ndarray, states: int):
                     batch.column(n)[r].values.to_numpy(zero_copy_only=False)
                     for n in ("words", "cell_word", "cell_context", "cell_p", "root_p"))
                 mine = np.isin(words, heavy.view(np.int64))
-                cells = np.flatnonzero(mine[cell_word]) if len(cell_word) else np.zeros(0, dtype=np.int64)
+                cells = np.flatnonzero(cell_word < len(words))
+                cells = cells[mine[cell_word[cells]]]
                 p = cell_p.reshape(states, -1).mean(axis=0)[cells] if len(cells) else np.zeros(0)
                 at = np.flatnonzero(mine)
                 root = root_p.reshape(states, -1)[:, at]
@@ -707,7 +957,7 @@ def _heavy_states(heavy: np.ndarray, states: int):
     return pick
 
 
-def _heavy_tables(lists, state, heavy, g, shares, unknown, total):
+def _heavy_tables(lists, state, heavy, g, shares, unknown, base):
     """(log10 p of each pair of context and heavy word, base log10 of each heavy
     word, whether it is known), with the numbers of the contexts."""
     k, states = len(heavy) + 2, len(unknown)
@@ -731,6 +981,4 @@ def _heavy_tables(lists, state, heavy, g, shares, unknown, total):
     single[_NONE] = 0
     table = single + np.mean([shares[s][:, None] * root[s][None, :] for s in range(states)], axis=0)
     table[context[~of_root], w[~of_root]] = p[~of_root]
-    customers = counts.sum(axis=0)
-    base = np.log10((customers + 0.1) / (total + 0.1 * (g.types + 1)))
-    return np.log10(table), base, (customers > 0).astype(np.float64)
+    return np.log10(table), base, (np.arange(k) > _START).astype(np.float64)

@@ -156,3 +156,22 @@ def test_large_cells_have_as_many_tables_as_with_a_plain_sampler():
         mine.append(cells.tables().mean())
     assert mine[0] == pytest.approx(plain[0], rel=0.15)
     assert np.mean(mine[10:]) == pytest.approx(np.mean(plain[10:]), rel=0.1)
+
+
+def test_every_context_has_a_restaurant(llm_spark):
+    """Rare words tell what follows them, a rare word or a frequent one: with
+    ``share=20`` only "the" and the end are heavy. The model does not depend on
+    what counts as heavy; only the draws of the seating do."""
+    random = np.random.RandomState(5)
+    train = [i for i in range(1, 900) if not held(i)][:300]
+    probes = [i for i in range(1, 4000) if held(i)][:4]
+    pairs = [f"a{k} b{k}" if k % 2 else f"a{k} the" for k in range(60)]
+    rows = [(i, " ".join(random.choice(pairs, 6))) for i in train]
+    rows += list(zip(probes, ["a1 b1", "a1 b3", "a2 the", "a1 the"]))
+    df = llm_spark.createDataFrame(rows, "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in score_documents(df, share=20, group_tokens=1000).collect()}
+    assert score[probes[0]] > score[probes[1]] + 1.5
+    assert score[probes[2]] > score[probes[3]] + 1.0
+    heavy = {r["doc_id"]: r["score"] for r in score_documents(df, share=1 << 20).collect()}
+    assert [score[i] for i in train] == pytest.approx([heavy[i] for i in train], rel=0.06)
+    assert sum(score.values()) == pytest.approx(sum(heavy.values()), rel=0.005)
