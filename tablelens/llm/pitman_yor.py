@@ -17,7 +17,9 @@ How the corpus is laid out:
    the root are then in one place. A heavy word after a light context goes to
    the group of the *context* instead, so neither a word nor a context is heavier
    than 1/2048 of all tokens there; the number of groups follows the number of
-   tokens.
+   tokens. Lists travel packed, as compressed bytes. They are written in waves
+   of groups, and counted and scored wave by wave, so that only a wave's share
+   of the tokens is in a shuffle at a time; a scored wave is deleted.
 3. Gibbs sweeps run over written cells, one task per group of cells: customers
    drawn at random leave their tables and sit down again, as many moves in a
    sweep as a cell has customers (in cells of more than 64 customers, a 64th of
@@ -31,7 +33,8 @@ How the corpus is laid out:
    and those cells see the root as it was before the sweep.
 5. Scoring averages the predictive probabilities of the kept states. The
    tokens of the lists are scored in their cell groups, the heavy words after
-   heavy contexts beside their document, and both are summed per document.
+   heavy contexts beside their document, and both are summed per document:
+   those of the lists first within a wave.
 """
 
 from __future__ import annotations
@@ -39,10 +42,10 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -55,6 +58,8 @@ SHARE = 2048
 GROUP_TOKENS = 3 << 19
 END = np.uint64(0x1F83D9ABFB41BD6B)
 _FLUSH_TOKENS = 1 << 20
+#: The cell groups are dealt into this many waves; a shuffle of tokens holds one of them.
+WAVES = 4
 _ROUNDS = 64  # moves of a cell in a sweep that are made one after another
 _NONE = 0  # stands for the root among the numbers of contexts
 _START = 1  # context number of the start of a text; heavy words follow from 2
@@ -107,20 +112,49 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["word", "times"])
 
 
-_LISTS = pa.schema([("kind", pa.int8()), ("part", pa.int32()), ("block", pa.int64()), ("words", pa.list_(pa.int64())),
-                    ("times", pa.list_(pa.int32())), ("doc", pa.list_(pa.int32())), ("context", pa.list_(pa.int64()))])
-_LISTS_SQL = ("kind byte, part int, block long, words array<long>, times array<int>, doc array<int>, "
-              "context array<long>, ids array<long>, held array<boolean>, tokens array<int>")
-_LISTS_ALL = pa.schema([*_LISTS, ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
-                        ("tokens", pa.list_(pa.int32()))])
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, which Spark moves as a whole: in the narrowest
+    type that holds them, first bytes first."""
+    values = np.asarray(values)
+    if values.dtype.kind == "i" and (not len(values) or values.min() >= 0):
+        values = values.astype(np.min_scalar_type(values.max() if len(values) else 0))
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return values.dtype.str.encode() + len(values).to_bytes(8, "little") + _ZSTD.compress(planes, asbytes=True)
+
+
+def _length(packed: pa.BinaryScalar) -> int:
+    return int.from_bytes(memoryview(packed.as_buffer())[3:11], "little")
+
+
+def _unpack(packed: pa.BinaryScalar, kind=np.int64) -> np.ndarray:
+    data = memoryview(packed.as_buffer())
+    stored, n = np.dtype(bytes(data[:3]).decode()), _length(packed)
+    if not n:
+        return np.zeros(0, dtype=kind)
+    planes = np.frombuffer(_ZSTD.decompress(data[11:], n * stored.itemsize), dtype=np.uint8).reshape(stored.itemsize, n)
+    return np.ascontiguousarray(planes.T).view(stored).reshape(n).astype(kind, copy=False)
+
+
+#: ``wave`` of a list: its group's, or one of its own for documents and for counts of heavy pairs.
+_LISTS = pa.schema([("kind", pa.int8()), ("part", pa.int32()), ("block", pa.int64()), ("words", pa.binary()),
+                    ("times", pa.binary()), ("doc", pa.binary()), ("context", pa.binary()), ("ids", pa.list_(pa.int64())),
+                    ("held", pa.list_(pa.bool_())), ("tokens", pa.list_(pa.int32())), ("wave", pa.int32())])
+_LISTS_SQL = ("kind byte, part int, block long, words binary, times binary, doc binary, "
+              "context binary, ids array<long>, held array<boolean>, tokens array<int>, wave int")
 _TOKENS, _COUNTS, _DOCS, _FAR, _SHARES = range(5)
+_WAVE_OF_DOCS, _WAVE_OF_COUNTS = -1, -2
 
 
 def _row(**values) -> pa.RecordBatch:
     arrays = []
-    for f in _LISTS_ALL:
+    for f in _LISTS:
         v = values.get(f.name)
-        if pa.types.is_list(f.type):
+        if pa.types.is_binary(f.type):
+            arrays.append(pa.array([None if v is None else _pack(v)], f.type))
+        elif pa.types.is_list(f.type):
             if v is None:
                 arrays.append(pa.array([None], f.type))
             else:
@@ -128,10 +162,10 @@ def _row(**values) -> pa.RecordBatch:
                 arrays.append(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v))
         else:
             arrays.append(pa.array([v], f.type))
-    return pa.RecordBatch.from_arrays(arrays, schema=_LISTS_ALL)
+    return pa.RecordBatch.from_arrays(arrays, schema=_LISTS)
 
 
-def _distribute(heavy: np.ndarray, groups: int):
+def _distribute(heavy: np.ndarray, groups: int, waves: int):
     """Tokens to their cell groups, in lists; per block of documents a row with
     its documents and, in ``context``, the pairs of heavy words. Heavy words after
     light contexts go by context: ``words`` then has contexts, ``context`` the
@@ -167,7 +201,7 @@ def _distribute(heavy: np.ndarray, groups: int):
                 at = part == p
                 own, times = np.unique(words[at], return_counts=True)
                 yield _row(kind=_COUNTS, part=int(p), block=-1, words=own.view(np.int64), times=times,
-                           doc=pairs[u[at], w[at]], context=u[at])
+                           doc=pairs[u[at], w[at]], context=u[at], wave=_WAVE_OF_COUNTS)
 
     def flush(rows, block, pairs):
         ids = [x for r in rows for x in r[0]]
@@ -191,7 +225,7 @@ def _distribute(heavy: np.ndarray, groups: int):
         pairs += np.bincount(code[trained], minlength=k * k).reshape(k, k)
         per_doc = np.bincount(doc[both], minlength=len(ids))
         yield _row(kind=_DOCS, part=int(block % groups), block=block, ids=ids, held=held, tokens=lengths,
-                   times=per_doc, context=code)
+                   times=per_doc, context=code, wave=_WAVE_OF_DOCS)
         doc = doc * 2 + held[doc]
         rest, far = np.flatnonzero(~is_heavy), np.flatnonzero(is_heavy & after_light)
         yield from spread(_TOKENS, block, tokens[rest].view(np.int64), doc[rest], before[rest])
@@ -205,23 +239,22 @@ def _distribute(heavy: np.ndarray, groups: int):
         for a, b in zip(np.concatenate(([0], edge)), np.concatenate((edge, [len(part)]))):
             if b > a:
                 own, times = np.unique(keys[a:b], return_counts=True)
-                yield _row(kind=kind, part=int(part[a]), block=block, words=own, times=times, doc=doc[a:b], context=beside[a:b])
+                yield _row(kind=kind, part=int(part[a]), block=block, words=own, times=times, doc=doc[a:b], context=beside[a:b],
+                           wave=int(part[a]) % waves)
 
     return send
 
 
-def _flat(column) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False)
+def _flat(column, kind=np.int64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=kind), *(_unpack(x, kind) for x in column)])
 
 
-def _tokens_of(table: pa.Table, types: np.ndarray | None = None):
+def _tokens_of(table: pa.Table, doc=np.int32):
     """(distinct words, index of each token's word, contexts, docs) of list rows."""
     words = _flat(table.column("words"))
-    if types is None:
-        types = np.unique(words)
+    types = np.unique(words)
     index = np.repeat(np.searchsorted(types, words).astype(np.int32), _flat(table.column("times")))
-    return types, index, _flat(table.column("context")), _flat(table.column("doc"))
+    return types, index, _flat(table.column("context")), _flat(table.column("doc"), doc)
 
 
 def _kinds(table: pa.Table, *kinds: int) -> list[pa.Table]:
@@ -265,7 +298,7 @@ class _Cells:
         far_context = k + np.searchsorted(self.light, keys)[far_index[train]]
         far_cell, far_customers = np.unique(far_word[train] * size + far_context, return_counts=True)
         # pairs of heavy words have come as counts; they are none of the others
-        more, index, context, n = _tokens_of(counts)
+        more, index, context, n = _tokens_of(counts, np.int64)
         pair, back = np.unique(index.astype(np.int64) * size + context, return_inverse=True)
         n = np.bincount(back, weights=n, minlength=len(pair)).astype(np.int64)
         pair, n = pair[n > 0], n[n > 0]
@@ -303,9 +336,14 @@ class Seating:
     def customers(self) -> np.ndarray:
         return self._count.copy()
 
-    def _picker(self):
-        """(begin of each cell, upper ends of the tables) in the row of all customers."""
-        return np.concatenate(([0], np.cumsum(self._count))), np.cumsum(self.size)
+    def _seats(self, places: int):
+        """The tables of places in the row of all customers: by a list of every
+        customer's table where there are many places, else by search."""
+        upto = np.cumsum(self.size)
+        if 16 * places > (upto[-1] if len(upto) else 0):
+            seat = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
+            return lambda at: seat[at]
+        return lambda at: np.searchsorted(upto, at, side="right")
 
     def _open(self, cells: np.ndarray) -> None:
         """A table of one customer for each entry of ``cells``, after the cell's
@@ -318,7 +356,7 @@ class Seating:
     def _some_of(self, cells: np.ndarray, k: np.ndarray, random) -> np.ndarray:
         """Per table, how many of ``k`` random customers of each cell sit there."""
         count = self._count
-        begin, upto = self._picker()
+        begin = np.concatenate(([0], np.cumsum(count)))  # of each cell in the row of all customers
         rest = 2 * k > count[cells]  # fewer stay than are picked: draw those
         want = np.where(rest, count[cells] - k, k)
         left = want
@@ -326,11 +364,14 @@ class Seating:
         while left.any():
             c = np.repeat(cells, left)
             new = begin[c] + (random.random_sample(len(c)) * count[c]).astype(np.int64)
+            if want.max() <= 1 and (cells[1:] > cells[:-1]).all():  # one of each cell: different ones, in order
+                picked = new
+                break
             picked = np.concatenate((picked, new))
             picked.sort()
             picked = picked[np.concatenate(([True], picked[1:] != picked[:-1]))]
             left = want - (np.searchsorted(picked, begin[cells + 1]) - np.searchsorted(picked, begin[cells]))
-        out = np.bincount(np.searchsorted(upto, picked, side="right"), minlength=len(self.size))
+        out = np.bincount(self._seats(len(picked))(picked), minlength=len(self.size))
         if rest.any():
             turn = np.zeros(self.cells, dtype=bool)
             turn[cells[rest]] = True
@@ -361,17 +402,25 @@ class Seating:
         if closed is not None:
             tables = tables + np.where(k > 1, closed[cells], 0)
         old = np.where(empty, 0.0, np.maximum(count + k - 1 - discount * tables, 0.0))
-        opened = random.binomial(k, new_weight / (old + new_weight))
+        p = new_weight / (old + new_weight)
+        if (k == 1).all():  # the same draws, in less time
+            u = random.random_sample(len(k))
+            opened = np.where(p <= 0.5, u > 1 - p, u <= p).astype(np.int64)
+        else:
+            opened = random.binomial(k, p)
         c, d = np.repeat(cells, k - opened), np.repeat(discount, k - opened)
-        joins = np.zeros(len(self.size), dtype=np.int64)
+        joins = [np.zeros(0, dtype=np.int64)]
         if len(c):
-            begin, upto = self._picker()
+            begin, seats = np.cumsum(self._count)[c] - self._count[c], self._seats(len(c))
+            n = self._count[c]
         while len(c):  # a table in proportion to size - discount, by rejection
-            t = np.searchsorted(upto, begin[c] + (random.random_sample(len(c)) * self._count[c]).astype(np.int64), side="right")
-            good = random.random_sample(len(c)) * self.size[t] < self.size[t] - d
-            joins += np.bincount(t[good], minlength=len(joins))
-            c, d = c[~good], d[~good]
-        self.size = self.size + joins
+            t = seats(begin + (random.random_sample(len(c)) * n).astype(np.int64))
+            size = self.size[t]
+            good = random.random_sample(len(c)) * size < size - d
+            joins.append(t[good])
+            bad = np.flatnonzero(~good)
+            c, d, begin, n = c[bad], d[bad], begin[bad], n[bad]
+        self.size = self.size + np.bincount(np.concatenate(joins), minlength=len(self.size))
         out = np.zeros(self.cells, dtype=np.int64)
         out[cells] = opened
         self._count[cells] += k
@@ -467,37 +516,37 @@ def sweep_far(cells: Seating, room: np.ndarray, p: np.ndarray, discount: float,
 #: A cell group between sweeps. ``light``: the light contexts of its cells, with
 #: the group's own tables now (``light_tables``) and in each kept state (``kept``,
 #: by context); ``seated``: customers of its heavy words from other groups' cells.
-_STATE_COLUMNS = [("part", "int"), ("words", "array<long>"), ("cell_word", "array<int>"), ("cell_context", "array<int>"),
-                  ("cell_owner", "array<int>"), ("cell_size", "array<int>"), ("root_owner", "array<int>"),
-                  ("root_size", "array<int>"), ("root_p", "array<float>"), ("cell_p", "array<float>"),
+_STATE_COLUMNS = [("part", "int"), ("words", "ints"), ("cell_word", "ints"), ("cell_context", "ints"),
+                  ("cell_owner", "ints"), ("cell_size", "ints"), ("root_owner", "ints"),
+                  ("root_size", "ints"), ("root_p", "floats"), ("cell_p", "floats"),
                   ("context", "array<int>"), ("tables", "array<long>"), ("customers", "array<long>"),
-                  ("light", "array<long>"), ("light_tables", "array<int>"), ("kept", "array<int>"),
-                  ("seated", "array<long>"), ("ones", "long"), ("twos", "long"), ("root_ones", "long"), ("root_twos", "long")]
-#: What the first state has besides: every light context of the group's tokens, with
-#: (cells of one customer, customers) of each.
-_FIRST_COLUMNS = [*_STATE_COLUMNS, ("every", "array<long>"), ("every_counts", "array<int>")]
+                  ("light", "ints"), ("light_tables", "ints"), ("kept", "ints"),
+                  ("seated", "ints"), ("ones", "long"), ("twos", "long"), ("root_ones", "long"), ("root_twos", "long")]
+#: What the first state has besides: the number of its words, and every light context
+#: of the group's tokens, with (cells of one customer, customers) of each.
+_FIRST_COLUMNS = [*_STATE_COLUMNS, ("types", "long"), ("every", "ints"), ("every_counts", "ints")]
+#: (``ints`` and ``floats``: packed)
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()),
-          "array<float>": pa.list_(pa.float32())}
+          "ints": pa.binary(), "floats": pa.binary()}
+_PACKED = {"ints": np.int64, "floats": np.float32}
 
 
 def _sql(columns) -> str:
-    return ", ".join(f"{n} {t}" for n, t in columns)
-
-
-def _schema(columns) -> pa.Schema:
-    return pa.schema([(n, _ARROW[t]) for n, t in columns])
+    return ", ".join(f"{n} {'binary' if t in _PACKED else t}" for n, t in columns)
 
 
 def _state_row(values: dict, columns=_STATE_COLUMNS) -> pa.Table:
-    arrays, schema = [], _schema(columns)
-    for f in schema:
-        v = values[f.name]
-        if pa.types.is_list(f.type):
-            v = pa.array(np.asarray(v).astype(f.type.value_type.to_pandas_dtype()))
+    arrays = []
+    for name, t in columns:
+        v, kind = values[name], _ARROW[t]
+        if t in _PACKED:
+            arrays.append(pa.array([_pack(np.asarray(v).astype(_PACKED[t]))], kind))
+        elif pa.types.is_list(kind):
+            v = pa.array(np.asarray(v).astype(kind.value_type.to_pandas_dtype()))
             arrays.append(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v))
         else:
-            arrays.append(pa.array([int(v)], f.type))
-    return pa.Table.from_arrays(arrays, schema=schema)
+            arrays.append(pa.array([int(v)], kind))
+    return pa.Table.from_arrays(arrays, names=[n for n, _ in columns])
 
 
 def _totals(tables: np.ndarray, customers: np.ndarray) -> dict:
@@ -545,13 +594,13 @@ def _first_state(k: int, heavy: np.ndarray, times: np.ndarray):
             "light": cells.light[used], "light_tables": light_tables, "kept": [], "seated": np.zeros(len(homes[0])),
             "ones": int((cells.customers == 1).sum()), "twos": int((cells.customers == 2).sum()),
             "root_ones": int((cells.total == 1).sum()), "root_twos": int((cells.total == 2).sum()),
-            "every": cells.light, "every_counts": np.column_stack(counts).reshape(-1)}, _FIRST_COLUMNS)
+            "types": n, "every": cells.light, "every_counts": np.column_stack(counts).reshape(-1)}, _FIRST_COLUMNS)
 
     return make
 
 
 #: Lists of light contexts with a few numbers of each, from a cell group to a group of contexts.
-_SENT = "home int, part int, contexts array<long>, numbers array<int>"
+_SENT = "home int, part int, contexts binary, numbers binary"
 
 
 def _send(homes: int):
@@ -560,26 +609,26 @@ def _send(homes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                contexts, numbers = (batch.column(c)[r].values.to_numpy(zero_copy_only=False) for c in (1, 2))
+                contexts, numbers = (_unpack(batch.column(c)[r]) for c in (1, 2))
                 if not len(contexts):
                     continue
                 home = ((contexts.view(np.uint64) ^ _LIGHT) >> np.uint64(31)) * np.uint64(homes) >> np.uint64(32)
                 cuts = np.concatenate(([0], np.flatnonzero(np.diff(home)) + 1, [len(home)]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(home[cuts[:-1]].astype(np.int32)), pa.array(np.full(len(cuts) - 1, batch.column(0)[r].as_py(), np.int32)),
-                     _lists(cuts, contexts, np.int64), _lists(cuts * (len(numbers) // len(contexts)), numbers, np.int32)],
+                     _lists(cuts, contexts), _lists(cuts * (len(numbers) // len(contexts)), numbers)],
                     names=["home", "part", "contexts", "numbers"])
 
     return run
 
 
-def _lists(cuts: np.ndarray, values: np.ndarray, kind) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values.astype(kind)))
+def _lists(cuts: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.array([_pack(values[i:j]) for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())
 
 
 def _cuts(column) -> np.ndarray:
     """Ends of the lists of a column, from 0."""
-    return np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(column)), dtype=np.int64)))
+    return np.concatenate(([0], np.cumsum([_length(x) for x in column], dtype=np.int64)))
 
 
 def _sum_contexts(sent: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -593,8 +642,8 @@ def _sum_contexts(sent: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _count_contexts(sent: pa.Table) -> pa.Table:
     contexts, counts, _ = _sum_contexts(sent)
     return pa.table({"home": pa.array([sent.column("home")[0].as_py()], pa.int32()), "part": pa.array([-1], pa.int32()),
-                     "contexts": _lists(np.array([0, len(contexts)]), contexts, np.int64),
-                     "numbers": _lists(np.array([0, 2 * len(contexts)]), counts.reshape(-1), np.int32)})
+                     "contexts": _lists(np.array([0, len(contexts)]), contexts),
+                     "numbers": _lists(np.array([0, 2 * len(contexts)]), counts.reshape(-1))})
 
 
 def _sum_tables(counted: pa.Table, sent: pa.Table) -> pa.Table:
@@ -608,11 +657,11 @@ def _sum_tables(counted: pa.Table, sent: pa.Table) -> pa.Table:
     else:
         numbers = np.zeros(0, dtype=np.int64)
     return pa.table({"home": sent.column("home").cast(pa.int32()), "part": sent.column("part").cast(pa.int32()),
-                     "numbers": _lists(2 * cuts, numbers, np.int32)})
+                     "numbers": _lists(2 * cuts, numbers)})
 
 
-def _light_shares(strength: float, discount: float, states: int):
-    """Customers and, by kept state, the weight for the parent of every light context of a cell group's tokens."""
+def _light_tables(states: int):
+    """Customers and, by kept state, the tables of every light context of a cell group's tokens."""
     def answer(asked: pa.Table, sent: pa.Table) -> pa.Table:
         contexts, counts, back = _sum_contexts(asked)
         cuts = _cuts(asked.column("contexts"))
@@ -622,11 +671,10 @@ def _light_shares(strength: float, discount: float, states: int):
             kept = _flat(sent.column("numbers")).reshape(-1, states)
             for j in range(states):
                 tables[:, j] += np.bincount(at, weights=kept[:, j], minlength=len(contexts)).astype(np.int64)
-        share = (strength + discount * tables) / (strength + counts[:, 1:])
         n = asked.num_rows
         return pa.table({"part": asked.column("part").cast(pa.int32()), "kind": pa.array(np.full(n, _SHARES, np.int8)),
-                         "words": asked.column("contexts"), "times": _lists(cuts, counts[back, 1], np.int32),
-                         "shares": _lists(states * cuts, share[back].reshape(-1), np.float32)})
+                         "words": asked.column("contexts"), "times": _lists(cuts, counts[back, 1]),
+                         "tables": _lists(states * cuts, tables[back].reshape(-1))})
 
     return answer
 
@@ -665,7 +713,10 @@ def _sweep(g: _Globals, heavy: np.ndarray, first: bool, keep: bool, move: bool,
         row = {}
         for n, t in _STATE_COLUMNS:
             value = state.column(n)[0]
-            row[n] = value.values.to_numpy(zero_copy_only=False) if t.startswith("array") else value.as_py()
+            if t in _PACKED:
+                row[n] = _unpack(value, _PACKED[t])
+            else:
+                row[n] = value.values.to_numpy(zero_copy_only=False) if t.startswith("array") else value.as_py()
         answers = answers.sort_by("home")
         light = _flat(answers.column("numbers")).reshape(-1, 2).astype(np.float64)
         out = _state_row(step(row, light[:, 0], light[:, 1]))
@@ -728,8 +779,24 @@ def _sweep(g: _Globals, heavy: np.ndarray, first: bool, keep: bool, move: bool,
 
 
 #: What a cell group adds to a block's documents, as lists: a row per block.
-_SUMS = pa.schema([("block", pa.int64()), ("doc", pa.list_(pa.int32())), ("score", pa.list_(pa.float64())),
-                   ("base", pa.list_(pa.float64())), ("known", pa.list_(pa.int32()))])
+_SUMS = pa.schema([("block", pa.int64()), *((n, pa.binary()) for n in ("doc", "score", "base", "known"))])
+_SUMS_SQL = "block long, doc binary, score binary, base binary, known binary"
+
+
+def _sums_row(block: int, doc: np.ndarray, score: np.ndarray, base: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+    """Sums of a block's documents, of those that ``doc`` has entries for."""
+    there = np.flatnonzero(np.bincount(doc))
+    values = [there, *(np.bincount(doc, weights=x)[there] for x in (score, base)),
+              np.bincount(doc, weights=known)[there].round().astype(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *(pa.array([_pack(x)], pa.binary()) for x in values)],
+                                      schema=_SUMS)
+
+
+def _add_up(sums: pa.Table) -> pa.Table:
+    """The sums of a block's documents over the cell groups of a wave."""
+    doc, known = _flat(sums.column("doc")), _flat(sums.column("known"))
+    score, base = (_flat(sums.column(n), np.float64) for n in ("score", "base"))
+    return pa.Table.from_batches([_sums_row(sums.column("block")[0].as_py(), doc, score, base, known)])
 
 
 def _score_group(g: _Globals, shares: np.ndarray, unknown: np.ndarray, heavy_p: np.ndarray, heavy_base: np.ndarray, total: int):
@@ -749,7 +816,9 @@ def _score_group(g: _Globals, shares: np.ndarray, unknown: np.ndarray, heavy_p:
         light = light[order]
         size = k + len(light)
         customers = np.concatenate((g.customers, _flat(answers.column("times"))[order]))
-        to_root = np.concatenate((shares, _flat(answers.column("shares")).reshape(-1, states)[order].T), axis=1)
+        to_root = ((g.strength + g.d * _flat(answers.column("tables")).reshape(-1, states)[order])
+                   / (g.strength + customers[k:, None])).astype(np.float32)
+        to_root = np.concatenate((shares, to_root.T), axis=1)
         del answers
         rows = _cuts(tokens.column("doc"))
         rows = np.concatenate((rows, rows[-1] + _cuts(far.column("doc"))[1:]))
@@ -772,7 +841,7 @@ def _score_group(g: _Globals, shares: np.ndarray, unknown: np.ndarray, heavy_p:
         types = _flat(state.column("words")) if state.num_rows else np.zeros(0, dtype=np.int64)
         at = np.minimum(np.searchsorted(types, u), max(len(types) - 1, 0))
         has = types[at] == u if len(types) else np.zeros(len(u), dtype=bool)
-        stored = _flat(state.column("root_p")).reshape(states, -1) if len(types) else None
+        stored = _flat(state.column("root_p"), np.float32).reshape(states, -1) if len(types) else None
         pair_word, pair_context = (pair // size).astype(np.int32), (pair % size).astype(np.int32)
         # a pair seen once has one customer at one table; unseen pairs have the parent's share only
         p = np.where(seen == 1, (1 - g.d) / (g.strength + customers[pair_context]), 0.0)
@@ -780,7 +849,7 @@ def _score_group(g: _Globals, shares: np.ndarray, unknown: np.ndarray, heavy_p:
             root = np.concatenate((np.where(has, stored[s][at] if len(types) else 0.0, unknown[s]), heavy_p[s]))
             p += to_root[s][pair_context] * root[pair_word] / states
         if state.num_rows:
-            cell_word, cell_context = (_flat(state.column(c)).astype(np.int64) for c in ("cell_word", "cell_context"))
+            cell_word, cell_context = (_flat(state.column(c)) for c in ("cell_word", "cell_context"))
             if len(cell_word):
                 away = cell_word >= len(types)
                 code = len(u) + cell_word - len(types)
@@ -791,7 +860,7 @@ def _score_group(g: _Globals, shares: np.ndarray, unknown: np.ndarray, heavy_p:
                 mine[~away] &= code[~away] < len(u)
                 of_light = cell_context >= k
                 cell_context[of_light] = k + np.searchsorted(light, _flat(state.column("light"))[cell_context[of_light] - k])
-                value = _flat(state.column("cell_p")).reshape(states, -1).mean(axis=0)
+                value = _flat(state.column("cell_p"), np.float32).reshape(states, -1).mean(axis=0)
                 wanted = code[mine] * size + cell_context[mine]
                 where = np.minimum(np.searchsorted(pair, wanted), len(pair) - 1)
                 fits = pair[where] == wanted
@@ -802,16 +871,8 @@ def _score_group(g: _Globals, shares: np.ndarray, unknown: np.ndarray, heavy_p:
         parts = []
         for r in np.argsort(blocks, kind="stable"):  # a row per block and kind: its tokens of this group
             x, y = rows[r], rows[r + 1]
-            d, w = doc[x:y] >> 1, index[x:y]
-            tokens_in = np.bincount(d)
-            there = np.flatnonzero(tokens_in)
-            lists = (there, np.bincount(d, weights=p[back[x:y]])[there], np.bincount(d, weights=base[w])[there],
-                     np.bincount(d, weights=known[w])[there])
-            ends = pa.array([0, len(there)], pa.int32())
-            parts.append(pa.RecordBatch.from_arrays(
-                [pa.array([blocks[r]]), *(pa.ListArray.from_arrays(ends, pa.array(v.astype(t)))
-                                          for v, t in zip(lists, (np.int32, np.float64, np.float64, np.int32)))],
-                schema=schema))
+            w = index[x:y]
+            parts.append(_sums_row(blocks[r], doc[x:y] >> 1, p[back[x:y]], base[w], known[w]))
         pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(parts, schema=schema)
 
@@ -834,7 +895,7 @@ def _finish_block(pair_score, base, known, total: int):
         if sums.num_rows:
             other = _flat(sums.column("doc"))
             for x, name in zip(out, ("score", "base", "known")):
-                x += np.bincount(other, weights=_flat(sums.column(name)), minlength=n)
+                x += np.bincount(other, weights=_flat(sums.column(name), np.float64), minlength=n)
         return pa.table({"doc_id": ids, "held_out": held, "n_tokens": tokens.cast(pa.int64()),
                          "n_known": pa.array(out[2].round().astype(np.int64)),
                          "train_tokens": pa.array(np.full(n, total)), "base_score": pa.array(out[1]),
@@ -874,16 +935,23 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     k = len(heavy) + 2
     groups = max(1, math.ceil(total / group_tokens))
     homes = max(1, groups // 4)  # groups of light contexts
-    lists = steps.write("lists", source.mapInArrow(_distribute(heavy, groups), _LISTS_SQL))
-
-    counted = lists.where(f"kind <> {_DOCS}").select("part", "kind", "words", "times", "doc", "context")
-    state = steps.write("state0", counted.groupBy("part").applyInArrow(_first_state(k, heavy, times), _sql(_FIRST_COLUMNS)))
+    waves = min(WAVES, groups)
+    lists = steps.write("lists", source.mapInArrow(_distribute(heavy, groups, waves), _LISTS_SQL), "wave")
+
+    columns = ["part", "kind", "words", "times", "doc", "context"]
+    firsts = []
+    for w in range(waves):
+        counted = lists.where(f"wave = {w}").select(columns).unionByName(
+            lists.where(f"wave = {_WAVE_OF_COUNTS} and part % {waves} = {w}").select(columns))
+        firsts.append(steps.write(f"first{w}", counted.groupBy("part").applyInArrow(
+            _first_state(k, heavy, times), _sql(_FIRST_COLUMNS))))
+    state = reduce(DataFrame.unionByName, firsts)
     ones, twos, root_ones, root_twos, types = state.agg(
-        F.sum("ones"), F.sum("twos"), F.sum("root_ones"), F.sum("root_twos"), F.sum(F.size("words"))).first()
+        F.sum("ones"), F.sum("twos"), F.sum("root_ones"), F.sum("root_twos"), F.sum("types")).first()
     discount, root_discount = _discount(ones, twos), _discount(root_ones, root_twos)
     asked = steps.write("asked", state.select("part", "every", "every_counts").mapInArrow(_send(homes), _SENT))
     contexts = steps.write("contexts", asked.groupBy("home").applyInArrow(_count_contexts, _SENT))
-    state = state.drop("every", "every_counts")
+    state = state.drop("types", "every", "every_counts")
     shares, unknown, heavy_p = [], [], []
     for i in range(burn_in + states):
         tables, customers = np.zeros(3 * k), np.zeros(3 * k)
@@ -904,25 +972,32 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             heavy_p.append(g.heavy_p())
         sent = state.select("part", "light", "light_tables").mapInArrow(_send(homes), _SENT)
         answers = contexts.groupBy("home").cogroup(sent.groupBy("home")).applyInArrow(
-            _sum_tables, "home int, part int, numbers array<int>")
+            _sum_tables, "home int, part int, numbers binary")
         state = steps.write(f"state{i + 1}", state.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(
             _sweep(g, heavy, i == 0, keep, i < burn_in + states - 1, draws, seed + i), _sql(_STATE_COLUMNS)))
-        steps.drop(f"state{i}")
+        steps.drop(*([f"state{i}"] if i else [f"first{w}" for w in range(waves)]))
     steps.drop("contexts")
     shares, unknown = np.array(shares), np.array(unknown)
 
     base = np.log10((np.concatenate(([0, 0], times)) + 0.1) / (total + 0.1 * (g.types + 1)))
     sent = state.select("part", "light", "kept").mapInArrow(_send(homes), _SENT)
     weights = asked.groupBy("home").cogroup(sent.groupBy("home")).applyInArrow(
-        _light_shares(g.strength, discount, states),
-        "part int, kind byte, words array<long>, times array<int>, shares array<float>")
-    tokens = lists.where(f"kind in ({_TOKENS}, {_FAR})").select("part", "kind", "block", "words", "times", "doc", "context")
-    tokens = tokens.unionByName(weights, allowMissingColumns=True)
-    scored = (tokens.groupBy("part").cogroup(state.groupBy("part")).applyInArrow(
-        _score_group(g, shares, unknown, np.array(heavy_p), base, total),
-        "block long, doc array<int>, score array<double>, base array<double>, known array<int>"))
+        _light_tables(states), "part int, kind byte, words binary, times binary, tables binary")
+    weights = steps.write("weights", weights.withColumn("wave", F.expr(f"part % {waves}")), "wave")
+    steps.drop("asked")
+    cells = state.select("part", "words", "cell_word", "cell_context", "light", "cell_p", "root_p")
+    sums = []
+    for w in range(waves):
+        tokens = lists.where(f"wave = {w}").select(*columns, "block").unionByName(
+            weights.where(f"wave = {w}").drop("wave"), allowMissingColumns=True)
+        scored = tokens.groupBy("part").cogroup(cells.where(f"part % {waves} = {w}").groupBy("part")).applyInArrow(
+            _score_group(g, shares, unknown, np.array(heavy_p), base, total), _SUMS_SQL)
+        sums.append(steps.write(f"sums{w}", scored.groupBy("block").applyInArrow(_add_up, _SUMS_SQL)))
+        steps.drop_part("lists", f"wave={w}")
+    steps.drop("weights")
+    scored = reduce(DataFrame.unionByName, sums)
     tables = [spark.sparkContext.broadcast(x) for x in _heavy_tables(lists, state, heavy, g, shares, unknown, base)]
-    blocks = lists.where(f"kind = {_DOCS}").select("block", "ids", "held", "tokens", "times", "context")
+    blocks = lists.where(f"wave = {_WAVE_OF_DOCS}").select("block", "ids", "held", "tokens", "times", "context")
     return (blocks.groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(
         _finish_block(*tables, int(total)), "doc_id long, held_out boolean, n_tokens long, n_known long, "
         "train_tokens long, base_score double, score double, perplexity double"))
@@ -940,7 +1015,7 @@ def _heavy_states(heavy: np.ndarray, states: int):
         for batch in batches:
             for r in range(batch.num_rows):
                 words, cell_word, cell_context, cell_p, root_p = (
-                    batch.column(n)[r].values.to_numpy(zero_copy_only=False)
+                    _unpack(batch.column(n)[r], np.float32 if n.endswith("_p") else np.int64)
                     for n in ("words", "cell_word", "cell_context", "cell_p", "root_p"))
                 mine = np.isin(words, heavy.view(np.int64))
                 cells = np.flatnonzero(cell_word < len(words))
@@ -957,15 +1032,21 @@ def _heavy_states(heavy: np.ndarray, states: int):
     return pick
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, context, customers) of the lists of heavy pairs."""
+    for batch in batches:
+        types, index, context, n = _tokens_of(pa.Table.from_batches([batch]), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(types[index]), pa.array(context.astype(np.int32)), pa.array(n)],
+                                         names=["word", "context", "n"])
+
+
 def _heavy_tables(lists, state, heavy, g, shares, unknown, base):
     """(log10 p of each pair of context and heavy word, base log10 of each heavy
     word, whether it is known), with the numbers of the contexts."""
     k, states = len(heavy) + 2, len(unknown)
     counts = np.zeros((k, k))
-    pairs = (lists.where(f"kind = {_COUNTS}")
-             .select(F.explode(F.arrays_zip("doc", "context", F.expr(
-                 "flatten(transform(arrays_zip(words, times), x -> array_repeat(x.words, x.times)))").alias("word"))).alias("x"))
-             .select("x.*").groupBy("word", "context").agg(F.sum("doc").alias("n")))
+    pairs = (lists.where(f"wave = {_WAVE_OF_COUNTS}").select("words", "times", "doc", "context")
+             .mapInArrow(_pairs, "word long, context int, n long").groupBy("word", "context").agg(F.sum("n").alias("n")))
     found = pairs.toArrow()
     if found.num_rows:
         w = np.searchsorted(heavy, np.asarray(found.column("word")).view(np.uint64)) + 2

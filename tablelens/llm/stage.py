@@ -80,9 +80,10 @@ class Steps:
         self.spark = spark
         self._paths: dict[str, str] = {}
 
-    def write(self, name: str, df: DataFrame) -> DataFrame:
+    def write(self, name: str, df: DataFrame, *parts: str) -> DataFrame:
+        """``parts``: columns that the step is written in folders by, see ``drop_part``."""
         with shuffle_cleanup(self.spark):
-            out, path = materialize(df)
+            out, path = materialize(df, *parts)
         self._paths[name] = path
         _left.setdefault(self.spark.sparkContext.applicationId, set()).add(path)
         return out
@@ -92,3 +93,7 @@ class Steps:
             path = self._paths.pop(name, None)
             release(self.spark, path)
             _left.get(self.spark.sparkContext.applicationId, set()).discard(path)
+
+    def drop_part(self, name: str, folder: str) -> None:
+        """Delete one folder of a step, as "column=value"; nothing may read it any more."""
+        release(self.spark, f"{self._paths[name]}/{folder}")

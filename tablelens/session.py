@@ -49,9 +49,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def materialize(df: DataFrame) -> tuple[DataFrame, str]:
-    """Write ``df`` once as Parquet under the shared checkpoint folder and
-    return (a DataFrame that reads it back, the folder).
+def materialize(df: DataFrame, *parts: str) -> tuple[DataFrame, str]:
+    """Write ``df`` once as Parquet under the shared checkpoint folder (in folders
+    by the columns ``parts``) and return (a DataFrame that reads it back, the folder).
 
     This cuts the lineage like ``checkpoint()`` (a lost executor re-reads the
     files instead of recomputing the plan) but computes the plan only once
@@ -60,6 +60,9 @@ def materialize(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tablelens-{uuid.uuid4().hex}"
+    if parts:  # (without rows there are no folders to read the schema from)
+        df.write.mode("error").partitionBy(*parts).parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
     df.write.mode("error").parquet(path)
     return spark.read.parquet(path), path
 

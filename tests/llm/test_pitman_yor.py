@@ -1,13 +1,17 @@
 """LM scoring: exact base scores, proper probabilities, held-out perplexity."""
 
+import glob
 import math
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tablelens.llm.pitman_yor import Seating, score_documents, sweep_seats
+from tablelens.llm.pitman_yor import Seating, _cuts, _flat, _pack, _unpack, score_documents, sweep_seats
+from tablelens.llm.stage import Steps
 from tests.llm.conftest import words
 
 
@@ -175,3 +179,33 @@ def test_every_context_has_a_restaurant(llm_spark):
     heavy = {r["doc_id"]: r["score"] for r in score_documents(df, share=1 << 20).collect()}
     assert [score[i] for i in train] == pytest.approx([heavy[i] for i in train], rel=0.06)
     assert sum(score.values()) == pytest.approx(sum(heavy.values()), rel=0.005)
+
+
+def test_tokens_are_shuffled_in_waves(docs, monkeypatch):
+    """Each step that shuffles the lists of tokens reads one wave of them, and a
+    scored wave is deleted before the next one is shuffled."""
+    waves, left, write = [], [], Steps.write
+
+    def spy(self, name, df, *parts):
+        if name.startswith(("first", "sums")):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            read = re.findall(r"PartitionFilters: \[[^\]]*wave#\d+ = (\d+)", plan)
+            waves.append((name, set(read)))
+            left.append(len(glob.glob(self._paths["lists"].removeprefix("file:") + "/wave=[0-9]*")))
+        return write(self, name, df, *parts)
+
+    monkeypatch.setattr(Steps, "write", spy)
+    rows = score_documents(docs, group_tokens=1 << 12).count()
+    assert rows == docs.count()
+    assert [n for n, _ in waves] == [f"{n}{w}" for n in ("first", "sums") for w in range(4)]
+    assert [w for _, w in waves] == [{str(w)} for w in range(4)] * 2
+    assert left == [4, 4, 4, 4, 4, 3, 2, 1]
+
+
+@pytest.mark.parametrize("values", [np.zeros(0, np.int64), np.arange(300), np.array([-1, 1 << 62, -(1 << 63)]),
+                                    np.array([1 << 40, 0]), np.array([0.1, -2.5e300]), np.float32([1.5, 3])])
+def test_packed_numbers_come_back(values):
+    packed = pa.array([_pack(values), _pack(values[:1])], pa.binary())
+    assert (_unpack(packed[0], values.dtype) == values).all() and _unpack(packed[0], values.dtype).dtype == values.dtype
+    assert list(_flat(packed, values.dtype)) == [*values, *values[:1]] and list(_cuts(packed)) == [
+        0, len(values), len(values) + len(values[:1])]
