@@ -9,29 +9,38 @@ The document by n-gram incidence matrix is never built whole:
    row of the matrix from here on) and its prefix: the ``n - ceil(t*n) + 1``
    first n-grams in that order. Two sets with a Jaccard similarity of ``t``
    share one n-gram of their prefixes, whatever the order is.
-3. Product over the prefixes. The prefix entries are shuffled by n-gram. In a
-   column of up to ``pair_limit`` classes every pair of sizes within ``t``
-   becomes a product term; terms are added up per pair, and pairs whose overlap
-   so far plus all that may follow stays under ``t/(1+t)*(|a|+|b|)`` go. A
-   longer column yields one term per class instead (to the first class of its
-   run of compatible sizes): it only says that these classes belong together.
+3. Product over the prefixes. The prefix entries are shuffled by n-gram, and a
+   column's by size. A class that meets less than ``pair_limit`` classes before
+   it with sizes within ``t`` becomes a product term with each; terms are added
+   up per pair, and pairs whose overlap so far plus all that may follow stays
+   under ``t/(1+t)*(|a|+|b|)`` go. Where more meet, the run of sizes yields one
+   term per class instead (to its first class): it only says that these classes
+   belong together.
+   A family of near copies would give the same pairs in nearly every column, many
+   times the input. So a large table's n-grams go in waves (by their last bits).
+   After a wave, pairs that share half of their prefixes' n-grams so far stay for
+   good, each class is labelled with the smallest of its partners and theirs, and
+   the next wave leaves out pairs of one label: they belong together already.
 4. Blocks. Connected components of what is left (ids only) are blocks whose
    classes cannot link to any class outside. Their whole sets are read in a
    third pass, and each block is multiplied exactly: overlaps are added up per
    pair over the block's shared n-grams, and pairs under the bound go. A block
-   of more than ``tile_grams`` n-grams is cut into tiles, one task unit per
-   pair of tiles, so the memory of a task is bounded.
+   of more than ``tile_grams`` n-grams is cut into tiles, by size, one task unit
+   per pair of tiles that may link, so the memory of a task is bounded. Where the units hold more
+   than half as many n-grams as the table, they are sent in waves from the written
+   texts of their classes, so what is on disk at once is bounded too.
 
 No links are lost: steps 3 and 4 only drop pairs that the bounds rule out.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablelens.llm import words as W
 from tablelens.llm.components import connected_components
@@ -41,6 +50,11 @@ SKETCH_BITS = 22
 _SKETCH_ROWS = 16
 #: Ids that may be broadcast: 8 MB of them; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
+#: Prefix entries from which n-grams go in waves, and the ends of the waves in eighths.
+WAVE_ENTRIES = 1 << 22
+_WAVES = (1, 2, 4, 8)
+#: N-grams of units that a wave holds at least.
+WAVE_GRAMS = 1 << 24
 
 
 def shingle_sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -151,7 +165,8 @@ def _rows(n: int, num: int, den: int, sketch, bits: int):
 
 
 def _column_terms(num: int, den: int, limit: int):
-    """Product terms of prefix columns; input sorted by (gram, n, key)."""
+    """Product terms of prefix columns; input sorted by (gram, n, key). With a
+    fifth column, no terms of two classes that have the same label there."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int32()), ("nb", pa.int32()),
                         ("pa", pa.int32()), ("pb", pa.int32()), ("long_column", pa.bool_())])
 
@@ -162,13 +177,14 @@ def _column_terms(num: int, den: int, limit: int):
                 schema=schema)
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # of the column that a batch's end may cut: its last `limit` entries,
-        # its length so far and the head of its present run of sizes
-        gram, tail, seen, head = None, None, 0, None
+        # of the column that a batch's end may cut: its last `limit` entries, and
+        # the head of the crowded run of sizes that it is in
+        gram, tail, head = None, None, None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             g, key, n, pos = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            label = batch.column(4).to_numpy(zero_copy_only=False) if batch.num_columns > 4 else key
             parts = []
             edges = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1], [True])))
             lengths = np.diff(edges)
@@ -176,49 +192,44 @@ def _column_terms(num: int, den: int, limit: int):
             for k in np.flatnonzero((lengths > 1) | (edges[:-1] == 0) | (edges[1:] == len(g))):
                 s, e = int(edges[k]), int(edges[k + 1])
                 if g[s] != gram:
-                    gram, tail, seen, head = g[s], None, 0, None
-                ck, cn, cp = key[s:e], n[s:e], pos[s:e]
+                    gram, tail, head = g[s], None, None
+                ck, cn, cp, cl = key[s:e], n[s:e].astype(np.int64), pos[s:e], label[s:e]
                 new = np.ones(len(ck), dtype=bool)  # copies: equal classes follow each other
                 new[1:] = ck[1:] != ck[:-1]
-                if tail is not None and len(tail[0]):
+                if tail is not None:
                     new[0] = ck[0] != tail[0][-1]
-                ck, cn, cp = ck[new], cn[new], cp[new]
+                ck, cn, cp, cl = ck[new], cn[new], cp[new], cl[new]
                 if len(ck) == 0:
                     continue
                 if tail is not None:
-                    ak, an, ap = (np.concatenate(x) for x in zip(tail, (ck, cn, cp)))
+                    ak, an, ap, al = (np.concatenate(x) for x in zip(tail, (ck, cn, cp, cl)))
                 else:
-                    ak, an, ap = ck, cn, cp
+                    ak, an, ap, al = ck, cn, cp, cl
                 old = len(ak) - len(ck)
-                seen += len(ck)
-                if seen <= limit:
-                    j = np.arange(old, len(ak))
-                    i = np.concatenate([np.arange(x) for x in j]) if len(j) else j
-                    j = np.repeat(j, j)
-                    ok = an[i] * den >= an[j] * num
-                    i, j = i[ok], j[ok]
-                    if len(i):
-                        parts.append((ak[i], ak[j], an[i], an[j], ap[i], ap[j], np.zeros(len(i), dtype=bool)))
-                    tail = (ak, an, ap)
-                else:
-                    if head is None:  # the column has just become long: start over with all that is kept
-                        prev_k, prev_n, heads_from = ak, an, 0
-                        head = ak[0], an[0]
-                    else:
-                        prev_k, prev_n, heads_from = ak, an, old
-                    gap = np.ones(len(prev_k), dtype=bool)
-                    gap[1:] = prev_n[:-1] * den < prev_n[1:] * num
-                    gap[0] = False if heads_from else True
-                    at = np.maximum.accumulate(np.where(gap, np.arange(len(prev_k)), -1))
-                    hk = np.where(at >= 0, prev_k[np.maximum(at, 0)], head[0])
-                    hn = np.where(at >= 0, prev_n[np.maximum(at, 0)], head[1])
-                    take = np.arange(len(prev_k)) >= heads_from
-                    take &= hk != prev_k
-                    if take.any():
-                        z = np.zeros(int(take.sum()), dtype=np.int32)
-                        parts.append((hk[take], prev_k[take], hn[take], prev_n[take], z, z, np.ones(len(z), dtype=bool)))
-                    head = hk[-1], hn[-1]
-                    tail = (ak[-1:], an[-1:], ap[-1:])
+                # compatible sizes before an entry are a run, as sizes ascend
+                j = np.arange(old, len(ak))
+                low = np.searchsorted(an * den, an[old:] * num)
+                crowded = j - low >= limit
+                pairs = np.where(crowded, 0, j - low)
+                i = np.repeat(low - np.cumsum(pairs) + pairs, pairs) + np.arange(pairs.sum())
+                j = np.repeat(j, pairs)
+                ok = al[i] != al[j]
+                i, j = i[ok], j[ok]
+                if len(i):
+                    parts.append((ak[i], ak[j], an[i], an[j], ap[i], ap[j], np.zeros(len(i), dtype=bool)))
+                turns = np.flatnonzero(np.diff(np.concatenate(([False], crowded, [False]))))
+                for x, y in zip(turns[::2] + old, turns[1::2] + old):
+                    if x > old or head is None:  # the entry before is not crowded: all that it meets are kept
+                        x = int(low[x - old])
+                        head = ak[x], an[x], al[x]
+                    take = np.flatnonzero(al[x:y] != head[2]) + x
+                    if len(take):
+                        z = np.zeros(len(take), dtype=np.int32)
+                        parts.append((np.full(len(take), head[0]), ak[take], np.full(len(take), head[1]), an[take], z, z,
+                                      np.ones(len(take), dtype=bool)))
+                if not crowded[-1]:
+                    head = None
+                tail = tuple(v[-limit:] for v in (ak, an, ap, al))
             yield from emit(parts)
 
     return terms, schema
@@ -334,6 +345,88 @@ def _unit_links(num: int, den: int):
     return links, "key long, other long, linked long"
 
 
+def _candidate_pairs(rows: DataFrame, steps: Steps, num: int, den: int, limit: int, parts: int) -> DataFrame:
+    """Step 3 of the module: (a, b), pairs of classes whose components are the blocks."""
+    known = rows.where("key is not null")
+    size = lambda n: n - F.ceil(n * num / den) + 1  # noqa: E731  of a prefix
+    entries = known.agg(F.sum(size(F.col("n")))).first()[0] or 0
+    work, _ = _column_terms(num, den, limit)
+    rest = F.least(F.col("na") - 1 - F.col("pa"), F.col("nb") - 1 - F.col("pb"))
+    possible = (F.col("overlap") + rest) * (num + den) >= (F.col("na") + F.col("nb")) * num
+    pairs, labels, begin = None, None, 0
+    ends = list(_WAVES) if entries > WAVE_ENTRIES else [8]
+    while ends:
+        end = ends.pop(0)
+        label = [] if labels is None else [F.coalesce("label", "key").alias("label")]
+        labelled = known if labels is None else known.join(labels, "key", "left")
+        wave = (labelled.select("key", F.col("n").cast("int").alias("n"), *label, F.posexplode("prefix").alias("pos", "gram"))
+                .select("gram", "key", "n", "pos", *(["label"] if label else [])))
+        if end - begin < 8:
+            eighth = F.col("gram").bitwiseAND(F.lit(7))
+            wave = wave.where((eighth >= begin) & (eighth < end))
+        terms = (wave.repartition(parts, "gram").sortWithinPartitions("gram", "n", "key")
+                 .mapInArrow(work, "a long, b long, na int, nb int, pa int, pb int, long_column boolean"))
+        terms = terms.select("a", "b", "na", "nb", "pa", "pb", F.lit(1).cast("long").alias("overlap"),
+                             F.col("long_column").alias("kept"))
+        # of a pair: sizes, last place in the prefixes, n-grams shared so far
+        total = (terms if pairs is None else terms.union(pairs)).groupBy("a", "b").agg(
+            F.max("na").alias("na"), F.max("nb").alias("nb"), F.max("pa").alias("pa"), F.max("pb").alias("pb"),
+            F.sum("overlap").alias("overlap"), F.max("kept").alias("kept"))
+        if end == 8:
+            return total.where(F.col("kept") | possible).select("a", "b")
+        half = (F.col("overlap") >= 2) & (F.col("overlap") * 16 >= F.least(size(F.col("na")), size(F.col("nb"))) * end)
+        pairs = steps.write(f"pairs{end}", total.withColumn("kept", F.col("kept") | half))
+        if begin:
+            steps.drop(f"pairs{begin}")
+        if (pairs.agg(F.sum("overlap")).first()[0] or 0) * 8 <= entries * end:
+            ends, labels = [8], None  # few pairs: the rest at once
+        else:
+            kept = pairs.where("kept").select("a", "b")
+            kept = kept.union(kept.select("b", "a"))
+            low = kept.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("b"), F.least("a", "low").alias("low"))
+            # and the smallest of the partners' partners: not all classes of a family have the same ones
+            labels = kept.join(low, "b").groupBy(F.col("a").alias("key")).agg(F.min("low").alias("label"))
+        begin = end
+
+
+def _tiled(members: DataFrame, num: int, den: int, tile_grams: int) -> DataFrame:
+    """Members of blocks with their tile and the tiles it meets, ``first`` to
+    ``last``. The tiles of a block go by bands of sizes, of which only neighbours
+    can link (a band is a little wider than the ratio of sizes)."""
+    width = max(math.log(den / num), 0.01) * 1.0001
+    whole = members.groupBy("block").agg(F.sum("n").alias("grams"))
+    members = members.join(whole, "block").withColumn(
+        "band", F.when(F.col("grams") > tile_grams, F.floor(F.log("n") / width)).otherwise(0))
+    bands = members.groupBy("block", "band").agg(F.ceil(F.sum("n") / tile_grams).cast("int").alias("tiles"))
+    by = Window.partitionBy("block").orderBy("band")
+    next_to = lambda place, step: F.when(place("band").over(by) == F.col("band") + step, place("tiles").over(by)).otherwise(0)
+    bands = bands.select(
+        "block", "band", "tiles", (F.sum("tiles").over(by) - F.col("tiles")).cast("int").alias("start"),
+        next_to(F.lag, -1).alias("before"), next_to(F.lead, 1).alias("after"))
+    return members.join(bands, ["block", "band"]).select(
+        "doc_id", "key", "copies", "n", "block",
+        (F.col("start") + F.pmod(F.xxhash64("key", F.lit(7)), F.col("tiles"))).cast("int").alias("tile"),
+        (F.col("start") - F.col("before")).alias("first"), (F.col("start") + F.col("tiles") - 1 + F.col("after")).alias("last"))
+
+
+def _units(whole: DataFrame, n: int, wave: int, waves: int) -> DataFrame:
+    """Sets of the units of one wave, once per unit: (unit, key, copies, side, grams)."""
+    tile = F.col("tile")
+    unit = lambda other: F.concat_ws("/", "block", F.least(tile, other), F.greatest(tile, other))
+    others = F.sequence("first", "last")
+    if waves > 1:
+        others = F.filter(others, lambda other: F.pmod(F.xxhash64(unit(other)), F.lit(waves)) == wave)
+    whole = whole.withColumn("others", others)
+    if waves > 1:
+        whole = whole.where(F.size("others") > 0)
+    whole = whole.mapInArrow(_whole_sets(n), "key long, copies long, block long, tile int, first int, last int, others array<int>, "
+                             "grams array<long>")
+    other = F.col("other")
+    return whole.withColumn("other", F.explode("others")).select(
+        unit(other).alias("unit"), "key", "copies",
+        F.when(tile == other, 2).when(tile < other, 0).otherwise(1).cast("byte").alias("side"), "grams")
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
                        threshold: tuple[int, int] = (4, 5), pair_limit: int = 24, tile_grams: int = 1 << 21,
                        sketch_bits: int = SKETCH_BITS) -> DataFrame:
@@ -349,8 +442,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links with nothing. Other columns are not read. An empty table gives an
     empty result.
 
-    ``pair_limit``: prefix columns up to this many classes are paired directly
-    (longer ones go another, equally exact way, see the module). ``tile_grams``:
+    ``pair_limit``: prefix columns up to this many classes of like size are paired
+    directly (longer ones go another, equally exact way, see the module). ``tile_grams``:
     n-grams that one tile of a block holds.
     """
     spark = docs.sparkSession
@@ -366,42 +459,30 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = steps.write("classes", rows.where("key is not null").groupBy("key").agg(
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")))
 
-    entries = (rows.where("key is not null")
-               .select("key", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "gram"))
-               .select("gram", "key", "n", "pos"))
-    terms, _ = _column_terms(num, den, pair_limit)
-    terms = (entries.repartition(parts, "gram").sortWithinPartitions("gram", "n", "key")
-             .mapInArrow(terms, "a long, b long, na int, nb int, pa int, pb int, long_column boolean"))
-    overlap, rest = F.count(F.lit(1)), F.least(F.max("na") - 1 - F.max("pa"), F.max("nb") - 1 - F.max("pb"))
-    pairs = (terms.groupBy("a", "b").agg(
-        F.max("long_column").alias("kept"), (overlap + rest).alias("most"), (F.max("na") + F.max("nb")).alias("both"))
-        .where(F.col("kept") | (F.col("most") * (num + den) >= F.col("both") * num)).select("a", "b"))
+    pairs = _candidate_pairs(rows, steps, num, den, pair_limit, parts)
     groups = steps.write("groups", connected_components(pairs, steps))
+    steps.drop(*(f"pairs{end}" for end in _WAVES))
 
     members = groups.select(F.col("node").alias("key"), F.col("component").alias("block")).union(
         groups.select("component", "component").distinct())
     members = members.join(classes, "key")
-    weight = members.groupBy("block").agg(F.sum("n").alias("grams"))
-    tiles = F.greatest(F.lit(1), F.ceil(F.col("grams") / tile_grams)).cast("int")
-    members = (members.join(weight, "block").withColumn("tiles", tiles)
-               .withColumn("tile", F.pmod(F.xxhash64("key", F.lit(7)), F.col("tiles")).cast("int"))
-               .select(F.col("first_id").alias("doc_id"), "key", "copies", "block", "tile", "tiles"))
-    members = steps.write("members", members)
-
-    chosen = members if members.count() > BROADCAST_IDS else F.broadcast(members)
-    whole = source.join(chosen, "doc_id")
-    whole = (whole.select("key", "text", "copies", "block", "tile", "tiles")
-             .mapInArrow(_whole_sets(n), "key long, copies long, block long, tile int, tiles int, grams array<long>"))
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    units = (whole.withColumn("other", other)
-             .select(F.concat_ws("/", "block", F.least("tile", "other"), F.greatest("tile", "other")).alias("unit"),
-                     "key", "copies",
-                     F.when(F.col("tiles") == 1, 2).when(F.col("tile") == F.col("other"), 2)
-                     .when(F.col("tile") < F.col("other"), 0).otherwise(1).cast("byte").alias("side"), "grams"))
+    members = members.select(F.col("first_id").alias("doc_id"), "key", "copies", "n", "block")
+    members = steps.write("members", _tiled(members, num, den, tile_grams))
+
+    number, sent = members.agg(F.count(F.lit(1)), F.sum(F.col("n") * (F.col("last") - F.col("first") + 1))).first()
+    grams = rows.agg(F.sum("n")).first()[0] or 0
+    waves = 1 if (sent or 0) <= max(grams // 2, WAVE_GRAMS) else -(-sent // max(grams // 4, WAVE_GRAMS))
+    chosen = members if number > BROADCAST_IDS else F.broadcast(members)
+    whole = source.join(chosen, "doc_id").select("key", "text", "copies", "block", "tile", "first", "last")
+    if waves > 1:
+        whole = steps.write("texts", whole)
     work, schema = _unit_links(num, den)
-    found = steps.write("links", units.repartition(parts, "unit")
-                        .sortWithinPartitions("unit", "key").mapInArrow(work, schema))
-    steps.drop("members", "groups")
+    found = None
+    for wave in range(waves):
+        links = steps.write(f"links{wave}", _units(whole, n, wave, waves).repartition(parts, "unit")
+                            .sortWithinPartitions("unit", "key").mapInArrow(work, schema))
+        found = links if found is None else found.union(links)
+    steps.drop("members", "groups", "texts")
 
     labels = connected_components(found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")),
                                   steps)
